@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, packing
+from tidemark.llm import decontaminate, exact_dedup, packing, shingle_join, toxicity
 from tidemark.llm.common import written
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the labelled examples call toxic go; a document is judged by its own row."""
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=COLUMNS)
+    return scored.where("predicted = 0").select(*COLUMNS)
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
     kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingles, the one of the smallest id stays."""
+    return shingle_join.one_of_each(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a test item go."""
-    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "text", "lang", "source", "n_chars")
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(packing.word_lengths(docs))
 
 
-STAGES = [("exact_dedup", drop_copies), ("decontamination", drop_contaminated), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("shingle_join", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]
 #: Packing and the nearest labelled examples have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import decontaminate, exact_dedup, packing, token_output
+from . import decontaminate, exact_dedup, packing, shingle_join, token_output, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_shingle_join": shingle_join.op2_shingle_join,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_token_output": token_output.op7_token_output,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
