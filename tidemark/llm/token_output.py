@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .common import partitions, shared_dir, slices
 
 #: Ids in a block, about; a document is never cut, so one long document is one longer block.
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 12
+#: Words whose ids a worker remembers, at most.
+REMEMBERED = 400_000
 FILE_SCHEMA = "shard int, block int, first bigint, n_ids int, width int, ids array<bigint>, ends array<int>, packed binary"
 
 
@@ -41,17 +43,51 @@ def unpack(data: bytes, n: int, width: int, start: int = 0) -> np.ndarray:
     return (bits.reshape(n, width).astype(np.uint32) << np.arange(width - 1, -1, -1, dtype=np.uint32)).sum(axis=1, dtype=np.uint32) if n else np.empty(0, np.uint32)
 
 
+#: White space that a fast split at single spaces does not look at more closely.
+_RARE_SPACE = tuple("\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_SPACES = ("  ", *(x for c in "\t\n\v\f\r" for x in (f" {c}", f"{c} ")))
+
+
+def unsure(text: str) -> bool:
+    """A space is a sure cut of byte-level BPE only between two characters that are not white space."""
+    return text[:1] in ("", " ") or text[-1] == " " or any(x in text for x in _SPACES) or any(x in text for x in (_RARE_SPACE[:4] if text.isascii() else _RARE_SPACE))
+
+
+class Encoder:
+    """Ids of whole texts by the tokenizers library, which sees each word that follows a single space once."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        parts = [None if unsure(t) else t.split(" ") for t in texts]
+        new = set().union(*(p[1:] for p in parts if p)).difference(known)
+        if new:
+            new = list(new)
+            known.update(zip(new, self._library([" " + w for w in new])))
+        whole = iter(self._library([t if p is None else p[0] for t, p in zip(texts, parts)]))
+        return [next(whole) if p is None else next(whole) + b"".join(map(known.__getitem__, p[1:])) for p in parts]
+
+
 def _encoder(path: str, end_id: int, width: int):
     def run(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        encode = Encoder(path)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
-        held = 0
+        held, end = 0, int(end_id).to_bytes(4, "little")
 
         def full():
             nonlocal block, first, ids, docs, held
@@ -61,8 +97,8 @@ def _encoder(path: str, end_id: int, width: int):
             return row
 
         for b in slices(batches, 1, 1 << 20):
-            for doc, e in zip(b.column(0).to_pylist(), tok.encode_batch_fast([t or "" for t in b.column(1).to_pylist()], add_special_tokens=False)):
-                ids.append(np.array([*e.ids, end_id], np.uint32))
+            for doc, e in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()])):
+                ids.append(np.frombuffer(e + end, "<u4"))
                 docs.append(doc)
                 held += len(ids[-1])
                 if held >= BLOCK_IDS:
@@ -85,8 +121,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 5
     ordered.mapInArrow(_encoder(tokenizer, end_id, max(width_of(vocabulary), width_of(end_id + 1))), FILE_SCHEMA).write.parquet(path)
 
 
+#: Place of ``packed`` in what read_blocks gives: the key of its join comes first, then the rest of the file's columns.
+PACKED = 7
+
+
 def _reader(batches):
-    for b in batches:
+    for b in slices(batches, PACKED):
         for base, first, width, ids, ends, packed in zip(*(b.column(k).to_pylist() for k in ("base", "first", "width", "ids", "ends", "packed"))):
             flat = unpack(packed, ends[-1], width).astype("<u4")
             starts = [0, *ends[:-1]]
