@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import decontaminate, exact_dedup, packing, shingle_join, token_output, toxicity
+from . import decontaminate, exact_dedup, packing, shingle_join, substring_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_token_output": token_output.op7_token_output,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
