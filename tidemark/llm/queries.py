@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import decontaminate, exact_dedup, packing, shingle_join, substring_dedup, token_output, toxicity
+from . import decontaminate, exact_dedup, lm_scoring, packing, shingle_join, substring_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_shingle_join": shingle_join.op2_shingle_join,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_token_output": token_output.op7_token_output,
