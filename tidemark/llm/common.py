@@ -128,3 +128,32 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after.where("old <> component").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
+
+
+#: Bits of a filter over ids: 4 MB whatever the data; as it fills up, it only lets more pass to the join that follows it.
+FILTER_BITS, FILTER_ROW = 1 << 25, 1 << 13
+
+
+def id_place(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Packed bits of the places of ``ids`` (one column, doc_id), built a row at a time by the executors."""
+
+    def row(key, rows):
+        bits = np.zeros(FILTER_ROW, np.uint8)
+        bits[rows.column("place").to_numpy() % FILTER_ROW] = 1
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    places = ids.select(id_place(F.col("doc_id")).alias("place")).distinct().select(F.floor(F.col("place") / FILTER_ROW).alias("row"), "place")
+    table = np.zeros((FILTER_BITS // FILTER_ROW, FILTER_ROW // 8), np.uint8)
+    for r in places.groupBy("row").applyInArrow(row, "row bigint, bits binary").toLocalIterator():
+        table[r["row"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.ravel()
+
+
+def passing(batch: pa.RecordBatch, table: np.ndarray, column: int) -> pa.RecordBatch:
+    """The rows of a batch whose place, in ``column``, is set in the filter."""
+    at = batch.column(column).to_numpy()
+    return batch.filter(pa.array((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))

@@ -1,8 +1,10 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is that of their hashes; pivots cut it into fragments. Every text's set of n-grams is cut at the same pivots, the overlap of a pair is counted fragment by fragment, and the counts are summed a pair. Which pairs are counted at all is found without loss: sets that are equal become one class; of every class only the least hashes (a prefix long enough that a linked pair must share many of them) are compared with the corpus, and a class with too few that recur cannot be linked; of those left, n-grams are ranked by how many classes have them, and pairs must meet in a prefix of that order.
+The global order of n-grams is that of their hashes; pivots cut it into fragments. Every text's set of n-grams is cut at the same pivots, the overlap of a pair is counted fragment by fragment, and the counts are summed a pair.
 
-Classes that share many n-grams are first linked with one of them, and only pairs that those links leave in different components are counted after that, so that a large group of near copies gives links in proportion to its size.
+Which pairs are counted is found without loss. Sets that are equal become one class, known by its smallest id. Of each set the least hashes are looked at, a quarter first and half for those left: a linked partner lacks at most a fifth of the set, so that many of these must recur in other classes, or the class has no link. The recurring ones of the half are then ranked by how many classes have them, and linked classes must meet before a place in that order that leaves fewer than they must share.
+
+Classes that meet are first linked with one of them, and only pairs that those links leave in different components are counted after that, so that a large group of near copies gives links in proportion to its size.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_BITS, checkpointed, components, lists, shingle_set, slices, written
+from .common import KEY_BITS, checkpointed, components, id_filter, id_place, lists, passing, shingle_set, slices, written
 
 SHINGLE = 5
 PERCENT = 80
 FRAGMENTS = 4
-#: Share of a set that the first search looks at, in percent; over 100 - PERCENT, so that several of it must recur.
-PREFIX_PERCENT = 25
+#: Shares of a set that the searches look at, in percent; over 100 - PERCENT, so that several n-grams must recur.
+FIRST, SECOND = 25, 50
 
 
 def least_overlap(n: int) -> int:
@@ -27,8 +29,16 @@ def least_overlap(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
-def prefix_size(n: int) -> int:
-    return min(n, max(n - least_overlap(n) + 1, -(-n * PREFIX_PERCENT // 100)))
+def prefix_size(n: int, percent: int) -> int:
+    return min(n, max(n - least_overlap(n) + 1, -(-n * percent // 100)))
+
+
+def least_hits(n: int, percent: int) -> int:
+    """Of the prefix of a set of n, how many n-grams a linked partner has in its own prefix at least.
+
+    If the partner's prefix reaches further in the order, it lacks at most n - least_overlap(n) of them; if not, all of the partner's prefix but what the set lacks is meant, which is more for partners of any permitted size.
+    """
+    return prefix_size(n, percent) - (n - least_overlap(n))
 
 
 def class_key(grams: np.ndarray) -> int:
@@ -42,69 +52,75 @@ def _meta(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
 
 
-def _prefixes(batches):
-    for b in slices(batches, 0):
-        sets = [s for s in (shingle_set(t, SHINGLE) for t in b.column(0).to_pylist()) if len(s)]
-        own = [(s[: prefix_size(len(s))] >> np.uint64(64 - KEY_BITS)) for s in sets]
-        keys = [class_key(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array([k >> (63 - KEY_BITS) for k in keys], pa.int64()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists(own, pa.int64())], ["short", "class", "n", "keys"])
+def _first(batches):
+    """Prefixes of all sets, hashes and classes cut short: they only prune."""
+    for b in slices(batches):
+        sets = [shingle_set(t, SHINGLE) for t in b.column(1).to_pylist()]
+        own = [(s[: prefix_size(len(s), FIRST)] >> np.uint64(64 - KEY_BITS)) for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_key(s) >> (63 - KEY_BITS) for s in sets], pa.int64()), pa.array([least_hits(len(s), FIRST) for s in sets], pa.int32()), lists(own, pa.int64())], ["doc_id", "short", "least", "keys"])
 
 
-def _sets(batches):
-    for b in slices(batches):
-        sets = [shingle_set(t, SHINGLE).astype(np.int64) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), lists(sets, pa.int64())], ["class", "grams"])
+def _second(table, percent: int):
+    """Prefixes of the sets that pass the filter; with 100 percent the sets."""
 
+    def run(batches):
+        bits = table.value
+        for b in batches:
+            for b in slices([passing(b, bits, 2)]):  # noqa: B020, PLW2901
+                sets = [shingle_set(t, SHINGLE) for t in b.column(1).to_pylist()]
+                own = [s[: prefix_size(len(s), percent)].astype(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([least_hits(len(s), percent) for s in sets], pa.int32()), lists(own, pa.int64())], ["doc_id", "class", "n", "least", "grams"])
 
-def needed(n: Column) -> Column:
-    return F.ceil(n * PERCENT / 100)
+    return run
 
 
 def linkable(small: Column, other: Column) -> Column:
     return F.least(small, other) * 100 >= F.greatest(small, other) * PERCENT
 
 
+def chosen_sets(src: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """(id, n, least, grams) of the classes in ``chosen`` (doc_id, class), one row each. Texts stay where they are read; a filter of fixed size lets few others through to the join."""
+    table = src.sparkSession.sparkContext.broadcast(id_filter(chosen.select("doc_id")))
+    sets = src.withColumn("place", id_place(F.col("doc_id"))).mapInArrow(_second(table, percent), "doc_id bigint, class bigint, n int, least int, grams array<bigint>")
+    return sets.join(chosen, ["doc_id", "class"], "left_semi").groupBy("doc_id", "class").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("grams").alias("grams")).select(F.col("doc_id").alias("id"), "class", "n", "least", "grams")
+
+
 def counted(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """The linked ones of ``pairs`` (a, b): partial overlaps counted a fragment, summed a pair."""
-    left = fragments.select(F.col("class").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
-    right = fragments.select(F.col("class").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
+    left = fragments.select(F.col("id").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
+    right = fragments.select(F.col("id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("c"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
     return total.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * PERCENT).select("a", "b")
 
 
-def candidates(src: DataFrame) -> DataFrame:
-    """(class, n) of the classes of which enough prefix n-grams recur in other classes."""
-    rows = src.select("text").mapInArrow(_prefixes, "short bigint, class bigint, n int, keys array<bigint>")
-    keys = rows.select("short", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("key")
-    hits = rows.select("class", "n", F.explode("keys").alias("key")).join(shared, "key").groupBy("class", "n").agg(F.count_distinct("key").alias("hits"))
-    size = F.least(F.col("n"), F.greatest(F.col("n") - needed(F.col("n")) + 1, F.ceil(F.col("n") * PREFIX_PERCENT / 100)))
-    return hits.where(size - F.col("hits") <= F.col("n") - needed(F.col("n"))).select("class", "n")
+def candidates(src: DataFrame, meta: DataFrame) -> DataFrame:
+    """(doc_id, class) of the classes of which enough first n-grams recur in other classes."""
+    rows = src.mapInArrow(_first, "doc_id bigint, short bigint, least int, keys array<bigint>")
+    shared = rows.select("short", F.explode("keys").alias("key")).groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("key")
+    hits = rows.select("doc_id", "least", F.explode("keys").alias("key")).join(shared, "key").groupBy("doc_id", "least").agg(F.count(F.lit(1)).alias("hits")).where("hits >= least").select("doc_id").distinct()
+    return meta.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(hits, "doc_id", "left_semi").select("doc_id", "class")
 
 
 def shingle_links(src: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b) between classes that join all linked ones, components (node, component) of the linked classes)."""
-    reps = meta.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    chosen = checkpointed(candidates(src).join(reps, "class").select("class", "n", "doc_id"))
-    grams = src.join(chosen, "doc_id").select("class", "text").mapInArrow(_sets, "class bigint, grams array<bigint>")
-    parts = grams.groupBy("class").agg(F.first("grams").alias("grams")).select("class", F.size("grams").alias("n"), "grams")
-    # Hashes are unsigned, so signed order cuts at the same places in another sequence.
-    sets = written(parts.select("class", "n", F.posexplode(F.array(*[F.expr(f"filter(grams, g -> shiftrightunsigned(g, 62) = {k})") for k in range(FRAGMENTS)])).alias("fragment", "grams")), "shingles")
-    tokens = sets.select("class", "n", F.explode("grams").alias("gram"))
+    """(links (a, b) between classes that join all linked ones, components (node, component) of the linked classes); a class goes by its smallest id."""
+    src = src.where("doc_id is not null")
+    chosen = checkpointed(candidates(src, meta))
+    tokens = chosen_sets(src, chosen, SECOND).select("id", "class", "n", "least", F.explode("grams").alias("gram"))
     common = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = tokens.join(common, "gram").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("r"))
-    ranked = ranked.where(F.size("r") >= needed(F.col("n"))).select("class", "n", F.size("r").alias("m"), F.explode(F.slice("r", 1, F.size("r") - needed(F.col("n")).cast("int") + 1)).alias("g")).select("class", "n", "m", F.col("g.gram").alias("gram"))
-    prefix = checkpointed(ranked)
-    hub = prefix.groupBy("gram").agg(F.max(F.struct(F.col("m") / F.col("n"), -F.col("class"), "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", (-F.col("hub.col2")).alias("b"), F.col("hub.n").alias("nb"))
-    stars = prefix.join(hub, "gram").where(F.col("class") != F.col("b")).where(linkable(F.col("n"), F.col("nb"))).select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
+    ranked = tokens.join(common, "gram").groupBy("id", "class", "n", "least").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("r")).where("size(r) >= least")
+    prefix = checkpointed(ranked.select("id", "class", "n", F.size("r").alias("m"), F.explode(F.expr("slice(r, 1, size(r) - least + 1)")).alias("g")).select("id", "class", "n", "m", F.col("g.gram").alias("gram")))
+    left = checkpointed(prefix.select(F.col("id").alias("doc_id"), "class").distinct())
+    sets = written(chosen_sets(src, left, 100).select("id", "n", F.posexplode(F.array(*[F.expr(f"filter(grams, g -> shiftrightunsigned(g, 62) = {k})") for k in range(FRAGMENTS)])).alias("fragment", "grams")), "shingles")
+    hub = prefix.groupBy("gram").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("id")).alias("id"), "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", (-F.col("hub.id")).alias("b"), F.col("hub.n").alias("nb"))
+    stars = prefix.join(hub, "gram").where(F.col("id") != F.col("b")).where(linkable(F.col("n"), F.col("nb"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     links = checkpointed(counted(stars, sets))
     labels = components(links)
-    labelled = prefix.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "gram", F.coalesce("component", "class").alias("label"))
+    labelled = prefix.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "gram", F.coalesce("component", "id").alias("label"))
     apart = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
     open_ = labelled.join(apart, "gram")
-    other = open_.select("gram", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = open_.join(other, "gram").where((F.col("class") < F.col("b")) & (F.col("label") != F.col("lb"))).where(linkable(F.col("n"), F.col("nb"))).select(F.col("class").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
+    other = open_.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    rest = open_.join(other, "gram").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("lb"))).where(linkable(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
     links = checkpointed(links.union(counted(rest, sets)))
     return links, components(links)
 
@@ -118,9 +134,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     meta = written(src.mapInArrow(_meta, "doc_id bigint, n_shingles bigint, class bigint"), "classes")
     _, labels = shingle_links(src, meta)
     full = meta.where("n_shingles > 0")
-    classes = full.groupBy("class").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "component").select("class", F.xxhash64("class").alias("spread"), "component_id")
+    classes = full.groupBy("class").agg(F.min("doc_id").alias("id")).join(labels.withColumnRenamed("node", "id"), "id", "left")
+    named = classes.select("class", F.xxhash64("class").alias("spread"), F.coalesce("component", "id").alias("component_id"))
     linked = full.withColumn("spread", F.xxhash64("class")).join(named, ["class", "spread"]).select("doc_id", "n_shingles", "component_id")
     return linked.union(meta.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
