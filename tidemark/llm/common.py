@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 def slices(batches, column: int = 1, most: int = 4 << 20):
     """Record batches cut to at most about ``most`` bytes of text each, so that work arrays stay small."""
     for batch in batches:
-        sizes = np.cumsum([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()]) if batch.num_rows > 1 else np.zeros(batch.num_rows)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0

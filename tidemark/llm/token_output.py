@@ -5,6 +5,7 @@ A file table has one row a block: ``shard`` and ``block`` order the blocks, ``fi
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from .common import partitions, shared_dir, slices
 #: Ids in a block, about; a document is never cut, so one long document is one longer block.
 BLOCK_IDS = 1 << 12
 #: Words whose ids a worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 FILE_SCHEMA = "shard int, block int, first bigint, n_ids int, width int, ids array<bigint>, ends array<int>, packed binary"
 
 
@@ -57,10 +58,12 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each word that follows a single space once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's other core is another task's
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        (self.line_end,) = self.tok.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -69,21 +72,39 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         parts = [None if unsure(t) else t.split(" ") for t in texts]
         new = set().union(*(p[1:] for p in parts if p)).difference(known)
-        if new:
-            new = list(new)
-            known.update(zip(new, self._library([" " + w for w in new])))
+        plain = [w for w in new if "\n" not in w]
+        if plain:
+            # One text for all: a line end before a space is a token of its own, and of no word without one.
+            flat = self._library([" " + "\n ".join(plain)])[0]
+            ends = [*(4 * np.flatnonzero(np.frombuffer(flat, "<u4") == self.line_end)).tolist(), len(flat)]
+            known.update(zip(plain, (flat[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends))))
+        if len(plain) < len(new):
+            odd = [w for w in new if "\n" in w]
+            known.update(zip(odd, self._library([" " + w for w in odd])))
         whole = iter(self._library([t if p is None else p[0] for t, p in zip(texts, parts)]))
-        return [next(whole) if p is None else next(whole) + b"".join(map(known.__getitem__, p[1:])) for p in parts]
+        out = [next(whole) if p is None else next(whole) + b"".join(map(known.__getitem__, p[1:])) for p in parts]
+        if len(known) > REMEMBERED:  # what came first stays: it holds the frequent words
+            for w in new:
+                del known[w]
+        return out
+
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """The encoder that this worker process has made for an earlier task, or a new one."""
+        import tokenizers
+
+        held = vars(tokenizers).setdefault("_encoders_by_path", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
 
 def _encoder(path: str, end_id: int, width: int):
     def run(batches):
         from pyspark import TaskContext
-        encode = Encoder(path)
+        encode = Encoder.of_worker(path)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
