@@ -28,6 +28,9 @@ TEMPLATES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Words of the templates that are frequent in any text.
+FREQUENT = frozenset("a all and any are by for form forms free has in is not of only or out person subject the this to under use using version which with without work you your".split())
+FREQUENT_IDF = 0.3
 THRESHOLD = 0.7
 #: A text with at least this share of its words in one statement is a license file of its directory.
 FILE_SHARE = 0.3
@@ -40,7 +43,7 @@ def weights(templates=TEMPLATES) -> tuple[dict[str, float], list[dict[str, float
     """(idf of each term, unit vectors of the templates, idf of a term of none)."""
     bags = [Counter(re.findall(_TERM, t.lower())) for _, t in templates]
     df = Counter(w for b in bags for w in b)
-    idf = {w: math.log((len(bags) + 1) / (n + 0.5)) for w, n in df.items()}
+    idf = {w: FREQUENT_IDF if w in FREQUENT else math.log((len(bags) + 1) / (n + 0.5)) for w, n in df.items()}
     unit = []
     for b in bags:
         v = {w: (1 + math.log(n)) * idf[w] for w, n in b.items()}
@@ -49,15 +52,11 @@ def weights(templates=TEMPLATES) -> tuple[dict[str, float], list[dict[str, float
     return idf, unit, math.log((len(bags) + 1) / 0.5)
 
 
-#: Words of the templates that are frequent in any text.
-FREQUENT = frozenset("a all and any are by for form forms free has in is not of only or out person subject the this to under use using version which with without work you your".split())
-
-
 def anchors(unit: list[dict[str, float]], threshold: float) -> list[str]:
     """Terms without which no statement reaches the threshold: by Cauchy's bound, the rest of every template is shorter than that. A template's heaviest terms are taken first, frequent words last."""
     chosen: set[str] = set()
     for v in unit:
-        for w in sorted(v, key=lambda w: (w in FREQUENT or len(w) < 3, -v[w], w)):
+        for w in sorted(v, key=lambda w: (w in FREQUENT or w.isdigit(), -v[w], w)):
             if math.sqrt(sum(x * x for u, x in v.items() if u not in chosen)) < threshold:
                 break
             chosen.add(w)
