@@ -4,7 +4,7 @@ The global order of n-grams is that of their hashes; pivots cut it into fragment
 
 Which pairs are counted is found without loss. Sets that are equal become one class, known by its smallest id. Of each set the least hashes are looked at, a quarter first and half for those left: a linked partner lacks at most a fifth of the set, so that many of these must recur in other classes, or the class has no link. The recurring ones of the half are then ranked by how many classes have them, and linked classes must meet before a place in that order that leaves fewer than they must share.
 
-Classes that meet are first linked with one of them, and only pairs that those links leave in different components are counted after that, so that a large group of near copies gives links in proportion to its size.
+The classes left are ranked once more over their whole sets. Those that meet at an n-gram are first counted against one of them, the hub, and linked; then only pairs are counted that those links leave in different components and whose overlaps with the hub allow a link. So a large group of near copies gives pairs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ def prefix_size(n: int, percent: int) -> int:
 def least_hits(n: int, percent: int) -> int:
     """Of the prefix of a set of n, how many n-grams a linked partner has in its own prefix at least.
 
-    If the partner's prefix reaches further in the order, it lacks at most n - least_overlap(n) of them; if not, all of the partner's prefix but what the set lacks is meant, which is more for partners of any permitted size.
+    Of two linked sets of n and b, the one whose prefix ends first in the order has all of it looked at by the other, but for what the other lacks. If that is the set, the partner lacks a fifth of n at most; if the partner, its prefix less what the set lacks is percent * b - (5 * b - 4 * n) / 9, which is more for every b from 0.8 * n to 1.25 * n.
     """
-    return prefix_size(n, percent) - (n - least_overlap(n))
+    return -(-n * (percent - 100 + PERCENT) // 100)
 
 
 def class_key(grams: np.ndarray) -> int:
@@ -74,6 +74,10 @@ def _second(table, percent: int):
     return run
 
 
+def needed(n: Column) -> Column:
+    return F.ceil(n * PERCENT / 100)
+
+
 def linkable(small: Column, other: Column) -> Column:
     return F.least(small, other) * 100 >= F.greatest(small, other) * PERCENT
 
@@ -85,13 +89,21 @@ def chosen_sets(src: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     return sets.join(chosen, ["doc_id", "class"], "left_semi").groupBy("doc_id", "class").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("grams").alias("grams")).select(F.col("doc_id").alias("id"), "class", "n", "least", "grams")
 
 
-def counted(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b): partial overlaps counted a fragment, summed a pair."""
+def overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(a, b, na, nb, overlap) of ``pairs`` (a, b): partial overlaps counted a fragment, summed a pair."""
     left = fragments.select(F.col("id").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
     right = fragments.select(F.col("id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("c"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
-    return total.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * PERCENT).select("a", "b")
+    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
+
+
+def linked(counts: DataFrame) -> DataFrame:
+    return counts.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * PERCENT).select("a", "b")
+
+
+def must_share(n: Column, other: Column) -> Column:
+    """What two linked sets share at least."""
+    return F.ceil((n + other) * PERCENT / (100 + PERCENT))
 
 
 def candidates(src: DataFrame, meta: DataFrame) -> DataFrame:
@@ -112,19 +124,37 @@ def shingle_links(src: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame
     prefix = checkpointed(ranked.select("id", "class", "n", F.size("r").alias("m"), F.explode(F.expr("slice(r, 1, size(r) - least + 1)")).alias("g")).select("id", "class", "n", "m", F.col("g.gram").alias("gram")))
     left = checkpointed(prefix.select(F.col("id").alias("doc_id"), "class").distinct())
     sets = written(chosen_sets(src, left, 100).select("id", "n", F.posexplode(F.array(*[F.expr(f"filter(grams, g -> shiftrightunsigned(g, 62) = {k})") for k in range(FRAGMENTS)])).alias("fragment", "grams")), "shingles")
-    hub = prefix.groupBy("gram").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("id")).alias("id"), "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", (-F.col("hub.id")).alias("b"), F.col("hub.n").alias("nb"))
-    stars = prefix.join(hub, "gram").where(F.col("id") != F.col("b")).where(linkable(F.col("n"), F.col("nb"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    links = checkpointed(counted(stars, sets))
+    rows = checkpointed(ranked_prefixes(sets))
+    hub = rows.groupBy("gram").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("id")).alias("id"), "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", (-F.col("hub.id")).alias("hub"), F.col("hub.n").alias("nh"))
+    rows = rows.join(hub, "gram")
+    stars = rows.where(F.col("id") != F.col("hub")).where(linkable(F.col("n"), F.col("nh")) & (F.col("m") - F.col("place") >= must_share(F.col("n"), F.col("nh")))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    counts = checkpointed(overlaps(stars, sets))
+    links = checkpointed(linked(counts))
     labels = components(links)
-    labelled = prefix.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "gram", F.coalesce("component", "id").alias("label"))
+    # What a class shares with the hub of an n-gram, and how many more of its n-grams recur, bound what two classes there share.
+    known = counts.select(F.col("a").alias("id"), F.col("b").alias("hub"), "overlap").union(counts.select(F.col("b"), F.col("a"), "overlap"))
+    labelled = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").join(known, ["id", "hub"], "left").select("id", "n", "m", "place", "gram", F.coalesce("component", "id").alias("label"), F.when(F.col("id") == F.col("hub"), F.col("n").cast("bigint")).otherwise(F.col("overlap")).alias("o"))
     apart = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
-    open_ = labelled.join(apart, "gram")
-    other = open_.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = open_.join(other, "gram").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("lb"))).where(linkable(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = checkpointed(links.union(counted(rest, sets)))
+    open_ = checkpointed(labelled.join(apart, "gram"))
+    other = open_.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "m", "place", "label", "o")])
+    need = must_share(F.col("n"), F.col("n_b"))
+    by_hub = F.coalesce(F.least(F.col("o"), F.col("o_b")) + F.least(F.col("m") - F.col("o"), F.col("m_b") - F.col("o_b")), need)
+    by_hub = F.when(F.col("o").isNull() | F.col("o_b").isNull(), need).otherwise(by_hub)
+    by_place = F.least(F.col("m") - F.col("place"), F.col("m_b") - F.col("place_b"))
+    meet = (F.col("id") < F.col("id_b")) & (F.col("label") != F.col("label_b")) & linkable(F.col("n"), F.col("n_b")) & (by_place >= need) & (by_hub >= need)
+    rest = open_.join(other, "gram").where(meet).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    links = checkpointed(links.union(linked(overlaps(rest, sets))))
     return links, components(links)
 
 
+def ranked_prefixes(sets: DataFrame) -> DataFrame:
+    """(id, n, m, place, gram): of each whole set, by how many classes have each n-gram, the recurring ones down to the place where fewer are left than a partner must share; m of them recur. Sets of which too few recur are dropped."""
+    tokens = sets.select("id", "n", F.explode("grams").alias("gram"))
+    common = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = tokens.join(common, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("r")).where(F.size("r") >= needed(F.col("n")))
+    return ranked.select("id", "n", F.size("r").alias("m"), F.posexplode(F.slice("r", F.lit(1), F.size("r") - needed(F.col("n")).cast("int") + 1)).alias("place", "g")).select("id", "n", "m", "place", F.col("g.gram").alias("gram"))
+
+
 def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row.
 
