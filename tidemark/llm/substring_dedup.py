@@ -19,7 +19,7 @@ from .common import KEY_BITS, gram_hashes, lists, partitions, slices, word_hashe
 
 WINDOW, SEED = 13, 5
 #: Suffixes under one prefix, at most, that are made a subtree in memory.
-GROUP_SUFFIXES = 4096
+GROUP_SUFFIXES = 32_768
 
 
 def owners(hashes: np.ndarray, window: int = WINDOW, seed: int = SEED) -> np.ndarray:
@@ -192,9 +192,9 @@ def _cut(window: int, text_out: bool):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, text_out: bool = True, group_suffixes: int = GROUP_SUFFIXES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) for every row: words covered by a ``window`` that also starts in a document of smaller id are removed.
 
-    Words are runs without ASCII white space, unchanged; what is kept is joined by single spaces (null with ``text_out`` off). Windows are judged on the input. A null text has no words; a row with a null id loses nothing and causes no loss; rows that repeat an id do not remove from each other; texts below a window's length stay whole; an empty table gives no rows.
+    Words are runs without ASCII white space, unchanged; what is kept is joined by single spaces (null with ``text_out`` off). Windows are judged on the input. A null text has no words; a row with a null id loses nothing and causes no loss; rows that repeat an id do not remove from each other (their texts are told apart by 31 bits of a hash); texts below a window's length stay whole; an empty table gives no rows.
     """
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).select("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("row"), "text")
     found = repeats(src, window, group_suffixes).groupBy("doc_id", "row").agg(F.collect_list("first").alias("firsts"), F.collect_list("mask").alias("masks"))
     return src.join(found, ["doc_id", "row"], "left").select("doc_id", "row", "text", "firsts", "masks").mapInArrow(_cut(window, text_out), OUT)
 
