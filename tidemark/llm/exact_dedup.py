@@ -113,7 +113,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not clashing.isEmpty():
         recipes = _refined(src, clashing, hash_bits)
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+    # A second key makes the join shuffle both sides for itself, so that a large group's partition can be split.
+    spread = F.xxhash64("recipe")
+    return recipes.withColumn("spread", spread).join(groups.withColumn("spread", spread), ["recipe", "spread"]).select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def _refined(src: DataFrame, clashing: DataFrame, bits: int) -> DataFrame:
