@@ -253,3 +253,28 @@ def test_stream_tracker_equals_batch(spark, tmp_path):
     key = lambda df: sorted((r.frame_idx, r.det_no, r.entity_id) for r in df.collect())
     assert key(spark.table("tracked")) == key(stateful.track(src))
     assert isinstance(stateful.track(src).toPandas(), pd.DataFrame)
+
+
+def test_records(spark):
+    from tidemark.operators import records as R
+
+    res = spark.createDataFrame([(0, 0, "a", "https://x.org", "s"), (0, 1, "b", "https://www.ign.com/y", "s")], "query_id int, seq int, title string, url string, snippet string")
+    assert [(r.title, r.source) for r in R.ranked_results(res, 1).collect()] == [("b", "ign")] and R.result_texts(res, 3).count() == 1
+    assert one(spark, R.expanded_query(F.lit("best weapon"), F.lit("Elden Ring"), F.lit("wiki"))) == "Elden Ring best weapon wiki"
+    assert one(spark, R.trigger_query(F.lit("concept"), F.lit("boss"), F.lit(None))) == "A boss was just detected. Describe what's happening with it."
+    assert one(spark, R.vram_breakdown(F.create_map(F.lit("hico"), F.lit(True)))) == {"llm": 16.0, "hico": 2.0}
+    assert R.presets(spark).count() == 3 and R.eval_configs(spark).count() == 3
+    d = spark.createDataFrame([(0, "p", 0, 200.0, 0.9, " "), (0, "p", 1, 200.0, 0.9, "x"), (0, "p", 2, 50.0, 1.0, "y")], "frame_id int, prompt string, det_no int, area double, confidence double, text string")
+    assert R.best_mask(d).first().det_no == 0 and R.confident(d).count() == 2 and R.where_equal(d, prompt="p", det_no=None).count() == 3 and R.where_named(d, "text", "X").count() == 1
+    f = spark.createDataFrame([(0, 0.0, [("hi", None)])], "frame_idx long, t_sec double, detections array<struct<text:string,category:string>>")
+    assert R.flattened(f).first().category == "unknown"
+    lines = spark.createDataFrame([(0, k, f"l{k}") for k in range(4)], "k int, o int, line string")
+    assert R.shortened(lines, "k", "o", "line", 2).first().text == "l0\nl1\n... and 2 more"
+    t = spark.createDataFrame([("v", "cat_001", 1.0, 65.0, 3)], "timeline_id string, entity_id string, first_seen double, last_seen double, n_frames long")
+    assert R.knowledge_lines(t).first().line == "cat_001: 00:01-01:05, 3 frames"
+    e = spark.createDataFrame([("a", "x", "c", 1.0, 2.0), ("a", "y", "d", 3.0, 4.0)], "entity_id string, concept_label string, category string, first_seen double, last_seen double")
+    assert tuple(R.upserted(e.limit(1), e.where("first_seen > 2")).first()) == ("a", "x", "c", 1.0, 4.0)
+    a = spark.createDataFrame([("dialogue", "ab"), ("dialogue", "abc"), ("event", "no audio here"), ("event", "thunder")], "kind string, text string")
+    assert sorted(r.text for r in R.audible(a).collect()) == ["abc", "thunder"]
+    assert R.inferred(a, lambda b: b[["text"]], "text string").count() == 4
+    assert R.run_statistics(spark.createDataFrame([], "seconds double")).first().avg_seconds == 0.0
