@@ -18,7 +18,7 @@ from .common import partitions, shared_dir, slices
 #: Ids in a block, about; a document is never cut, so one long document is one longer block.
 BLOCK_IDS = 1 << 12
 #: Words whose ids a worker remembers, at most.
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
 FILE_SCHEMA = "shard int, block int, first bigint, n_ids int, width int, ids array<bigint>, ends array<int>, packed binary"
 
 
@@ -73,7 +73,8 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         known = self.known
         parts = [None if unsure(t) else t.split(" ") for t in texts]
-        new = set().union(*(p[1:] for p in parts if p)).difference(known)
+        heads = [t if p is None else p.pop(0) for t, p in zip(texts, parts)]
+        new = set().union(*(p for p in parts if p)).difference(known)
         plain = [w for w in new if "\n" not in w]
         if plain:
             # One text for all: a line end before a space is a token of its own, and of no word without one.
@@ -83,8 +84,8 @@ class Encoder:
         if len(plain) < len(new):
             odd = [w for w in new if "\n" in w]
             known.update(zip(odd, self._library([" " + w for w in odd])))
-        whole = iter(self._library([t if p is None else p[0] for t, p in zip(texts, parts)]))
-        out = [next(whole) if p is None else next(whole) + b"".join(map(known.__getitem__, p[1:])) for p in parts]
+        whole = iter(self._library(heads))
+        out = [next(whole) if p is None else next(whole) + b"".join(map(known.__getitem__, p)) for p in parts]
         if len(known) > REMEMBERED:  # what came first stays: it holds the frequent words
             for w in new:
                 del known[w]
