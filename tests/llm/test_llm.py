@@ -249,6 +249,27 @@ def test_lm_scores(docs, empty):
     assert lm_scoring.lm_scores(empty).count() == 0
 
 
+def test_lm_scores_count_every_pair(spark, docs):
+    from unittest import mock
+
+    train = [[b"", *low(t).split(), b""] for i, t in ROWS if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pairs, after = Counter(w for t in train for w in t[1:]), Counter(p for t in train for p in zip(t, t[1:])), Counter()
+    worth = {p: float(lm_scoring.value_of(lm_scoring.level_of(np.array([n])))[0]) for p, n in pairs.items()}
+    for (w, _), x in worth.items():
+        after[w] += x
+    assert min(pairs.values()) == 1 and (lm_scoring.value_of(np.arange(1, 4)) == [1, 2, 3]).all()
+    n, v, mu = sum(c.values()), len(c), lm_scoring.PRIOR
+    want = {}
+    for i, t in ROWS:
+        s = [b"", *low(t).split(), b""]
+        p = [(c[w] + 1) / (n + v + 1) for w in s[1:]]
+        want[i] = sum(math.log10((worth.get(k, 0) + mu * q) / (after[k[0]] + mu)) for k, q in zip(zip(s, s[1:]), p))
+    for few, head in ((lm_scoring.MAX_SEGMENTS, lm_scoring.HEAD), (lm_scoring.MAX_SEGMENTS, 20), (0, lm_scoring.HEAD), (0, 20)):
+        with mock.patch.object(lm_scoring, "HEAD", head):
+            got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, max_segments=few).collect()}
+        assert got == pytest.approx(want, rel=1e-3 if few else 1e-9, abs=1e-6)
+
+
 def test_bloom_levels():
     codes = np.arange(1, 20_000, dtype=np.int64) * 7919
     counts = (np.arange(len(codes)) % 50) + 2

@@ -1,6 +1,6 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Word counts are exact: those of the most frequent words go to every worker, those of all others are joined. Counts of word pairs over the model's vocabulary are quantised to a logarithmic level q and held in a Bloom filter that has the entries (pair, 1) to (pair, q); a reader probes level after level until one is missing. The filter is built in segments, one bounded bit array a task, and broadcast. A word's probability after another is the pair's count with the word's own probability as a Dirichlet prior.
+Word counts are exact: those of the most frequent words go to every worker, those of all others are joined. Counts of all word pairs are quantised to a logarithmic level q and held in a Bloom filter that has the entries (pair, 1) to (pair, q); a reader probes level after level until one is missing. The filter is built in segments, one bounded bit array a task, and broadcast. Where the entries are more than one broadcast holds, it has the pairs of the upper levels, and what misses it is joined with the rest. A word's probability after another is the pair's count with the word's own probability as a Dirichlet prior.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, mixed, slices, words, written
+from .common import id_crc, mixed, slices, word_hashes, words, written
 
-#: Words whose counts are sent to workers, and words that pairs are counted over; both by falling count.
-HEAD, VOCABULARY = 100_000, 16_384
-#: The filter: bits an entry, bits a segment, segments at most (64 MB); probes an entry; base of the levels; least count of a pair.
-ENTRY_BITS, SEGMENT_BITS, MAX_SEGMENTS, PROBES, BASE, LEAST = 12, 1 << 20, 512, 5, 1.5, 2
+#: Words whose counts are sent to workers, by falling count.
+HEAD = 100_000
+#: The filter: bits an entry, bits a segment, segments at most in a broadcast (64 MB); probes an entry; base of the levels; least count of a pair.
+ENTRY_BITS, SEGMENT_BITS, MAX_SEGMENTS, PROBES, BASE, LEAST = 12, 1 << 20, 512, 5, 1.5, 1
 PRIOR = 200.0
 END = b""  # the end of a text, which no word equals
 
@@ -28,8 +28,10 @@ def level_of(n: np.ndarray) -> np.ndarray:
 
 
 def value_of(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for; 0 for none."""
-    return np.where(level > 0, LEAST * BASE ** (np.maximum(level, 1) - 0.5), 0.0)
+    """The count that a level stands for, the middle of the counts that it has; 0 for none."""
+    q = np.maximum(level, 1)
+    least, beyond = np.ceil(LEAST * BASE ** (q - 1.0) - 1e-6), np.ceil(LEAST * BASE ** (q + 0.0) - 1e-6)
+    return np.where(level > 0, np.sqrt(least * (beyond - 1)), 0.0)
 
 
 def places(codes: np.ndarray, level: np.ndarray | int) -> np.ndarray:
@@ -84,34 +86,28 @@ def _word_counts(batches):
     yield row()
 
 
-def _sequence(tokens: list[bytes], place: dict[bytes, int]) -> np.ndarray:
-    """Places of a text's words and its end, after the end that stands before it; -1 for words beyond the model."""
-    get = place.get
-    return np.array([place[END], *(get(w, -1) for w in tokens), place[END]], np.int64)
+def pair_codes(tokens: list[bytes]) -> np.ndarray:
+    """A code of each of a text's words (its end last) with the word before it, the first after an end: 32 bits of either's hash."""
+    h = mixed(word_hashes([END, *tokens]))
+    return ((h[:-1] & np.uint64(0xFFFFFFFF00000000)) | (h[1:] >> np.uint64(32))).view(np.int64)
 
 
-def _pair_counts(vocabulary):
-    def run(batches):
-        place = {w: k for k, w in enumerate(vocabulary.value)}
-        held, n = [], 0
-
-        def row():
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["code", "n"])
-
-        for b in slices(batches, 0):
-            for t in b.column(0).to_pylist():
-                s = _sequence(words(t), place)
-                codes = s[:-1] * VOCABULARY + s[1:]
-                held.append(codes[(s[:-1] >= 0) & (s[1:] >= 0)])
-                n += len(held[-1])
-            if n > 4_000_000:
-                yield row()
-                held, n = [], 0
-        if held:
-            yield row()
+def _pair_counts(batches):
+    held, n = [], 0
 
-    return run
+    def row():
+        codes, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["code", "n"])
+
+    for b in slices(batches, 0):
+        for t in b.column(0).to_pylist():
+            held.append(pair_codes([*words(t), END]))
+            n += len(held[-1])
+        if n > 4_000_000:
+            yield row()
+            held, n = [], 0
+    if held:
+        yield row()
 
 
 def _segments(key, rows):
@@ -127,45 +123,45 @@ def _segmented(segments: int):
     return run
 
 
+def heads_of(codes: np.ndarray) -> np.ndarray:
+    return (codes.view(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
 def _context_totals(batches):
     for b in batches:
         codes, counts = b.column(0).to_numpy(), b.column(1).to_numpy()
-        heads, at = np.unique(codes // VOCABULARY, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array(np.bincount(at, value_of(level_of(counts)), len(heads)), pa.float64())], ["head", "n"])
+        heads, at = np.unique(heads_of(codes), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array(np.bincount(at, value_of(level_of(counts)), len(heads)), pa.float64())], ["head", "after"])
+
+
+def _headed(batches):
+    """Words' counts, with the half of a pair's code that each gives as the word before."""
+    for b in batches:
+        h = mixed(word_hashes(b.column(0).to_pylist())) >> np.uint64(32)
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), b.column(0), b.column(1)], ["head", "word", "count"])
 
 
 class Model:
-    """What every worker gets: counts of the head, the pair filter, and the filter's total after each word."""
+    """What every worker gets: counts of the head, the total of pairs after each of its words, and the pair filter. ``whole`` is whether the filter has every pair."""
 
-    def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, table: np.ndarray, after: np.ndarray, prior: float):
-        self.place = {w: k for k, (w, _) in enumerate(head)}
-        self.small = {w: k for k, (w, _) in enumerate(head[:VOCABULARY])}
-        self.counts = np.array([n for _, n in head] or [0], np.int64)
+    def __init__(self, head: list[tuple[bytes, int, float]], total: int, distinct: int, table: np.ndarray, whole: bool, prior: float):
+        self.place = {w: k for k, (w, _, _) in enumerate(head)}
+        self.counts = np.array([n for _, n, _ in head], np.int64)
         self.log = np.log10(self.counts + 1.0) - math.log10(total + distinct + 1)
-        self.table, self.after, self.prior = table, after, prior
+        self.before = math.log10(prior) - np.log10(prior + np.array([a for _, _, a in head]))
+        self.table, self.whole, self.prior = table, whole, prior
 
-    def gains(self, sequences: list[np.ndarray]) -> list[float]:
-        """By how much the words before make each text likelier, in log10."""
-        lengths = [len(s) - 1 for s in sequences]
-        before = np.concatenate([s[:-1] for s in sequences])
-        word = np.concatenate([s[1:] for s in sequences])
-        gain = np.zeros(len(before))
-        known = (before >= 0) & (self.after[np.maximum(before, 0)] > 0)
-        gain[known] = -np.log10(self.prior + self.after[before[known]])
-        both = np.flatnonzero(known & (word >= 0))
-        codes, inverse = np.unique(before[both] * VOCABULARY + word[both], return_inverse=True)
-        count = value_of(probed(self.table, codes))[inverse]
-        more = np.full(len(before), self.prior)
-        more[both] += count / 10.0 ** self.log[word[both]]
-        gain[known] += np.log10(more[known])
-        return np.add.reduceat(gain, np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)).tolist()
+    def found(self, codes: np.ndarray) -> np.ndarray:
+        """Counts of pairs by the filter."""
+        codes, inverse = np.unique(codes, return_inverse=True)
+        return value_of(probed(self.table, codes))[inverse]
 
 
-ROWS = "uid bigint, word binary, n int, doc_id bigint, own array<double>"
+ROWS = "uid bigint, word binary, n int, pair double, code bigint, log double, doc_id bigint, own array<double>"
 
 
 def _scores(state):
-    """One row a text, with what its frequent words and its pairs give, and one for each of its other words."""
+    """One row a text, with what its frequent words and their pairs give; one for each of its other words and what the filter says of the pair that it ends; and, where the filter has not every pair, one for each pair of a frequent word that it lacks."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -174,32 +170,34 @@ def _scores(state):
         uid = TaskContext.get().partitionId() << 36
         place, log, counts = model.place, model.log, model.counts
         for b in slices(batches):
-            uids, out, n, ids, own, sequences = [], [], [], [], [], []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tokens = words(t)
-                tokens.append(END)
-                at = np.fromiter((place.get(w, -1) for w in tokens), np.int64, len(tokens))
-                sequences.append(np.concatenate([[place.get(END, 0)], np.where(at < VOCABULARY, at, -1)]))
-                seen = at[at >= 0]
-                rest = Counter([tokens[k] for k in np.flatnonzero(at < 0)])
-                uids += [uid] * (1 + len(rest))
-                out += [b" %d" % uid, *rest]  # a word has no space: the text's own row meets no count
-                n += [0, *rest.values()]
-                ids += [doc, *[None] * len(rest)]
-                own += [[float(len(tokens)), float(log[seen].sum()), float((counts[seen] > 0).sum())], *[None] * len(rest)]
+            texts = [[*words(t), END] for t in b.column(1).to_pylist()]
+            starts = np.cumsum([0, *(len(t) for t in texts)])
+            at = np.fromiter((place.get(w, -1) for t in texts for w in t), np.int64, int(starts[-1]))
+            codes = np.concatenate([pair_codes(t) for t in texts])
+            pair = model.found(codes)
+            frequent, here = at >= 0, np.maximum(at, 0)
+            base = np.where(frequent, log[here], 0.0)
+            gain = np.where(frequent, np.log10(1 + pair / (model.prior * 10.0**base)) + model.before[here], 0.0)
+            sums = [np.add.reduceat(x, starts[:-1]).tolist() for x in (base, (frequent & (counts[here] > 0)).astype(float), gain)]
+            missed = (pair == 0) & (not model.whole)
+            apart = np.flatnonzero(~frequent | missed)
+            cuts = np.searchsorted(apart, starts)
+            rows = []
+            for k, (doc, t) in enumerate(zip(b.column(0).to_pylist(), texts)):
+                own = b" %d" % uid  # a word has no space: such a row meets no count
+                rows.append((uid, own, 0, 0.0, None, None, doc, [float(len(t)), *(x[k] for x in sums)]))
+                rest = Counter((None if at[j] < 0 else float(base[j]), t[j - starts[k]] if at[j] < 0 else own, float(pair[j]), int(codes[j]) if missed[j] else None) for j in apart[cuts[k] : cuts[k + 1]])
+                rows += [(uid, w, n, p, code, g, None, None) for (g, w, p, code), n in rest.items()]
                 uid += 1
-            gains = iter(model.gains(sequences))
-            for x in own:
-                if x is not None:
-                    x.append(next(gains))
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(out, pa.binary()), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(own, pa.list_(pa.float64()))], ["uid", "word", "n", "doc_id", "own"])
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], [x.split()[0] for x in ROWS.split(", ")])
 
     return run
 
 
-def capacity(entries: list[tuple[int, int]]) -> int:
-    """The least pair count that the filter's largest size has room for, from (level, pairs)."""
-    left, room = 0, MAX_SEGMENTS * SEGMENT_BITS // ENTRY_BITS
+def capacity(entries: list[tuple[int, int]], segments: int = MAX_SEGMENTS) -> int:
+    """The least level whose pairs, with those above, a broadcast filter of so many segments has room for, from (level, pairs)."""
+    left, room = 0, segments * SEGMENT_BITS // ENTRY_BITS
     for level, pairs in sorted(entries, reverse=True):
         left += level * pairs
         if left > room:
@@ -207,12 +205,12 @@ def capacity(entries: list[tuple[int, int]]) -> int:
     return 1
 
 
-def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text", max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Texts whose id's crc32 mod 7 is not 2 are learnt from. Words are lower-cased (A-Z) runs without ASCII white space, and every text ends with one more token; a null text is that token alone, and a null id counts as the empty text in ``held_out``. base_score is the sum of log10((c + 1) / (N + V + 1)); score is the model's log10 probability. Repeated rows are scored alike, one row each; with nothing to learn from, every count is 0; an empty table gives no rows.
 
-    The filter holds every pair of vocabulary words seen twice or more; only where those would take more than MAX_SEGMENTS does its least level rise.
+    Every pair of words counts. Those that a filter of ``max_segments`` has no room for are joined, at the same levels, so that scores don't hang on the size.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -220,31 +218,38 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", tex
     train = src.where(id_crc(F.col("doc_id")) % 7 != 2).select("text")
     counts = written(train.mapInArrow(_word_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("count")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    head = [(bytes(r["word"]), r["count"]) for r in counts.orderBy(F.desc("count"), "word").limit(HEAD).collect()]
-    if END not in {w for w, _ in head[:VOCABULARY]}:
-        head = [(END, dict(head).get(END, 0)), *[x for x in head if x[0] != END]]
-    vocabulary = sc.broadcast([w for w, _ in head[:VOCABULARY]])
-    pairs = written(train.mapInArrow(_pair_counts(vocabulary), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "pairs")
-    level = (F.floor(F.log(F.col("n") / LEAST) / math.log(BASE) + 1e-9) + 1).alias("level")
-    sizes = [(r["level"], r["count"]) for r in pairs.groupBy(level).count().collect()]
-    least = capacity(sizes)
-    kept = pairs.where(F.floor(F.log(F.col("n") / LEAST) / math.log(BASE) + 1e-9) + 1 >= least)
+    pairs = written(train.mapInArrow(_pair_counts, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "pairs")
+    level = (F.floor(F.log(F.col("n") / LEAST) / math.log(BASE) + 1e-9) + 1).cast("int")
+    sizes = [(r["level"], r["count"]) for r in pairs.groupBy(level.alias("level")).count().collect()]
+    least = capacity(sizes, max_segments)
+    kept = pairs.where(level >= least) if least > 1 else pairs
     entries = sum(q * n for q, n in sizes if q >= least)
-    segments = max(1, min(MAX_SEGMENTS, -(-entries * ENTRY_BITS // SEGMENT_BITS)))
+    segments = max(1, -(-entries * ENTRY_BITS // SEGMENT_BITS))
     table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
     for r in kept.mapInArrow(_segmented(segments), "segment int, code bigint, n bigint").groupBy("segment").applyInArrow(_segments, "segment int, bits binary").toLocalIterator():
         table[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    after = np.zeros(VOCABULARY)
-    for r in kept.mapInArrow(_context_totals, "head bigint, n double").groupBy("head").agg(F.sum("n").alias("n")).collect():
-        after[r["head"]] = r["n"]
-    state = sc.broadcast((head, total, distinct, table, after, prior))
+    after = pairs.mapInArrow(_context_totals, "head bigint, after double").groupBy("head").agg(F.sum("after").alias("after"))
+    counts = written(counts.mapInArrow(_headed, "head bigint, word binary, count bigint").join(after, "head", "left").select("word", "count", F.coalesce("after", F.lit(0.0)).alias("after")), "model")
+    head = [(bytes(r["word"]), r["count"], r["after"]) for r in counts.orderBy(F.desc("count"), "word").limit(HEAD).collect()]
+    if END not in {w for w, _, _ in head}:
+        head += [(END, r["count"], r["after"]) for r in counts.where(F.col("word") == F.lit(END)).collect()] or [(END, 0, 0.0)]
+    state = sc.broadcast((head, total, distinct, table, least == 1, prior))
     rows = src.mapInArrow(_scores(state), ROWS)
+    pair = F.col("pair")
+    if least > 1:
+        worth = F.array(*[F.lit(float(v)) for v in value_of(np.arange(1, least))])
+        rare = pairs.where(level < least).select(F.col("code").alias("key"), F.element_at(worth, level).alias("more"))
+        rows = rows.withColumn("key", F.coalesce("code", F.xxhash64("uid", "word"))).join(rare, "key", "left")
+        pair = pair + F.when(F.col("code").isNotNull(), F.coalesce("more", F.lit(0.0))).otherwise(0.0)
     of = rows.join(counts, "word", "left")
     c = F.coalesce("count", F.lit(0))
     known = F.when(c > 0, F.col("n")).otherwise(0)
-    sums = of.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("own").alias("own"), F.sum(F.col("n") * (F.log10(c + 1) - math.log10(total + distinct + 1))).alias("rest"), F.sum(known).alias("known"))
+    log = F.coalesce("log", F.log10(c + 1) - math.log10(total + distinct + 1))
+    own = F.col("log").isNull()  # the row of a word, not only of a pair
+    gain = F.log10(1 + pair / (prior * F.pow(F.lit(10.0), log))) + F.when(own, math.log10(prior) - F.log10(prior + F.coalesce("after", F.lit(0.0)))).otherwise(0.0)
+    sums = of.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("own").alias("own"), F.sum(F.when(own, F.col("n") * log).otherwise(0.0)).alias("rest"), F.sum(F.col("n") * gain).alias("gain"), F.sum(known).alias("known"))
     base = F.col("own")[1] + F.col("rest")
-    return sums.select("doc_id", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"), F.col("own")[0].cast("bigint").alias("n_tokens"), (F.col("own")[2].cast("bigint") + F.col("known")).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"), base.alias("base_score"), (base + F.col("own")[3]).alias("score"))
+    return sums.select("doc_id", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"), F.col("own")[0].cast("bigint").alias("n_tokens"), (F.col("own")[2].cast("bigint") + F.col("known")).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"), base.alias("base_score"), (base + F.col("own")[3] + F.col("gain")).alias("score"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
