@@ -334,6 +334,17 @@ def test_pii(spark, empty):
     assert pii.pii_spans(empty).count() == 0
 
 
+def test_pii_terms_of_entities_in_one_text(spark):
+    rows = [(k, prose(40, k)) for k in range(2000)]
+    rows += [(5000, f"{prose(20, 1)} Quillonby wrote from only.once@mail.example.net {prose(20, 2)}"), (5001, f"{prose(9, 3)} quillonby {prose(9, 4)}"), (5002, "Call Ysoldemar: +49 30 1234 5678"), (5003, "Call Ysoldemar: +49 30 1234 5678"), (5004, "Ysoldemar left")]
+    got = {r.doc_id: (r.text, r.spans) for r in pii.pii_spans(frame(spark, rows)).where("doc_id >= 5000").collect()}
+    for k, w in ((5000, "Quillonby"), (5001, "quillonby"), (5002, "Ysoldemar"), (5003, "Ysoldemar"), (5004, "Ysoldemar")):
+        text, spans = got[k]
+        assert (text.index(w), text.index(w) + len(w)) in [(s.start, s.end) for s in spans if s.kind == "term"]
+    usual = set(VOCAB)
+    assert not [s for text, spans in got.values() for s in spans if s.kind == "term" and text[s.start : s.end] in usual]
+
+
 def test_licenses(spark):
     rows = [
         (1, "p/LICENSE", "Some words first.\nReleased under the MIT License."), (2, "p/a/x.py", prose(30, 1)), (3, "p/a/b/y.py", None), (4, "p/a/LICENSE.txt", "Licensed under the Apache License, Version 2.0."),
