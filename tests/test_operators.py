@@ -255,6 +255,24 @@ def test_stream_tracker_equals_batch(spark, tmp_path):
     assert isinstance(stateful.track(src).toPandas(), pd.DataFrame)
 
 
+def test_tracker_loses_what_is_missing(spark, tmp_path):
+    box = (0.0, 0.0, 10.0, 10.0)
+    t = stateful.Tracker()
+    assert [t.step([("cat", box)] if f in (0, 11, 23) else []) for f in range(24)][::11] == [["cat_001"], ["cat_001"], []] and t.counts["cat"] == 2
+    rows = [("v", f, float(f), 0, "cat", *box, 0.5) for f in (0, 11, 23, 24)]
+    schema = "timeline_id string, frame_idx long, t_sec double, det_no int, entity_type string, x1 double, y1 double, x2 double, y2 double, confidence double"
+    src = spark.createDataFrame(rows, schema)
+    want = [(0, "cat_001"), (11, "cat_001"), (23, "cat_002"), (24, "cat_002")]
+    key = lambda df: sorted((r.frame_idx, r.entity_id) for r in df.collect())
+    assert key(stateful.track(src, every_frame=True)) == want
+    assert key(stateful.track(src, max_missing=12, every_frame=True)) == [(f, "cat_001") for f, _ in want]
+    src.where("frame_idx < 20").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src.where("frame_idx >= 20").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = timelines.track(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), every_frame=True).writeStream.format("memory").queryName("lost").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert key(spark.table("lost")) == want
+
+
 def test_records(spark):
     from tidemark.operators import records as R
 

@@ -21,18 +21,23 @@ def iou(a, b) -> float:
 
 @dataclass
 class Tracker:
-    """Greedy tracking by overlap: each detection takes the free entity of its type that it overlaps most, over the threshold, or becomes a new one."""
+    """Greedy tracking by overlap: each detection takes the free entity of its type that it overlaps most, over the threshold, or becomes a new one. An entity that more than ``max_missing`` frames have missed is lost."""
 
     threshold: float = 0.3
     max_missing: int = 10
     boxes: dict = field(default_factory=dict)
     missing: dict = field(default_factory=dict)
     counts: dict = field(default_factory=dict)
-
-    def step(self, detections: list[tuple[str, tuple]]) -> list[str]:
-        """Ids of one frame's (type, box) detections."""
-        for k in self.missing:
-            self.missing[k] += 1
+    last: int | None = None
+
+    def step(self, detections: list[tuple[str, tuple]], frame: int | None = None) -> list[str]:
+        """Ids of one frame's (type, box) detections. With a ``frame`` number, the frames since the last one were empty."""
+        if frame is not None:
+            if self.last is not None and frame - self.last > 1:
+                self._pass(frame - self.last - 1)
+                self._drop()
+            self.last = frame if self.last is None else max(frame, self.last)
+        self._pass(1)
         taken: set[str] = set()
         out = []
         for kind, box in detections:
@@ -46,8 +51,17 @@ class Tracker:
             taken.add(best)
             self.boxes[best], self.missing[best] = box, 0
             out.append(best)
+        self._drop()
         return out
 
+    def _pass(self, frames: int) -> None:
+        for k in self.missing:
+            self.missing[k] += frames
+
+    def _drop(self) -> None:
+        for k in self.gone():
+            del self.boxes[k], self.missing[k]
+
     def gone(self) -> list[str]:
         return [k for k, n in self.missing.items() if n > self.max_missing]
 
@@ -107,14 +121,17 @@ CHANGES = "timeline_id string, frame_idx bigint, entity_id string, state string"
 FIRED = "timeline_id string, t_sec double, seq bigint, source string"
 
 
-def track(detections: DataFrame, threshold: float = 0.3, max_missing: int = 10) -> DataFrame:
-    """``detections`` (timeline_id, frame_idx, t_sec, det_no, entity_type, x1, y1, x2, y2, confidence) with ``entity_id``."""
+def track(detections: DataFrame, threshold: float = 0.3, max_missing: int = 10, every_frame: bool = False) -> DataFrame:
+    """``detections`` (timeline_id, frame_idx, t_sec, det_no, entity_type, x1, y1, x2, y2, confidence) with ``entity_id``.
+
+    Entities age by the frames looked at: those with detections, or with ``every_frame`` all, the numbers between being empty frames.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tracker, ids = Tracker(threshold, max_missing), []
         rows = rows.sort_values(["frame_idx", "det_no"], kind="stable")
-        for _, frame in rows.groupby("frame_idx", sort=True):
-            ids += tracker.step([(r.entity_type, (r.x1, r.y1, r.x2, r.y2)) for r in frame.itertuples()])
+        for f, frame in rows.groupby("frame_idx", sort=True):
+            ids += tracker.step([(r.entity_type, (r.x1, r.y1, r.x2, r.y2)) for r in frame.itertuples()], int(f) if every_frame else None)
         return rows.assign(entity_id=ids)[[x.split()[0] for x in TRACKED.split(", ")]]
 
     return detections.groupBy("timeline_id").applyInPandas(run, TRACKED)

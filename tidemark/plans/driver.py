@@ -493,7 +493,7 @@ def detections(spark, sf_dir):
 
 @query()
 def track_entities(spark, sf_dir):
-    return stateful.track(detections(spark, sf_dir))
+    return stateful.track(detections(spark, sf_dir), every_frame=True)
 
 
 @query()
