@@ -220,16 +220,19 @@ def test_token_output(spark, tmp_path, empty):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [r for r in ROWS if len(r[1] or "") < 60_000] + [(900, " a  b"), (901, "a\n b 　 c"), (902, "x <|endoftext|> y"), (903, "it's 's\t t "), (904, "a\x1c b")]
+    rows = [*ROWS, (899, "lang " * 40_000 + "ü\n" * 9 + "é.\nWort, x!\ny"), (900, " a  b"), (901, "a\n b 　 c"), (902, "x <|endoftext|> y"), (905, "a<|endoftext|>b c"), (906, "q\nw e\n\nr don't 12ab \u03b1\u03b2. \u0561x"), (907, None), (908, None), (903, "it's 's\t t "), (904, "a\x1c b")]
     token_output.write_tokens(frame(spark, rows), str(tmp_path / "t"), path)
     got = {r.doc_id: r for r in token_output.read_tokens(spark, str(tmp_path / "t")).collect()}
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    at = 0
-    for i, t in sorted(rows):
+    at, flat = 0, []
+    for i, t in sorted(rows, key=lambda r: r[0]):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        flat += ids.tolist()
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes())), i
         at += len(ids)
+    for start, n in ((0, 1), (5000, 9000), (at - 3, 10)):
+        part = token_output.read_range(spark, str(tmp_path / "t"), start, n).orderBy("place").collect()
+        assert [(r.place, r.id) for r in part] == list(enumerate(flat))[start : start + n]
     token_output.write_tokens(empty, str(tmp_path / "e"), path)
     assert token_output.read_tokens(spark, str(tmp_path / "e")).count() == 0
 

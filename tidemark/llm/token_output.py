@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,9 @@ def unpack(data: bytes, n: int, width: int, start: int = 0) -> np.ndarray:
 #: White space that a fast split at single spaces does not look at more closely.
 _RARE_SPACE = tuple("\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _SPACES = ("  ", *(x for c in "\t\n\v\f\r" for x in (f" {c}", f"{c} ")))
+#: Letters up to here are letters in every Unicode version, so that the library's pre-tokenizer and str.isalpha agree.
+_OLD = "\u024f"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def unsure(text: str) -> bool:
@@ -54,42 +58,70 @@ def unsure(text: str) -> bool:
     return text[:1] in ("", " ") or text[-1] == " " or any(x in text for x in _SPACES) or any(x in text for x in (_RARE_SPACE[:4] if text.isascii() else _RARE_SPACE))
 
 
+class Words(dict):
+    """Ids, as bytes, of words that follow ``lead`` (a space, or nothing); what is missing is encoded once and remembered.
+
+    Byte-level BPE looks at letters, marks and line ends apart, so a word of letters with ASCII marks behind it, or with one line end inside, is put together from parts; any other word goes to the library as it stands.
+    """
+
+    def __init__(self, encoder, lead: str):
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.found(word)
+        if len(self) < REMEMBERED:  # what came first stays: it holds the frequent words
+            self[word] = out
+        return out
+
+    def found(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.encoder.piece(self.lead + word) if word.isascii() or max(word) <= _OLD else self.encoder.whole(self.lead + word)
+        head = word.rstrip(_MARKS)
+        if head.isalpha():
+            return self[head] + self.encoder.bare[word[len(head) :]]
+        if "\n" in word:
+            first, _, rest = word.partition("\n")
+            if first and rest and not first[-1].isspace() and not rest[0].isspace():
+                return self[first] + self.encoder.line_end + self.encoder.bare[rest]
+        return self.encoder.whole(self.lead + word)
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each word that follows a single space once."""
+    """Ids of whole texts by the tokenizers library, which sees each word once where its tokenizer is plain byte-level BPE."""
 
     def __init__(self, path: str):
+        import json
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's other core is another task's
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        (self.line_end,) = self.tok.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        known = self.known
-        parts = [None if unsure(t) else t.split(" ") for t in texts]
-        heads = [t if p is None else p.pop(0) for t, p in zip(texts, parts)]
-        new = set().union(*(p for p in parts if p)).difference(known)
-        plain = [w for w in new if "\n" not in w]
-        if plain:
-            # One text for all: a line end before a space is a token of its own, and of no word without one.
-            flat = self._library([" " + "\n ".join(plain)])[0]
-            ends = [*(4 * np.flatnonzero(np.frombuffer(flat, "<u4") == self.line_end)).tolist(), len(flat)]
-            known.update(zip(plain, (flat[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends))))
-        if len(plain) < len(new):
-            odd = [w for w in new if "\n" in w]
-            known.update(zip(odd, self._library([" " + w for w in odd])))
-        whole = iter(self._library(heads))
-        out = [next(whole) if p is None else next(whole) + b"".join(map(known.__getitem__, p)) for p in parts]
-        if len(known) > REMEMBERED:  # what came first stays: it holds the frequent words
-            for w in new:
-                del known[w]
-        return out
+        self.model = self.tok.model
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        before = made["pre_tokenizer"] or {}
+        self.plain = made["normalizer"] is None and made["model"].get("type", "BPE") == "BPE" and not made["model"].get("dropout") and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+        self.added = [t["content"] for t in made["added_tokens"]]
+        # Byte-level BPE shows every byte as a printable character: those that are not printable come after the others.
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
+        self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
+        self.line_end = self.whole("\n")
+        self.words, self.bare = Words(self, " "), Words(self, "")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """Ids of what the pre-tokenizer leaves in one piece."""
+        known = "\u0120" + text[1:] if text.isascii() and text[0] == " " else text.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if not self.plain or unsure(text) or any(a in text for a in self.added):
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        return self.bare[first] + b"".join(map(self.words.__getitem__, rest))
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -114,13 +146,16 @@ def _encoder(path: str, end_id: int, width: int):
         def full():
             nonlocal block, first, ids, docs, held
             flat = np.concatenate(ids)
-            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([len(flat)], pa.int32()), "width": pa.array([width], pa.int32()), "ids": pa.array([docs], pa.list_(pa.int64())), "ends": pa.array([np.cumsum([len(x) for x in ids]).tolist()], pa.list_(pa.int32())), "packed": pa.array([pack(flat, width)], pa.binary())})
+            ends = np.cumsum([len(x) for x in ids]).tolist()
+            kinds = {"shard": pa.int32(), "block": pa.int32(), "first": pa.int64(), "n_ids": pa.int32(), "width": pa.int32(), "ids": pa.list_(pa.int64()), "ends": pa.list_(pa.int32()), "packed": pa.binary()}
+            values = (shard, block, first, len(flat), width, docs, ends, pack(flat, width))
+            row = pa.RecordBatch.from_pydict({n: pa.array([v], k) for (n, k), v in zip(kinds.items(), values)})
             block, first, ids, docs, held = block + 1, first + len(flat), [], [], 0
             return row
 
         for b in slices(batches, 1, 1 << 20):
-            for doc, e in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()])):
-                ids.append(np.frombuffer(e + end, "<u4"))
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(np.frombuffer(encode(t or "") + end, "<u4"))
                 docs.append(doc)
                 held += len(ids[-1])
                 if held >= BLOCK_IDS:
@@ -134,7 +169,7 @@ def _encoder(path: str, end_id: int, width: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 50257, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every whole text, in ascending id order, each document closed by ``end_id``.
 
-    A null text is the empty text and gives the end alone; a null id comes first; rows of one id follow each other in the order of their texts. An empty table writes a table without blocks. Strings of special tokens in a text are ordinary text. The range exchange moves each text once; the tokenizer runs once a text, on one thread a task.
+    A null text is the empty text and gives the end alone; a null id comes first; rows of one id follow each other in the order of their texts. An empty table writes a table without blocks. Strings of special tokens in a text become those tokens, as in the library's plain encoding. The range exchange moves each text once; the tokenizer runs once a text, on one thread a task.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -171,6 +206,19 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return read_blocks(spark, path).mapInArrow(_reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def read_range(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
+    """(place, id) of ``n`` ids from global place ``start`` on: only the blocks that have them are read, and of those only their part is unpacked."""
+
+    def cut(batches):
+        for b in batches:
+            for at, count, width, packed in zip(*(b.column(k).to_pylist() for k in ("at", "n_ids", "width", "packed"))):
+                low, high = max(start - at, 0), min(start + n - at, count)
+                yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(at + low, at + high)), "id": pa.array(unpack(packed, high - low, width, low).astype(np.int64))})
+
+    at = F.col("base") + F.col("first")
+    return read_blocks(spark, path).withColumn("at", at).where((F.col("at") < start + n) & (F.col("at") + F.col("n_ids") > start)).mapInArrow(cut, "place bigint, id bigint")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
