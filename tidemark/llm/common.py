@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 #: Odd multipliers of the polynomial over word hashes, and of the final mix.
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Keys that only prune are cut to this many bits: less to shuffle, and a clash costs work, not results.
+#: Keys that only prune are cut to this many bits: less to shuffle, and a clash of two costs work, not results.
 KEY_BITS = 48
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one where it is unset and there are no other machines.
+
+    What is written there stays until the folder's owner clears it: results are read from it lazily, so that no operator knows when it is done with.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -44,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(broadcast, make):
+    """What ``make`` gives of a broadcast value, made once a worker process and not once a task."""
+    held = vars(broadcast)
+    if "_made" not in held:
+        held["_made"] = make(broadcast.value)
+    return held["_made"]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, slices, word_hashes, words
+from .common import gram_hashes, once, slices, word_hashes, words
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -68,10 +68,8 @@ class Index:
         tokens = words(text)
         if not tokens:
             return []
-        h = _hashes(tokens, self.n)
-        for k in self.short:  # an item of fewer words is one shingle of that length
-            if len(tokens) >= k and len(tokens) >= self.n:
-                h = np.concatenate([h, gram_hashes(word_hashes(tokens), k) ^ np.uint64(k)])
+        own = word_hashes(tokens)
+        h = np.concatenate([gram_hashes(own, self.n), *(gram_hashes(own, k) ^ np.uint64(k) for k in self.short)])  # an item of fewer words is one shingle of that length
         found: set[int] = set()
         for part, (keys, of) in self.parts.items():
             if len(h) >= self.least[part]:
@@ -82,12 +80,10 @@ class Index:
                     found.update(of[a:b].tolist())
         out = []
         if found:
-            own = set(shingles(tokens, self.n))
-            for k in self.short:
-                own.update(b" ".join(tokens[i : i + k]) for i in range(len(tokens) - k + 1))
+            held = {b" ".join(tokens[i : i + k]) for k in (self.n, *self.short) for i in range(len(tokens) - k + 1)}
             for k in sorted(found):
                 _, item, need = self.items[k]
-                shared = len(item & own)
+                shared = len(item & held)
                 if shared >= need:
                     out.append((k, len(item), shared))
         return out
@@ -95,7 +91,7 @@ class Index:
 
 def _searcher(items, threshold: float, n: int):
     def run(batches):
-        index = Index(items.value, threshold, n)
+        index = once(items, lambda own: Index(own, threshold, n))
         for b in slices(batches):
             rows = [(d, index.items[k][0], size, shared, shared / size) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, size, shared in index.search(t)]
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -136,9 +132,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
 ORACLE = r"""
 with low as (select doc_id as id, 0 as side, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents where text is not null
   union all select item_id, 1, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') from benchmark where text is not null),
-s as (select distinct id, side, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from low),
-q as (select id as item_id, g from s where side = 1), n as (select item_id, count(*) as n from q group by item_id),
-m as (select d.id as doc_id, q.item_id, count(*) as c from q join (select id, g from s where side = 0) d on q.g = d.g group by d.id, q.item_id)
+i as (select id, w, least(len(w), 5) as k from low where side = 1 and len(w) > 0),
+q as (select distinct id as item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) as g from i),
+n as (select item_id, count(*) as n from q group by item_id),
+d as (select distinct id as doc_id, s.k, unnest(list_transform(range(1, len(w) - s.k + 2), lambda j: array_to_string(w[j:j + s.k - 1], ' '))) as g from low, (select distinct k from i) s where side = 0 and len(w) >= s.k),
+m as (select d.doc_id, q.item_id, count(*) as c from q join d on q.g = d.g and q.k = d.k group by d.doc_id, q.item_id)
 select doc_id, m.item_id, n.n as n_item_shingles, c as n_shared, c::double / n.n as containment from m join n on m.item_id = n.item_id where c >= ceil(0.8 * n.n - 1e-9)
 """
 
