@@ -41,23 +41,28 @@ def least_hits(n: int, percent: int) -> int:
     return -(-n * (percent - 100 + PERCENT) // 100)
 
 
-def class_key(grams: np.ndarray) -> int:
-    """A set's identity: 63 bits of a hash over its sorted n-gram hashes."""
-    return xxhash.xxh3_64_intdigest(grams.tobytes(), seed=len(grams)) >> 1
+def class_key(grams: np.ndarray) -> bytes:
+    """A set's identity: 128 bits of a hash over its sorted n-gram hashes."""
+    return xxhash.xxh3_128_digest(grams.tobytes(), seed=len(grams))
+
+
+def short_key(grams: np.ndarray) -> int:
+    """Half of a set's identity, to tell apart the sets that share an n-gram, and those of rows that share an id."""
+    return int.from_bytes(class_key(grams)[:8], "big") >> 1
 
 
 def _meta(batches):
     for b in slices(batches):
         sets = [shingle_set(t, SHINGLE) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([short_key(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class", "short"])
 
 
 def _first(batches):
-    """Prefixes of all sets, hashes and classes cut short: they only prune."""
+    """Prefixes of all sets, hashes cut short: they only prune."""
     for b in slices(batches):
         sets = [shingle_set(t, SHINGLE) for t in b.column(1).to_pylist()]
         own = [(s[: prefix_size(len(s), FIRST)] >> np.uint64(64 - KEY_BITS)) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_key(s) >> (63 - KEY_BITS) for s in sets], pa.int64()), pa.array([least_hits(len(s), FIRST) for s in sets], pa.int32()), lists(own, pa.int64())], ["doc_id", "short", "least", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short_key(s) for s in sets], pa.int64()), pa.array([least_hits(len(s), FIRST) for s in sets], pa.int32()), lists(own, pa.int64())], ["doc_id", "short", "least", "keys"])
 
 
 def _second(table, percent: int):
@@ -69,7 +74,7 @@ def _second(table, percent: int):
             for b in slices([passing(b, bits, 2)]):  # noqa: B020, PLW2901
                 sets = [shingle_set(t, SHINGLE) for t in b.column(1).to_pylist()]
                 own = [s[: prefix_size(len(s), percent)].astype(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([least_hits(len(s), percent) for s in sets], pa.int32()), lists(own, pa.int64())], ["doc_id", "class", "n", "least", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([least_hits(len(s), percent) for s in sets], pa.int32()), lists(own, pa.int64())], ["doc_id", "short", "n", "least", "grams"])
 
     return run
 
@@ -83,10 +88,11 @@ def linkable(small: Column, other: Column) -> Column:
 
 
 def chosen_sets(src: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
-    """(id, n, least, grams) of the classes in ``chosen`` (doc_id, class), one row each. Texts stay where they are read; a filter of fixed size lets few others through to the join."""
+    """(id, n, least, grams) of the classes in ``chosen`` (doc_id, short), one row each. Texts stay where they are read; a filter of fixed size lets few others through to the join."""
     table = src.sparkSession.sparkContext.broadcast(id_filter(chosen.select("doc_id")))
-    sets = src.withColumn("place", id_place(F.col("doc_id"))).mapInArrow(_second(table, percent), "doc_id bigint, class bigint, n int, least int, grams array<bigint>")
-    return sets.join(chosen, ["doc_id", "class"], "left_semi").groupBy("doc_id", "class").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("grams").alias("grams")).select(F.col("doc_id").alias("id"), "class", "n", "least", "grams")
+    sets = src.withColumn("place", id_place(F.col("doc_id"))).mapInArrow(_second(table, percent), "doc_id bigint, short bigint, n int, least int, grams array<bigint>")
+    own = sets.join(chosen, ["doc_id", "short"], "left_semi").groupBy("doc_id", "short").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("grams").alias("grams"))
+    return own.select(F.col("doc_id").alias("id"), "short", "n", "least", "grams")
 
 
 def overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -107,22 +113,22 @@ def must_share(n: Column, other: Column) -> Column:
 
 
 def candidates(src: DataFrame, meta: DataFrame) -> DataFrame:
-    """(doc_id, class) of the classes of which enough first n-grams recur in other classes."""
+    """(doc_id, short) of the classes of which enough first n-grams recur in other classes."""
     rows = src.mapInArrow(_first, "doc_id bigint, short bigint, least int, keys array<bigint>")
     shared = rows.select("short", F.explode("keys").alias("key")).groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("key")
     hits = rows.select("doc_id", "least", F.explode("keys").alias("key")).join(shared, "key").groupBy("doc_id", "least").agg(F.count(F.lit(1)).alias("hits")).where("hits >= least").select("doc_id").distinct()
-    return meta.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(hits, "doc_id", "left_semi").select("doc_id", "class")
+    return meta.where("n_shingles > 0 and doc_id is not null").groupBy("class", "short").agg(F.min("doc_id").alias("doc_id")).join(hits, "doc_id", "left_semi").select("doc_id", "short")
 
 
 def shingle_links(src: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links (a, b) between classes that join all linked ones, components (node, component) of the linked classes); a class goes by its smallest id."""
     src = src.where("doc_id is not null")
     chosen = checkpointed(candidates(src, meta))
-    tokens = chosen_sets(src, chosen, SECOND).select("id", "class", "n", "least", F.explode("grams").alias("gram"))
+    tokens = chosen_sets(src, chosen, SECOND).select("id", "short", "n", "least", F.explode("grams").alias("gram"))
     common = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = tokens.join(common, "gram").groupBy("id", "class", "n", "least").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("r")).where("size(r) >= least")
-    prefix = checkpointed(ranked.select("id", "class", "n", F.size("r").alias("m"), F.explode(F.expr("slice(r, 1, size(r) - least + 1)")).alias("g")).select("id", "class", "n", "m", F.col("g.gram").alias("gram")))
-    left = checkpointed(prefix.select(F.col("id").alias("doc_id"), "class").distinct())
+    ranked = tokens.join(common, "gram").groupBy("id", "short", "n", "least").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("r")).where("size(r) >= least")
+    prefix = checkpointed(ranked.select("id", "short", "n", F.size("r").alias("m"), F.explode(F.expr("slice(r, 1, size(r) - least + 1)")).alias("g")).select("id", "short", "n", "m", F.col("g.gram").alias("gram")))
+    left = checkpointed(prefix.select(F.col("id").alias("doc_id"), "short").distinct())
     sets = written(chosen_sets(src, left, 100).select("id", "n", F.posexplode(F.array(*[F.expr(f"filter(grams, g -> shiftrightunsigned(g, 62) = {k})") for k in range(FRAGMENTS)])).alias("fragment", "grams")), "shingles")
     rows = checkpointed(ranked_prefixes(sets))
     hub = rows.groupBy("gram").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("id")).alias("id"), "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", (-F.col("hub.id")).alias("hub"), F.col("hub.n").alias("nh"))
@@ -161,7 +167,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents are linked when 100 * shared >= 80 * united over their distinct 5-word shingles (lower-cased A-Z; fewer words are one shingle as a whole). component_id is the smallest id reachable, a document's own included. Texts that are null or without words have an empty set and are linked with nothing; a row with a null id has the component that equal and linked texts give it, or null; repeated rows share one verdict; an empty table gives no rows.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    meta = written(src.mapInArrow(_meta, "doc_id bigint, n_shingles bigint, class bigint"), "classes")
+    meta = written(src.mapInArrow(_meta, "doc_id bigint, n_shingles bigint, class binary, short bigint"), "classes")
     _, labels = shingle_links(src, meta)
     full = meta.where("n_shingles > 0")
     classes = full.groupBy("class").agg(F.min("doc_id").alias("id")).join(labels.withColumnRenamed("node", "id"), "id", "left")
