@@ -129,6 +129,26 @@ def _refined(src: DataFrame, clashing: DataFrame, bits: int) -> DataFrame:
     return recipes.join(per_row, "row_key", "left").select("doc_id", F.coalesce("full", F.lit(b"")).alias("recipe"), "text_sha256")
 
 
+def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of the rows of ``docs`` with equal texts one: that of the largest id, of rows that share the id too the least; a row without an id only where no equal text has one.
+
+    Rows whose id no other row has are picked by id alone, so that their texts are not hashed again; the others by id and text.
+    """
+    verdicts = exact_dedup(docs, id_col, text_col)
+    ids = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    key = F.col(id_col).cast("bigint")
+    own = [F.col(c) for c in docs.columns]
+    single = ids.where("doc_id is not null and n = 1 and kept").select(F.col("doc_id").alias("__id"))
+    plain = docs.join(single, key == F.col("__id"), "left_semi")
+    shared = ids.where("doc_id is null or n > 1").select(F.col("doc_id").alias("__id"))
+    if shared.isEmpty():
+        return plain
+    low = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__text")).distinct()
+    odd = docs.withColumn("__sha", low).join(shared, key.eqNullSafe(F.col("__id")), "left_semi").join(kept, key.eqNullSafe(F.col("__kept")) & (F.col("__sha") == F.col("__text")))
+    return plain.unionByName(odd.groupBy("__kept", "__sha").agg(F.min(F.struct(*own)).alias("__row")).select("__row.*"))
+
+
 ORACLE = """
 with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as n from documents),
 g as (select n, max(doc_id) as keep_id, count(*) as group_size from t group by n)
