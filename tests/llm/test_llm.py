@@ -150,7 +150,7 @@ def test_substring_dedup(docs, limit):
 
 
 def test_decontamination(spark, docs):
-    items = [(0, " ".join((ROWS[12][1]).split()[20:60])), (1, "a b c d"), (2, None), (3, ""), (4, prose(40, 9999)), (5, ROWS[13][1].upper())]
+    items = [(0, " ".join((ROWS[12][1]).split()[20:60])), (1, "a b c d"), (6, "B c"), (7, "one"), (2, None), (3, ""), (4, prose(40, 9999)), (5, ROWS[13][1].upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
     grams = {}
     for i, t in [*ROWS]:
@@ -169,6 +169,21 @@ def test_decontamination(spark, docs):
     assert left == {i for i, _ in ROWS} - {w[0] for w in want}
 
 
+def test_decontamination_of_short_items_and_nulls(spark):
+    rows = [(1, "x a b c d e"), (2, "x a b c"), (3, "A b C"), (4, "a b x c"), (None, "q a b c"), (None, None), (2, "x a b c")]
+    bench = spark.createDataFrame([(0, "a b c"), (None, "x A")], "item_id long, text string")
+    got = [(r.doc_id or 0, r.item_id) for r in decontaminate.contained_items(frame(spark, rows), bench).collect()]
+    assert sorted(got, key=str) == sorted([(0, 0), (1, 0), (2, 0), (2, 0), (3, 0), (1, None), (2, None), (2, None)], key=str)
+    assert [(r.doc_id, r.text) for r in decontaminate.decontaminated(frame(spark, rows), bench).orderBy("doc_id").collect()] == [(None, None), (4, "a b x c")]
+
+
+def test_unique_rows(spark):
+    rows = [(1, "bbb"), (None, "Bbb"), (9, "bbb"), (5, "ccc"), (5, "ccc"), (5, "d"), (6, "d"), (None, "e"), (None, "E"), (None, None), (3, ""), (1, "f")]
+    got = exact_dedup.unique_rows(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got) == [(0, "e"), (1, "f"), (3, ""), (5, "ccc"), (6, "d"), (9, "bbb")]
+    assert {len(r) for r in got} == {9}
+
+
 def test_packing():
     r = random.Random(2)
     pieces = sorted(((r.randint(1, 100), k) for k in range(500)), reverse=True)
@@ -183,6 +198,41 @@ def test_packing():
     assert sum({b: s for b, s, _, _ in bins}.values()) < 1.06 * total
 
 
+def least_cost(lengths, sizes):
+    """The cost of the best bins for a few lengths, over every way to part them."""
+    best = [0.0] + [float("inf")] * ((1 << len(lengths)) - 1)
+    for have in range(1, 1 << len(lengths)):
+        low, part = have & -have, have
+        while part:
+            if part & low:
+                n = sum(x for k, x in enumerate(lengths) if part >> k & 1)
+                if n <= sizes[-1]:
+                    best[have] = min(best[have], best[have ^ part] + packing.cost(next(s for s in sizes if s >= n)))
+            part = (part - 1) & have
+    return best[-1]
+
+
+def test_packing_chooses_sizes_jointly():
+    r = random.Random(4)
+    ratios = []
+    for _ in range(60):
+        sizes = tuple(sorted(r.sample((16, 25, 40, 64, 100, 160), 3)))
+        lengths = sorted((r.randint(1, sizes[-1]) for _ in range(8)), reverse=True)
+        bins = packing.best_fit([(n,) for n in lengths], sizes)
+        ratios.append(sum(packing.cost(s) for s in {b: s for b, s, _, _ in bins}.values()) / least_cost(lengths, sizes))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.05
+    lengths = sorted((min(4096, int(r.lognormvariate(5.3, 1)) + 1) for _ in range(1000)), reverse=True)
+    bins = {b: (s, u) for b, s, _, u in packing.best_fit([(n,) for n in lengths], packing.SIZES)}
+    one = packing.packed_with(lengths, packing.SIZES[-1:])[2]
+    assert len({s for s, _ in bins.values()}) > 2 and sum(s for s, _ in bins.values()) < 1.02 * sum(lengths)
+    assert sum(packing.cost(s) for s, _ in bins.values()) < 0.95 * len(one) * packing.cost(packing.SIZES[-1])
+
+
+def test_packing_remaining_lengths():
+    left = packing.Remaining([9, 7, 7, 4, 2, 1])
+    assert [left.fill(room, at) for room, at in ((10, 0), (15, 1), (6, 1), (3, 3), (0, 0), (5, 6), (100, 0))] == [10, 15, 6, 3, 0, 0, 30]
+
+
 def test_packing_covers_every_token(spark, docs, empty):
     lengths = packing.word_lengths(docs)
     out = packing.best_fit_packing(lengths, (64, 256), group_rows=20).collect()
@@ -299,6 +349,10 @@ def test_toxicity_index_is_exact():
         assert [k for _, k in got] == [k for s, k in want if s < 0][: len(got)] and len(got) == min(10, sum(s < 0 for s, _ in want))
     x, y = np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0])
     assert (np.diff(toxicity.isotonic(x, y)[1]) >= 0).all()
+    for k in range(200):
+        x = np.round(np.random.default_rng(k).random(80), 2)
+        y = (np.random.default_rng(k + 999).random(80) < x).astype(float)
+        assert (np.diff(toxicity.isotonic(x, y)[1]) >= 0).all()
 
 
 def test_toxicity_holds_out(spark, empty):
