@@ -17,9 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
+    """Of equal texts, the document with the largest id stays; of rows that repeat it, one."""
+    return exact_dedup.unique_rows(docs).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(packing.word_lengths(docs))
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("shingle_join", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("shingle_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 #: Packing and the nearest labelled examples have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
