@@ -132,23 +132,59 @@ def test_one_of_each_keeps_the_smallest(spark, docs):
     assert {r.doc_id for r in shingle_join.one_of_each(docs).collect()} == {i for i, (_, c) in comp.items() if i == c}
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
-def test_substring_dedup(docs, limit):
+def brute_substrings(rows, window):
+    """Sorted (doc_id, n_words, n_removed, sha256 of what stays) by a table of all windows."""
     first: dict = {}
-    toks = {i: (t or "").encode().split() for i, t in ROWS}
-    for i, w in toks.items():
-        for k in range(len(w) - 12):
-            first.setdefault(tuple(w[k : k + 13]), i)
+    split = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, w in split:
+        for k in range(len(w) - window + 1):
+            if i is not None:
+                g = tuple(w[k : k + window])
+                first[g] = min(first.get(g, i), i)
     want = []
-    for i, w in toks.items():
-        gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
-        kept = [x for k, x in enumerate(w) if k not in gone]
-        want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    for i, w in split:
+        gone = {p for k in range(len(w) - window + 1) if i is not None and first[tuple(w[k : k + window])] < i for p in range(k, k + window)}
+        want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_substring_dedup(docs, limit):
     got = substring_dedup.substring_dedup(docs, group_suffixes=limit).collect()
-    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_substrings(ROWS, 13)
     assert all(hashlib.sha256(bytes(r.kept_text)).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("window", [1, 4, 40])
+def test_substring_dedup_of_other_windows_and_odd_rows(spark, window):
+    base = prose(80, 3)
+    rows = [(5, base), (5, base), (5, "x " + base), (None, base), (None, base), (7, "y " + base[30:] + "\tz\n"), (None, None), (2, prose(50, 4)), (3, "  " + prose(50, 4) + " \n"), (9, "a"), (8, "a a a a a a"), (10, "é " * 60)]
+    got = substring_dedup.substring_dedup(frame(spark, rows), window).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_substrings(rows, window)
+
+
+def test_subtree_nodes():
+    a, b = b"k l m n a b c d e f", b"x l m n a b c d y z"
+    found = substring_dedup.nodes({a: 4, b: 2}, 4)
+    deep = {(depth, least, tuple(sorted((region.split(b" ")[k]) for region, k in below))) for depth, least, below in found if len(below) > 1}
+    assert deep == {(n, 2, (w, w)) for n, w in ((7, b"l"), (6, b"m"), (5, b"n"), (4, b"a"))}
+    assert substring_dedup.subtree([(4, 0, 0, a), (2, 0, 0, b), (2, 1, 5, b)], 4) == [(4, 0, 0, 0b11110)]
+
+
+def test_tokens_in_arrays():
+    import pyarrow as pa
+
+    texts = [t if t is None else t.encode() for _, t in ROWS] + [b" a\x0bb\xff ", b"x" * 600_000 + b" y", None, b""]
+    for lower in (False, True):
+        t = common.Tokens(pa.array([b"skipped", *texts], pa.binary()).slice(1), lower)
+        raw, (joined, starts, ends) = t.data.tobytes(), t.joined()
+        want = [common.words(x, lower) for x in texts]
+        flat = [w for x in want for w in x]
+        assert [raw[a:b] for a, b in zip(t.starts, t.ends)] == flat == [joined[a:b] for a, b in zip(starts, ends)]
+        assert t.counts.tolist() == [len(x) for x in want] and t.left().tolist() == [len(x) - k for x in want for k in range(len(x))]
+        assert len(set(zip(flat, t.hashes.tolist()))) == len(set(flat)) == len(set(t.hashes.tolist()))
+
+
 def test_decontamination(spark, docs):
     items = [(0, " ".join((ROWS[12][1]).split()[20:60])), (1, "a b c d"), (6, "B c"), (7, "one"), (2, None), (3, ""), (4, prose(40, 9999)), (5, ROWS[13][1].upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")

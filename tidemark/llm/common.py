@@ -95,6 +95,78 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Powers of an odd number and of its inverse: a word's hash is its bytes' polynomial, taken from running sums and shifted back.
+_BASE = 0xD6E8FEB86659FD93
+_SPAN = 1 << 18
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out)
+
+
+class Tokens:
+    """The words of a column of texts, as arrays over all of them: ``starts`` and ``ends`` in ``data``, ``first`` word of each text (and the end), ``hashes``."""
+
+    def __init__(self, column: pa.Array, lower: bool = True):
+        column = column.cast(pa.binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets -= offsets[0]
+        self.data = _LOWER[raw] if lower else raw
+        word = ~_WHITE[self.data]
+        edge = offsets[(offsets > 0) & (offsets < len(raw))]
+        before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        before[edge], after[edge - 1] = False, False
+        self.starts, self.ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        self.first = np.searchsorted(self.starts, offsets)
+        self.counts = np.diff(self.first)
+        self._white_after = ~word & before
+
+    @property
+    def hashes(self) -> np.ndarray:
+        """64 bits of each word; made in spans, so that one very long text needs no more memory than others."""
+        out = np.empty(len(self.starts), np.uint64)
+        at = 0
+        with np.errstate(over="ignore"):
+            while at < len(out):
+                low = self.starts[at]
+                end = max(at + 1, int(np.searchsorted(self.ends, low + _SPAN, "right")))
+                own = self.data[low : self.ends[end - 1]].astype(np.uint64) + np.uint64(1)
+                held = self._tables(len(own))
+                sums = np.zeros(len(own) + 1, np.uint64)
+                np.cumsum(own * held[0][: len(own)], out=sums[1:])
+                a, b = self.starts[at:end] - low, self.ends[at:end] - low
+                out[at:end] = (sums[b] - sums[a]) * held[1][a] + (b - a).astype(np.uint64)
+                at = end
+        return mixed(out)
+
+    _held: tuple | None = None
+
+    def _tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self._held is None or len(self._held[0]) < n:
+            self._held = _powers(_BASE, max(n, _SPAN)), _powers(pow(_BASE, -1, 1 << 64), max(n, _SPAN))
+        return self._held
+
+    def left(self) -> np.ndarray:
+        """Words from each word to its text's end, itself included."""
+        return np.repeat(self.first[1:], self.counts) - np.arange(len(self.starts))
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words of each text by single spaces, and where each starts and ends there; texts lie one behind the other."""
+        keep = ~_WHITE[self.data] | self._white_after
+        text = np.where(_WHITE[self.data], np.uint8(32), self.data)[keep].tobytes()
+        starts = (np.cumsum(keep) - 1)[self.starts]
+        return text, starts, starts + (self.ends - self.starts)
+
+
 def shingle_set(text: bytes | None, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's n-word shingles; with fewer words, the whole sequence as one; empty without words."""
     tokens = words(text)

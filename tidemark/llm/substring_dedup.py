@@ -1,8 +1,10 @@
 """Substring dedup over prefix-partitioned suffix trees.
 
-Every word starts a suffix. Suffixes are split by a prefix of variable length into groups that fit a task's memory, each group is one subtree, and the subtree's nodes at the window's depth are the repeats.
+Every word starts a suffix, and a window of words that recurs is a node of the suffix tree at that depth. Three steps keep the work in proportion to what recurs.
 
-Two steps keep the work in proportion to what repeats. Of each window only the n-gram of least hash within it, its seed, can open a prefix, and windows that are equal have equal seeds; so a seed that one document alone has rules out all its windows. What is left is grouped by the seed's n-gram as the prefix; where a prefix has more suffixes than a group may hold, it is lengthened to the whole window, at which depth a node needs no tree but only its least document, which partial aggregation finds for any number of suffixes.
+Of each window only the n-gram of least hash within it, its seed, can open a group, and windows that are equal have equal seeds; so a seed that one document alone has rules out all its windows. What is left is grouped by the seed, each place with the words around it that its windows cover, its region. A group is one subtree: the suffixes of its distinct regions are sorted, neighbours' common words are counted, and the runs that share at least a window are the subtree's internal nodes of that depth, each with the least document below it. Where a seed has more places than a group may hold, its prefix is lengthened to the whole window, at which depth a node is one key and partial aggregation finds its least document for any number of places.
+
+Texts are moved once, to the places found in them; the seeds that recur are found and fetched by keys alone.
 """
 
 from __future__ import annotations
@@ -15,33 +17,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_BITS, gram_hashes, lists, partitions, slices, word_hashes, words, written
+from .common import KEY_BITS, Tokens, gram_hashes, lists, partitions, slices, written
 
 WINDOW, SEED = 13, 5
-#: Suffixes under one prefix, at most, that are made a subtree in memory.
+#: Places under one seed, at most, that are made a subtree in memory.
 GROUP_SUFFIXES = 32_768
 
 
 def owners(hashes: np.ndarray, window: int = WINDOW, seed: int = SEED) -> np.ndarray:
     """For each window, where the seed starts that it belongs to: the leftmost of its least n-grams."""
-    grams = gram_hashes(hashes, seed)
     span = window - seed + 1
+    grams = gram_hashes(hashes, seed)
     if len(grams) < span:
         return np.empty(0, np.int64)
     return np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1)
 
 
-def _seeds(window: int):
+def seed_size(window: int) -> int:
+    """Shorter windows have shorter seeds."""
+    return min(SEED, window)
+
+
+def _places(tokens: Tokens, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, the seed of each, keys of all n-grams): windows are places among all words, those that stay within a text."""
+    h, seed = tokens.hashes, seed_size(window)
+    own = owners(h, window, seed)
+    at = np.flatnonzero(tokens.left()[: len(own)] >= window)
+    return at, own[at], gram_hashes(h, seed) >> np.uint64(64 - KEY_BITS)
+
+
+def _seeds(window: int, placed: bool):
+    """(doc_id, key) of every seed; with ``placed`` the row and the seed's place in its text too."""
+
     def run(batches):
         for b in slices(batches, 2):
-            keys, places = [], []
-            for t in b.column(2).to_pylist():
-                tokens = words(t, lower=False)
-                h = word_hashes(tokens) if len(tokens) >= window else np.empty(0, np.uint64)
-                at = np.unique(owners(h, window))
-                keys.append(gram_hashes(h, SEED)[at] >> np.uint64(64 - KEY_BITS) if len(at) else h[:0])
-                places.append(at)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(keys, pa.int64()), lists(places, pa.int32())], ["doc_id", "row", "keys", "places"])
+            t = Tokens(b.column(2), lower=False)
+            _, own, keys = _places(t, window)
+            at = own[np.flatnonzero(np.diff(own, prepend=-1))]
+            text = np.searchsorted(t.first, at, "right") - 1
+            cols = {"doc_id": b.column(0).take(pa.array(text)), "key": pa.array(keys[at].astype(np.int64))}
+            if placed:
+                cols |= {"row": b.column(1).take(pa.array(text)), "place": pa.array((at - t.first[text]).astype(np.int32))}
+            yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
@@ -54,43 +71,72 @@ def _regions(window: int):
 
     def run(batches):
         for b in slices(batches, 2):
-            rows: list[tuple] = []
-            for doc, row, t, at in zip(*(b.column(k).to_pylist() for k in range(4))):
-                tokens = words(t, lower=False)
-                h = word_hashes(tokens)
-                own, grams = owners(h, window), gram_hashes(h, SEED).astype(np.int64)
-                at = np.unique(at)
-                for p, lo, hi in zip(at.tolist(), np.searchsorted(own, at, "left").tolist(), np.searchsorted(own, at, "right").tolist()):
-                    rows.append((int(grams[p]), doc, row, lo, b" ".join(tokens[lo : hi - 1 + window])))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["prefix", "doc_id", "row", "first", "region"])
+            t = Tokens(b.column(2), lower=False)
+            windows, own, keys = _places(t, window)
+            found = b.column(3)
+            text = np.repeat(np.arange(len(b)), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = t.first[text] + found.flatten().to_numpy(zero_copy_only=False)
+            lo, hi = windows[np.searchsorted(own, at, "left")], windows[np.searchsorted(own, at, "right") - 1]
+            joined, starts, ends = t.joined()
+            regions = [joined[x:y] for x, y in zip(starts[lo].tolist(), ends[hi + window - 1].tolist())]
+            kept = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].astype(np.int64)), b.column(0).take(kept), b.column(1).take(kept), pa.array((lo - t.first[text]).astype(np.int32)), pa.array(regions, pa.binary())], ["prefix", "doc_id", "row", "first", "region"])
 
     return run
 
 
-def subtree(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int, int]]:
-    """(doc_id, row, first, mask) of the windows that start in an earlier document too; rows are (doc_id, row, first, region), and bit k of the mask is the window at first + k.
+def common_words(a: list[bytes], b: list[bytes]) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
 
-    The nodes at the window's depth are kept by their path from the root.
+def nodes(regions: dict[bytes, int], window: int) -> list[tuple[int, int, list[tuple[bytes, int]]]]:
+    """The subtree's internal nodes of depth ``window`` or more that no other such node lies above: (words shared, least document, suffixes (region, word it starts at)).
+
+    ``regions`` has the least document of each distinct region. A suffix shorter than a window can't reach the depth.
     """
+    suffixes = sorted((tokens[k:], region, k) for region, tokens in ((r, r.split(b" ")) for r in regions) for k in range(len(tokens) - window + 1))
+    out: list[tuple[int, int, list[tuple[bytes, int]]]] = []
+    before: list[bytes] = []
+    for tokens, region, k in suffixes:
+        shared = common_words(before, tokens)
+        if shared >= window:
+            depth, least, below = out[-1]
+            out[-1] = (min(depth, shared), min(least, regions[region]), below)
+            below.append((region, k))
+        else:
+            out.append((len(tokens), regions[region], [(region, k)]))
+        before = tokens
+    return out
+
+
+def subtree(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int, int]]:
+    """(doc_id, row, first, mask) of the windows that start in an earlier document too; rows are (doc_id, row, first, region), and bit k of the mask is the window at first + k."""
     least: dict[bytes, int] = {}
-    paths = []
     for doc, _, _, region in rows:
-        tokens = region.split(b" ")
-        own = [b" ".join(tokens[k : k + window]) for k in range(len(tokens) - window + 1)]
-        paths.append(own)
-        for p in own:
-            if least.get(p, doc) >= doc:
-                least[p] = doc
+        if least.setdefault(region, doc) > doc:
+            least[region] = doc
+    if len(least) == 1:  # one region has no node but its own leaves
+        ((region, low),) = least.items()
+        whole = (1 << (region.count(b" ") + 2 - window)) - 1
+        return [(doc, row, first, whole) for doc, row, first, _ in rows if doc > low]
+    lows: dict[bytes, list[int]] = {r: [0] * (r.count(b" ") + 2 - window) for r in least}
+    for _, low, below in nodes(least, window):
+        for region, k in below:
+            lows[region][k] = low
     out = []
-    for (doc, row, first, _), own in zip(rows, paths):
-        mask = sum(1 << k for k, p in enumerate(own) if least[p] < doc)
+    for doc, row, first, region in rows:
+        mask = sum(1 << k for k, low in enumerate(lows[region]) if low < doc)
         if mask:
             out.append((doc, row, first, mask))
     return out
 
 
-REPEAT = "doc_id bigint, row bigint, first int, mask int"
+REPEAT = "doc_id bigint, row bigint, first int, mask bigint"
 
 
 def _subtrees(window: int):
@@ -101,7 +147,7 @@ def _subtrees(window: int):
 
         def batch():
             cols = list(zip(*out)) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "row", "first", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "row", "first", "mask"])
 
         for b in batches:
             for p, *row in zip(*(b.column(k).to_pylist() for k in range(5))):
@@ -138,13 +184,13 @@ def _paths(window: int):
 def repeats(src: DataFrame, window: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """(doc_id, row, first, mask): windows of ``src`` (doc_id, row, text) that start in a document of smaller id too."""
     named = src.where("doc_id is not null")
-    seeds = named.mapInArrow(_seeds(window), "doc_id bigint, row bigint, keys array<bigint>, places array<int>")
-    counts = seeds.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", (F.col("n") > group_suffixes).alias("long"))
-    shared = written(counts, "seeds")
-    hits = seeds.select("doc_id", "row", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("doc_id", "row", F.col("s.keys").alias("key"), F.col("s.places").alias("place")).join(shared, "key")
+    seeds = named.mapInArrow(_seeds(window, False), "doc_id bigint, key bigint")
+    counts = seeds.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    shared = written(counts.select("key", (F.col("n") > group_suffixes).alias("long")), "seeds")
+    hits = named.mapInArrow(_seeds(window, True), "doc_id bigint, key bigint, row bigint, place int").join(shared, "key")
 
     def regions(of: DataFrame) -> DataFrame:
-        at = of.groupBy("doc_id", "row").agg(F.collect_list("place").alias("at"))
+        at = of.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("place")).alias("at"))
         return src.join(at, ["doc_id", "row"]).select("doc_id", "row", "text", "at").mapInArrow(_regions(window), REGION)
 
     short = regions(hits.where("not long")).repartition(partitions(src.sparkSession), "prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window), REPEAT)
@@ -152,7 +198,7 @@ def repeats(src: DataFrame, window: int = WINDOW, group_suffixes: int = GROUP_SU
         return short
     paths = regions(hits.where("long")).mapInArrow(_paths(window), "path binary, doc_id bigint, row bigint, first int")
     least = paths.groupBy("path").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("path", F.xxhash64("path").alias("spread"), "lo")
-    full = paths.withColumn("spread", F.xxhash64("path")).join(least, ["path", "spread"]).where("lo < doc_id").select("doc_id", "row", "first", F.lit(1).alias("mask"))
+    full = paths.withColumn("spread", F.xxhash64("path")).join(least, ["path", "spread"]).where("lo < doc_id").select("doc_id", "row", "first", F.lit(1).cast("bigint").alias("mask"))
     return short.union(full)
 
 
@@ -162,29 +208,34 @@ OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept
 def _cut(window: int, text_out: bool):
     def run(batches):
         for b in slices(batches, 2):
-            n, gone, sha, kept = [], [], [], []
-            for t, starts, masks in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
-                tokens = words(t, lower=False)
-                removed = 0
-                if starts:
-                    edge = np.zeros(len(tokens) + 1, np.int64)
-                    for s, m in zip(starts, masks):
-                        while m:
-                            k = (m & -m).bit_length() - 1
-                            edge[s + k] += 1
-                            edge[s + k + window] -= 1
-                            m &= m - 1
-                    stay = np.cumsum(edge[:-1]) <= 0
-                    removed = int(len(tokens) - stay.sum())
-                    left = [tokens[k] for k in np.flatnonzero(stay)]
+            t = Tokens(b.column(2), lower=False)
+            edge = np.zeros(len(t.starts) + 1, np.int64)
+            gone = np.zeros(len(t.starts), bool)
+            firsts, masks = b.column(3), b.column(4)
+            n = firsts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            if n.sum():
+                at = np.repeat(t.first[:-1], n) + firsts.flatten().to_numpy(zero_copy_only=False)
+                mask = masks.flatten().to_numpy(zero_copy_only=False)
+                k = 0
+                while mask.any():
+                    own = at[mask & 1 == 1] + k
+                    np.add.at(edge, own, 1)
+                    np.add.at(edge, own + window, -1)
+                    mask, k = mask >> 1, k + 1
+                gone = np.cumsum(edge[:-1]) > 0
+            removed = np.add.reduceat(np.append(gone, False), np.minimum(t.first[:-1], len(gone)), dtype=np.int64) * (t.counts > 0)
+            joined, starts, ends = t.joined()
+            kept = []
+            for lo, hi, out in zip(t.first[:-1].tolist(), t.first[1:].tolist(), removed.tolist()):
+                if out == hi - lo:
+                    kept.append(b"")
+                elif not out:
+                    kept.append(joined[starts[lo] : ends[hi - 1]])
                 else:
-                    left = tokens
-                text = b" ".join(left)
-                n.append(len(tokens))
-                gone.append(removed)
-                sha.append(hashlib.sha256(text).hexdigest())
-                kept.append(text if text_out else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                    stay = np.flatnonzero(~gone[lo:hi]) + lo
+                    cut = np.flatnonzero(np.diff(stay) != 1) + 1
+                    kept.append(b" ".join([joined[starts[x[0]] : ends[x[-1]]] for x in np.split(stay, cut)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept if text_out else [None] * len(kept), pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -192,10 +243,15 @@ def _cut(window: int, text_out: bool):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, text_out: bool = True, group_suffixes: int = GROUP_SUFFIXES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) for every row: words covered by a ``window`` that also starts in a document of smaller id are removed.
 
-    Words are runs without ASCII white space, unchanged; what is kept is joined by single spaces (null with ``text_out`` off). Windows are judged on the input. A null text has no words; a row with a null id loses nothing and causes no loss; rows that repeat an id do not remove from each other (their texts are told apart by 31 bits of a hash); texts below a window's length stay whole; an empty table gives no rows.
+    Words are runs without ASCII white space, unchanged; what is kept is joined by single spaces (null with ``text_out`` off). Windows are judged on the input. A null text has no words; a row with a null id loses nothing and causes no loss; rows that repeat an id do not remove from each other; texts below a window's length stay whole; other columns are ignored; an empty table gives no rows. ``window`` is from 1 to 60 words.
     """
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).select("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("row"), "text")
-    found = repeats(src, window, group_suffixes).groupBy("doc_id", "row").agg(F.collect_list("first").alias("firsts"), F.collect_list("mask").alias("masks"))
+    if not 1 <= window <= 60:
+        raise ValueError("window must be from 1 to 60 words")
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    # Only rows that share an id need more than the id to be told apart.
+    single = src.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    src = src.select("doc_id", (F.lit(0).cast("bigint") if single else F.xxhash64("text")).alias("row"), "text")
+    found = repeats(src, window, group_suffixes).distinct().groupBy("doc_id", "row").agg(F.collect_list("first").alias("firsts"), F.collect_list("mask").alias("masks"))
     return src.join(found, ["doc_id", "row"], "left").select("doc_id", "row", "text", "firsts", "masks").mapInArrow(_cut(window, text_out), OUT)
 
 
