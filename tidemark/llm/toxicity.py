@@ -111,7 +111,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
             _, top, s, n = pools.pop()
             pools[-1][1:] = [top, pools[-1][2] + s, pools[-1][3] + n]
-    level = [(p[2] + 0.5 * y.mean()) / (p[3] + 0.5) for p in pools]
+    # A pool's own weight draws it to the mean by its size; the running maximum keeps the map from falling where a small pool stands above a large one.
+    level = np.maximum.accumulate([(p[2] + 0.5 * y.mean()) / (p[3] + 0.5) for p in pools])
     return np.array([v for p in pools for v in p[:2]]), np.array([v for v in level for _ in range(2)])
 
 
