@@ -4,7 +4,7 @@ Every word starts a suffix, and a window of words that recurs is a node of the s
 
 Of each window only the n-gram of least hash within it, its seed, can open a group, and windows that are equal have equal seeds; so a seed that one document alone has rules out all its windows. What is left is grouped by the seed, each place with the words around it that its windows cover, its region. A group is one subtree: the suffixes of its distinct regions are sorted, neighbours' common words are counted, and the runs that share at least a window are the subtree's internal nodes of that depth, each with the least document below it. Where a seed has more places than a group may hold, its prefix is lengthened to the whole window, at which depth a node is one key and partial aggregation finds its least document for any number of places.
 
-Texts are moved once, to the places found in them; the seeds that recur are found and fetched by keys alone.
+Texts are moved once, compressed, to the places found in them and again, by the same exchange, to the windows that go; the seeds that recur are found and fetched by keys alone. A text that equals an earlier document's goes as a whole and has no part in the groups.
 """
 
 from __future__ import annotations
@@ -63,6 +63,24 @@ def _seeds(window: int, placed: bool):
     return run
 
 
+def _packed(batches):
+    """Texts by zstandard: they are most of what is shuffled."""
+    import zstandard
+
+    own = zstandard.ZstdCompressor(3)
+    for b in slices(batches, 2):
+        packed = [own.compress(t or b"") for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["doc_id", "row", "packed"])
+
+
+def unpacked(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with its third column's texts."""
+    import zstandard
+
+    own = zstandard.ZstdDecompressor()
+    return b.set_column(2, "text", pa.array([own.decompress(t) for t in b.column(2).to_pylist()], pa.binary()))
+
+
 REGION = "prefix bigint, doc_id bigint, row bigint, first int, region binary"
 
 
@@ -70,7 +88,7 @@ def _regions(window: int):
     """The text around each recurring seed: all windows that belong to it."""
 
     def run(batches):
-        for b in slices(batches, 2):
+        for b in map(unpacked, slices(batches, 2, 1 << 20)):
             t = Tokens(b.column(2), lower=False)
             windows, own, keys = _places(t, window)
             found = b.column(3)
@@ -181,19 +199,31 @@ def _paths(window: int):
     return run
 
 
-def repeats(src: DataFrame, window: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """(doc_id, row, first, mask): windows of ``src`` (doc_id, row, text) that start in a document of smaller id too."""
-    named = src.where("doc_id is not null")
+def copies(named: DataFrame) -> DataFrame:
+    """(doc_id, row) of the texts that an earlier document has as a whole."""
+    keyed = named.select("doc_id", "row", F.sha2("text", 256).alias("sha")).withColumn("spread", F.xxhash64("sha"))
+    groups = keyed.groupBy("sha", "spread").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    return keyed.join(groups, ["sha", "spread"]).where("doc_id > lo").select("doc_id", "row").distinct()
+
+
+def repeats(named: DataFrame, packed: DataFrame, keys: list[str], window: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+    """(doc_id, row, first, mask): windows of ``named`` (doc_id, row, text) that start in a document of smaller id too; first is -1 where that is known of the whole text.
+
+    ``packed`` has the same rows with compressed texts, and ``keys`` are the columns that tell rows apart.
+    """
     seeds = named.mapInArrow(_seeds(window, False), "doc_id bigint, key bigint")
     counts = seeds.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     shared = written(counts.select("key", (F.col("n") > group_suffixes).alias("long")), "seeds")
     hits = named.mapInArrow(_seeds(window, True), "doc_id bigint, key bigint, row bigint, place int").join(shared, "key")
+    whole = written(copies(named), "copies")
 
     def regions(of: DataFrame) -> DataFrame:
-        at = of.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("place")).alias("at"))
-        return src.join(at, ["doc_id", "row"]).select("doc_id", "row", "text", "at").mapInArrow(_regions(window), REGION)
+        # A left join and a test, as an anti-join would be pushed below the aggregate and shuffle every place.
+        at = of.groupBy(*keys).agg(F.array_sort(F.collect_list("place")).alias("at")).join(whole.select(*keys, F.lit(True).alias("gone")), keys, "left").where("gone is null")
+        return packed.join(at, keys).select("doc_id", "row", "packed", "at").mapInArrow(_regions(window), REGION)
 
-    short = regions(hits.where("not long")).repartition(partitions(src.sparkSession), "prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window), REPEAT)
+    short = regions(hits.where("not long")).repartition(partitions(named.sparkSession), "prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window), REPEAT)
+    short = short.union(whole.select("doc_id", "row", F.lit(-1), F.lit(0).cast("bigint")))
     if shared.where("long").isEmpty():
         return short
     paths = regions(hits.where("long")).mapInArrow(_paths(window), "path binary, doc_id bigint, row bigint, first int")
@@ -207,16 +237,19 @@ OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept
 
 def _cut(window: int, text_out: bool):
     def run(batches):
-        for b in slices(batches, 2):
+        for b in map(unpacked, slices(batches, 2, 1 << 20)):
             t = Tokens(b.column(2), lower=False)
             edge = np.zeros(len(t.starts) + 1, np.int64)
             gone = np.zeros(len(t.starts), bool)
             firsts, masks = b.column(3), b.column(4)
             n = firsts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             if n.sum():
-                at = np.repeat(t.first[:-1], n) + firsts.flatten().to_numpy(zero_copy_only=False)
-                mask = masks.flatten().to_numpy(zero_copy_only=False)
-                k = 0
+                first, mask = (x.flatten().to_numpy(zero_copy_only=False) for x in (firsts, masks))
+                text, k = np.repeat(np.arange(len(b)), n), 0
+                at = t.first[text] + first
+                for whole in text[(first < 0) & (t.counts[text] >= window)].tolist():
+                    edge[t.first[whole]] += 1
+                    edge[t.first[whole + 1]] -= 1
                 while mask.any():
                     own = at[mask & 1 == 1] + k
                     np.add.at(edge, own, 1)
@@ -251,8 +284,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text_out: bool = True
     # Only rows that share an id need more than the id to be told apart.
     single = src.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     src = src.select("doc_id", (F.lit(0).cast("bigint") if single else F.xxhash64("text")).alias("row"), "text")
-    found = repeats(src, window, group_suffixes).distinct().groupBy("doc_id", "row").agg(F.collect_list("first").alias("firsts"), F.collect_list("mask").alias("masks"))
-    return src.join(found, ["doc_id", "row"], "left").select("doc_id", "row", "text", "firsts", "masks").mapInArrow(_cut(window, text_out), OUT)
+    keys = ["doc_id"] if single else ["doc_id", "row"]
+    named, loose = src.where("doc_id is not null"), src.where("doc_id is null")
+    packed = named.mapInArrow(_packed, "doc_id bigint, row bigint, packed binary").where("doc_id is not null and row is not null")
+    found = repeats(named, packed, keys, window, group_suffixes)
+    if not single:  # rows that are equal in id and text were all found
+        found = found.distinct()
+    found = found.groupBy(*keys).agg(F.collect_list("first").alias("firsts"), F.collect_list("mask").alias("masks"))
+    cut = packed.join(found, keys, "left").select("doc_id", "row", "packed", "firsts", "masks").mapInArrow(_cut(window, text_out), OUT)
+    none = F.array().cast("array<int>").alias("firsts"), F.array().cast("array<bigint>").alias("masks")
+    return cut.union(loose.mapInArrow(_packed, "doc_id bigint, row bigint, packed binary").select("doc_id", "row", "packed", *none).mapInArrow(_cut(window, text_out), OUT))
 
 
 ORACLE = r"""
