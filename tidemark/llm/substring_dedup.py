@@ -50,7 +50,7 @@ def _seeds(window: int, placed: bool):
     """(doc_id, key) of every seed; with ``placed`` the row and the seed's place in its text too."""
 
     def run(batches):
-        for b in slices(batches, 2):
+        for b in slices(batches, 2, 1 << 20):
             t = Tokens(b.column(2), lower=False)
             _, own, keys = _places(t, window)
             at = own[np.flatnonzero(np.diff(own, prepend=-1))]
@@ -88,7 +88,7 @@ def _regions(window: int):
     """The text around each recurring seed: all windows that belong to it."""
 
     def run(batches):
-        for b in map(unpacked, slices(batches, 2, 1 << 20)):
+        for b in map(unpacked, slices(batches, 2, 1 << 19)):
             t = Tokens(b.column(2), lower=False)
             windows, own, keys = _places(t, window)
             found = b.column(3)
@@ -237,7 +237,7 @@ OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept
 
 def _cut(window: int, text_out: bool):
     def run(batches):
-        for b in map(unpacked, slices(batches, 2, 1 << 20)):
+        for b in map(unpacked, slices(batches, 2, 1 << 19)):
             t = Tokens(b.column(2), lower=False)
             edge = np.zeros(len(t.starts) + 1, np.int64)
             gone = np.zeros(len(t.starts), bool)
