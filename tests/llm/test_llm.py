@@ -371,18 +371,72 @@ def test_bloom_levels():
     assert lm_scoring.capacity([(1, 10), (2, 10)]) == 1 and lm_scoring.capacity([(1, 10**9), (3, 10)]) == 2
 
 
-def test_toxicity_index_is_exact():
-    r = random.Random(5)
+@pytest.mark.parametrize("n_terms", [12, 40, 3000])
+def test_toxicity_index_is_exact(n_terms):
+    r, rng = random.Random(5), np.random.default_rng(5)
     vectors = []
     for _ in range(400):
-        v = {r.randrange(40): r.random() + 0.1 for _ in range(r.randint(1, 5))}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        vectors.append({t: x / norm for t, x in v.items()})
-    index = toxicity.Index(list(range(400)), [0] * 400, vectors, 40)
-    for q in vectors[:50]:
-        want = sorted((-round(sum(x * v.get(t, 0) for t, x in q.items()), 12), k) for k, v in enumerate(vectors))
-        got = [(round(-s, 12), int(index.ids[at])) for s, at in index.nearest(q, 10)]
-        assert [k for _, k in got] == [k for s, k in want if s < 0][: len(got)] and len(got) == min(10, sum(s < 0 for s, _ in want))
+        at = np.array(sorted(r.sample(range(n_terms), r.randint(1, 10))))
+        w = rng.random(len(at)) * np.where(at % 7 == 0, 1, 0.05) + 1e-3
+        vectors.append((at, w / np.sqrt(w @ w)))
+    index = toxicity.Index(list(range(400)), [0] * 400, vectors, n_terms)
+    dense = np.zeros((400, n_terms))
+    for k, (at, w) in enumerate(vectors):
+        dense[k, at] = w
+    for q in range(60):
+        scores = np.round(dense @ dense[q], 12)
+        for without in (-1, q):
+            want = sorted((-scores[k], k) for k in range(400) if scores[k] > 0 and k != without)[:10]
+            got = index.nearest(*vectors[q], 10, int(np.flatnonzero(index.ids == without)[0]) if without >= 0 else -1)
+            assert np.allclose([s for s, _ in got], [-s for s, _ in want]) and [int(index.ids[at]) for _, at in got] == [k for _, k in want]
+    assert toxicity.Index([], [], [], 5).nearest(np.array([1]), np.array([1.0]), 3) == []
+
+
+def brute_toxicity(rows, labels):
+    """Scores by dense vectors and plain loops; calibration is the operator's own."""
+    text = dict(rows)
+    examples, seen = [], set()
+    for i, y in sorted(labels.items()):
+        if i in text and zlib.crc32(str(i).encode()) % 3 != 1 and (text[i] or "").lower() not in seen:
+            seen.add((text[i] or "").lower())
+            examples.append((i, y, toxicity.terms_in(text[i])))
+    terms = sorted({t for e in examples for t in e[2]})
+    all1 = sum(y for _, y, _ in examples)
+    tf = {i: toxicity.terms_in(t) for i, t in rows}
+    weight = []
+    for t in terms:
+        n1, n = sum(y for _, y, e in examples if t in e), sum(1 for _, _, e in examples if t in e)
+        df = sum(t in x for x in tf.values())
+        weight.append(math.log((len(rows) + 1) / (df + 1)) * (toxicity.FLOOR + toxicity.evidence_of(n1, n, all1, len(examples))))
+
+    def vector(own):
+        v = np.array([(1 + math.log(own[t])) * w if t in own else 0.0 for t, w in zip(terms, weight)])
+        return v / (np.linalg.norm(v) or 1)
+
+    own = np.array([vector(e[2]) for e in examples])
+    prior = (all1 + 0.5) / (len(examples) + 1)
+
+    def vote(v, without):
+        near = sorted((-round(float(own[k] @ v), 12), e[0], e[1]) for k, e in enumerate(examples) if e[0] != without and e[2])
+        near = [x for x in near if x[0] < 0][:15]
+        weights = [-s / (1.05 + s) for s, _, _ in near]
+        return round((sum(w * y for w, (_, _, y) in zip(weights, near)) + prior) / (sum(weights) + 1), 3)
+
+    full = [k for k, e in enumerate(examples) if e[2]]
+    steps = toxicity.isotonic(np.array([vote(own[k], examples[k][0]) for k in full]), np.array([float(examples[k][1]) for k in full]))
+    return {i: float(np.interp(vote(vector(tf[i]), None), *steps)) for i, _ in rows}
+
+
+def test_toxicity_equals_brute_force(spark):
+    r = random.Random(8)
+    rows = [(k, prose(r.randint(3, 60), 3000 + k) + (" nastyword badly nastywords" if k % 6 == 0 else " mildly" if k % 5 == 0 else "")) for k in range(240)]
+    rows += [(900, None), (901, ""), (902, rows[13][1].upper()), (903, "zzzz"), (904, "nastyworded")]
+    labels = {k: int(k % 6 == 0) for k in range(240) if k % 4} | {900: 0, 902: 1}
+    got = {x.doc_id: x.score for x in toxicity.toxicity(frame(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), keep=("score", "row")).collect()}
+    assert got == pytest.approx(brute_toxicity(rows, labels), abs=2e-3)
+
+
+def test_isotonic_never_falls():
     x, y = np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0])
     assert (np.diff(toxicity.isotonic(x, y)[1]) >= 0).all()
     for k in range(200):

@@ -1,12 +1,13 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded sample of the labelled documents. Their terms are words and the first letters of longer words, so that inflected forms meet; terms are kept that go with the label by a likelihood-ratio test and by their share. Document frequencies of the kept terms are counted over the whole corpus. The examples' unit vectors form an inverted index in blocks, each with its greatest weight for each term; a query takes blocks in the order of the bound that those give and stops where no block can reach the k-th similarity, which leaves the result exact. Votes of the k nearest are weighted by distance and calibrated by isotonic regression over the examples, each left out of its own vote. A document without any kept term gets the rate of such examples.
+The examples are a bounded sample of the labelled documents. Their terms are words and the first letters of longer words, so that inflected forms meet, and all of them count; document frequencies are taken over the whole corpus. A term weighs the more, the more its likelihood ratio by label exceeds what chance gives, but never nothing. What no example has can match nothing and is left out of a text's vector.
+
+The examples' unit vectors form an inverted index in blocks. A query adds up the postings of its rarer terms; for its common ones the index has the greatest weight in each block, and only examples that with these bounds could still be among the nearest are scored in full, which leaves the result exact. Votes of the k nearest are weighted by distance and calibrated by isotonic regression over the examples, each left out of its own vote.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
@@ -14,91 +15,119 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, slices
+from .common import id_crc, once, slices
 
 #: Labelled documents that are learnt from, at most: those of least hash.
-MAX_EXAMPLES = 20_000
-#: Terms of the model, at most: those of the greatest likelihood ratio.
-MAX_TERMS = 4096
-LEAST_G2, LEAST_DOCS = 30.0, 6
-#: Of the examples with a kept term, at least this share has the label: common words that lean to it slightly would drown the telling ones.
-LEAST_SHARE = 0.5
-PREFIXES = (4, 5, 6)
+MAX_EXAMPLES = 4096
+#: A term's weight is its idf times FLOOR and x / (x + HALF), x being its likelihood ratio over CHANCE, the 0.1 % point of chi-square.
+FLOOR, CHANCE, HALF = 0.01, 10.83, 30.0
+PREFIX = 5
 NEIGHBOURS, BLOCK = 15, 64
 CUT = 0.7
-_WORD = re.compile(r"[^\W\d_]+")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00ab\u00bb\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, evidence_ids array<bigint>, evidence_terms array<string>"
 
 
-def counted(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+def terms_of(word: str) -> list[str]:
+    """A word without the marks around it, and the first letters of a longer one."""
+    w = word.strip(MARKS)
+    return [w, w[:PREFIX] + "*"] if len(w) > PREFIX else [w] if w else []
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+def terms_in(text: str | None) -> Counter:
+    """How often a text has each of its terms."""
+    out: Counter = Counter()
+    for w, n in Counter(text.lower().split()).items() if text else ():
+        for t in terms_of(w):
+            out[t] += n
+    return out
 
 
-class Terms:
-    """Kept terms of words; what a word has is remembered."""
+class Places(dict):
+    """Places of the known terms of words, remembered by the word as it stands."""
 
     def __init__(self, vocabulary: list[str]):
         self.place = {t: k for k, t in enumerate(vocabulary)}
-        self.known: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, text: str | None) -> dict[int, int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        out = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out
+        return out
+
+    def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        known = self.known
-        for w, n in counted(text).items():
-            own = known.get(w)
-            if own is None:
-                if len(known) > 500_000:
-                    known.clear()
-                own = known[w] = tuple(self.place[t] for t in terms_of(w) if t in self.place)
-            for t in own:
-                out[t] = out.get(t, 0) + n
+        for w, n in Counter(text.lower().split()).items() if text else ():
+            for p in self[w]:
+                out[p] = out.get(p, 0) + n
         return out
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of many ranges, one behind the other."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
 class Index:
-    """Block-max inverted index over unit vectors."""
+    """Block-max inverted index over unit vectors, as flat arrays: postings by term, vectors by example, block maxima of the terms that more than a block's worth of examples have."""
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[dict[int, float]], n_terms: int):
-        order = sorted(range(len(ids)), key=lambda k: (sorted(vectors[k]), ids[k]))  # like vectors share a block: tighter bounds
+    def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        order = sorted(range(len(ids)), key=lambda k: (vectors[k][0][np.argmax(vectors[k][1])], ids[k]))  # like vectors share a block: tighter bounds
         self.ids = np.array([ids[k] for k in order], np.int64)
         self.labels = np.array([labels[k] for k in order], float)
-        self.n = len(order)
-        self.blocks = -(-self.n // BLOCK)
-        posts: dict[int, list[tuple[int, float]]] = {}
-        for at, k in enumerate(order):
-            for t, w in vectors[k].items():
-                posts.setdefault(t, []).append((at, w))
-        self.posts, self.most = {}, {}
-        for t, p in posts.items():
-            at, w = np.array([x for x, _ in p]), np.array([x for _, x in p])
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, at // BLOCK, w)
-            self.posts[t] = (at, w, np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK))
-            self.most[t] = most
-
-    def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+        self.n, self.blocks = len(order), -(-len(order) // BLOCK)
+        self.terms = np.concatenate([vectors[k][0] for k in order]) if order else np.empty(0, np.int64)
+        self.weights = np.concatenate([vectors[k][1] for k in order]) if order else np.empty(0)
+        self.first = np.cumsum([0, *(len(vectors[k][0]) for k in order)])
+        by_term = np.argsort(self.terms, kind="stable")
+        self.at = np.repeat(np.arange(self.n), np.diff(self.first))[by_term]
+        self.w = self.weights[by_term]
+        self.start = np.searchsorted(self.terms[by_term], np.arange(n_terms + 1))
+        common = np.flatnonzero(np.diff(self.start) > max(BLOCK, self.n // 4))
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.query = np.zeros(n_terms)
+        self.most = np.zeros((len(common), self.blocks))
+        for k, t in enumerate(common):
+            lo, hi = self.start[t], self.start[t + 1]
+            np.maximum.at(self.most[k], self.at[lo:hi] // BLOCK, self.w[lo:hi])
+
+    def scored(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the postings of ``terms`` give every example."""
+        lo, hi = self.start[terms], self.start[terms + 1]
+        at = spans(lo, hi)
+        return np.bincount(self.at[at], np.repeat(weights, hi - lo) * self.w[at], self.n)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the k nearest with a cosine over 0; ties go to the smaller id."""
-        own = [(t, w) for t, w in vector.items() if t in self.posts]
-        if not own:
+        if not self.n or not len(terms):
             return []
-        bound = sum(w * self.most[t] for t, w in own)
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int, int]] = []
-        for b in order:
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in own:
-                at, weight, starts = self.posts[t]
-                lo, hi = starts[b], starts[b + 1]
-                scores[at[lo:hi] - b * BLOCK] += w * weight[lo:hi]
-            hits = np.flatnonzero(scores > 0)
-            best += [(-round(float(scores[h]), 12), int(self.ids[b * BLOCK + h]), int(b * BLOCK + h)) for h in hits if b * BLOCK + h != without]
-            best = sorted(best)[:k]
+        common = self.row[terms] >= 0
+        scores = self.scored(terms[~common], weights[~common])
+        if common.any():
+            bound = weights[common] @ self.most[self.row[terms[common]]]
+            if without >= 0:
+                scores[without] = 0
+            low = np.partition(scores, -k)[-k] if self.n > k else 0.0  # of what is known so far, so that the k-th is no less
+            open_ = np.flatnonzero(scores + np.repeat(bound, BLOCK)[: self.n] >= low - 1e-9)
+            wide = self.start[terms[common] + 1] - self.start[terms[common]]
+            if (self.first[open_ + 1] - self.first[open_]).sum() < wide.sum():
+                self.query[terms] = weights
+                at = spans(self.first[open_], self.first[open_ + 1])
+                full = np.zeros(self.n)
+                sizes = self.first[open_ + 1] - self.first[open_]
+                full[open_] = np.bincount(np.repeat(np.arange(len(open_)), sizes), self.query[self.terms[at]] * self.weights[at], len(open_))
+                self.query[terms] = 0
+                scores = full
+            else:
+                scores = scores + self.scored(terms[common], weights[common])
+        if without >= 0:
+            scores[without] = 0
+        least = np.partition(scores, -k)[-k] if self.n > k else 0.0
+        hits = np.flatnonzero((scores > 0) & (scores >= least - 1e-9))
+        best = sorted((-round(float(scores[h]), 12), int(self.ids[h]), int(h)) for h in hits)[:k]
         return [(-s, at) for s, _, at in best]
 
 
@@ -117,84 +146,71 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
-        self.vocabulary, self.idf = vocabulary, idf
-        empty = [y for _, y, tf in examples if not tf]
-        prior = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1)
-        self.prior = prior
-        self.rest = (sum(empty) + prior) / (len(empty) + 1)
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, evidence: np.ndarray, examples: list[tuple[int, int, dict[str, int]]]):
+        self.vocabulary, self.evidence = vocabulary, evidence
+        self.weight = idf * (FLOOR + evidence)
+        self.prior = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1)
+        self.steps: tuple[np.ndarray, np.ndarray] | None = None
+        self.places = Places(vocabulary)
         full = [e for e in examples if e[2]]
-        vectors = [self.vector(tf) for _, _, tf in full]
+        vectors = [self.vector({self.places.place[t]: n for t, n in e[2].items()}) for e in full]
         self.index = Index([e[0] for e in full], [e[1] for e in full], vectors, len(vocabulary))
-        self.steps: tuple[np.ndarray, np.ndarray] | None = None
-        if len(full) >= 50:
+        if full:
             of = {int(d): k for k, d in enumerate(self.index.ids)}
-            raw = np.array([round(self.vote(self.index.nearest(v, NEIGHBOURS, of[e[0]])), 3) for e, v in zip(full, vectors)])
+            raw = np.array([round(self.vote(self.index.nearest(*v, NEIGHBOURS, of[e[0]])), 3) for e, v in zip(full, vectors)])
             self.steps = isotonic(raw, np.array([float(e[1]) for e in full]))
 
     def state(self) -> tuple[dict, dict]:
         """Plain values, to be sent to workers that can't import this module."""
-        return {k: v for k, v in vars(self).items() if k != "index"}, dict(vars(self.index))
+        return {k: v for k, v in vars(self).items() if k not in ("index", "places")}, dict(vars(self.index))
 
     @classmethod
     def of(cls, state: tuple[dict, dict]) -> Model:
         model, index = cls.__new__(cls), Index.__new__(Index)
         vars(index).update(state[1])
-        vars(model).update(state[0], index=index)
+        vars(model).update(state[0], index=index, places=Places(state[0]["vocabulary"]))
         return model
 
-    def vector(self, tf: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items()}
-        norm = math.sqrt(sum(w * w for w in v.values())) or 1.0
-        return {t: w / norm for t, w in v.items()}
+    def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(places, weights) of terms, of length 1 together."""
+        at = np.fromiter(tf, np.int64, len(tf))
+        w = (1 + np.log(np.fromiter(tf.values(), np.int64, len(tf)))) * self.weight[at]
+        return at, w / (math.sqrt(float(w @ w)) or 1.0)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        weights = [1 / (1.05 - s) for s, _ in near]
+        """The share of label 1, by weights that fall to nothing with the cosine, and with the rate of all examples as one vote more."""
+        weights = [s / (1.05 - s) for s, _ in near]
         return (sum(w * self.index.labels[at] for w, (_, at) in zip(weights, near)) + self.prior) / (sum(weights) + 1)
 
-    def score(self, tf: dict[int, int]) -> tuple[float, list[int], list[str]]:
-        if not tf:
-            return self.rest, [], []
-        near = self.index.nearest(self.vector(tf), NEIGHBOURS)
-        if not near:
-            return self.rest, [], []
+    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
+        at, w = self.vector(self.places.counts(text))
+        near = self.index.nearest(at, w, NEIGHBOURS)
         s = self.vote(near)
         if self.steps:
             s = float(np.interp(round(s, 3), *self.steps))
-        return min(1.0, max(0.0, s)), [int(self.index.ids[at]) for _, at in near[:3]], sorted(self.vocabulary[t] for t in tf)[:5]
+        told = [self.vocabulary[t] for t in at[np.argsort(-w * (self.evidence[at] > 0), kind="stable")[:5]] if self.evidence[t] > 0]
+        return min(1.0, max(0.0, s)), [int(self.index.ids[k]) for _, k in near[:3]], told
 
 
-def _pairs(batches):
-    """(term, label) of each example's distinct terms."""
-    for b in slices(batches):
-        terms, labels = [], []
-        for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = {x for w in counted(t) for x in terms_of(w)}
-            terms += own
-            labels += [y] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32())], ["term", "toxic"])
-
-
-def _vectors(vocabulary):
-    def run(batches):
-        find = Terms(vocabulary.value)
-        for b in slices(batches, 2):
-            found = [find(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "n"])
-
-    return run
+def _example_terms(batches):
+    for b in slices(batches, 2):
+        found = [terms_in(t) for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "n"])
 
 
 def _frequencies(vocabulary):
-    """Documents of the partition that have each term: one row."""
+    """Documents of the partition that have each term: one row a term, -1 standing for all documents."""
 
     def run(batches):
-        find, df, n = Terms(vocabulary.value), Counter(), 0
+        places = once(vocabulary, Places)
+        df, n = np.zeros(len(places.place), np.int64), 0
         for b in slices(batches, 0):
             for t in b.column(0).to_pylist():
-                df.update(find(t).keys())
+                own = places.counts(t)
+                df[np.fromiter(own, np.int64, len(own))] += 1
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *df], pa.int32()), pa.array([n, *df.values()], pa.int64())], ["t", "n"])
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], ["t", "n"])
 
     return run
 
@@ -203,11 +219,12 @@ def _scores(state):
     """Columns from the fourth on are passed through."""
 
     def run(batches):
-        m = Model.of(state.value)
-        find = Terms(m.vocabulary)
+        m = once(state, Model.of)
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for b in slices(batches, 2):
-            rows = [m.score(find(t)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for s, _, _ in rows], pa.float64()), pa.array([int(s >= CUT) for s, _, _ in rows], pa.int32()), pa.array([e for _, e, _ in rows], pa.list_(pa.int64())), pa.array([w for _, _, w in rows], pa.list_(pa.string())), *b.columns[3:]], ["doc_id", "held_out", "score", "predicted", "evidence_ids", "evidence_terms", *b.schema.names[3:]])
+            rows = [m.score(t) for t in b.column(2).to_pylist()]
+            own = [pa.array([s for s, _, _ in rows], pa.float64()), pa.array([int(s >= CUT) for s, _, _ in rows], pa.int32()), pa.array([e for _, e, _ in rows], pa.list_(pa.int64())), pa.array([w for _, _, w in rows], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own, *b.columns[3:]], [*names, *b.schema.names[3:]])
 
     return run
 
@@ -221,38 +238,47 @@ def g2(n1: int, n0: int, all1: int, all0: int) -> float:
     return 2 * sum(o * math.log(o * total / e) for o, e in cells if o and e)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
-    """Learns from ``labels`` (doc_id, toxic) whose id's crc32 mod 3 is not 1; ids or labels that are null are left out, the least label of a repeated id counts, and of examples with equal texts the one of least id. Without examples every score is 0.5."""
+def evidence_of(n1: int, n: int, all1: int, rows: int) -> float:
+    """From 0 to 1: how far a term's likelihood ratio exceeds what chance gives."""
+    x = g2(n1, n - n1, all1, rows - all1) - CHANCE
+    return x / (x + HALF) if x > 0 else 0.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
+    """Learns from ``labels`` (doc_id, toxic) whose id's crc32 mod 3 is not 1; ids or labels that are null are left out, the least label of a repeated id counts, and of examples with equal texts the one of least id. Without examples every score is 0.5.
+
+    What reaches the driver are the terms of at most ``max_examples`` texts and one count for each of them.
+    """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(id_crc(F.col("doc_id")) % 3 != 1)
     chosen = chosen.groupBy("doc_id").agg(F.min("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     named = src.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64(F.lower("text")).alias("key")).agg(F.min(F.struct("doc_id", "toxic", "text")).alias("e")).select("e.*")
-    pairs = named.select("toxic", "text").mapInArrow(_pairs, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")).where(f"n1 >= {LEAST_DOCS} and n1 >= {LEAST_SHARE} * n")
-    total = named.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    all1, rows = int(total[0] or 0), int(total[1])
-    kept = sorted(((-g2(r["n1"], r["n"] - r["n1"], all1, rows - all1), r["term"]) for r in pairs.toLocalIterator()))
-    vocabulary = [t for g, t in kept if -g >= LEAST_G2][:max_terms]
-    words = spark.sparkContext.broadcast(vocabulary)
-    examples = [(r["doc_id"], r["toxic"], dict(zip(r["t"], r["n"]))) for r in named.select("doc_id", "toxic", "text").mapInArrow(_vectors(words), "doc_id bigint, toxic int, t array<int>, n array<int>").collect()]
-    counts = {r["t"]: r["n"] for r in src.select("text").mapInArrow(_frequencies(words), "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    n = counts.get(-1, 0)
-    idf = np.array([math.log((n + 1) / (counts.get(k, 0) + 1)) + 1 for k in range(len(vocabulary))])
+    examples = [(r["doc_id"], r["toxic"], dict(zip(r["t"], r["n"]))) for r in named.select("doc_id", "toxic", "text").mapInArrow(_example_terms, "doc_id bigint, toxic int, t array<string>, n array<int>").toLocalIterator()]
     examples.sort(key=lambda e: e[0])
-    return Model(vocabulary, idf, examples)
+    seen = Counter(t for e in examples for t in e[2])
+    toxic = Counter(t for e in examples if e[1] == 1 for t in e[2])
+    vocabulary = sorted(seen)
+    all1 = sum(y == 1 for _, y, _ in examples)
+    evidence = np.array([evidence_of(toxic[t], seen[t], all1, len(examples)) if toxic[t] else 0.0 for t in vocabulary])
+    found = src.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(vocabulary) + 1, np.int64)  # that of all documents comes last
+    counts[found.column("t").to_numpy()] = found.column("n").to_numpy()
+    idf = np.log((counts[-1] + 1) / (counts[:-1] + 1))
+    return Model(vocabulary, idf, evidence, examples)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), **limits) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence_ids, evidence_terms) for every row of ``docs``.
 
-    Scores depend on the text alone. Null and empty texts get the rate of examples without kept terms; a null id counts as the empty text in ``held_out``; repeated rows are scored alike. ``predicted`` is 1 from a score of 0.7. An empty table gives no rows. Columns of ``docs`` named in ``keep`` are handed on beside the scores.
+    Scores depend on the text alone. Null and empty texts, and those without a term of any example, get the calibrated rate of the examples; a null id counts as the empty text in ``held_out``; repeated rows are scored alike. ``predicted`` is 1 from a score of 0.7. An empty table gives no rows. Columns of ``docs`` named in ``keep`` are handed on beside the scores; one that has the name of a result gets ``_in`` behind its name.
     """
     state = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **limits).state())
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (id_crc(F.col("doc_id").cast("bigint")) % 3 == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
-    more = [c for c in keep if c != "doc_id"]
-    if more:
-        src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (id_crc(F.col("doc_id").cast("bigint")) % 3 == 1).alias("held_out"), F.col("text").cast("string").alias("__text"), *more)
-    return src.mapInArrow(_scores(state), ", ".join([SCHEMA, *(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in more)]))
+    own = {x.split()[0] for x in SCHEMA.split(", ")}
+    more = [F.col(c).alias(f"{c}_in" if c in own else c) for c in keep if c != "doc_id"]
+    doc_id = F.col("doc_id").cast("bigint")
+    src = docs.select(doc_id.alias("__id"), (id_crc(doc_id) % 3 == 1).alias("__held"), F.col("text").cast("string").alias("__text"), *more)
+    return src.mapInArrow(_scores(state), ", ".join([SCHEMA, *(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[3:])]))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
