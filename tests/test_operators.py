@@ -5,6 +5,7 @@ import json
 import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
@@ -79,7 +80,38 @@ def test_fusion(spark):
     speech = ocr.withColumn("end_time", F.lit(3.0))
     visual = ocr.withColumn("entity_id", F.lit("p")).withColumn("motion_type", F.lit("high_action"))
     assert sorted((r.modality, r.priority, r.duration) for r in TL.fused(ocr, speech, visual).collect()) == [("ocr", 2, 0.0), ("speech", 1, 2.0), ("visual", 3, 0.0)]
-    assert sorted((r.modality, r.priority) for r in TL.fused(ocr, speech, visual, True).collect()) == [("ocr", 1), ("speech", 1), ("visual", 1)]
+    audio, tokens = speech.withColumn("kind", F.lit("dialogue")), spark.createDataFrame([("v", 80, 10), ("w", 5, 0)], "timeline_id string, n_frames long, n_tokens long")
+    got = TL.fused_extracted(ocr, visual, audio, tokens).orderBy("seq").collect()
+    assert [(r.modality, r.priority) for r in got] == [("ocr", 1), ("visual", 1), ("speech", 1), ("temporal", 3)] and got[3].description == "Temporal context: 80 frames compressed to 10 tokens"
+
+
+def test_fusion_keeps_the_order_of_streams_at_one_time(spark):
+    late = spark.createDataFrame([("v", 5, 1.0, "HP", 0.9)], "timeline_id string, seq long, t_sec double, text string, confidence double")
+    early = late.withColumn("seq", F.lit(0).cast("bigint")).withColumn("end_time", F.lit(2.0)).withColumn("entity_id", F.lit("p"))
+    got = TL.fused(late, early, early).orderBy("t_sec", "seq").collect()
+    assert [r.modality for r in got] == ["ocr", "speech", "visual"]
+    assert [r.description for r in TL.appended(TL.fused(late, early, early), TL.fused(late, early, early).where("modality = 'ocr'").withColumn("description", F.lit("new"))).orderBy("seq").collect()][-1] == "new"
+
+
+def test_ends_without_an_open_edge_close_nothing(spark):
+    def intervals(*changes):
+        rows = [("a", "b", "near", float(t), k, s) for k, (t, s) in enumerate(changes)]
+        edges = joins.opened_and_closed(spark.createDataFrame(rows, "source_id string, target_id string, relation_type string, t_sec double, seq long, is_start boolean"))
+        return [(r.start_time, r.end_time) for r in edges.orderBy("start_time").collect()]
+
+    assert intervals((0, False), (1, True), (2, False)) == [(1, 2)]
+    assert intervals((0, False), (0, False), (1, True), (2, True), (3, False), (4, False), (5, False), (6, True)) == [(1, 3), (2, 4), (6, None)]
+
+
+def test_band_join_keeps_left_rows(spark):
+    a = spark.createDataFrame([("k", 1.0, 1), ("k", 50.0, 2), ("z", 1.0, 3)], "k string, t double, i long")
+    b = spark.createDataFrame([("k", 2.0, "x")], "k string, u double, v string")
+    got = joins.band_join(a, b, ["k"], "t", "u", 1.0, 5.0, how="left")
+    assert sorted((r.i, r.v or "") for r in got.collect()) == [(1, "x"), (2, ""), (3, "")]
+
+
+def test_fusion_of_tokens_and_text(spark):
+    ocr = spark.createDataFrame([("v", 0, 1.0, "HP", 0.9)], "timeline_id string, seq long, t_sec double, text string, confidence double")
     assert TL.from_text(ocr).first().priority == 2 and TL.clean_text(ocr).count() == 0
     tokens = spark.createDataFrame([("v", 0, 0.0, 4.0, "clip", 16)], "timeline_id string, seq long, start double, end double, level string, source_frame_count int")
     assert TL.from_tokens(tokens).first().description == "clip segment (16 frames)"
@@ -128,8 +160,9 @@ def test_intervals_frames_and_graph(spark):
     assert graph.edges_of(loop, "a").count() == 2
     frames = spark.createDataFrame([(k, float(k)) for k in range(5)], "frame_idx long, t_sec double")
     assert joins.nearest_frame(frames, 2.5).first().frame_idx == 2 and joins.nearest_frame(frames, None).first().frame_idx == 2
-    det = spark.createDataFrame([(1.0, "cat", (0.0, 0.0, 1.0, 1.0))], "t_sec double, label string, bbox struct<x1:double,y1:double,x2:double,y2:double>")
-    assert sorted(r.label for r in joins.frames_with_detections(frames, det, 10.0, 10.0).collect()) == ["cat"] + ["full_frame"] * 4
+    det = spark.createDataFrame([("a", 1.0, "cat", (0.0, 0.0, 1.0, 1.0))], "video string, t_sec double, label string, bbox struct<x1:double,y1:double,x2:double,y2:double>")
+    two = frames.withColumn("video", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    assert sorted(r.label for r in joins.frames_with_detections(two, det, 10.0, 10.0).collect()) == ["cat"] + ["full_frame"] * 9
     nodes = spark.createDataFrame([("a", "x", 0.0, 1.0), ("b", "y", 0.0, 2.0)], "entity_id string, category string, first_seen double, last_seen double")
     assert [r.line for r in graph.export_lines(nodes, edges).orderBy("line_no").collect()] == ["## Entities", "- b (y)", "- a (x)", "## Relationships", "- a near b", "- a near b"]
     assert json.loads(graph.as_graph(nodes, edges).first().nodes)[0]["entity_id"] == "a"
@@ -206,7 +239,14 @@ def test_readers_and_caches(spark, tmp_path):
     assert {r.sample_id: r.task for r in loaders.game_questions(spark, str(tmp_path / "b")).collect()}["1"] == "glitch_detection"
     assert {r.sample_id: r.task for r in loaders.long_videos(spark, str(tmp_path / "b")).collect()}["2"] == "temporal_reasoning"
     (tmp_path / "m.json").write_text(json.dumps([{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, {"messages": []}, {"question": "q", "answer": "a"}]))
-    assert loaders.training_messages(spark, str(tmp_path / "m.json")).count() == 1 and loaders.training_pairs(spark, str(tmp_path / "m.json")).count() == 1
+    for reader in (loaders.training_messages, loaders.training_pairs):
+        with pytest.raises(Exception, match="no question and answer|not a conversation"):
+            reader(spark, str(tmp_path / "m.json")).collect()
+    (tmp_path / "p.json").write_text(json.dumps([{"question": "q", "answer": "a"}]))
+    (tmp_path / "c.json").write_text(json.dumps([{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}]))
+    assert loaders.training_messages(spark, str(tmp_path / "c.json")).collect() and loaders.training_pairs(spark, str(tmp_path / "p.json")).first().answer == "a"
+    loaders.save_conversations(spark.createDataFrame([(7, 0, "user", "a"), (8, 0, "user", "b")], "conv_id long, turn long, role string, text string"), str(tmp_path / "saved"))
+    assert [r.text for r in loaders.load_conversation(spark, str(tmp_path / "saved"), 8).collect()] == ["b"]
     (tmp_path / "v").mkdir()
     (tmp_path / "v/clip.mp4").write_bytes(b"abc")
     (tmp_path / "v/clip.txt").write_bytes(b"abc")

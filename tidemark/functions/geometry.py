@@ -75,6 +75,19 @@ def absolute(b: Column, w: Column, h: Column) -> Column:
     return F.struct(*[F.floor(b[n] * s).alias(n) for n, s in (("x1", w), ("y1", h), ("x2", w), ("y2", h))])
 
 
+def mask_iou(a: Column, b: Column) -> Column:
+    """Of masks (h, w, bits: array of booleans): 0 where shapes differ or nothing is set."""
+    both = F.size(F.filter(F.zip_with(a["bits"], b["bits"], lambda x, y: x & y), lambda x: x))
+    either = F.size(F.filter(F.zip_with(a["bits"], b["bits"], lambda x, y: x | y), lambda x: x))
+    return F.when((a["h"] == b["h"]) & (a["w"] == b["w"]), F.coalesce(F.try_divide(both, either), F.lit(0.0))).otherwise(0.0)
+
+
+def pixel_budget(detail: Column, least: int = 256 * 32 * 32, most: int = 1024 * 32 * 32) -> Column:
+    """(min_pixels, max_pixels) of a level of detail: low, high, or the given bounds."""
+    bounds = lambda lo, hi: F.struct(F.lit(lo).alias("min_pixels"), F.lit(hi).alias("max_pixels"))
+    return F.when(detail == "low", bounds(128 * 1024, 256 * 1024)).when(detail == "high", bounds(512 * 1024, 1024 * 1024)).otherwise(bounds(least, most))
+
+
 def patch_size(w: Column, h: Column, least: int = 224, most: int = 768, patch: int = 14) -> Column:
     """Width and height scaled to fit ``most``, not below ``least``, cut to whole patches."""
     scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(w, h))

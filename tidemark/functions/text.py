@@ -111,10 +111,16 @@ def verbose(t: Column, entity: Column, modality: Column, text: Column) -> Column
     return F.concat(F.lit("["), mmss(t), F.lit("]"), who, F.lit(" ("), modality, F.lit(") "), text)
 
 
-def interleaved(t: Column, kind: Column, text: Column) -> Column:
-    """``<ts=MM:SS> <r|a|v> text``: region, audio, video."""
-    tag = F.when(kind == "region", "<r>").when(kind == "audio", "<a>").otherwise("<v>")
-    return F.concat(time_token(t), F.lit(" "), tag, F.lit(" "), text)
+def interleaved(t: Column, kind: Column, text: Column, embeddings: bool = False) -> Column:
+    """``<ts=MM:SS> <r|a|v> text``: what is seen, heard, or a video; with ``embeddings`` the tags are those of their embeddings, and other kinds have none."""
+    tag = lambda name: f"<{name}_emb>" if embeddings else f"<{name}>"
+    tags = F.when(kind == "visual", tag("r")).when(kind == "audio", tag("a")).when(kind == "video", tag("v"))
+    return F.concat_ws(" ", time_token(t), tags, text)
+
+
+def frame_at(t: Column, fps: int = 10) -> Column:
+    """The frame that is about at a time."""
+    return (t * fps).cast("bigint")
 
 
 def ocr_category(text: Column) -> Column:
@@ -145,6 +151,12 @@ def game_of(text: Column) -> Column:
     return out
 
 
+def game_by_evidence(ocr: Column, speech: Column, other: Column) -> Column:
+    """(name, genre, confidence) of the first evidence that names a game: text on screen at 0.8, speech at 0.6, anything else at 0.5."""
+    found = lambda text, c: F.when(game_of(text).isNotNull(), F.struct(game_of(text)["name"].alias("name"), game_of(text)["genre"].alias("genre"), F.lit(c).alias("confidence")))
+    return F.coalesce(found(ocr, 0.8), found(speech, 0.6), found(other, 0.5))
+
+
 def source_of(url: Column) -> Column:
     return first_of(F.lower(url), SOURCES, F.lit("web"))
 
@@ -243,6 +255,11 @@ def long_video_task(task: Column) -> Column:
     return first_of(F.lower(task), [(label, (word,)) for word, label in LONG_VIDEO_TASKS], F.lit("visual_qa"))
 
 
+def long_question_task(task: Column, question: Column) -> Column:
+    """Temporal where the task says so or the question asks when, else visual."""
+    return F.when(F.lower(F.coalesce(task, F.lit(""))).contains("temporal") | F.lower(question).contains("when"), "temporal_reasoning").otherwise("visual_qa")
+
+
 def answer_format(task: Column, options: Column, answer: Column) -> Column:
     return F.when(task == "bug_report", "free_text").when(F.size(options) > 0, "mcq").when(F.lower(answer).isin("yes", "no", "true", "false"), "binary").otherwise("free_text")
 

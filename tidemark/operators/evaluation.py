@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Edges of the duration buckets, in seconds.
 DURATION_EDGES = (0, 300, 600, 1800, 3600)
+#: What is averaged of each sample.
+MEANS = ("num_frames", "input_tokens", "output_tokens", "total_tokens", "perception_time", "retrieval_time", "generation_time", "total_time")
 
 
 def aggregates(metrics: DataFrame) -> DataFrame:
@@ -14,7 +16,7 @@ def aggregates(metrics: DataFrame) -> DataFrame:
     mean = lambda c: F.round(F.avg(c), 6).alias(f"avg_{c}")
     return metrics.groupingSets([["model_config", "benchmark"], ["model_config", "benchmark", "task_type"]], "model_config", "benchmark", "task_type").agg(
         F.grouping("task_type").cast("int").alias("is_total"), F.count(F.lit(1)).alias("total"), F.sum(F.col("correct").cast("bigint")).alias("n_correct"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"),
-        mean("num_frames"), mean("total_tokens"), mean("total_time"), F.max("peak_vram_gb").alias("max_vram"), F.round(F.sum("total_time"), 4).alias("sum_time"),
+        *[mean(c) for c in MEANS], F.max("peak_vram_gb").alias("max_vram"), F.round(F.sum("total_time"), 4).alias("sum_time"),
     )
 
 
@@ -49,6 +51,22 @@ def loader_statistics(samples: DataFrame) -> DataFrame:
     return samples.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("task").alias("n_tasks"), F.count_distinct("category").alias("n_categories"), F.round(F.avg(d), 6).alias("avg_duration"), F.min(d).alias("min_duration"), F.max(d).alias("max_duration"))
 
 
+def loader_counts(samples: DataFrame) -> DataFrame:
+    """(kind, name, n): samples of each task, and of each category."""
+    both = F.explode(F.array(F.struct(F.lit("task").alias("kind"), F.col("task").alias("name")), F.struct(F.lit("category").alias("kind"), F.col("category").alias("name"))))
+    return samples.select(both.alias("x")).groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def preset_comparison(results: DataFrame) -> DataFrame:
+    """A row for each preset of results (preset, correct, latency_sec, error): samples, accuracy, mean time and failures."""
+    return results.groupBy("preset").agg(F.count(F.lit(1)).alias("total"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"), F.round(F.avg("latency_sec"), 6).alias("avg_latency"), F.count("error").alias("n_errors"))
+
+
+def errors(results: DataFrame) -> DataFrame:
+    """(sample_id, error) of the samples that failed."""
+    return results.where("error is not null").select("sample_id", "error")
+
+
 def filtered(samples: DataFrame, tasks: list[str] | None = None, categories: list[str] | None = None, least: float | None = None, most: float | None = None, keep_unknown: bool = True) -> DataFrame:
     """Filters of a loader; an unknown duration passes its bounds, or counts as 0 with ``keep_unknown`` off, where bounds of 0 are none."""
     if tasks:
@@ -63,8 +81,8 @@ def filtered(samples: DataFrame, tasks: list[str] | None = None, categories: lis
 
 
 def limited(samples: DataFrame, most: int, order: str, shuffle_seed: int | None = None) -> DataFrame:
-    """The first ``most`` in file order, or by a seeded hash where a shuffle is asked for and needed."""
-    if shuffle_seed is None:
+    """The first ``most`` in file order, or by a seeded hash where a shuffle is asked for and there are more."""
+    if shuffle_seed is None or samples.limit(most + 1).count() <= most:
         return samples.orderBy(order).limit(most)
     return samples.orderBy(F.xxhash64(F.lit(shuffle_seed), order), order).limit(most)
 

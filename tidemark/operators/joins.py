@@ -12,7 +12,7 @@ from tidemark.functions import text as T
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, before: float, after: float, strict: tuple[bool, bool] = (False, False), how: str = "inner") -> DataFrame:
     """Rows with -before <= right_t - left_t <= after (strict ends exclude) and equal keys.
 
-    Time is cut into buckets as long as the band. A left row goes to the buckets that its band touches, a right row to its own, so that it is an equality join whose partitions are as small as a bucket, and no pair meets twice.
+    Time is cut into buckets as long as the band. A left row goes to the buckets that its band touches, a right row to its own, so that it is an equality join whose partitions are as small as a bucket, and no pair meets twice. ``how`` is inner or left.
     """
     size = float(before + after) or 1.0
     lo, hi = F.col(left_t) - before, F.col(left_t) + after
@@ -20,7 +20,13 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, r
     b = right.withColumn("__b", F.floor(F.col(right_t) / size).cast("bigint"))
     d = F.col(right_t) - F.col(left_t)
     inside = (d > -before if strict[0] else d >= -before) & (d < after if strict[1] else d <= after)
-    return a.join(b, [*keys, "__b"], how).where(inside).drop("__b")
+    pairs = a.join(b, [*keys, "__b"]).where(inside).drop("__b")
+    if how == "inner":
+        return pairs
+    # A left row that no bucket joins stays once, without a right side.
+    row = F.struct(*left.columns)
+    alone = left.withColumn("__row", row).join(pairs.select(row.alias("__row")).distinct(), "__row", "left_anti").drop("__row")
+    return pairs.unionByName(alone, allowMissingColumns=True)
 
 
 def causal_links(causes: DataFrame, effects: DataFrame, window: float = 5.0) -> DataFrame:
@@ -57,9 +63,7 @@ def nearest_frame(frames: DataFrame, t: float | None) -> DataFrame:
     """The frame (frame_idx, t_sec) nearest to t; without t the middle one."""
     if t is not None:
         return frames.orderBy(F.abs(F.col("t_sec") - t), "frame_idx").limit(1)
-    n = frames.agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("mid"))
-    ranked = frames.withColumn("__n", F.row_number().over(W.orderBy("frame_idx")))
-    return ranked.join(F.broadcast(n), F.col("__n") == F.col("mid")).drop("__n", "mid")
+    return frames.orderBy("frame_idx").offset(frames.count() // 2).limit(1)
 
 
 def joined_texts(rows: DataFrame, key: str, order: list[str], text: str, separator: str, most: int | None = None, fallback: str | None = None) -> DataFrame:
@@ -87,19 +91,24 @@ def texts_within(clips: DataFrame, events: DataFrame, separator: str = "; ", mos
 
 
 def frames_with_detections(frames: DataFrame, detections: DataFrame, width: float, height: float) -> DataFrame:
-    """Detections by the exact time of their frame; a frame without any has one that covers it."""
+    """Detections (video, t_sec, label, bbox) by the exact time of their frame (video, t_sec, ...); a frame without any has one that covers it."""
     full = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(width).alias("x2"), F.lit(height).alias("y2"))
-    return frames.join(detections, "t_sec", "left").withColumn("bbox", F.coalesce("bbox", full)).withColumn("label", F.coalesce("label", F.lit("full_frame")))
+    return frames.join(detections, ["video", "t_sec"], "left").withColumn("bbox", F.coalesce("bbox", full)).withColumn("label", F.coalesce("label", F.lit("full_frame")))
 
 
 def opened_and_closed(changes: DataFrame) -> DataFrame:
-    """Intervals from rows (source_id, target_id, relation_type, t_sec, seq, is_start): the k-th end closes the k-th start, as each end closes the first open one; open ones have no end."""
+    """Intervals from rows (source_id, target_id, relation_type, t_sec, seq, is_start): each end closes the first open start; one that finds none open closes nothing. Open ones have no end.
+
+    Of a running balance of starts and ends, an end that makes a new low below 0 found none open, and the low counts those so far; so the k-th of the others closes the k-th start.
+    """
     keys = ["source_id", "target_id", "relation_type"]
-    w = W.partitionBy(*keys, "is_start").orderBy("t_sec", "seq")
-    numbered = changes.withColumn("k", F.row_number().over(w))
-    starts = numbered.where("is_start").select(*keys, "k", F.col("t_sec").alias("start_time"), "seq")
-    ends = numbered.where("not is_start").select(*keys, "k", F.col("t_sec").alias("end_time"))
-    return starts.join(ends, [*keys, "k"], "left").select(*keys, "k", "seq", "start_time", F.when(F.col("end_time") >= F.col("start_time"), F.col("end_time")).alias("end_time"))
+    w = W.partitionBy(*keys).orderBy("t_sec", "seq")
+    n_starts, n_ends = F.count_if("is_start").over(w), F.count_if(~F.col("is_start")).over(w)
+    low = changes.withColumn("s", n_starts).withColumn("e", n_ends).withColumn("low", F.least(F.lit(0), F.min(F.col("s") - F.col("e")).over(w)))
+    starts = low.where("is_start").select(*keys, F.col("s").alias("k"), F.col("t_sec").alias("start_time"), "seq")
+    effective = low.withColumn("before", F.coalesce(F.lag("low").over(w), F.lit(0))).where("not is_start and low = before")
+    ends = effective.select(*keys, (F.col("e") + F.col("low")).alias("k"), F.col("t_sec").alias("end_time"))
+    return starts.join(ends, [*keys, "k"], "left").select(*keys, "k", "seq", "start_time", "end_time")
 
 
 def keyword_hits(detections: DataFrame, label: str, concepts: list[str], least: float = 0.8) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 
 def every_nth(frames: DataFrame, video_fps: float, fps: float, guard: bool = True) -> DataFrame:
-    """Every int(video_fps / fps)-th frame, every frame where that is 0 and ``guard`` is on."""
+    """Every int(video_fps / fps)-th frame. Where that is 0, every frame with ``guard`` on, and an error without, as no frame can be picked."""
     step = int(video_fps / fps)
-    return frames.where(F.col("frame_idx") % (max(1, step) if guard else step) == 0).withColumn("t_sec", F.col("frame_idx") / video_fps)
+    if step < 1 and not guard:
+        raise ValueError("fps is greater than the video's")
+    return frames.where(F.col("frame_idx") % max(1, step) == 0).withColumn("t_sec", F.col("frame_idx") / video_fps)
 
 
 def subsampled(frames: DataFrame, fps: float, wanted: float) -> DataFrame:
@@ -50,6 +52,28 @@ def frame_chunks(frames: DataFrame, length: int = 16, step: int = 8) -> DataFram
     return rows.groupBy("video", "chunk").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("k") == F.col("chunk") * step + length // 2, F.col("t_sec"))).alias("mid_t")).where(F.col("n") == length)
 
 
+def padded_chunks(frames: DataFrame, length: int = 16) -> DataFrame:
+    """(video, chunk, n, first_t, frames): chunks of ``length`` frames side by side; the last frame fills up the last chunk."""
+    k = F.row_number().over(W.partitionBy("video").orderBy("t_sec", "frame_idx")) - 1
+    rows = frames.withColumn("k", k).groupBy("video", F.floor(F.col("k") / length).alias("chunk"))
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.min("t_sec").alias("first_t"), F.transform(F.sort_array(F.collect_list(F.struct("k", "frame_idx"))), lambda x: x["frame_idx"]).alias("f"))
+    return got.select("video", "chunk", "n", "first_t", F.concat("f", F.array_repeat(F.element_at("f", -1), F.lit(length) - F.size("f"))).alias("frames"))
+
+
+def tumbling_chunks(media: DataFrame, length: float = 10.0, least: float = 1.0) -> DataFrame:
+    """(media_id, k, start, end): chunks side by side; a last one under ``least`` seconds is left out."""
+    n = F.ceil(F.col("duration") / length).cast("int")
+    out = media.where("duration > 0").select("media_id", "duration", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    return out.select("media_id", "k", (F.col("k") * length).alias("start"), F.least(F.col("k") * length + length, "duration").alias("end")).where(F.col("end") - F.col("start") >= least)
+
+
+def trajectories(tracked: DataFrame) -> DataFrame:
+    """(timeline_id, entity_id, n_points, centers): the centres of each entity's boxes in order of time; rows have (timeline_id, entity_id, t_sec, seq, bbox)."""
+    at = F.struct("t_sec", "seq", ((F.col("bbox.x1") + F.col("bbox.x2")) / 2).alias("x"), ((F.col("bbox.y1") + F.col("bbox.y2")) / 2).alias("y"))
+    out = tracked.groupBy("timeline_id", "entity_id").agg(F.sort_array(F.collect_list(at)).alias("p"))
+    return out.select("timeline_id", "entity_id", F.size("p").alias("n_points"), F.transform("p", lambda p: F.struct(p["t_sec"].alias("t_sec"), p["x"].alias("x"), p["y"].alias("y"))).alias("centers"))
+
+
 def motion(series: DataFrame, value: str = "value") -> DataFrame:
     """Class of each frame by how far its mean differs from the one before."""
     d = F.abs(F.col(value) - F.lag(value).over(W.partitionBy("timeline_id").orderBy("t_sec", "seq")))
@@ -58,7 +82,7 @@ def motion(series: DataFrame, value: str = "value") -> DataFrame:
 
 def numbered_ids(rows: DataFrame, kind: str, order: list[str]) -> DataFrame:
     """``entity_id``: kind_001, kind_002, ... in order."""
-    return rows.withColumn("entity_id", F.concat(F.col(kind), F.lit("_"), F.lpad(F.row_number().over(W.partitionBy(kind).orderBy(*order)).cast("string"), 3, "0")))
+    return rows.withColumn("entity_id", F.format_string("%s_%03d", F.col(kind), F.row_number().over(W.partitionBy(kind).orderBy(*order))))
 
 
 def time_ids(rows: DataFrame) -> DataFrame:

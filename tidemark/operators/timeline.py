@@ -139,18 +139,64 @@ def transcript(df: DataFrame, most: int = 50, **filters) -> DataFrame:
     return kept.groupBy("timeline_id").agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_sec", "seq", line))), lambda x: x["line"]), "\n").alias("transcript"))
 
 
-def fused(ocr: DataFrame, speech: DataFrame, visual: DataFrame, extracted: bool = False) -> DataFrame:
-    """One timeline of three streams, each with (timeline_id, seq, t_sec, text, confidence) and, for speech, end_time, for visual, entity_id and motion_type.
-
-    Live: text MEDIUM, speech HIGH, visual LOW. Extracted: text HIGH over 0.8 confidence, visual HIGH on high action, else MEDIUM, speech HIGH.
-    """
-    def rows(df: DataFrame, part: int, modality: str, priority: Column, duration: Column, entity: Column) -> DataFrame:
-        return df.select("timeline_id", (F.col("seq") * 3 + part).alias("seq"), "t_sec", F.lit(modality).alias("modality"), F.col("text").alias("description"), priority.cast("int").alias("priority"), duration.alias("duration"), entity.alias("entity_id"), "confidence")
-
-    none, zero = F.lit(None).cast("string"), F.lit(0.0)
-    text_rank = F.when(F.col("confidence") > 0.8, HIGH).otherwise(MEDIUM) if extracted else F.lit(MEDIUM)
-    visual_rank = F.when(F.col("motion_type") == "high_action", HIGH).otherwise(MEDIUM) if extracted else F.lit(LOW)
-    return rows(ocr, 0, "ocr", text_rank, zero, none).unionByName(rows(speech, 1, "speech", F.lit(HIGH), F.col("end_time") - F.col("t_sec"), none)).unionByName(rows(visual, 2, "visual", visual_rank, zero, F.col("entity_id")))
+def in_turn(*streams: DataFrame) -> DataFrame:
+    """Streams of events one behind the other: ``seq`` is made of the stream's place, then the row's own ``seq`` (below 2**40)."""
+    out = None
+    for k, df in enumerate(streams):
+        own = df.withColumn("seq", F.col("seq") + F.lit(k << 40)).select(*COLUMNS)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def event_rows(df: DataFrame, modality: str | Column, description: Column, priority: Column, duration: Column | None = None, entity: Column | None = None) -> DataFrame:
+    """Rows (timeline_id, seq, t_sec, confidence, ...) as events of a timeline."""
+    kind = F.lit(modality) if isinstance(modality, str) else modality
+    return df.select(
+        "timeline_id", "seq", "t_sec", kind.alias("modality"), description.alias("description"), priority.cast("int").alias("priority"), (F.lit(0.0) if duration is None else duration).alias("duration"),
+        (F.lit(None).cast("string") if entity is None else entity).alias("entity_id"), "confidence",
+    )
+
+
+def fused(ocr: DataFrame, speech: DataFrame, visual: DataFrame) -> DataFrame:
+    """A live recording's streams, each (timeline_id, seq, t_sec, text, confidence), speech with end_time, visual with entity_id: text MEDIUM, speech HIGH, visual LOW. At one time text comes first, then speech, then what is seen."""
+    text = F.col("text")
+    return in_turn(
+        event_rows(ocr, "ocr", text, F.lit(MEDIUM)),
+        event_rows(speech, "speech", text, F.lit(HIGH), F.col("end_time") - F.col("t_sec")),
+        event_rows(visual, "visual", text, F.lit(LOW), entity=F.col("entity_id")),
+    )
+
+
+def fused_extracted(ocr: DataFrame, visual: DataFrame, audio: DataFrame, compressed: DataFrame) -> DataFrame:
+    """A recording's extracted streams in their order: text, HIGH over 0.8 confidence; what is seen, HIGH on high action, else MEDIUM; audio (with ``kind``, dialogue being speech), HIGH; and for each timeline with temporal tokens (timeline_id, n_frames, n_tokens) a LOW note at 0."""
+    note = F.format_string("Temporal context: %d frames compressed to %d tokens", "n_frames", "n_tokens")
+    notes = compressed.where("n_tokens > 0").withColumns({"seq": F.lit(0).cast("bigint"), "t_sec": F.lit(0.0), "confidence": F.lit(1.0)})
+    known = F.coalesce("confidence", F.lit(1.0))
+    return in_turn(
+        event_rows(ocr.withColumn("rank", F.when(F.col("confidence") > 0.8, HIGH).otherwise(MEDIUM)).withColumn("confidence", known), "ocr", F.concat(F.lit('Text: "'), "text", F.lit('"')), F.col("rank")),
+        event_rows(visual.withColumn("confidence", known), "visual", F.col("text"), F.when(F.col("motion_type") == "high_action", HIGH).otherwise(MEDIUM)),
+        event_rows(audio.withColumn("confidence", F.lit(1.0)), F.when(F.col("kind") == "dialogue", "speech").otherwise("audio"), F.col("text"), F.lit(HIGH), F.coalesce("end_time", "t_sec") - F.col("t_sec")),
+        event_rows(notes, "temporal", note, F.lit(LOW)),
+    )
+
+
+def from_entities(tracked: DataFrame, frame_idx: int, t_sec: float) -> DataFrame:
+    """The entities (timeline_id, seq, entity_id, concept_label, frame_idx, confidence) with a mask in one frame, as events at its time."""
+    rows = tracked.where(F.col("frame_idx") == frame_idx).withColumn("t_sec", F.lit(float(t_sec)))
+    return event_rows(rows, "visual", F.concat("concept_label", F.lit(" detected")), F.lit(MEDIUM), entity=F.col("entity_id"))
+
+
+def from_audio(segments: DataFrame, sounds: DataFrame) -> DataFrame:
+    """Speech segments, then sounds, each (timeline_id, seq, t_sec, end_time, text, confidence), as events."""
+    length = F.col("end_time") - F.col("t_sec")
+    return in_turn(event_rows(segments, "speech", F.col("text"), F.lit(MEDIUM), length), event_rows(sounds, "audio", F.col("text"), F.lit(MEDIUM), length))
+
+
+def appended(timeline: DataFrame, events: DataFrame) -> DataFrame:
+    """The timeline with events behind it: they arrive after all that their timeline has."""
+    last = timeline.groupBy("timeline_id").agg(F.max("seq").alias("__last"))
+    own = events.withColumn("__k", F.row_number().over(W.partitionBy("timeline_id").orderBy("seq"))).join(last, "timeline_id", "left")
+    return timeline.select(*COLUMNS).unionByName(own.withColumn("seq", F.coalesce(F.col("__last") + F.col("__k"), F.col("__k") - 1)).select(*COLUMNS))
 
 
 def from_tokens(tokens: DataFrame) -> DataFrame:

@@ -212,8 +212,12 @@ def changes(spark, sf_dir):
     return e.select(F.col("timeline_id").alias("source_id"), F.lit("item").alias("target_id"), F.lit("targets").alias("relation_type"), "t_sec", "seq", (F.col("modality") == "view").alias("is_start"))
 
 
-EDGES = f"""{TLS}, ch as (select timeline_id as source_id, 'item' as target_id, 'targets' as relation_type, t_sec, seq, modality = 'view' as is_start, row_number() over (partition by timeline_id, modality order by t_sec, seq) as k from tl where modality in ('view', 'purchase')),
-ed as (select s.source_id, s.target_id, s.relation_type, s.k, s.seq, s.t_sec as start_time, case when e.t_sec >= s.t_sec then e.t_sec end as end_time from (select * from ch where is_start) s left join (select * from ch where not is_start) e on s.source_id = e.source_id and s.k = e.k)"""
+#: An end that takes the balance of starts and ends to a new low below 0 closes nothing.
+EDGES = f"""{TLS}, ch as (select timeline_id as source_id, 'item' as target_id, 'targets' as relation_type, t_sec, seq, modality = 'view' as is_start from tl where modality in ('view', 'purchase')),
+bl as (select *, count(*) filter (where is_start) over w as s, count(*) filter (where not is_start) over w as e from ch window w as (partition by source_id order by t_sec, seq)),
+lw as (select *, least(0, min(s - e) over (partition by source_id order by t_sec, seq)) as low from bl),
+cl as (select *, low = coalesce(lag(low) over (partition by source_id order by t_sec, seq), 0) and not is_start as closes from lw),
+ed as (select s.source_id, s.target_id, s.relation_type, s.s as k, s.seq, s.t_sec as start_time, e.t_sec as end_time from (select * from cl where is_start) s left join (select * from cl where closes) e on s.source_id = e.source_id and s.s = e.e + e.low)"""
 
 
 def edges(spark, sf_dir):
@@ -252,10 +256,10 @@ def cosine_sql(a: str, b: str) -> str:
     return f"round({COS.format(a=a, b=b)} / (sqrt({COS.format(a=a, b=a)}) * sqrt({COS.format(a=b, b=b)})), 6)"
 
 
-@query(f"with q as (select vec_id as query_id, embedding as e from embeddings where vec_id < 5), s as (select query_id, vec_id, {cosine_sql('q.e', 'x.embedding')} as similarity from q, embeddings x) select query_id, vec_id, similarity, row_number() over (partition by query_id order by similarity desc, vec_id)::int as rank from s qualify rank <= 5")
+@query(f"with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 20 = 0), s as (select query_id, vec_id, {cosine_sql('q.e', 'x.embedding')} as similarity from q, embeddings x) select query_id, vec_id, similarity, row_number() over (partition by query_id order by similarity desc, vec_id)::int as rank from s qualify rank <= 5")
 def knn_region(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return retrieval.similar_regions(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), e)
+    return retrieval.similar_regions(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), e)
 
 
 @query(f"select x.vec_id, {cosine_sql('q.embedding', 'x.embedding')} as similarity from embeddings x, (select embedding from embeddings where vec_id = 0) q order by similarity desc, vec_id limit 10")
@@ -360,15 +364,15 @@ def metrics(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     k = F.col("o_orderkey")
     return o.join(c, o.o_custkey == c.c_custkey).select(
-        F.col("o_orderstatus").alias("model_config"), F.col("c_nationkey").cast("string").alias("benchmark"), F.col("o_orderpriority").alias("task_type"), (k % 3 == 0).alias("correct"), (k % 256).cast("int").alias("num_frames"), (1024 + k % 777).cast("int").alias("total_tokens"),
+        F.col("o_orderstatus").alias("model_config"), F.col("c_nationkey").cast("string").alias("benchmark"), F.col("o_orderpriority").alias("task_type"), (k % 3 == 0).alias("correct"), (k % 256).cast("int").alias("num_frames"), (1024 + k % 777).cast("int").alias("total_tokens"), (1000 + k % 701).cast("int").alias("input_tokens"), (k % 77).cast("int").alias("output_tokens"), (k % 500 / 100).alias("perception_time"), (k % 90 / 100).alias("retrieval_time"), (k % 333 / 100).alias("generation_time"),
         (k % 1000 / 100).alias("total_time"), (F.col("o_custkey") % 45).cast("double").alias("peak_vram_gb"), ((k * 37) % 5400).cast("double").alias("video_duration_sec"),
     )
 
 
-METRICS = "mt as (select o_orderstatus as model_config, c_nationkey::varchar as benchmark, o_orderpriority as task_type, o_orderkey % 3 = 0 as correct, (o_orderkey % 256)::int as num_frames, (1024 + o_orderkey % 777)::int as total_tokens, (o_orderkey % 1000) / 100 as total_time, (o_custkey % 45)::double as peak_vram_gb, ((o_orderkey * 37) % 5400)::double as video_duration_sec from orders join customer on o_custkey = c_custkey)"
+METRICS = "mt as (select o_orderstatus as model_config, c_nationkey::varchar as benchmark, o_orderpriority as task_type, o_orderkey % 3 = 0 as correct, (o_orderkey % 256)::int as num_frames, (1024 + o_orderkey % 777)::int as total_tokens, (1000 + o_orderkey % 701)::int as input_tokens, (o_orderkey % 77)::int as output_tokens, (o_orderkey % 500) / 100 as perception_time, (o_orderkey % 90) / 100 as retrieval_time, (o_orderkey % 333) / 100 as generation_time, (o_orderkey % 1000) / 100 as total_time, (o_custkey % 45)::double as peak_vram_gb, ((o_orderkey * 37) % 5400)::double as video_duration_sec from orders join customer on o_custkey = c_custkey)"
 
 
-@query(f"with {METRICS} select model_config, benchmark, task_type, grouping(task_type)::int as is_total, count(*) as total, count(*) filter (where correct) as n_correct, round(avg(correct::int), 6) as accuracy, round(avg(num_frames), 6) as avg_num_frames, round(avg(total_tokens), 6) as avg_total_tokens, round(avg(total_time), 6) as avg_total_time, max(peak_vram_gb) as max_vram, round(sum(total_time), 4) as sum_time from mt group by grouping sets ((model_config, benchmark), (model_config, benchmark, task_type))")
+@query(f"with {METRICS} select model_config, benchmark, task_type, grouping(task_type)::int as is_total, count(*) as total, count(*) filter (where correct) as n_correct, round(avg(correct::int), 6) as accuracy, round(avg(num_frames), 6) as avg_num_frames, round(avg(input_tokens), 6) as avg_input_tokens, round(avg(output_tokens), 6) as avg_output_tokens, round(avg(total_tokens), 6) as avg_total_tokens, round(avg(perception_time), 6) as avg_perception_time, round(avg(retrieval_time), 6) as avg_retrieval_time, round(avg(generation_time), 6) as avg_generation_time, round(avg(total_time), 6) as avg_total_time, max(peak_vram_gb) as max_vram, round(sum(total_time), 4) as sum_time from mt group by grouping sets ((model_config, benchmark), (model_config, benchmark, task_type))")
 def metrics_by_config(spark, sf_dir):
     return evaluation.aggregates(metrics(spark, sf_dir))
 
@@ -507,3 +511,6 @@ select timeline_id, p[1] as t_sec, p[2]::bigint as seq from f where p is not nul
 def trigger_cooldown(spark, sf_dir):
     c = timeline(spark, sf_dir).where(F.col("modality").isin("error", "purchase")).select("timeline_id", "t_sec", "seq", F.lit("visual").alias("source"))
     return stateful.triggers(c, DAY).select("timeline_id", "t_sec", "seq")
+
+
+from tidemark.plans import more  # noqa: E402, F401  (registers the queries of the smaller operators)

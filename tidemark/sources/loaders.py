@@ -1,6 +1,6 @@
 """Readers of evaluation sets and training pairs, and the writers and caches beside them.
 
-Samples are (sample_id, question, options, answer, task, category, video_path, duration). Records that lack what a sample needs are dropped, as permissive reading drops what it can't parse.
+Samples are (sample_id, question, options, answer, task, category, video_path, duration) and what else their record has. Records that lack what a sample needs are dropped, as permissive reading drops what it can't parse.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
-SAMPLE = ("sample_id", "question", "options", "answer", "task", "category", "video_path", "duration")
+SAMPLE = ("sample_id", "question", "options", "answer", "task", "category", "video_path", "duration", "start_time", "end_time", "subcategory", "game_name", "metadata")
 VIDEO_GLOB = "*.{mp4,avi,mov,mkv,webm}"
 RECORD = "map<string,string>"
 # Names of tasks in files, and what they mean.
@@ -46,6 +46,7 @@ def samples(rows: DataFrame, task: Column, answer: Column | None = None, categor
         F.coalesce(field("id", "sample_id", "question_id"), F.concat_ws("_", field("_key"), F.col("k").cast("string"))).alias("sample_id"), field("question", "query").alias("question"), options().alias("options"),
         (field("answer", "ground_truth", "correct_choice") if answer is None else answer).alias("answer"), task.alias("task"), (field("category", "genre", "domain") if category is None else category).alias("category"),
         F.coalesce(field("video_path", "video", "image_path"), field("_key")).alias("video_path"), field("duration", "video_duration").try_cast("double").alias("duration"),
+        field("start_time").try_cast("double").alias("start_time"), field("end_time").try_cast("double").alias("end_time"), field("subcategory").alias("subcategory"), field("game", "game_name").alias("game_name"), F.to_json("r").alias("metadata"),
     )
     return out.withColumn("answer_format", T.answer_format(F.col("task"), F.col("options"), F.coalesce("answer", F.lit(""))))
 
@@ -73,7 +74,8 @@ def game_questions(spark: SparkSession, path: str) -> DataFrame:
     task = F.when(raw == TASKS[0][0], TASKS[0][1])
     for t, meaning in TASKS[1:]:
         task = task.when(raw == t, meaning)
-    return samples(records(spark, path), task.otherwise("visual_qa")).withColumn("raw_task", F.lit(None).cast("string"))
+    rows = records(spark, path).withColumn("r", F.map_concat(F.map_filter("r", lambda k, _: k != "raw_task"), F.create_map(F.lit("raw_task"), raw)))
+    return samples(rows, task.otherwise("visual_qa")).withColumn("raw_task", F.get_json_object("metadata", "$.raw_task"))
 
 
 def long_videos(spark: SparkSession, path: str) -> DataFrame:
@@ -82,20 +84,33 @@ def long_videos(spark: SparkSession, path: str) -> DataFrame:
     return samples(records(spark, path), T.long_video_task(F.coalesce(field("task", "question_type", "question_category"), field("_key"), named)))
 
 
+def long_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Long-video questions whose task is told by its name or by the question."""
+    return samples(records(spark, path), T.long_question_task(field("task", "type"), F.coalesce(field("question", "query"), F.lit(""))))
+
+
 def plain_benchmark(spark: SparkSession, path: str) -> DataFrame:
     """{name, version, samples: [...]} with defaults."""
     return samples(records(spark, path), F.coalesce(field("task"), F.lit("visual_qa")))
 
 
+def checked(value: Column, ok: Column, what: str) -> Column:
+    """The value; a record where it is not as it must be ends the job."""
+    return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), F.to_json("r"))))
+
+
 def training_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(question, answer) of records with both."""
-    return records(spark, path).select(field("question").alias("question"), field("answer").alias("answer")).where("question is not null and answer is not null")
+    """(question, answer) of records, all of which must have both."""
+    q, a = field("question"), field("answer")
+    ok = q.isNotNull() & a.isNotNull()
+    return records(spark, path).select(checked(q, ok, "no question and answer").alias("question"), a.alias("answer"))
 
 
 def training_messages(spark: SparkSession, path: str) -> DataFrame:
-    """(messages): of records with two or more, a user's first and an assistant's second."""
+    """(messages) of records, all of which must have two or more, a user's first and an assistant's second."""
     m = F.from_json(field("messages"), "array<struct<role:string,content:string>>")
-    return records(spark, path).select(m.alias("messages")).where("size(messages) >= 2 and messages[0].role = 'user' and messages[1].role = 'assistant'")
+    ok = (F.size(m) >= 2) & (F.get(m, 0)["role"] == "user") & (F.get(m, 1)["role"] == "assistant")
+    return records(spark, path).select(checked(m, ok, "not a conversation").alias("messages"))
 
 
 def videos(spark: SparkSession, path: str) -> DataFrame:
@@ -123,10 +138,16 @@ def path_key(path: Column, size: Column, mtime: Column) -> Column:
 
 
 def evicted(cache: DataFrame, budget: int, low_water: float = 0.8) -> DataFrame:
-    """Of a cache's files (key, size, mtime) over its budget the oldest, until what is left fits the low-water mark."""
-    w = W.orderBy(F.desc("mtime"), "key").rowsBetween(W.unboundedPreceding, 0)
-    total = cache.agg(F.sum("size").alias("total"))
-    return cache.withColumn("kept", F.sum("size").over(w)).join(F.broadcast(total)).where((F.col("total") > budget) & (F.col("kept") > budget * low_water)).drop("kept", "total")
+    """Of a cache's files (key, size, mtime in seconds) over its budget the oldest, until what is left fits the low-water mark.
+
+    Sizes are summed by the hour first, and running sums taken over the hours, then within each: no window holds all files.
+    """
+    hour = F.floor(F.col("mtime") / 3600)
+    hours = cache.groupBy(hour.alias("__hour")).agg(F.sum("size").alias("__sum"))
+    newer = hours.withColumn("__newer", F.coalesce(F.sum("__sum").over(W.orderBy(F.desc("__hour")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("__total", F.sum("__sum").over(W.partitionBy()))
+    own = F.sum("size").over(W.partitionBy("__hour").orderBy(F.desc("mtime"), "key").rowsBetween(W.unboundedPreceding, 0))
+    placed = cache.withColumn("__hour", hour).withColumn("__own", own).join(F.broadcast(newer), "__hour")
+    return placed.where((F.col("__total") > budget) & (F.col("__newer") + F.col("__own") > budget * low_water)).select(*cache.columns)
 
 
 def cached_searches(queries: DataFrame, cache: DataFrame, now: float, ttl: float = 86_400.0) -> DataFrame:
@@ -142,6 +163,23 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_json has written."""
+    return spark.read.text(path).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def save_conversations(turns: DataFrame, path: str) -> None:
+    """Turns (conv_id, turn, role, text) a folder a conversation's hash, so that one is read without the others."""
+    turns.withColumn("part", F.pmod(F.xxhash64("conv_id"), F.lit(64))).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def load_conversation(spark: SparkSession, path: str, conv_id: int | None = None) -> DataFrame:
+    saved = spark.read.parquet(path)
+    if conv_id is not None:
+        saved = saved.where((F.col("part") == F.pmod(F.xxhash64(F.lit(conv_id).cast("bigint")), F.lit(64))) & (F.col("conv_id") == conv_id))
+    return saved.drop("part")
+
+
 def write_lines(df: DataFrame, path: str, order: list[str], line: str = "line") -> None:
     """One text file in order; for reports, which are small."""
     df.orderBy(*order).select(line).coalesce(1).write.text(path)
