@@ -364,12 +364,12 @@ def metrics(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     k = F.col("o_orderkey")
     return o.join(c, o.o_custkey == c.c_custkey).select(
-        F.col("o_orderstatus").alias("model_config"), F.col("c_nationkey").cast("string").alias("benchmark"), F.col("o_orderpriority").alias("task_type"), (k % 3 == 0).alias("correct"), (k % 256).cast("int").alias("num_frames"), (1024 + k % 777).cast("int").alias("total_tokens"), (1000 + k % 701).cast("int").alias("input_tokens"), (k % 77).cast("int").alias("output_tokens"), (k % 500 / 100).alias("perception_time"), (k % 90 / 100).alias("retrieval_time"), (k % 333 / 100).alias("generation_time"),
+        F.col("o_orderstatus").alias("model_config"), F.col("c_nationkey").cast("string").alias("benchmark"), F.col("o_orderpriority").alias("task_type"), (k % 3 == 0).alias("correct"), (k % 256).cast("int").alias("num_frames"), (1024 + k % 777).cast("int").alias("total_tokens"), (1000 + k % 701).cast("int").alias("input_tokens"), (k % 77).cast("int").alias("output_tokens"), (k % 500).cast("double").alias("perception_time"), (k % 90).cast("double").alias("retrieval_time"), (k % 333).cast("double").alias("generation_time"),
         (k % 1000 / 100).alias("total_time"), (F.col("o_custkey") % 45).cast("double").alias("peak_vram_gb"), ((k * 37) % 5400).cast("double").alias("video_duration_sec"),
     )
 
 
-METRICS = "mt as (select o_orderstatus as model_config, c_nationkey::varchar as benchmark, o_orderpriority as task_type, o_orderkey % 3 = 0 as correct, (o_orderkey % 256)::int as num_frames, (1024 + o_orderkey % 777)::int as total_tokens, (1000 + o_orderkey % 701)::int as input_tokens, (o_orderkey % 77)::int as output_tokens, (o_orderkey % 500) / 100 as perception_time, (o_orderkey % 90) / 100 as retrieval_time, (o_orderkey % 333) / 100 as generation_time, (o_orderkey % 1000) / 100 as total_time, (o_custkey % 45)::double as peak_vram_gb, ((o_orderkey * 37) % 5400)::double as video_duration_sec from orders join customer on o_custkey = c_custkey)"
+METRICS = "mt as (select o_orderstatus as model_config, c_nationkey::varchar as benchmark, o_orderpriority as task_type, o_orderkey % 3 = 0 as correct, (o_orderkey % 256)::int as num_frames, (1024 + o_orderkey % 777)::int as total_tokens, (1000 + o_orderkey % 701)::int as input_tokens, (o_orderkey % 77)::int as output_tokens, (o_orderkey % 500)::double as perception_time, (o_orderkey % 90)::double as retrieval_time, (o_orderkey % 333)::double as generation_time, (o_orderkey % 1000) / 100 as total_time, (o_custkey % 45)::double as peak_vram_gb, ((o_orderkey * 37) % 5400)::double as video_duration_sec from orders join customer on o_custkey = c_custkey)"
 
 
 @query(f"with {METRICS} select model_config, benchmark, task_type, grouping(task_type)::int as is_total, count(*) as total, count(*) filter (where correct) as n_correct, round(avg(correct::int), 6) as accuracy, round(avg(num_frames), 6) as avg_num_frames, round(avg(input_tokens), 6) as avg_input_tokens, round(avg(output_tokens), 6) as avg_output_tokens, round(avg(total_tokens), 6) as avg_total_tokens, round(avg(perception_time), 6) as avg_perception_time, round(avg(retrieval_time), 6) as avg_retrieval_time, round(avg(generation_time), 6) as avg_generation_time, round(avg(total_time), 6) as avg_total_time, max(peak_vram_gb) as max_vram, round(sum(total_time), 4) as sum_time from mt group by grouping sets ((model_config, benchmark), (model_config, benchmark, task_type))")

@@ -345,12 +345,12 @@ def tracked(spark, sf_dir):
     return timeline(spark, sf_dir).select("timeline_id", F.col("modality").alias("entity_id"), "t_sec", F.col("seq").alias("det_no"), "seq", "confidence")
 
 
-TRACKS = f"{TLS}, tr as (select timeline_id, modality as entity_id, t_sec, seq, confidence, row_number() over (partition by timeline_id, modality order by t_sec, seq) as k from tl), su as (select timeline_id, entity_id, min(t_sec) as first_seen, max(t_sec) as last_seen, max(t_sec) - min(t_sec) as duration, count(*) as n_frames, round(avg(confidence) filter (where k > 1), 9) as avg_confidence from tr group by 1, 2)"
+TRACKS = f"{TLS}, tr as (select timeline_id, modality as entity_id, t_sec, seq, confidence, row_number() over (partition by timeline_id, modality order by t_sec, seq) as k from tl), su as (select timeline_id, entity_id, min(t_sec) as first_seen, max(t_sec) as last_seen, max(t_sec) - min(t_sec) as duration, count(*) as n_frames, round(avg(confidence) filter (where k > 1), 6) as avg_confidence from tr group by 1, 2)"
 
 
 @query(f"with {TRACKS} select * from su")
 def track_summaries(spark, sf_dir):
-    return stateful.track_summaries(tracked(spark, sf_dir)).withColumn("avg_confidence", F.round("avg_confidence", 9))
+    return stateful.track_summaries(tracked(spark, sf_dir)).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 MS = "printf('%02d:%02d', floor({0} / 60)::bigint, (floor({0})::bigint % 60))"
