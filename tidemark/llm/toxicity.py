@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import id_crc, once, slices
 
 #: Labelled documents that are learnt from, at most: those of least hash.
-MAX_EXAMPLES = 4096
+MAX_EXAMPLES = 2048
 #: A term's weight is its idf times FLOOR and x / (x + HALF), x being its likelihood ratio over CHANCE, the 0.1 % point of chi-square.
 FLOOR, CHANCE, HALF = 0.01, 10.83, 30.0
 PREFIX = 5
@@ -56,12 +57,10 @@ class Places(dict):
         self[word] = out
         return out
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for w, n in Counter(text.lower().split()).items() if text else ():
-            for p in self[w]:
-                out[p] = out.get(p, 0) + n
-        return out
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, how often) of a text's known terms."""
+        own = chain.from_iterable(map(self.__getitem__, text.lower().split())) if text else ()
+        return np.unique(np.fromiter(own, np.int64), return_counts=True)
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -153,7 +152,7 @@ class Model:
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
         self.places = Places(vocabulary)
         full = [e for e in examples if e[2]]
-        vectors = [self.vector({self.places.place[t]: n for t, n in e[2].items()}) for e in full]
+        vectors = [self.vector(np.array([self.places.place[t] for t in e[2]]), np.array(list(e[2].values()))) for e in full]
         self.index = Index([e[0] for e in full], [e[1] for e in full], vectors, len(vocabulary))
         if full:
             of = {int(d): k for k, d in enumerate(self.index.ids)}
@@ -171,10 +170,9 @@ class Model:
         vars(model).update(state[0], index=index, places=Places(state[0]["vocabulary"]))
         return model
 
-    def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(places, weights) of terms, of length 1 together."""
-        at = np.fromiter(tf, np.int64, len(tf))
-        w = (1 + np.log(np.fromiter(tf.values(), np.int64, len(tf)))) * self.weight[at]
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, weights) of terms and their counts, of length 1 together."""
+        w = (1 + np.log(n)) * self.weight[at]
         return at, w / (math.sqrt(float(w @ w)) or 1.0)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -183,7 +181,7 @@ class Model:
         return (sum(w * self.index.labels[at] for w, (_, at) in zip(weights, near)) + self.prior) / (sum(weights) + 1)
 
     def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        at, w = self.vector(self.places.counts(text))
+        at, w = self.vector(*self.places.counts(text))
         near = self.index.nearest(at, w, NEIGHBOURS)
         s = self.vote(near)
         if self.steps:
@@ -206,8 +204,7 @@ def _frequencies(vocabulary):
         df, n = np.zeros(len(places.place), np.int64), 0
         for b in slices(batches, 0):
             for t in b.column(0).to_pylist():
-                own = places.counts(t)
-                df[np.fromiter(own, np.int64, len(own))] += 1
+                df[places.counts(t)[0]] += 1
                 n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], ["t", "n"])
