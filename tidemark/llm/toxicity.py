@@ -51,10 +51,13 @@ class Places(dict):
         self.place = {t: k for k, t in enumerate(vocabulary)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        out = tuple(self.place[t] for t in terms_of(word) if t in self.place)
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out
+        place = self.place
+        w = word.strip(MARKS)
+        out = (place[w],) if w in place else ()
+        if len(w) > PREFIX and (p := w[:PREFIX] + "*") in place:
+            out += (place[p],)
+        if len(self) < 200_000:  # what came first stays: it holds the frequent words
+            self[word] = out
         return out
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
