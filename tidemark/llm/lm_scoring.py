@@ -1,6 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Word counts are exact: those of the most frequent words go to every worker, those of all others are joined. Counts of all word pairs are quantised to a logarithmic level q and held in a Bloom filter that has the entries (pair, 1) to (pair, q); a reader probes level after level until one is missing. The filter is built in segments, one bounded bit array a task, and broadcast. Where the entries are more than one broadcast holds, it has the pairs of the upper levels, and what misses it is joined with the rest. A word's probability after another is the pair's count with the word's own probability as a Dirichlet prior.
+Word counts are exact. Counts of all word pairs are quantised to a logarithmic level q; the pairs from a level ``least`` on are held in a Bloom filter that has the entries (pair, least) to (pair, q), and a reader probes level after level until one is missing. The filter is built in segments, one bounded bit array a task, and broadcast. Pairs below that level, those seen once at the least, are joined at the same levels. A word's probability after another is the pair's count with the word's own probability as a Dirichlet prior.
+
+Words and pairs move as packed arrays and not as rows. A pair belongs to a segment of the data by its own hash where its second word is frequent, so that no segment is hot, and by its second word where that is rare, so that the word's exact count and the pair's meet in one place.
 """
 
 from __future__ import annotations
@@ -13,14 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, mixed, slices, word_hashes, words, written
+from .common import Tokens, id_crc, mixed, once, slices, words, written
 
 #: Words whose counts are sent to workers, by falling count.
 HEAD = 100_000
+#: Training tokens a segment of the data, about; pairs that a worker holds before it sends them.
+SEGMENT_TOKENS, HELD_PAIRS = 1 << 20, 4_000_000
 #: The filter: bits an entry, bits a segment, segments at most in a broadcast (64 MB); probes an entry; base of the levels; least count of a pair.
 ENTRY_BITS, SEGMENT_BITS, MAX_SEGMENTS, PROBES, BASE, LEAST = 12, 1 << 20, 512, 5, 1.5, 1
 PRIOR = 200.0
 END = b""  # the end of a text, which no word equals
+END_HASH = np.uint64(0x8F3A5D1C27B94E60)
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -46,25 +52,32 @@ def segment_of(codes: np.ndarray, segments: int) -> np.ndarray:
     return (mixed(codes.astype(np.uint64)) >> np.uint64(11)) % np.uint64(segments)
 
 
-def filled(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Packed bits of one segment."""
+def filled(codes: np.ndarray, counts: np.ndarray, least: int = 1) -> np.ndarray:
+    """Packed bits of one segment, for pairs of level ``least`` and more."""
     bits = np.zeros(SEGMENT_BITS, np.uint8)
     level = level_of(counts)
-    for q in range(1, int(level.max(initial=0)) + 1):
+    for q in range(least, int(level.max(initial=0)) + 1):
         bits[places(codes[level >= q], q).ravel()] = 1
     return np.packbits(bits)
 
 
-def probed(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Levels of pairs: probes of level 1, 2, ... until one is missing. ``table`` has the packed bits of a segment in each row."""
+def probed(table: np.ndarray, codes: np.ndarray, least: int = 1) -> np.ndarray:
+    """Levels of pairs: probes of level ``least``, ``least`` + 1, ... until one is missing. ``table`` has the packed bits of a segment in each row."""
     level = np.zeros(len(codes), np.int64)
-    alive = np.arange(len(codes))
-    seg = segment_of(codes, len(table)) if len(table) else None
-    q = 1
-    while len(alive) and len(table):
-        at = places(codes[alive], q)
-        hit = ((table[seg[alive][:, None].astype(np.int64), (at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
-        alive = alive[hit]
+    if not len(table):
+        return level
+    flat, alive = table.ravel(), np.arange(len(codes))
+    own = codes.astype(np.uint64)
+    seg = segment_of(own, len(table)) * np.uint64(SEGMENT_BITS)
+    q = least
+    while len(alive):
+        with np.errstate(over="ignore"):
+            h = mixed(own[alive] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(q))
+            step = mixed(h) | np.uint64(1)
+            for probe in range(PROBES):
+                at = ((h + step * np.uint64(probe)) >> np.uint64(20)) % np.uint64(SEGMENT_BITS) + seg[alive]
+                hit = (flat[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                alive, h, step = alive[hit], h[hit], step[hit]
         level[alive] = q
         q += 1
     return level
@@ -86,111 +99,295 @@ def _word_counts(batches):
     yield row()
 
 
-def pair_codes(tokens: list[bytes]) -> np.ndarray:
-    """A code of each of a text's words (its end last) with the word before it, the first after an end: 32 bits of either's hash."""
-    h = mixed(word_hashes([END, *tokens]))
-    return ((h[:-1] & np.uint64(0xFFFFFFFF00000000)) | (h[1:] >> np.uint64(32))).view(np.int64)
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as bytes, the first byte of every value before the second, so that like bytes lie together for compression."""
+    return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a))
 
 
-def _pair_counts(batches):
-    held, n = [], 0
+def unpacked(data: bytes, n: int, *kinds) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    return out
 
-    def row():
-        codes, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["code", "n"])
 
-    for b in slices(batches, 0):
-        for t in b.column(0).to_pylist():
-            held.append(pair_codes([*words(t), END]))
+def hashes_of(column) -> np.ndarray:
+    """64 bits of each word of a column of words, the end of a text included."""
+    tokens = Tokens(column, lower=False)
+    out = np.full(len(column), END_HASH)
+    out[tokens.counts > 0] = tokens.hashes
+    return out
+
+
+def tokens_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of texts: the hashes of all words and ends, where each text starts, and a code of each token with the one before it (the first with an end): 32 bits of either's hash."""
+    tokens = Tokens(column)
+    n = len(column)
+    ends = tokens.first[1:] + np.arange(n)
+    h = np.full(len(tokens.starts) + n, END_HASH)
+    word = np.ones(len(h), bool)
+    word[ends] = False
+    h[word] = tokens.hashes
+    starts = tokens.first[:-1] + np.arange(n)
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[starts] = END_HASH
+    return h, starts, (before & ~LOW) | (h >> np.uint64(32))
+
+
+def within(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in a sorted table, and which of them it has."""
+    if not len(table):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
+
+
+def data_segment(codes: np.ndarray, frequent: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each pair: by the pair where its second word is frequent, by that word otherwise."""
+    return ((mixed(np.where(frequent, codes, codes & LOW)) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int32)
+
+
+def cut(segment: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The places of each segment's elements, in their order."""
+    order = np.argsort(segment, kind="stable")
+    own, first = np.unique(segment[order], return_index=True)
+    return list(zip(own.tolist(), np.split(order, first[1:])))
+
+
+PART = "segment int, kind int, size int, data binary"
+
+
+def _part(rows: list[tuple[int, int, int, bytes]]):
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    columns = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["segment", "kind", "size", "data"])
+
+
+def _pair_counts(state):
+    """Distinct pairs with their counts, packed by segment."""
+
+    def run(batches):
+        halves, segments = state.value
+        held, n = [], 0
+
+        def rows():
+            codes, counts = np.unique(np.concatenate(held), return_counts=True)
+            of = cut(data_segment(codes, within(codes & LOW, halves)[1], segments))
+            return _part([(s, 0, len(at), packed(codes[at], counts[at].astype(np.uint32))) for s, at in of])
+
+        for b in slices(batches, 0):
+            held.append(tokens_of(b.column(0))[2])
             n += len(held[-1])
-        if n > 4_000_000:
-            yield row()
-            held, n = [], 0
-    if held:
-        yield row()
+            if n > HELD_PAIRS:
+                yield rows()
+                held, n = [], 0
+        if held:
+            yield rows()
+
+    return run
+
+
+def _parts(table, kind: int, *kinds) -> list[np.ndarray]:
+    """The arrays of all rows of a kind, put together."""
+    rows = [unpacked(d, n, *kinds) for k, n, d in zip(*(table.column(c).to_pylist() for c in ("kind", "size", "data"))) if k == kind]
+    return [np.concatenate(c) for c in zip(*rows)] if rows else [np.empty(0, k) for k in kinds]
+
+
+def _summed(key, rows):
+    """A segment's pairs with their counts over all texts, in rows of a bounded size."""
+    codes, counts = _parts(rows, 0, np.uint64, np.uint32)
+    codes, at = np.unique(codes, return_inverse=True)
+    counts = np.bincount(at, counts, len(codes)).astype(np.int64)
+    s = key[0].as_py()
+    return pa.Table.from_batches([_part([(s, 0, len(codes[k : k + 65536]), packed(codes[k : k + 65536], counts[k : k + 65536])) for k in range(0, len(codes), 65536)])])
+
+
+def _pairs_in(batch):
+    for s, n, d in zip(*(batch.column(c).to_pylist() for c in ("segment", "size", "data"))):
+        yield s, *unpacked(d, n, np.uint64, np.int64)
 
 
-def _segments(key, rows):
-    codes, counts = rows.column("code").to_numpy(), rows.column("n").to_numpy()
-    return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([filled(codes, counts).tobytes()], pa.binary())})
+def _level_sizes(batches):
+    sizes: Counter = Counter()
+    for b in batches:
+        for _, _, counts in _pairs_in(b):
+            own = np.bincount(level_of(counts))
+            sizes.update({q: int(own[q]) for q in np.flatnonzero(own).tolist()})
+    yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.int32()), pa.array(list(sizes.values()), pa.int64())], ["level", "pairs"])
+
 
+def _for_filter(segments: int, least: int):
+    """The filter's pairs, by its segments."""
 
-def _segmented(segments: int):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(b.column(0).to_numpy(), segments).astype(np.int32)), b.column(0), b.column(1)], ["segment", "code", "n"])
+            own = [(c[keep], n[keep]) for _, c, n in _pairs_in(b) for keep in [level_of(n) >= least]]
+            codes, counts = (np.concatenate(x) for x in zip(*own)) if own else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield _part([(s, 0, len(at), packed(codes[at], counts[at])) for s, at in cut(segment_of(codes, segments).astype(np.int32))])
 
     return run
 
 
-def heads_of(codes: np.ndarray) -> np.ndarray:
-    return (codes.view(np.uint64) >> np.uint64(32)).astype(np.int64)
+def _segments(least: int):
+    def run(key, rows):
+        codes, counts = _parts(rows, 0, np.uint64, np.int64)
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([filled(codes, counts, least).tobytes()], pa.binary())})
+
+    return run
+
+
+def _below(least: int):
+    """The pairs that the filter has not, in their segments."""
+
+    def run(batches):
+        for b in batches:
+            own = [(s, c[keep], n[keep]) for s, c, n in _pairs_in(b) for keep in [level_of(n) < least]]
+            yield _part([(s, 0, len(c), packed(c, n)) for s, c, n in own])
+
+    return run
 
 
 def _context_totals(batches):
+    """What the quantised counts of the pairs after each word add up to, by the half of a code that stands for the word."""
+    held, n = [], 0
+
+    def rows():
+        heads, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        after = np.bincount(at, np.concatenate([v for _, v in held]), len(heads))
+        return pa.RecordBatch.from_arrays([pa.array(heads.astype(np.int64)), pa.array(after)], ["head", "after"])
+
     for b in batches:
-        codes, counts = b.column(0).to_numpy(), b.column(1).to_numpy()
-        heads, at = np.unique(heads_of(codes), return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array(np.bincount(at, value_of(level_of(counts)), len(heads)), pa.float64())], ["head", "after"])
+        for _, codes, counts in _pairs_in(b):
+            held.append((codes >> np.uint64(32), value_of(level_of(counts))))
+            n += len(codes)
+            if n > HELD_PAIRS:
+                yield rows()
+                held, n = [], 0
+    if held:
+        yield rows()
 
 
 def _headed(batches):
-    """Words' counts, with the half of a pair's code that each gives as the word before."""
+    """Words' hashes and counts, with the half of a pair's code that each gives as the word before."""
     for b in batches:
-        h = mixed(word_hashes(b.column(0).to_pylist())) >> np.uint64(32)
-        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), b.column(0), b.column(1)], ["head", "word", "count"])
+        h = hashes_of(b.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(32)).astype(np.int64)), pa.array(h.view(np.int64)), b.column(1)], ["head", "word", "count"])
+
+
+def _frequent(halves):
+    """The words that are sent to workers: those whose half of a code is a frequent word's."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(within(b.column(0).to_numpy().view(np.uint64) >> np.uint64(32), halves.value[0])[1]))
+
+    return run
+
+
+def _rare(halves):
+    """All other words, packed by segment."""
+
+    def run(batches):
+        for b in batches:
+            word, count, after = (b.column(k).to_numpy() for k in range(3))
+            word = word.view(np.uint64)
+            half = word >> np.uint64(32)
+            keep = ~within(half, halves.value[0])[1]
+            word, count, after, half = word[keep], count[keep], after[keep], half[keep]
+            of = cut(data_segment(half, np.zeros(len(half), bool), halves.value[1]))
+            yield _part([(s, 1, len(at), packed(word[at], count[at], after[at])) for s, at in of])
+
+    return run
 
 
 class Model:
-    """What every worker gets: counts of the head, the total of pairs after each of its words, and the pair filter. ``whole`` is whether the filter has every pair."""
+    """What every worker gets: hashes and counts of the frequent words, the total of pairs after each, and the pair filter."""
 
-    def __init__(self, head: list[tuple[bytes, int, float]], total: int, distinct: int, table: np.ndarray, whole: bool, prior: float):
-        self.place = {w: k for k, (w, _, _) in enumerate(head)}
-        self.counts = np.array([n for _, n, _ in head], np.int64)
+    def __init__(self, word: np.ndarray, count: np.ndarray, after: np.ndarray, table: np.ndarray, least: int, total: int, distinct: int, prior: float, segments: int):
+        order = np.argsort(word)
+        self.word, self.counts = word[order], count[order]
         self.log = np.log10(self.counts + 1.0) - math.log10(total + distinct + 1)
-        self.before = math.log10(prior) - np.log10(prior + np.array([a for _, _, a in head]))
-        self.table, self.whole, self.prior = table, whole, prior
+        self.before = math.log10(prior) - np.log10(prior + after[order])
+        self.table, self.least, self.prior, self.segments = table, least, prior, segments
 
     def found(self, codes: np.ndarray) -> np.ndarray:
         """Counts of pairs by the filter."""
         codes, inverse = np.unique(codes, return_inverse=True)
-        return value_of(probed(self.table, codes))[inverse]
+        return value_of(probed(self.table, codes, self.least))[inverse]
 
 
-ROWS = "uid bigint, word binary, n int, pair double, code bigint, log double, doc_id bigint, own array<double>"
+#: What a text's segment gets of it: of pairs of frequent words that the filter lacks (code, word's probability), of other words (code, word, count of the pair), of the text itself (id, whether it has one, tokens, known, base, gain); each with the text's number.
+SENT = {2: (np.uint64, np.float64, np.int64), 3: (np.uint64, np.uint64, np.float64, np.int64), 4: (np.int64, np.bool_, np.int64, np.float64, np.float64, np.float64, np.int64)}
 
 
 def _scores(state):
-    """One row a text, with what its frequent words and their pairs give; one for each of its other words and what the filter says of the pair that it ends; and, where the filter has not every pair, one for each pair of a frequent word that it lacks."""
+    """What a text's frequent words and their pairs give, and what is still to be looked up, packed by segment."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        model = Model(*state.value)
+        m = once(state, lambda v: Model(*v))
         uid = TaskContext.get().partitionId() << 36
-        place, log, counts = model.place, model.log, model.counts
         for b in slices(batches):
-            texts = [[*words(t), END] for t in b.column(1).to_pylist()]
-            starts = np.cumsum([0, *(len(t) for t in texts)])
-            at = np.fromiter((place.get(w, -1) for t in texts for w in t), np.int64, int(starts[-1]))
-            codes = np.concatenate([pair_codes(t) for t in texts])
-            pair = model.found(codes)
-            frequent, here = at >= 0, np.maximum(at, 0)
-            base = np.where(frequent, log[here], 0.0)
-            gain = np.where(frequent, np.log10(1 + pair / (model.prior * 10.0**base)) + model.before[here], 0.0)
-            sums = [np.add.reduceat(x, starts[:-1]).tolist() for x in (base, (frequent & (counts[here] > 0)).astype(float), gain)]
-            missed = (pair == 0) & (not model.whole)
-            apart = np.flatnonzero(~frequent | missed)
-            cuts = np.searchsorted(apart, starts)
+            h, starts, codes = tokens_of(b.column(1))
+            sizes = np.diff(np.append(starts, len(h)))
+            own = uid + np.arange(len(starts))
+            uid += len(starts)
+            at, frequent = within(h, m.word)
+            pair = m.found(codes)
+            base = np.where(frequent, m.log[at], 0.0)
+            gain = np.where(frequent, np.log10(1 + pair / (m.prior * 10.0**base)) + m.before[at], 0.0)
+            known = (frequent & (m.counts[at] > 0)).astype(float)
+            base_sum, gain_sum, known_sum = (np.add.reduceat(x, starts) for x in (base, gain, known))
+            of, segment = np.repeat(own, sizes), data_segment(codes, frequent, m.segments)
             rows = []
-            for k, (doc, t) in enumerate(zip(b.column(0).to_pylist(), texts)):
-                own = b" %d" % uid  # a word has no space: such a row meets no count
-                rows.append((uid, own, 0, 0.0, None, None, doc, [float(len(t)), *(x[k] for x in sums)]))
-                rest = Counter((None if at[j] < 0 else float(base[j]), t[j - starts[k]] if at[j] < 0 else own, float(pair[j]), int(codes[j]) if missed[j] else None) for j in apart[cuts[k] : cuts[k + 1]])
-                rows += [(uid, w, n, p, code, g, None, None) for (g, w, p, code), n in rest.items()]
-                uid += 1
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], [x.split()[0] for x in ROWS.split(", ")])
+            for kind, pick in ((2, np.flatnonzero(frequent & (pair == 0))), (3, np.flatnonzero(~frequent))):
+                columns = (codes, base, of) if kind == 2 else (codes, h, pair, of)
+                rows += [(s, kind, len(k), packed(*(c[pick[k]] for c in columns))) for s, k in cut(segment[pick])]
+            ids = b.column(0)
+            docs = (ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), sizes, known_sum, base_sum, gain_sum, own)
+            rows += [(s, 4, len(k), packed(*(c[k] for c in docs))) for s, k in cut((own % m.segments).astype(np.int32))]
+            yield _part(rows)
+
+    return run
+
+
+RESULT = "uid bigint, doc_id bigint, tokens bigint, known double, base double, gain double"
+
+
+def _looked_up(total: int, distinct: int, prior: float):
+    """A segment's words and pairs meet their counts; one row a text of the segment, with what they add to it."""
+
+    def run(key, asked, told):
+        codes, counts = _parts(told, 0, np.uint64, np.int64)
+        order = np.argsort(codes)
+        codes, worth = codes[order], value_of(level_of(counts[order]))
+        word, count, after = _parts(told, 1, np.uint64, np.int64, np.float64)
+        order = np.argsort(word)
+        word, count, after = word[order], count[order], after[order]
+
+        def of(values, table, found):
+            at, hit = within(values, table)
+            return np.where(hit, found[at], 0) if len(table) else np.zeros(len(values))
+
+        code2, base2, uid2 = _parts(asked, 2, *SENT[2])
+        gain2 = np.log10(1 + of(code2, codes, worth) / (prior * 10.0**base2))
+        code3, word3, pair3, uid3 = _parts(asked, 3, *SENT[3])
+        c = of(word3, word, count)
+        base3 = np.log10(c + 1) - math.log10(total + distinct + 1)
+        pair3 = np.where(pair3 > 0, pair3, of(code3, codes, worth))
+        gain3 = np.log10(1 + pair3 / (prior * 10.0**base3)) + math.log10(prior) - np.log10(prior + of(word3, word, after))
+        ids, valid, sizes, known4, base4, gain4, uid4 = _parts(asked, 4, *SENT[4])
+        uid, at = np.unique(np.concatenate([uid2, uid3, uid4]), return_inverse=True)
+        none = np.zeros(len(uid2))
+        known, base, gain = (np.bincount(at, np.concatenate(x), len(uid)) for x in ((none, c > 0, known4), (none, base3, base4), (gain2, gain3, gain4)))
+        place = np.searchsorted(uid, uid4)
+        doc, has, tokens = np.zeros(len(uid), np.int64), np.zeros(len(uid), bool), np.zeros(len(uid), np.int64)
+        doc[place], has[place], tokens[place] = ids, valid, sizes
+        return pa.table([pa.array(uid), pa.array(doc, mask=~has), pa.array(tokens), pa.array(known), pa.array(base), pa.array(gain)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return run
 
@@ -210,7 +407,7 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", tex
 
     Texts whose id's crc32 mod 7 is not 2 are learnt from. Words are lower-cased (A-Z) runs without ASCII white space, and every text ends with one more token; a null text is that token alone, and a null id counts as the empty text in ``held_out``. base_score is the sum of log10((c + 1) / (N + V + 1)); score is the model's log10 probability. Repeated rows are scored alike, one row each; with nothing to learn from, every count is 0; an empty table gives no rows.
 
-    Every pair of words counts. Those that a filter of ``max_segments`` has no room for are joined, at the same levels, so that scores don't hang on the size.
+    Every pair of words counts. Those seen once, and those that a filter of ``max_segments`` has no room for, are joined, at the same levels, so that scores don't hang on the size. Words are told apart by 64 bits where their counts are looked up.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -218,38 +415,29 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", tex
     train = src.where(id_crc(F.col("doc_id")) % 7 != 2).select("text")
     counts = written(train.mapInArrow(_word_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("count")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    pairs = written(train.mapInArrow(_pair_counts, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "pairs")
-    level = (F.floor(F.log(F.col("n") / LEAST) / math.log(BASE) + 1e-9) + 1).cast("int")
-    sizes = [(r["level"], r["count"]) for r in pairs.groupBy(level.alias("level")).count().collect()]
-    least = capacity(sizes, max_segments)
-    kept = pairs.where(level >= least) if least > 1 else pairs
-    entries = sum(q * n for q, n in sizes if q >= least)
-    segments = max(1, -(-entries * ENTRY_BITS // SEGMENT_BITS))
-    table = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for r in kept.mapInArrow(_segmented(segments), "segment int, code bigint, n bigint").groupBy("segment").applyInArrow(_segments, "segment int, bits binary").toLocalIterator():
-        table[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    top = hashes_of(counts.orderBy(F.desc("count"), "word").limit(HEAD).select("word").toArrow().column(0).combine_chunks())
+    segments = max(1, -(-total // SEGMENT_TOKENS))
+    halves = sc.broadcast((np.unique(np.append(top, END_HASH) >> np.uint64(32)), segments))
+    pairs = written(train.mapInArrow(_pair_counts(halves), PART).groupBy("segment").applyInArrow(_summed, PART), "pairs")
+    sizes = [(r["level"], r["pairs"]) for r in pairs.mapInArrow(_level_sizes, "level int, pairs bigint").groupBy("level").agg(F.sum("pairs").alias("pairs")).collect()]
+    least = max(2, capacity(sizes, max_segments))
+    entries = sum((q - least + 1) * n for q, n in sizes if q >= least)
+    table = np.zeros((-(-entries * ENTRY_BITS // SEGMENT_BITS), SEGMENT_BITS // 8), np.uint8)
+    if entries:
+        for r in pairs.mapInArrow(_for_filter(len(table), least), PART).groupBy("segment").applyInArrow(_segments(least), "segment int, bits binary").toLocalIterator():
+            table[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
     after = pairs.mapInArrow(_context_totals, "head bigint, after double").groupBy("head").agg(F.sum("after").alias("after"))
-    counts = written(counts.mapInArrow(_headed, "head bigint, word binary, count bigint").join(after, "head", "left").select("word", "count", F.coalesce("after", F.lit(0.0)).alias("after")), "model")
-    head = [(bytes(r["word"]), r["count"], r["after"]) for r in counts.orderBy(F.desc("count"), "word").limit(HEAD).collect()]
-    if END not in {w for w, _, _ in head}:
-        head += [(END, r["count"], r["after"]) for r in counts.where(F.col("word") == F.lit(END)).collect()] or [(END, 0, 0.0)]
-    state = sc.broadcast((head, total, distinct, table, least == 1, prior))
-    rows = src.mapInArrow(_scores(state), ROWS)
-    pair = F.col("pair")
-    if least > 1:
-        worth = F.array(*[F.lit(float(v)) for v in value_of(np.arange(1, least))])
-        rare = pairs.where(level < least).select(F.col("code").alias("key"), F.element_at(worth, level).alias("more"))
-        rows = rows.withColumn("key", F.coalesce("code", F.xxhash64("uid", "word"))).join(rare, "key", "left")
-        pair = pair + F.when(F.col("code").isNotNull(), F.coalesce("more", F.lit(0.0))).otherwise(0.0)
-    of = rows.join(counts, "word", "left")
-    c = F.coalesce("count", F.lit(0))
-    known = F.when(c > 0, F.col("n")).otherwise(0)
-    log = F.coalesce("log", F.log10(c + 1) - math.log10(total + distinct + 1))
-    own = F.col("log").isNull()  # the row of a word, not only of a pair
-    gain = F.log10(1 + pair / (prior * F.pow(F.lit(10.0), log))) + F.when(own, math.log10(prior) - F.log10(prior + F.coalesce("after", F.lit(0.0)))).otherwise(0.0)
-    sums = of.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("own").alias("own"), F.sum(F.when(own, F.col("n") * log).otherwise(0.0)).alias("rest"), F.sum(F.col("n") * gain).alias("gain"), F.sum(known).alias("known"))
-    base = F.col("own")[1] + F.col("rest")
-    return sums.select("doc_id", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"), F.col("own")[0].cast("bigint").alias("n_tokens"), (F.col("own")[2].cast("bigint") + F.col("known")).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"), base.alias("base_score"), (base + F.col("own")[3] + F.col("gain")).alias("score"))
+    counts = written(counts.mapInArrow(_headed, "head bigint, word bigint, count bigint").join(after, "head", "left").select("word", "count", F.coalesce("after", F.lit(0.0)).alias("after")), "model")
+    head = counts.mapInArrow(_frequent(halves), "word bigint, count bigint, after double").toArrow()
+    word, count, after = (head.column(k).to_numpy() for k in range(3))
+    word = word.view(np.uint64)
+    if END_HASH not in word:
+        word, count, after = np.append(word, END_HASH), np.append(count, 0), np.append(after, 0.0)
+    state = sc.broadcast((word, count, after, table, least, total, distinct, prior, segments))
+    told = pairs.mapInArrow(_below(least), PART).union(counts.mapInArrow(_rare(halves), PART))
+    found = src.mapInArrow(_scores(state), PART).groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_looked_up(total, distinct, prior), RESULT)
+    sums = found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").cast("bigint").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
+    return sums.select("doc_id", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
