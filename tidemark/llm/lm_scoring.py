@@ -21,6 +21,8 @@ from .common import Tokens, id_crc, mixed, once, slices, words, written
 HEAD = 100_000
 #: Training tokens a segment of the data, about; pairs that a worker holds before it sends them.
 SEGMENT_TOKENS, HELD_PAIRS = 1 << 20, 4_000_000
+#: Frequent words are looked up by so many first bits of their hashes.
+BUCKET_BITS = 18
 #: The filter: bits an entry, bits a segment, segments at most in a broadcast (64 MB); probes an entry; base of the levels; least count of a pair.
 ENTRY_BITS, SEGMENT_BITS, MAX_SEGMENTS, PROBES, BASE, LEAST = 12, 1 << 20, 512, 5, 1.5, 1
 PRIOR = 200.0
@@ -152,9 +154,17 @@ def data_segment(codes: np.ndarray, frequent: np.ndarray, segments: int) -> np.n
 
 def cut(segment: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """The places of each segment's elements, in their order."""
-    order = np.argsort(segment, kind="stable")
-    own, first = np.unique(segment[order], return_index=True)
-    return list(zip(own.tolist(), np.split(order, first[1:])))
+    order, own, edges = sorted_by(segment)
+    return [(s, order[a:b]) for s, a, b in zip(own, edges, edges[1:])]
+
+
+def sorted_by(segment: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """The order by segment, the segments, and where each starts in the order (and the end)."""
+    narrow = segment.astype(np.uint16) if len(segment) and segment.max() < 1 << 16 else segment  # sorted by radix
+    order = np.argsort(narrow, kind="stable")
+    held = segment[order]
+    first = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else np.empty(0, np.int64)
+    return order, held[first].tolist(), [*first.tolist(), len(held)]
 
 
 PART = "segment int, kind int, size int, data binary"
@@ -309,18 +319,33 @@ class Model:
     def __init__(self, word: np.ndarray, count: np.ndarray, after: np.ndarray, table: np.ndarray, least: int, total: int, distinct: int, prior: float, segments: int):
         order = np.argsort(word)
         self.word, self.counts = word[order], count[order]
+        self.bucket = np.searchsorted(self.word, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        self.longest = int(np.diff(np.append(self.bucket, len(word))).max())
         self.log = np.log10(self.counts + 1.0) - math.log10(total + distinct + 1)
         self.before = math.log10(prior) - np.log10(prior + after[order])
         self.table, self.least, self.prior, self.segments = table, least, prior, segments
 
     def found(self, codes: np.ndarray) -> np.ndarray:
         """Counts of pairs by the filter."""
-        codes, inverse = np.unique(codes, return_inverse=True)
-        return value_of(probed(self.table, codes, self.least))[inverse]
+        level = probed(self.table, codes, self.least)
+        return value_of(np.arange(int(level.max(initial=0)) + 1))[level]
+
+    def frequent(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words by their hashes, and which of them are there; a bucket's words are compared one after the other."""
+        at = self.bucket[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.int64)
+        np.minimum(at, len(self.word) - 1, out=at)
+        hit = self.word[at] == h
+        rest = np.flatnonzero(~hit)
+        for _ in range(1, self.longest):
+            at[rest] = np.minimum(at[rest] + 1, len(self.word) - 1)
+            found = self.word[at[rest]] == h[rest]
+            hit[rest[found]] = True
+            rest = rest[~found]
+        return at, hit
 
 
-#: What a text's segment gets of it: of pairs of frequent words that the filter lacks (code, word's probability), of other words (code, word, count of the pair), of the text itself (id, whether it has one, tokens, known, base, gain); each with the text's number.
-SENT = {2: (np.uint64, np.float64, np.int64), 3: (np.uint64, np.uint64, np.float64, np.int64), 4: (np.int64, np.bool_, np.int64, np.float64, np.float64, np.float64, np.int64)}
+#: What a text's segment gets of it: of pairs of frequent words that the filter lacks (code, place of the word in the model), of other words (code, word, count of the pair), of the text itself (id, whether it has one, tokens, known, base, gain); each with the text's number.
+SENT = {2: (np.uint64, np.uint32, np.int64), 3: (np.uint64, np.uint64, np.float64, np.int64), 4: (np.int64, np.bool_, np.int64, np.float64, np.float64, np.float64, np.int64)}
 
 
 def _scores(state):
@@ -336,7 +361,7 @@ def _scores(state):
             sizes = np.diff(np.append(starts, len(h)))
             own = uid + np.arange(len(starts))
             uid += len(starts)
-            at, frequent = within(h, m.word)
+            at, frequent = m.frequent(h)
             pair = m.found(codes)
             base = np.where(frequent, m.log[at], 0.0)
             gain = np.where(frequent, np.log10(1 + pair / (m.prior * 10.0**base)) + m.before[at], 0.0)
@@ -344,9 +369,11 @@ def _scores(state):
             base_sum, gain_sum, known_sum = (np.add.reduceat(x, starts) for x in (base, gain, known))
             of, segment = np.repeat(own, sizes), data_segment(codes, frequent, m.segments)
             rows = []
-            for kind, pick in ((2, np.flatnonzero(frequent & (pair == 0))), (3, np.flatnonzero(~frequent))):
-                columns = (codes, base, of) if kind == 2 else (codes, h, pair, of)
-                rows += [(s, kind, len(k), packed(*(c[pick[k]] for c in columns))) for s, k in cut(segment[pick])]
+            for kind, pick, columns in ((2, frequent & (pair == 0), (codes, at.astype(np.uint32), of)), (3, ~frequent, (codes, h, pair, of))):
+                pick = np.flatnonzero(pick)
+                order, segments, edges = sorted_by(segment[pick])
+                columns = [c[pick[order]] for c in columns]
+                rows += [(s, kind, e - a, packed(*(c[a:e] for c in columns))) for s, a, e in zip(segments, edges, edges[1:])]
             ids = b.column(0)
             docs = (ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), sizes, known_sum, base_sum, gain_sum, own)
             rows += [(s, 4, len(k), packed(*(c[k] for c in docs))) for s, k in cut((own % m.segments).astype(np.int32))]
@@ -358,7 +385,7 @@ def _scores(state):
 RESULT = "uid bigint, doc_id bigint, tokens bigint, known double, base double, gain double"
 
 
-def _looked_up(total: int, distinct: int, prior: float):
+def _looked_up(state, total: int, distinct: int, prior: float):
     """A segment's words and pairs meet their counts; one row a text of the segment, with what they add to it."""
 
     def run(key, asked, told):
@@ -373,7 +400,8 @@ def _looked_up(total: int, distinct: int, prior: float):
             at, hit = within(values, table)
             return np.where(hit, found[at], 0) if len(table) else np.zeros(len(values))
 
-        code2, base2, uid2 = _parts(asked, 2, *SENT[2])
+        code2, place2, uid2 = _parts(asked, 2, *SENT[2])
+        base2 = once(state, lambda v: Model(*v)).log[place2]
         gain2 = np.log10(1 + of(code2, codes, worth) / (prior * 10.0**base2))
         code3, word3, pair3, uid3 = _parts(asked, 3, *SENT[3])
         c = of(word3, word, count)
@@ -435,7 +463,7 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", tex
         word, count, after = np.append(word, END_HASH), np.append(count, 0), np.append(after, 0.0)
     state = sc.broadcast((word, count, after, table, least, total, distinct, prior, segments))
     told = pairs.mapInArrow(_below(least), PART).union(counts.mapInArrow(_rare(halves), PART))
-    found = src.mapInArrow(_scores(state), PART).groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_looked_up(total, distinct, prior), RESULT)
+    found = src.mapInArrow(_scores(state), PART).groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_looked_up(state, total, distinct, prior), RESULT)
     sums = found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").cast("bigint").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
     return sums.select("doc_id", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
 
