@@ -21,6 +21,8 @@ from .common import Tokens, id_crc, mixed, once, slices, words, written
 HEAD = 100_000
 #: Training tokens a segment of the data, about; pairs that a worker holds before it sends them.
 SEGMENT_TOKENS, HELD_PAIRS = 1 << 20, 4_000_000
+#: Bytes of text that are worked on at once.
+SLICE = 2 << 20
 #: Frequent words are looked up by so many first bits of their hashes.
 BUCKET_BITS = 18
 #: The filter: bits an entry, bits a segment, segments at most in a broadcast (64 MB); probes an entry; base of the levels; least count of a pair.
@@ -188,7 +190,7 @@ def _pair_counts(state):
             of = cut(data_segment(codes, within(codes & LOW, halves)[1], segments))
             return _part([(s, 0, len(at), packed(codes[at], counts[at].astype(np.uint32))) for s, at in of])
 
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, SLICE):
             held.append(tokens_of(b.column(0))[2])
             n += len(held[-1])
             if n > HELD_PAIRS:
@@ -356,7 +358,7 @@ def _scores(state):
 
         m = once(state, lambda v: Model(*v))
         uid = TaskContext.get().partitionId() << 36
-        for b in slices(batches):
+        for b in slices(batches, 1, SLICE):
             h, starts, codes = tokens_of(b.column(1))
             sizes = np.diff(np.append(starts, len(h)))
             own = uid + np.arange(len(starts))
