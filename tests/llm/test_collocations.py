@@ -76,22 +76,21 @@ def test_empty(spark):
     assert collocations.collocations(frame(spark, [(1, None, None), (2, "one", "en")])).collect() == []
 
 
-def test_sums_tell_keys_apart_by_all_their_bits():
-    """Keys that share their first half, in mixed order."""
-    keys = [np.array([[1, 5], [2, 1]], np.uint64), np.array([[1, 4], [1, 5]], np.uint64), np.array([[1, 5], [1, 4]], np.uint64)]
-    rows = pa.table({"block": [3, 1, 2], "bucket": pa.array([0, 0, 0], pa.int32()), "keys": [k.tobytes() for k in keys], "counts": [np.array([4, 9], "<i8").tobytes()] * 3})
-    out = collocations._summed(1, 12)(rows).to_pylist()
-    sums = {r["block"]: np.frombuffer(r["sums"], np.int64).tolist() for r in out}
+def test_sums_of_a_bucket():
+    """Every block gets the sums of its own keys in its own order; the least block of a key owns it."""
+    keys = [np.array([5, 1], np.uint64), np.array([4, 5], np.uint64), np.array([5, 4], np.uint64)]
+    rows = pa.table({"block": [3, 1, 2], "bucket": pa.array([0, 0, 0], pa.int32()), "keys": [k.tobytes() for k in keys], "counts": [collocations._packed(np.array([4, 9], "<i8"))] * 3})
+    out = collocations._summed(1, 10)(rows).to_pylist()
+    sums = {r["block"]: collocations._array(r["sums"], "<i8").tolist() for r in out}
     own = {r["block"]: np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=2).tolist() for r in out}
     assert sums == {1: [13, 17], 2: [17, 13], 3: [17, 0]} and own == {1: [1, 1], 2: [0, 0], 3: [0, 0]}
 
 
 def test_scores_past_64_bits():
     """2,000,000 a of counts near 10^13."""
-    lists = object.__new__(collocations.Lists)
     big = 9_000_000_000_000
-    lists.row, lists.codes = {"words": [b"a", b"b"], "langs": ["en", "en"]}, np.array([1, 2, 0], np.int32)
-    lists.at = [None, np.array([0, 1, -1, -1]), np.array([0, -1, -1, -1])]
-    lists.sums = [None, np.array([big + 1, big + 2]), np.array([big])]
-    lists.owned, lists.first = [None, np.array([1, 1]), np.array([1])], [None, np.array([0, 1]), np.array([0])]
+    row = collocations._block(1, ["en"], np.array([0, 0]), [b"a", b"b"], np.array([big + 1, big + 2]), np.array([1, 2, 0])).to_pylist()[0]
+    lists = collocations.Lists(row, 1)
+    lists.extend()
+    lists.keep([{"sums": collocations._packed(np.array([big], "<i8")), "owned": b"\x80"}])
     assert list(lists.phrases(2, 80)) == [("en", b"a b", 2, big, 1, big + 1, big + 2, 2_000_000 * big // (2 * big + 3), False)]

@@ -6,6 +6,7 @@ Texts are cut into blocks of words with positions. A phrase has, in each block,
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, slices, written
+from .common import forget, mixed, partitions, slices, written
 
 #: Words of a block, about; a longer text has a block of its own.
 BLOCK_WORDS = 1 << 20
@@ -22,12 +23,25 @@ GAP = b"\xff"  # stands between pieces; no UTF-8 text has it
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
-BLOCKS = "block bigint, langs array<string>, words array<binary>, counts binary, codes binary"
+BLOCKS = "block bigint, langs array<string>, lang_of binary, words binary, counts binary, codes binary"
 KEYS = "block bigint, bucket int, keys binary, counts binary"
 SUMS = "block bigint, level int, bucket int, sums binary, owned binary"
 PHRASES = "lang string, phrase binary, words int, a bigint, k int, l bigint, r bigint, score bigint, dropped boolean"
 
 
+def _packed(values: np.ndarray | bytes) -> bytes:
+    raw = values if isinstance(values, bytes) else values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(cell: bytes) -> bytes:
+    return pa.decompress(cell[8:], int.from_bytes(cell[:8], "little"), "zstd", asbytes=True)
+
+
+def _array(cell: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(_unpacked(cell), kind)
+
+
 class _Codes(dict):
     """Numbers of words, given as they come; 0 is the gap."""
 
@@ -45,19 +59,25 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_TO).replace(b"\n", b" \xff ").split()
 
 
+def _block(block: int, langs: list, lang_of: np.ndarray, words: list[bytes], counts: np.ndarray, codes: np.ndarray) -> pa.Table:
+    """One block: its languages, its words with their language and count (of the block, later of all), and its positions' words from 1, 0 where there is none."""
+    return pa.table({
+        "block": pa.array([block], pa.int64()), "langs": pa.array([langs], pa.list_(pa.string())), "lang_of": pa.array([_packed(lang_of.astype("<i4"))], pa.binary()), "words": pa.array([_packed(b" ".join(words))], pa.binary()),
+        "counts": pa.array([_packed(counts.astype("<i8"))], pa.binary()), "codes": pa.array([_packed(codes.astype("<i4"))], pa.binary()),
+    })
+
+
 def _blocks(block_words: int):
     def run(batches):
         names: list = [None]
-        langs: list = [None]
+        lang_of: list[int] = [0]
         codes: dict[str, _Codes] = {}
         held: list[np.ndarray] = []
         total = 0
 
         def flush():
             at = np.concatenate(held)
-            row = [[uuid.uuid4().int >> 65], [langs[1:]], [names[1:]], [np.bincount(at, minlength=len(names))[1:].astype("<i8").tobytes()], [at.tobytes()]]
-            types = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["block", "langs", "words", "counts", "codes"])
+            yield from _block(uuid.uuid4().int >> 65, list(codes), np.array(lang_of[1:]), names[1:], np.bincount(at, minlength=len(names))[1:], at).to_batches()
 
         for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -67,97 +87,110 @@ def _blocks(block_words: int):
                 if own is None:
                     own = codes[lang] = _Codes(names)
                     own[GAP] = 0
+                    own.number = len(codes) - 1
                 found = tokens(text)
                 at = np.fromiter(map(own.__getitem__, found), "<i4", len(found))
-                langs += [lang] * (len(names) - len(langs))
+                lang_of += [own.number] * (len(names) - len(lang_of))
                 held += [at, np.zeros(1, "<i4")]
                 total += len(at) + 1
                 if total >= block_words:
-                    yield flush()
-                    names, langs, codes, held, total = [None], [None], {}, [], 0
+                    yield from flush()
+                    names, lang_of, codes, held, total = [None], [0], {}, [], 0
         if total:
-            yield flush()
+            yield from flush()
 
     return run
 
 
+def _words(row: dict) -> list[bytes]:
+    return _unpacked(row["words"]).split(b" ") if len(row["words"]) > 8 and int.from_bytes(row["words"][:8], "little") else []
+
+
 def _word_keys(row: dict) -> np.ndarray:
-    """128 bits of each word and its language, the gap's at 0."""
-    out = np.zeros((len(row["words"]) + 1, 2), np.uint64)
-    seeds = {lang: xxhash.xxh3_64_intdigest(lang.encode()) for lang in set(row["langs"])}
-    out[1:] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, seeds[g]) for g, w in zip(row["langs"], row["words"])), np.uint64).reshape(-1, 2)
-    return out
+    """128 bits of each word and its language."""
+    seeds = [xxhash.xxh3_64_intdigest(lang.encode()) for lang in row["langs"]]
+    digests = b"".join(xxhash.xxh3_128_digest(w, seeds[g]) for g, w in zip(_array(row["lang_of"], "<i4").tolist(), _words(row)))
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)
+
+
+class Candidates:
+    """A block's candidates of one level, in the order of their buckets, in which their sums come back.
+
+    The first half of a key's 128 bits is its bucket, the second half tells it from others of the bucket.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, buckets: int):
+        bucket = (keys[:, 0] % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.ends = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        self.keys, self.counts = keys, counts
+
+    def rows(self, block: int) -> pa.Table:
+        keys, counts = self.keys[self.order, 1], self.counts[self.order].astype("<i8")
+        full = np.flatnonzero(np.diff(self.ends))
+        cut = [slice(self.ends[b], self.ends[b + 1]) for b in full]
+        return pa.table({
+            "block": pa.array(np.full(len(full), block), pa.int64()), "bucket": pa.array(full, pa.int32()),
+            "keys": pa.array([keys[c].tobytes() for c in cut], pa.binary()), "counts": pa.array([_packed(counts[c]) for c in cut], pa.binary()),
+        })
+
+    def answered(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, owned) of each candidate, from the rows of its buckets in order."""
+        sums, owned = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), bool)
+        if answers:
+            parts = [_array(r["sums"], "<i8") for r in answers]
+            sums[self.order] = np.concatenate(parts)
+            owned[self.order] = np.concatenate([np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=len(p)) for r, p in zip(answers, parts)])
+        return sums, owned
 
 
 class Lists:
-    """One block's lists of frequent phrases, level by level.
+    """One block's lists of frequent phrases, level by level, from a block that has frequent words only.
 
     ``at[m]`` has for each position the number of the frequent phrase of m words that starts there, or -1; ``sums[m]``, ``owned[m]`` and ``first[m]`` have by number the phrase's frequency, whether this block is the one to report it, and a place of it.
     """
 
     def __init__(self, row: dict, buckets: int):
         self.row, self.buckets = row, buckets
-        self.codes = np.frombuffer(row["codes"], np.int32)
-        self.at, self.sums, self.owned, self.first = [None], [None], [None], [None]
-        self.word_keys = _word_keys(row)
-        counts = np.frombuffer(row["counts"], np.int64)
-        self._found(np.flatnonzero(self.codes), self.codes[self.codes > 0] - 1, len(counts), counts, self.word_keys[1:])
-
-    def _found(self, places: np.ndarray, numbers: np.ndarray, n: int, counts: np.ndarray, keys: np.ndarray) -> None:
-        """Lists of candidates: ``numbers[i]`` starts at ``places[i]``. They are sent, and come back, in order of their buckets."""
-        bucket = (keys[:, 0] % np.uint64(self.buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.ends = np.searchsorted(bucket[self.order], np.arange(self.buckets + 1))
-        self.places, self.numbers, self.n, self.counts, self.keys = places, numbers, n, counts, keys
-
-    def sent(self):
-        """(bucket, keys, counts) of the candidates."""
-        keys, counts = self.keys[self.order], self.counts[self.order]
-        for b in np.flatnonzero(np.diff(self.ends)):
-            part = slice(self.ends[b], self.ends[b + 1])
-            yield int(b), keys[part].tobytes(), counts[part].astype("<i8").tobytes()
-
-    def keep(self, answers: list[tuple[bytes, bytes]]) -> None:
-        """The frequent ones of the candidates, by the sums of their buckets in order."""
-        sums, owned = np.zeros(self.n, np.int64), np.zeros(self.n, bool)
-        if answers:
-            sums[self.order] = np.frombuffer(b"".join(s for s, _ in answers), np.int64)
-            owned[self.order] = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(s) // 8) for s, o in answers])
-        frequent = sums > 0
-        new = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
-        at = np.full(len(self.codes) + 1, -1, np.int32)
-        at[self.places] = new[self.numbers]
-        first = np.zeros(self.n, np.int64)
-        first[self.numbers[::-1]] = self.places[::-1]
-        self.at.append(at)
-        self.sums.append(sums[frequent])
-        self.owned.append(owned[frequent])
-        self.first.append(first[frequent])
-        self.kept_keys = self.keys[frequent]
+        word = np.append(_array(row["codes"], "<i4") - 1, np.int32(-1))
+        self.at, self.sums, self.owned, self.first = [None, word], [None, _array(row["counts"], "<i8")], [None, None], [None, None]
+        self.word_keys = self.kept_keys = _word_keys(row)
 
     def extend(self) -> None:
         """Candidates of one more word: the list of a frequent phrase, merged with the postings of the frequent word behind it where the phrase one word on is frequent too."""
         m = len(self.at) - 1
         at, word = self.at[m], self.at[1]
         places = np.flatnonzero(at >= 0)
-        places = places[places + m < len(self.codes)]
-        places = places[(at[places + 1] >= 0) & (word[places + m] >= 0)] if m > 1 else places[word[places + 1] >= 0]
-        n_words = len(self.sums[1])
-        pair = at[places].astype(np.int64) * n_words + word[places + m]
-        distinct, numbers, counts = np.unique(pair, return_inverse=True, return_counts=True)
+        places = places[places + m < len(at)]
+        places = places[(at[places + 1] >= 0) & (word[places + m] >= 0)]
+        n_words = max(1, len(self.sums[1]))
+        distinct, first, numbers, counts = np.unique(at[places].astype(np.int64) * n_words + word[places + m], return_index=True, return_inverse=True, return_counts=True)
         with np.errstate(over="ignore"):
-            last = self.codes[self.first[1][distinct % n_words]] if n_words else np.empty(0, np.int64)
-            keys = mixed(self.kept_keys[distinct // n_words] * _MULT + self.word_keys[last]) if n_words else np.empty((0, 2), np.uint64)
-        self._found(places, numbers, len(distinct), counts, keys)
+            keys = mixed(self.kept_keys[distinct // n_words] * _MULT + self.word_keys[distinct % n_words])
+        self.places, self.numbers, self.places_of = places, numbers, places[first]
+        self.candidates = Candidates(keys, counts, self.buckets)
+
+    def keep(self, answers: list[dict]) -> None:
+        """The candidates that are frequent."""
+        sums, owned = self.candidates.answered(answers)
+        frequent = sums > 0
+        new = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+        at = np.full(len(self.at[1]), -1, np.int32)
+        at[self.places] = new[self.numbers]
+        self.at.append(at)
+        self.sums.append(sums[frequent])
+        self.owned.append(owned[frequent])
+        self.first.append(self.places_of[frequent])
+        self.kept_keys = self.candidates.keys[frequent]
 
     def phrases(self, least_words: int, share: int):
         """The phrases that this block reports: (lang, phrase, words, a, k, l, r, score, False), and (lang, part, ..., True) for parts of theirs that stand in them ``share`` per cent of their times."""
-        words, langs, most = self.row["words"], self.row["langs"], len(self.at) - 1
+        words, langs, lang_of, most = _words(self.row), self.row["langs"], _array(self.row["lang_of"], "<i4"), len(self.at) - 1
         for m in range(least_words, most + 1):
             for number in np.flatnonzero(self.owned[m]):
                 p = int(self.first[m][number])
-                a, codes = int(self.sums[m][number]), self.codes[p : p + m] - 1
-                text, lang = [words[c] for c in codes], langs[codes[0]]
+                a, codes = int(self.sums[m][number]), self.at[1][p : p + m]
+                text, lang = [words[c] for c in codes], langs[lang_of[codes[0]]]
                 cut = None
                 for k in range(1, m):
                     left, right = int(self.sums[k][self.at[k][p]]), int(self.sums[m - k][self.at[m - k][p + k]])
@@ -171,22 +204,38 @@ class Lists:
                             yield lang, b" ".join(text[o : o + j]), j, None, None, None, None, None, True
 
 
-def _built(blocks: pa.Table, sums: pa.Table, buckets: int, upto: int) -> Lists:
-    """A block's lists with the frequent phrases of ``upto`` levels, and the candidates of the next."""
-    lists = Lists(blocks.select(["langs", "words", "counts", "codes"]).to_pylist()[0], buckets)
-    answers: dict[int, list] = {}
+def _row(blocks: pa.Table) -> dict:
+    return blocks.to_pylist()[0]
+
+
+def _answers(sums: pa.Table) -> dict[int, list[dict]]:
+    out: dict[int, list] = {}
     for r in sums.sort_by([("level", "ascending"), ("bucket", "ascending")]).to_pylist():
-        answers.setdefault(r["level"], []).append((r["sums"], r["owned"]))
-    for level in range(1, upto + 1):
-        lists.keep(answers.get(level, []))
+        out.setdefault(r["level"], []).append(r)
+    return out
+
+
+def _built(blocks: pa.Table, sums: pa.Table, buckets: int, upto: int) -> Lists:
+    """A block's lists of the frequent phrases to ``upto`` words."""
+    lists, answers = Lists(_row(blocks), buckets), _answers(sums)
+    for level in range(2, upto + 1):
         lists.extend()
+        lists.keep(answers.get(level, []))
     return lists
 
 
-def _key_rows(block: int, lists: Lists) -> pa.Table:
-    rows = list(lists.sent())
-    cols = list(zip(*rows)) if rows else [[], [], []]
-    return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array(cols[0], pa.int32()), "keys": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary())})
+def _frequent_words(buckets: int):
+    """The block with its frequent words only, their counts those of all blocks."""
+
+    def run(key, blocks: pa.Table, sums: pa.Table) -> pa.Table:
+        row, words = _row(blocks), _words(_row(blocks))
+        total, _ = Candidates(_word_keys(row), _array(row["counts"], "<i8"), buckets).answered(_answers(sums).get(1, []))
+        kept = np.flatnonzero(total)
+        new = np.zeros(len(words) + 1, np.int32)
+        new[kept + 1] = np.arange(1, len(kept) + 1)
+        return _block(row["block"], row["langs"], _array(row["lang_of"], "<i4")[kept], [words[k] for k in kept], total[kept], new[_array(row["codes"], "<i4")])
+
+    return run
 
 
 def _summed(level: int, least: int):
@@ -194,26 +243,19 @@ def _summed(level: int, least: int):
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("block")
-        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint64).reshape(-1, 2)
-        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64)
-        order = np.argsort(keys[:, 0], kind="stable")
-        hi, lo = keys[order, 0], keys[order, 1]
-        if ((hi[1:] == hi[:-1]) & (lo[1:] != lo[:-1])).any():
-            order = np.lexsort((keys[:, 1], keys[:, 0]))
-            hi, lo = keys[order, 0], keys[order, 1]
-        new = np.ones(len(order), bool)
-        new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-        totals = np.add.reduceat(counts[order], np.flatnonzero(new))
-        sums, owned = np.zeros(len(order), np.int64), np.zeros(len(order), bool)
-        sums[order] = np.where(totals >= least, totals, 0)[np.cumsum(new) - 1]
-        owned[order] = new
-        owned &= sums > 0
-        ends = np.cumsum([0, *(len(k.as_py()) // 16 for k in rows.column("keys"))])
+        parts = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
+        counts = np.concatenate([_array(c, "<i8") for c in rows.column("counts").to_pylist()])
+        _, first, number = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        totals = np.zeros(len(first), np.int64)
+        np.add.at(totals, number, counts)
+        totals[totals < least] = 0
+        sums, owned = totals[number], np.zeros(len(counts), bool)
+        owned[first] = totals > 0
+        ends = np.cumsum([0, *map(len, parts)])
         cut = [slice(a, b) for a, b in zip(ends, ends[1:])]
-        n = rows.num_rows
         return pa.table({
-            "block": rows.column("block"), "level": pa.array([level] * n, pa.int32()), "bucket": rows.column("bucket"),
-            "sums": pa.array([sums[c].tobytes() for c in cut], pa.binary()), "owned": pa.array([np.packbits(owned[c]).tobytes() for c in cut], pa.binary()),
+            "block": rows.column("block"), "level": pa.array([level] * len(cut), pa.int32()), "bucket": rows.column("bucket"),
+            "sums": pa.array([_packed(sums[c]) for c in cut], pa.binary()), "owned": pa.array([np.packbits(owned[c]).tobytes() for c in cut], pa.binary()),
         })
 
     return run
@@ -224,40 +266,57 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
 
     Every phrase of 2 to ``longest`` words with at least ``least`` occurrences has one row with ``dropped`` false; rows with ``dropped`` true name phrases that a longer candidate contains at least ``share`` per cent of the times. Everything is counted over whole texts, by language; a null language is ``und``. Null and empty texts have no words, repeated rows count each, empty tables give no rows, and other columns are ignored. A very long text makes a long block.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = 2 * partitions(docs.sparkSession)
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    blocks = written(src.mapInArrow(_blocks(block_words), BLOCKS), "phrase-blocks")
 
     def words(batches):
         for b in batches:
             for row in b.to_pylist():
-                yield from _key_rows(row["block"], Lists(row, buckets)).to_batches()
+                yield from Candidates(_word_keys(row), _array(row["counts"], "<i8"), buckets).rows(row["block"]).to_batches()
+
+    def counted(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                n = np.bincount(_array(row["lang_of"], "<i4"), _array(row["counts"], "<i8"), len(row["langs"]))
+                yield pa.RecordBatch.from_pydict({"lang": pa.array(row["langs"], pa.string()), "n": pa.array(n.astype(np.int64))})
 
-    def more(level):
-        return lambda key, left, right: _key_rows(key[0].as_py(), _built(left, right, buckets, level))
+    def pairs(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                lists = Lists(row, buckets)
+                lists.extend()
+                yield from lists.candidates.rows(row["block"]).to_batches()
 
-    def reported(key, left, right):
-        out = list(_built(left, right, buckets, longest).phrases(2, share))
+    def longer(level):
+        def run(key, blocks, sums):
+            lists = _built(blocks, sums, buckets, level - 1)
+            lists.extend()
+            return lists.candidates.rows(key[0].as_py())
+
+        return run
+
+    def reported(key, blocks, sums):
+        out = list(_built(blocks, sums, buckets, longest).phrases(2, share))
         cols = list(zip(*out)) if out else [[]] * 9
         return pa.table([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=[x.split()[0] for x in PHRASES.split(", ")])
 
-    sums = None
-    for level in range(1, longest + 1):
-        keys = blocks.mapInArrow(words, KEYS) if level == 1 else blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(more(level - 1), KEYS)
-        own = written(keys.groupBy("bucket").applyInArrow(_summed(level, least), SUMS), f"phrase-sums-{level}")
-        sums = own if sums is None else sums.unionByName(own)
+    def sums_of(keys, level):
+        return written(keys.groupBy("bucket").applyInArrow(_summed(level, least), SUMS), f"phrase-sums-{level}")
+
+    all_words = written(src.mapInArrow(_blocks(block_words), BLOCKS), "phrase-words")
+    totals = written(all_words.select("langs", "lang_of", "counts").mapInArrow(counted, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    counts = sums_of(all_words.select("block", "langs", "lang_of", "words", "counts").mapInArrow(words, KEYS), 1)
+    blocks = written(all_words.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_frequent_words(buckets), BLOCKS), "phrase-blocks")
+    forget(all_words)
+    forget(counts)
+    tables = [sums_of(blocks.mapInArrow(pairs, KEYS), 2)]
+    for level in range(3, longest + 1):
+        sums = reduce(DataFrame.unionByName, tables)
+        tables.append(sums_of(blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(longer(level), KEYS), level))
+    sums = reduce(DataFrame.unionByName, tables)
     found = written(blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(reported, PHRASES), "phrases")
-
-    def counted(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                langs, at = np.unique(np.array(row["langs"], object).astype(str), return_inverse=True)
-                n = np.zeros(len(langs), np.int64)
-                np.add.at(n, at, np.frombuffer(row["counts"], np.int64))
-                yield pa.RecordBatch.from_pydict({"lang": pa.array(langs.tolist(), pa.string()), "n": pa.array(n)})
-
-    totals = blocks.select("langs", "counts").mapInArrow(counted, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n"))
+    for table in (blocks, *tables):
+        forget(table)
     return found.withColumn("phrase", F.col("phrase").cast("string")), totals
 
 
