@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import ordered
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, before: float, after: float, strict: tuple[bool, bool] = (False, False), how: str = "inner") -> DataFrame:
@@ -51,12 +52,15 @@ def classified(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("type").isin("attack", "skill", "combat_visual")), rows.where(F.col("type").isin("effect", "victory"))
 
 
-def nearest_state(queries: DataFrame, states: DataFrame, key: str, order: str = "seq") -> DataFrame:
-    """For each query (key, query_id, t_query) the state (key, t_sec, order, ...) nearest in time; the first in the history wins ties."""
-    own = F.struct(F.abs(F.col("t_sec") - F.col("t_query")).alias("gap"), F.col(order).alias("o"))
+def nearest_state(queries: DataFrame, states: DataFrame, key: str, order: str = "seq", rows: int = ordered.ROWS) -> DataFrame:
+    """For each query (key, query_id, t_query) the state (key, t_sec, order, ...) nearest in time; the first in the history wins ties.
+
+    One sort of queries and states, and not their product. Queries without a time, or whose key has no state, have no row; states without a time are never the nearest.
+    """
     kept = [c for c in states.columns if c != key]
-    best = queries.join(states, key).groupBy(key, "query_id", "t_query").agg(F.min_by(F.struct(*kept), own).alias("s"))
-    return best.select(key, "query_id", "t_query", *[F.col(f"s.{c}").alias(c) for c in kept])
+    asked = queries.select(key, "query_id", "t_query").where(F.col(key).isNotNull())
+    found = ordered.nearest(asked, states.where(F.col(key).isNotNull()), key, "t_query", "t_sec", order, rows=rows).where("state is not null")
+    return found.select(key, "query_id", "t_query", *[F.col("state")[c].alias(c) for c in kept])
 
 
 def nearest_frame(frames: DataFrame, t: float | None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import ordered
 
 # Priorities.
 CRITICAL, HIGH, MEDIUM, LOW, DEBUG = range(5)
@@ -57,25 +58,36 @@ def of_modality(df: DataFrame, modality: str) -> DataFrame:
     return df.where(F.col("modality") == modality)
 
 
-def with_run(df: DataFrame, window: float) -> DataFrame:
-    """``run``: neighbours in time of one modality and entity (null equals null) that are at most ``window`` apart share it."""
-    w = W.partitionBy("timeline_id").orderBy(*ORDER)
-    same = (F.lag("modality").over(w) == F.col("modality")) & F.lag("entity_id").over(w).eqNullSafe(F.col("entity_id")) & (F.col("t_sec") - F.lag("t_sec").over(w) <= window)
-    return df.withColumn("starts", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("starts").over(w)).drop("starts")
+def with_run(df: DataFrame, window: float, rows: int = ordered.ROWS) -> DataFrame:
+    """``run``: neighbours in time of one modality and entity (null equals null) that are at most ``window`` apart share it.
 
+    A timeline of more than ``rows`` events is cut into pieces of its time, and runs that cross a border are joined by a pass over one row a piece.
+    """
 
-def merge_nearby(df: DataFrame, window: float = 0.5) -> DataFrame:
-    """Runs become one event: earliest time, latest end, most urgent priority, greatest confidence, the first three distinct descriptions; an event alone stays as it is."""
-    runs = with_run(df, window).groupBy("timeline_id", "run").agg(
-        F.sort_array(F.collect_list(F.struct("t_sec", "seq", "modality", "description", "entity_id", "duration"))).alias("e"),
-        F.max(F.col("t_sec") + F.col("duration")).alias("last"), F.min("priority").alias("priority"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"),
+    def joins_last(row, last):
+        return (last("modality") == row("modality")) & last("entity_id").eqNullSafe(row("entity_id")) & (row("t_sec") - last("t_sec") <= window)
+
+    return ordered.with_islands(df, ["timeline_id"], list(ORDER), joins_last, "run", ["modality", "entity_id", "t_sec"], rows)
+
+
+def merge_nearby(df: DataFrame, window: float = 0.5, rows: int = ordered.ROWS) -> DataFrame:
+    """Runs become one event: earliest time, latest end, most urgent priority, greatest confidence, the first three distinct descriptions; an event alone stays as it is.
+
+    A run is never gathered: its wordings are counted down to the first of each, and of those three are kept before they are moved.
+    """
+    key = ["timeline_id", "run"]
+    first = F.struct(*ORDER, "modality", "description", "entity_id", "duration")
+    wordings = with_run(df, window, rows).groupBy(*key, "description").agg(
+        F.min(first).alias("first"), F.max(F.col("t_sec") + F.col("duration")).alias("last"), F.min("priority").alias("priority"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"),
     )
-    first = F.col("e")[0]
-    names = F.array_join(F.slice(F.array_distinct(F.transform("e", lambda x: x["description"])), 1, 3), "; ")
+    runs = wordings.groupBy(*key).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("priority").alias("priority"), F.max("confidence").alias("confidence"), F.sum("n").alias("n"))
+    early = wordings.where("description is not null").withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy("first"))).where("__n <= 3")
+    names = early.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("first")), lambda x: x["description"]), "; ").alias("names"))
     one = F.col("n") == 1
-    return runs.select(
-        "timeline_id", first["seq"].alias("seq"), first["t_sec"].alias("t_sec"), first["modality"].alias("modality"), F.when(one, first["description"]).otherwise(names).alias("description"), "priority",
-        F.when(one, first["duration"]).otherwise(F.col("last") - first["t_sec"]).alias("duration"), first["entity_id"].alias("entity_id"), "confidence", F.col("n").alias("n_merged"),
+    at = F.col("first")
+    return runs.join(names.select(F.col("timeline_id").alias("__of"), F.col("run").alias("__run"), "names"), F.col("timeline_id").eqNullSafe(F.col("__of")) & (F.col("run") == F.col("__run")), "left").select(
+        "timeline_id", at["seq"].alias("seq"), at["t_sec"].alias("t_sec"), at["modality"].alias("modality"), F.when(one, at["description"]).otherwise(F.coalesce("names", F.lit(""))).alias("description"), "priority",
+        F.when(one, at["duration"]).otherwise(F.col("last") - at["t_sec"]).alias("duration"), at["entity_id"].alias("entity_id"), "confidence", F.col("n").alias("n_merged"),
     )
 
 
@@ -89,8 +101,8 @@ def dedup_first(df: DataFrame) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def merge_and_dedupe(df: DataFrame, window: float = 0.5) -> DataFrame:
-    return dedup_first(merge_nearby(df, window))
+def merge_and_dedupe(df: DataFrame, window: float = 0.5, rows: int = ordered.ROWS) -> DataFrame:
+    return dedup_first(merge_nearby(df, window, rows))
 
 
 def removed_by_merge(df: DataFrame, window: float = 0.5) -> DataFrame:
