@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a piece, about: what one task sorts.
 ROWS = 200_000
@@ -61,6 +63,28 @@ def with_islands(df: DataFrame, keys: list[str], order: list[str], joins_last, i
     return out.withColumn(island, whole.cast("bigint")).select(*df.columns, island)
 
 
+def walk(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], make, column: str, kind: str) -> DataFrame:
+    """``df`` with ``column``: what a function of the ``inputs`` gives for each row, the rows of a key taken in order.
+
+    ``make`` gives a new function for each key; it may remember what it has seen. Rows come in batches, sorted by Spark, so a key of any length needs no more memory than the function does.
+    """
+    at = {c: k for k, c in enumerate(df.columns)}
+    arrow = {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[kind]
+
+    def run(batches):
+        key = step = None
+        for b in batches:
+            out = []
+            for k, x in zip(zip(*(b.column(at[c]).to_pylist() for c in keys)), zip(*(b.column(at[c]).to_pylist() for c in inputs))):
+                if step is None or k != key:
+                    key, step = k, make()
+                out.append(step(*x))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow)], [*b.schema.names, column])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(column, {"int": T.IntegerType(), "boolean": T.BooleanType(), "string": T.StringType()}[kind])])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def nearest(queries: DataFrame, states: DataFrame, key: str, t_query: str, t: str, order: str, direction: str = "nearest", rows: int = ROWS) -> DataFrame:
     """Each query (``key``, ``t_query``, ...) with a struct ``state``: the state of its key nearest in time, of equally near ones the first by ``order``.
 

@@ -236,6 +236,26 @@ def rolling_context(df: DataFrame, seconds: float = 300.0, most: int = 2048) ->
     return df.withColumn("n_context", F.least(n, F.lit(most)))
 
 
+def context_sizes(df: DataFrame, seconds: float = 300.0, most: int = 2048, rows: int = ordered.ROWS) -> DataFrame:
+    """For each row (timeline_id, t_sec, seq) ``n_context`` and ``span`` of the context once it has come, rows of its own time by ``seq``.
+
+    A hot timeline is cut into stretches of at least ``seconds``; a row counts in its own stretch and, as one that only came before, in the next, so that no stretch needs another's rows.
+    """
+    piece, own, n, lo, hi, span = (ordered.name(x) for x in ("piece", "own", "n", "lo", "hi", "span"))
+    hot = df.groupBy("timeline_id").agg(F.count(F.lit(1)).alias(n), F.min("t_sec").alias(lo), F.max("t_sec").alias(hi)).where(F.col(n) > rows)
+    hot = hot.select(F.col("timeline_id").alias("__of"), lo, F.greatest((F.col(hi) - F.col(lo)) / F.ceil(F.col(n) / rows), F.lit(float(seconds or 1.0))).alias(span))
+    placed = df.join(hot, F.col("timeline_id").eqNullSafe(F.col("__of")), "left").withColumn(piece, F.coalesce(F.floor((F.col("t_sec") - F.col(lo)) / F.col(span)), F.lit(0)))
+    copies = F.when(F.col("__of").isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    both = placed.select(*df.columns, piece, F.explode(copies).alias(own)).withColumn(piece, F.col(piece) + F.when(F.col(own), 0).otherwise(1))
+    w = W.partitionBy("timeline_id", piece).orderBy(*ORDER)
+    # Rows so far, less those that the window has left behind.
+    so_far = F.row_number().over(w)
+    left = F.expr(f"count(1) over (partition by timeline_id, {piece} order by t_sec range between unbounded preceding and current row)") - F.expr(f"count(1) over (partition by timeline_id, {piece} order by t_sec range between {float(seconds)}D preceding and current row)")
+    first = F.expr(f"min(t_sec) over (partition by timeline_id, {piece} order by t_sec range between {float(seconds)}D preceding and current row)")
+    sized = both.withColumn("n_context", F.least(so_far - left, F.lit(most))).withColumn("span", F.col("t_sec") - F.greatest(first, F.lag("t_sec", most - 1).over(w)))
+    return sized.where(F.col(own)).select(*df.columns, "n_context", "span")
+
+
 def final_context(df: DataFrame, seconds: float = 300.0, most: int = 2048) -> DataFrame:
     """The rows that the context holds at a timeline's end."""
     newest = F.max("t_sec").over(W.partitionBy("timeline_id"))

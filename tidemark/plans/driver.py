@@ -495,12 +495,35 @@ def detections(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("timeline_id"), F.floor(e / 50).alias("frame_idx"), (F.floor(e / 50) / 2.0).alias("t_sec"), (e % 50).cast("int").alias("det_no"), F.col("event_type").alias("entity_type"), F.col("event_type").alias("label"), x.alias("x1"), y.alias("y1"), (x + 250).alias("x2"), (y + 200).alias("y2"), F.col("value").alias("confidence"))
 
 
-@query()
+DETS = """det as (select user_id::varchar as timeline_id, event_id // 50 as frame_idx, (event_id // 50) / 2.0::double as t_sec, (event_id % 50)::int as det_no, event_type as kind, value as confidence,
+    (event_id * 37 % 500)::double as x1, (event_id * 53 % 400)::double as y1, (event_id * 37 % 500)::double + 250 as x2, (event_id * 53 % 400)::double + 200 as y2, row_number() over (partition by user_id, event_type order by event_id) as k from events)"""
+
+
+def matched_sql(may: str, first: int) -> str:
+    """A detection at a time, of each timeline and kind: ``number`` of the live box e that it overlaps most, or the next one."""
+    w, h = "(least(d.x2, e.x2) - greatest(d.x1, e.x1))", "(least(d.y2, e.y2) - greatest(d.y1, e.y1))"
+    over = f"(case when {w} > 0 and {h} > 0 then {w} * {h} / ((d.x2 - d.x1) * (d.y2 - d.y1) + (e.x2 - e.x1) * (e.y2 - e.y1) - {w} * {h}) else 0 end)"
+    hit = f"list_sort(list_transform(list_filter(r.live, lambda e: {may} and {over} > 0.3), lambda e: {{'o': -{over}, 'id': e.id}}))[1].id"
+    box = "{'id': coalesce(hit, n)::int, 'f': frame_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}"
+    return f"""r as (select distinct timeline_id, kind, 0::bigint as k, null::int as number, {first}::int as n, []::struct(id int, f bigint, x1 double, y1 double, x2 double, y2 double)[] as live from det
+    union all select timeline_id, kind, k, coalesce(hit, n)::int, (n + (hit is null)::int)::int, list_append(list_filter(live, lambda e: e.id <> coalesce(hit, n) and frame_idx - e.f <= 40), {box})
+    from (select d.timeline_id, d.kind, d.k, d.frame_idx, d.x1, d.y1, d.x2, d.y2, r.n, r.live, {hit} as hit from r join det d on d.timeline_id = r.timeline_id and d.kind = r.kind and d.k = r.k + 1))"""
+
+
+@query(f"""with recursive {DETS}, {matched_sql("e.f < d.frame_idx and d.frame_idx - e.f <= 11", 1)}
+select d.timeline_id, d.frame_idx, d.t_sec, d.det_no, d.kind as entity_type, printf('%s_%03d', d.kind, r.number) as entity_id, d.confidence from det d join r on d.timeline_id = r.timeline_id and d.kind = r.kind and d.k = r.k""")
 def track_entities(spark, sf_dir):
     return stateful.track(detections(spark, sf_dir), every_frame=True)
 
 
-@query()
+@query(f"""with recursive {DETS}, {matched_sql("d.frame_idx - e.f <= 30", 0)},
+seen as (select distinct d.timeline_id, printf('%s_%03d', d.kind, r.number) as entity_id, d.frame_idx from det d join r on d.timeline_id = r.timeline_id and d.kind = r.kind and d.k = r.k),
+fr as (select distinct timeline_id, frame_idx from det), s as (select *, lead(frame_idx) over w as again, lag(frame_idx) over w as before from seen window w as (partition by timeline_id, entity_id order by frame_idx)),
+g as (select s.timeline_id, s.entity_id, s.frame_idx as since, f.frame_idx, case when f.frame_idx - since <= 10 then 'occluded' when f.frame_idx - since <= 30 then 'lost' else 'terminated' end as state
+    from s join fr f on f.timeline_id = s.timeline_id and f.frame_idx > s.frame_idx and (again is null or f.frame_idx < again)),
+c as (select *, lag(state) over (partition by timeline_id, entity_id, since order by frame_idx) as was from g)
+select timeline_id, frame_idx, entity_id, state from c where state is distinct from was
+union all select timeline_id, frame_idx, entity_id, 'active' from s where before is null or exists (select 1 from fr f where f.timeline_id = s.timeline_id and f.frame_idx > s.before and f.frame_idx < s.frame_idx)""")
 def entity_lifecycle(spark, sf_dir):
     return stateful.lifecycle(detections(spark, sf_dir))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,7 +38,7 @@ FIRED = "timeline_id string, ts double, seq bigint, source string"
 
 
 def triggers(candidates: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """The cooldown of operators.stateful over a stream: candidates (timeline_id, t_sec, seq, source) of a micro-batch are taken in order of time."""
+    """The cooldown of operators.stateful over a stream: candidates (timeline_id, t_sec, seq, source) of a micro-batch are taken in order of time; in_order.triggers takes them in any order within the watermark."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cool = Cooldown(seconds, state.get[0] if state.exists else 0.0)
@@ -51,23 +52,18 @@ def triggers(candidates: DataFrame, seconds: float = 1.0) -> DataFrame:
 
 
 TRACKED = "timeline_id string, frame_idx bigint, det_no int, entity_id string"
-STATE = "names array<string>, boxes array<double>, missing array<int>, kinds array<string>, counts array<int>, last bigint"
-
-
 def track(detections: DataFrame, threshold: float = 0.3, max_missing: int = 10, every_frame: bool = False) -> DataFrame:
-    """The tracker of operators.stateful over a stream, its state kept between micro-batches: the entities not lost, their ages, and the last frame."""
+    """The tracker of operators.stateful over a stream whose frames come in order; in_order.track takes them in any order within the watermark."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker = Tracker(threshold, max_missing)
         if state.exists:
-            names, boxes, missing, kinds, counts, tracker.last = state.get
-            tracker.boxes = {n: tuple(boxes[4 * k : 4 * k + 4]) for k, n in enumerate(names)}
-            tracker.missing, tracker.counts = dict(zip(names, missing)), dict(zip(kinds, counts))
+            tracker.restore(json.loads(state.get[0]))
         rows = pd.concat(list(batches)).sort_values(["frame_idx", "det_no"], kind="stable")
         ids: list[str] = []
         for f, frame in rows.groupby("frame_idx", sort=True):
             ids += tracker.step([(r.entity_type, (r.x1, r.y1, r.x2, r.y2)) for r in frame.itertuples()], int(f) if every_frame else None)
-        state.update((list(tracker.boxes), [float(x) for b in tracker.boxes.values() for x in b], [int(n) for n in tracker.missing.values()], list(tracker.counts), [int(n) for n in tracker.counts.values()], tracker.last))
+        state.update((json.dumps(tracker.state()),))
         yield pd.DataFrame({"timeline_id": key[0], "frame_idx": rows.frame_idx, "det_no": rows.det_no, "entity_id": ids})
 
-    return detections.groupBy("timeline_id").applyInPandasWithState(step, TRACKED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return detections.groupBy("timeline_id").applyInPandasWithState(step, TRACKED, "state string", "append", GroupStateTimeout.NoTimeout)
