@@ -47,11 +47,12 @@ def last_states(states: DataFrame, most: int = 100) -> DataFrame:
     return states.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
 
 
-def spatial_edges(states: DataFrame, near: float = G.NEAR_PIXELS) -> DataFrame:
-    """(frame_id, source_id, target_id, relation_type, confidence) of all pairs of a frame, in the order of their registration ``rank``; states have (frame_id, entity_id, rank, bbox). Pairs meet within a frame only."""
-    a = states.select("frame_id", F.col("entity_id").alias("source_id"), F.col("rank").alias("ra"), F.col("bbox").alias("ba"))
-    b = states.select("frame_id", F.col("entity_id").alias("target_id"), F.col("rank").alias("rb"), F.col("bbox").alias("bb"))
-    pairs = a.join(b, "frame_id").where("ra < rb")
+def spatial_edges(states: DataFrame, near: float = G.NEAR_PIXELS, new: str | None = None) -> DataFrame:
+    """(frame_id, source_id, target_id, relation_type, confidence) of all pairs of a frame, in the order of their registration ``rank``; states have (frame_id, entity_id, rank, bbox). Pairs meet within a frame only. With ``new``, a boolean column, only pairs that have a new side."""
+    fresh = F.col(new) if new else F.lit(True)
+    a = states.select("frame_id", F.col("entity_id").alias("source_id"), F.col("rank").alias("ra"), F.col("bbox").alias("ba"), fresh.alias("na"))
+    b = states.select("frame_id", F.col("entity_id").alias("target_id"), F.col("rank").alias("rb"), F.col("bbox").alias("bb"), fresh.alias("nb"))
+    pairs = a.join(b, "frame_id").where("ra < rb and (na or nb)")
     kinds = F.concat(F.transform(G.relations(F.col("ba"), F.col("bb"), near), lambda r: F.struct(r.alias("r"), F.lit(0.8).alias("c"))), F.when(G.collides(F.col("ba"), F.col("bb")), F.array(F.struct(F.lit("collides_with").alias("r"), F.lit(0.9).alias("c")))).otherwise(F.array().cast("array<struct<r:string,c:double>>")))
     return pairs.select("frame_id", "source_id", "target_id", F.explode(kinds).alias("k")).select("frame_id", "source_id", "target_id", F.col("k.r").alias("relation_type"), F.col("k.c").alias("confidence"))
 

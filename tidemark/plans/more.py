@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
@@ -17,11 +15,7 @@ from tidemark.operators import timeline as TL
 from tidemark.plans import driver as D
 from tidemark.plans.driver import LINE, MMSS, STS, TLS, query, states, table, timeline
 from tidemark.sources import loaders
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one where none is named."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tidemark.storage import new_path
 
 
 def any_sql(column: str, words) -> str:
@@ -551,14 +545,14 @@ def upserted_entities(spark, sf_dir):
 
 
 def as_json(df: DataFrame, name: str) -> str:
-    path = scratch(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     loaders.write_json(df, path)
     return path
 
 
 def as_list(df: DataFrame, name: str, container: str | None = None) -> str:
     """One JSON file with a list of the rows, under a name of its own if asked."""
-    path = scratch(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     body = F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns))))
     whole = df.agg(body.alias("b")).select(F.concat(F.lit('{"' + container + '":'), "b", F.lit("}")) if container else F.col("b"))
     whole.coalesce(1).write.text(path)
@@ -626,7 +620,7 @@ def training_messages(spark, sf_dir):
 
 @query("select conv_id, turn, role, text from conversations where conv_id % 5 = 1")
 def saved_conversations(spark, sf_dir):
-    path = scratch(spark, "conversations")
+    path = new_path(spark, "conversations")
     loaders.save_conversations(table(spark, sf_dir, "conversations").where("conv_id % 5 = 1"), path)
     return loaders.load_conversation(spark, path).select("conv_id", "turn", "role", "text")
 
