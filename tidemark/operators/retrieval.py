@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import timeline as TL
+from tidemark.operators import vector_index
 
 
 def semantic_top(rows: DataFrame, query: list[float], k: int = 10, vector: str = "embedding", order: str = "vec_id") -> DataFrame:
@@ -17,21 +18,9 @@ def semantic_top(rows: DataFrame, query: list[float], k: int = 10, vector: str =
     return rows.withColumn("similarity", F.round(V.cosine(F.col(vector), q), 6)).orderBy(F.desc("similarity"), order).limit(k or 10)
 
 
-def similar_regions(queries: DataFrame, candidates: DataFrame, k: int = 5, most_queries: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k nearest candidates of every query (query_id, query_vec).
-
-    Queries are broadcast in blocks of at most ``most_queries``; each partition keeps its own k nearest of a query before anything is shuffled.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // most_queries))
-    out = None
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = candidates.select("vec_id", "embedding").join(F.broadcast(block)).select("query_id", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("query_vec")), 6).alias("similarity"))
-        w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+def similar_regions(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest candidates of every query (query_id, query_vec), by the exact index of cells."""
+    return vector_index.nearest(queries, candidates, k)[0]
 
 
 def by_timestamp(timeline: DataFrame, t: float, half: float = 30.0, include_low: bool = False) -> DataFrame:
