@@ -24,6 +24,15 @@ def eval_configs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(EVAL_CONFIGS), "config string, max_frames int, fps double, vram_gb double")
 
 
+def preset_frames(media: DataFrame) -> DataFrame:
+    """(media_id, name, vram_gb, frames, context_frames): what each preset and evaluation configuration takes of media (media_id, seconds): frames at its rate up to its limit, and those that its context keeps."""
+    kinds = "array<struct<name:string,fps:double,kept:double,most:bigint,vram_gb:double>>"
+    rows = [F.struct(F.lit(n), F.lit(fps), F.lit(minutes * 60.0), F.lit(None).cast("bigint"), F.lit(gb)) for n, fps, minutes, gb, _ in PRESETS]
+    rows += [F.struct(F.lit(f"eval {n}"), F.lit(fps), F.lit(None).cast("double"), F.lit(most).cast("bigint"), F.lit(gb)) for n, most, fps, gb in EVAL_CONFIGS]
+    each = media.select("media_id", "seconds", F.explode(F.array(*rows).cast(kinds)).alias("p")).select("media_id", "seconds", "p.*")
+    return each.select("media_id", "name", "vram_gb", F.least(F.floor(F.col("seconds") * F.col("fps")), "most").alias("frames"), F.floor(F.least("seconds", "kept") * F.col("fps")).alias("context_frames"))
+
+
 def vram_breakdown(uses: Column) -> Column:
     """Of a map component -> used, a map component -> GB; the language model is always there."""
     table = F.create_map(*[F.lit(x) for kv in VRAM.items() for x in kv])

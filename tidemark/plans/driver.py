@@ -5,7 +5,7 @@ Times and gaps of the operators suit recordings; the ``events`` table is sparser
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
@@ -306,58 +306,102 @@ def source_of_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.source_of(F.col("url")).alias("source"))
 
 
+# Questions and answers: phrases that the operators look for, each put before a turn of the conversations.
 ASKED = ["at 5:30 what happened", "around 45 seconds", "1:05:30 boss fight", "what is it?", "and then he left", "that 5 items", "why?", "tell me more", "plain", "at 12.5s", ""]
 
 
-def asked(spark):
-    return spark.createDataFrame(list(enumerate(ASKED)), "qid int, q string")
+def phrase(phrases: list[str], k) -> Column:
+    return F.array(*[F.lit(p) for p in phrases])[F.pmod(k, F.lit(len(phrases))).cast("int")]
 
 
-ASKED_SQL = "(values " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(ASKED)) + ") v(qid, q)"
+def phrase_sql(phrases: list[str], k: str) -> str:
+    return "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in phrases) + f"][({k}) % {len(phrases)} + 1]"
+
+
+def asked(spark, sf_dir):
+    """Every turn as a question; each second conversation asks the phrase alone."""
+    q = phrase(ASKED, F.col("conv_id") + F.col("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, q).otherwise(F.concat(q, F.lit(" "), F.col("text"))).alias("q"), "text")
+
+
+ASKED_SQL = f"(select conv_id, turn, case when conv_id % 2 = 0 then {phrase_sql(ASKED, 'conv_id + turn')} else {phrase_sql(ASKED, 'conv_id + turn')} || ' ' || text end as q, text from conversations)"
 SECONDS_SQL = r"""case when regexp_matches(lower(q), '\d{1,2}:\d{2}:\d{2}') then regexp_extract(q, '(\d{1,2}):(\d{2}):(\d{2})', 1)::double * 3600 + regexp_extract(q, '(\d{1,2}):(\d{2}):(\d{2})', 2)::double * 60 + regexp_extract(q, '(\d{1,2}):(\d{2}):(\d{2})', 3)::double
  when regexp_matches(q, '\d{1,2}:\d{2}') then regexp_extract(q, '(\d{1,2}):(\d{2})', 1)::double * 60 + regexp_extract(q, '(\d{1,2}):(\d{2})', 2)::double when regexp_matches(lower(q), 'at\s+\d') then regexp_extract(lower(q), 'at\s+(\d+(?:\.\d+)?)', 1)::double when regexp_matches(lower(q), 'around\s+\d') then regexp_extract(lower(q), 'around\s+(\d+(?:\.\d+)?)', 1)::double end"""
 
 
-@query(f"select qid, {SECONDS_SQL} as t_sec from {ASKED_SQL}")
+@query(f"select conv_id, turn, {SECONDS_SQL} as t_sec from {ASKED_SQL}")
 def parse_query_time(spark, sf_dir):
-    return asked(spark).select("qid", T.query_seconds(F.col("q")).alias("t_sec"))
+    return asked(spark, sf_dir).select("conv_id", "turn", T.query_seconds(F.col("q")).alias("t_sec"))
 
 
-@query("select qid, " + " or ".join(f"regexp_matches(trim(lower(q)), '{p}')" for p in T.FOLLOW_UP) + f" as follow_up from {ASKED_SQL}")
+# Letters beyond ASCII are letters to the operators' word borders, and not to this engine's.
+@query(rf"""with a as (select conv_id, turn, trim(regexp_replace(lower(q), '[^\x00-\x7F]', 'x', 'g'), ' ' || chr(9) || chr(10) || chr(13)) as q from {ASKED_SQL})
+select conv_id, turn, regexp_matches(q, '\bwhat happened next\b|\bwhat about\b|\band then\b|\bafter that\b|\bbefore that\b|\bwhy did (he|she|they|it|the player)\b|\bwhat did (he|she|they|it|the player) do\b|\bcan you explain more\b')
+ or regexp_matches(q, '\btell me more\b|\bwhat else\b|\bhow did that happen\b|\bwhy\?$|^why\b|^how\b|^what\b.*\bthat\b|\bthe same\b|\bit\b.*\?$') as follow_up from a""")
 def follow_up(spark, sf_dir):
-    return asked(spark).select("qid", T.is_follow_up(F.col("q")).alias("follow_up"))
+    return asked(spark, sf_dir).select("conv_id", "turn", T.is_follow_up(F.col("q")).alias("follow_up"))
 
 
-@query(f"""select conv_id, turn, qid, round(least(1.0, greatest(0.0, case when turn >= 3 then 0.3 else turn * 0.1 end + case when length(text) > 50 then case when contains(lower(text), 'because') then 0.15 else 0.1 end else 0.05 end + case when ({SECONDS_SQL}) is null then 0.15 else 0.05 end)), 6)::double as score from conversations, {ASKED_SQL} where qid < 4""")
+@query(f"""select conv_id, turn, round(least(1.0, greatest(0.0, case when turn >= 3 then 0.3 else turn * 0.1 end + case when length(text) > 50 then case when contains(lower(text), 'because') then 0.15 else 0.1 end else 0.05 end + case when ({SECONDS_SQL}) is null then 0.15 else 0.05 end)), 6)::double as score from {ASKED_SQL}""")
 def confidence(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").join(F.broadcast(asked(spark).where("qid < 4")))
-    return rows.select("conv_id", "turn", "qid", F.round(T.confidence(F.col("turn"), F.col("q"), F.col("text")), 6).alias("score"))
+    return asked(spark, sf_dir).select("conv_id", "turn", F.round(T.confidence(F.col("turn"), F.col("q"), F.col("text")), 6).alias("score"))
+
+
+RESPONSES = ["B. because", "b", "The ANSWER: (C)", "OPTION D", "yes, there is a glitch", "no visible glitch", "I know it is normal", "it is not clearly a glitch", "true", "", "two\nlines", "red", "**Answer:** some bug here", "**Answer:** normal", "Yes", "no", "correct", "a physics error without doubt", "0", "nothing wrong", "an issue, not fine"]
+TRUTHS = ["B", "yes", "c", "no", "two", "true", "glitch", "normal", "red"]
+OPTIONS = ["blue", "red", "green", "grey"]
+
+
+def answers(spark, sf_dir):
+    """Every turn as a response: each third is the phrase alone, the others go on with the turn's text; each second has options."""
+    k = F.col("conv_id") * 7 + F.col("turn")
+    r = phrase(RESPONSES, k)
+    options = F.when(F.pmod(F.col("turn"), F.lit(2)) == 0, F.array(*[F.lit(o) for o in OPTIONS])).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.pmod(F.col("conv_id"), F.lit(3)) == 0, r).otherwise(F.concat(r, F.lit(" "), F.col("text"))).alias("response"), phrase(TRUTHS, F.col("conv_id") + F.col("turn") * 3).alias("truth"), options.alias("options"))
 
 
-ANSWERS = [(0, "B. because", "b", 4), (1, "The answer is (C)", "C", 4), (2, "Option: d", "a", 4), (3, "yes, there is a glitch", "yes", 0), (4, "no visible glitch", "no", 0), (5, "I know it is normal", "no", 0), (6, "it is not clearly a glitch", "no", 0), (7, "true", "yes", 0), (8, "", "yes", 0), (9, "two\nlines", "two", 0), (10, "red", "b", 4)]
+def listed(words: str, of: str) -> str:
+    """Whether any of the words, given between semicolons, is in the text."""
+    return "(" + " or ".join(f"contains({of}, '{w.strip()}')" for w in words.replace("'", "''").split(";")) + ")"
 
 
-def answers(spark):
-    opts = F.when(F.col("n") > 0, F.array(*[F.lit(x) for x in ("blue", "red", "green", "grey")])).otherwise(F.array().cast("array<string>"))
-    return spark.createDataFrame(ANSWERS, "aid int, response string, truth string, n int").withColumn("options", opts)
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ANSWERS_SQL = f"""an as (select conv_id, turn, case when conv_id % 3 = 0 then '' else ' ' || text end as tail, {phrase_sql(RESPONSES, 'conv_id * 7 + turn')} as head, {phrase_sql(TRUTHS, 'conv_id + turn * 3')} as truth, turn % 2 = 0 as has from conversations),
+ap as (select conv_id, turn, truth, has, head || tail as response, trim(head || tail, {BLANK}) as r, lower(trim(head || tail, {BLANK})) as low, regexp_replace(upper(trim(head || tail, {BLANK})), '[^\\x00-\\x7F]', 'X', 'g') as up from an)"""
+DENIED = listed("no glitch;no visible glitch;is not a glitch;isn't a glitch;normal gameplay;this is normal;nothing unusual;no clear indication;no indication of a glitch;not a glitch;no specific glitch;no obvious glitch;appears normal;no anomalies;looks normal;nothing abnormal;no visual evidence;no signs of;no physics error;no clipping", "low")
+AFFIRMED = "there is a glitch;yes, there is;is a glitch;glitch detected;appears to be a glitch;clearly a glitch;this is a glitch;visible glitch;glitch in this;glitch can be seen;glitch is present;physics error;clipping error;texture error;animation bug".split(";")
+NEGATED = r"\b(no|not|isn''t|aren''t|wasn''t|weren''t|don''t|doesn''t|didn''t|without|lacks?|absence)\b"
+AFFIRMED_SQL = " ".join(
+    f"when contains(low, '{p}') then case when len(list_filter(range(1, len(string_split(low, '{p}'))), lambda i: regexp_matches(right(array_to_string(string_split(low, '{p}')[1:i], '{p}'), 30), '{NEGATED}'))) > 0 then 'no' else 'yes' end"
+    for p in AFFIRMED
+)
+SECTION = r"regexp_extract(low, '\*\*answer[:\s]*\*\*\s*([^\n]+)', 1)"
+FIRST_LINE = "left(string_split(r, chr(10))[1], 200)"
 
 
-@query()
+@query(f"""with {ANSWERS_SQL} select conv_id, turn, case when response = '' then '' else coalesce(
+    case when has then coalesce(nullif(regexp_extract(up, '^([A-D])\\b', 1), ''), nullif(regexp_extract(up, '[(\\[]([A-D])[)\\]]', 1), ''), case when contains(low, 'blue') then 'A' when contains(low, 'red') then 'B' when contains(low, 'green') then 'C' when contains(low, 'grey') then 'D' end) end,
+    case when contains(low, 'yes') or contains(low, 'true') then 'yes' when contains(low, 'no') or contains(low, 'false') then 'no' else {FIRST_LINE} end) end as parsed,
+case when response = '' then '' when has and regexp_matches(up, '^[A-D]\\b') then left(up, 1) when {DENIED} then 'no' {AFFIRMED_SQL} when starts_with(low, 'yes') then 'yes' when starts_with(low, 'no') then 'no'
+    when {listed('yes;glitch;bug', SECTION)} then 'yes' when {listed('no;normal', SECTION)} then 'no' else {FIRST_LINE} end as glitch from ap""")
 def answer_parse(spark, sf_dir):
     r, o = F.col("response"), F.col("options")
-    return answers(spark).select("aid", T.parsed_answer(r, o).alias("parsed"), T.glitch_answer(r, o).alias("glitch"))
+    return answers(spark, sf_dir).select("conv_id", "turn", T.parsed_answer(r, o).alias("parsed"), T.glitch_answer(r, o).alias("glitch"))
 
 
-@query("select aid, lower(trim(response)) = truth or (left(response, 1) in ('a', 'b', 'c', 'd', 'A', 'B', 'C', 'D') and lower(left(response, 1)) = lower(left(truth, 1))) or (lower(response) in ('yes', 'true', '1', 'correct') and lower(truth) in ('yes', 'true', '1', 'correct')) as phase2, lower(trim(response)) = lower(truth) as exact from (values " + ", ".join(f"({a}, '{b.replace(chr(10), ' ')}', '{c}', {d})" for a, b, c, d in ANSWERS) + ") v(aid, response, truth, n)")
+@query(f"""with {ANSWERS_SQL} select conv_id, turn, low = lower(truth) or (left(low, 1) in ('a', 'b', 'c', 'd') and left(lower(truth), 1) in ('a', 'b', 'c', 'd') and left(low, 1) = left(lower(truth), 1))
+ or (not (left(low, 1) in ('a', 'b', 'c', 'd') and left(lower(truth), 1) in ('a', 'b', 'c', 'd')) and (low in ('yes', 'true', '1', 'correct') and lower(truth) in ('yes', 'true', '1', 'correct') or low in ('no', 'false', '0', 'incorrect') and lower(truth) in ('no', 'false', '0', 'incorrect'))) as phase2, low = lower(truth) as exact from ap""")
 def score_answers(spark, sf_dir):
     r, t = F.col("response"), F.col("truth")
-    return answers(spark).select("aid", T.correct_letters(r, t).alias("phase2"), T.correct_exact(r, t).alias("exact"))
+    return answers(spark, sf_dir).select("conv_id", "turn", T.correct_letters(r, t).alias("phase2"), T.correct_exact(r, t).alias("exact"))
 
 
-@query()
+@query(f"""with {ANSWERS_SQL}, k as (select *, lower(truth) as t, {listed('yes;glitch;bug;error;anomaly;issue;problem', 'low')} as pro, {listed('no;normal;correct;fine;nothing wrong', 'low')} and not contains(left(low, 50), 'not') as con from ap)
+select conv_id, turn, low = t or (pro and not con and t in ('yes', 'true', '1', 'glitch', 'a')) or (con and not pro and t in ('no', 'false', '0', 'normal', 'b')) or (has and left(low, 1) in ('a', 'b', 'c', 'd') and left(low, 1) = left(t, 1)) as phase1,
+ low = t or (left(low, 1) between 'a' and 'h' and left(t, 1) between 'a' and 'h' and left(low, 1) = left(t, 1)) as phase3 from k""")
 def score_keywords(spark, sf_dir):
     r, t, o = F.col("response"), F.col("truth"), F.col("options")
-    return answers(spark).select("aid", T.correct_keywords(r, t, o).alias("phase1"), T.correct_letters(r, t, "abcdefgh", variants=False).alias("phase3"))
+    return answers(spark, sf_dir).select("conv_id", "turn", T.correct_keywords(r, t, o).alias("phase1"), T.correct_letters(r, t, "abcdefgh", variants=False).alias("phase3"))
 
 
 def metrics(spark, sf_dir):
@@ -453,12 +497,19 @@ def mcq_prompt(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.prompt(F.col("text"), F.array(F.lit("yes"), F.lit("no"), F.lit("maybe"))).alias("prompt"))
 
 
-CALLS = [(0, 'Let me look. <tool_call>search_game_knowledge("dragon boss")</tool_call> ok'), (1, "none"), (2, "<tool_call>search_game_knowledge('a')</tool_call> <tool_call>other('b')</tool_call>")]
+def called(spark, sf_dir):
+    """Every turn with one call, another tool's call, two calls, a call over lines, or none."""
+    call = lambda name, quote: F.concat(F.lit(f"<tool_call>{name}({quote}"), F.lit("turn "), F.col("conv_id").cast("string"), F.lit(f"{quote})</tool_call>"))
+    known, other, text = call("search_game_knowledge", '"'), call("other", "'"), F.col("text")
+    lines = F.concat(F.lit("<Tool_Call>\n search_game_knowledge ( 'a\nb' )\n</Tool_Call>"))
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    t = F.when(k == 0, F.concat(known, text)).when(k == 1, F.concat(text, other)).when(k == 2, F.concat(known, text, known)).when(k == 3, F.concat(text, lines)).otherwise(text)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"))
 
 
-@query("select * from (values (0, 'dragon boss', 'Let me look.  ok'), (1, '', 'none'), (2, 'a', '')) v(cid, calls, rest)")
+@query(f"""select conv_id, turn, case (conv_id + turn) % 5 when 0 then 'turn ' || conv_id when 2 then 'turn ' || conv_id || ',turn ' || conv_id when 3 then 'a' || chr(10) || 'b' else '' end as calls, trim(text, {BLANK}) as rest from conversations""")
 def tool_calls(spark, sf_dir):
-    return spark.createDataFrame(CALLS, "cid int, t string").select("cid", F.array_join(T.tool_calls(F.col("t")), ",").alias("calls"), T.without_tool_calls(F.col("t")).alias("rest"))
+    return called(spark, sf_dir).select("conv_id", "turn", F.array_join(T.tool_calls(F.col("t")), ",").alias("calls"), T.without_tool_calls(F.col("t")).alias("rest"))
 
 
 @query("with m as (select item_id as media_id, length(text)::double as duration from benchmark) select media_id, k::int as k, k * 3.5::double as start, least(k * 3.5::double + 4, duration) as \"end\" from m, unnest(range(0, (floor((duration - 2) / 3.5) + 1)::bigint)) t(k) where duration >= 2")

@@ -145,11 +145,10 @@ def vram_use(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(k.alias("k"), F.explode(records.vram_breakdown(uses)).alias("component", "gb"))
 
 
-@query("select * from (values ('light', 0.5::double, 2, 20.0::double, 0.0::double, null::int), ('standard', 1.0, 5, 28.0, 0.5, null), ('full', 2.0, 10, 45.0, 1.0, null), ('eval baseline', 4.0, null, 18.0, null, 64), ('eval light', 4.0, null, 22.0, null, 128), ('eval full', 8.0, null, 35.0, null, 256)) v(name, fps, context_minutes, vram_gb, sam_fps, max_frames)")
+@query("""with m as (select item_id as media_id, length(text)::double as seconds from benchmark), p as (select * from (values ('light', 0.5::double, 120.0::double, null::bigint, 20.0::double), ('standard', 1.0, 300.0, null, 28.0), ('full', 2.0, 600.0, null, 45.0), ('eval baseline', 4.0, null, 64, 18.0), ('eval light', 4.0, null, 128, 22.0), ('eval full', 8.0, null, 256, 35.0)) v(name, fps, kept, most, vram_gb))
+select media_id, name, vram_gb, least(floor(seconds * fps)::bigint, most) as frames, floor(least(seconds, kept) * fps)::bigint as context_frames from m, p""")
 def presets(spark, sf_dir):
-    a = records.presets(spark).select(F.col("preset").alias("name"), "fps", "context_minutes", "vram_gb", "sam_fps")
-    b = records.eval_configs(spark).select(F.concat(F.lit("eval "), "config").alias("name"), "fps", "vram_gb", "max_frames")
-    return a.unionByName(b, allowMissingColumns=True)
+    return records.preset_frames(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("media_id"), F.length("text").cast("double").alias("seconds")))
 
 
 # Filters and lookups
