@@ -24,7 +24,7 @@ def tables(k):
     return {name: key(getattr(k, name)()) for name in ("states", "entities", "edges", "intervals")}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_any_split(spark, tmp_path, seed):
     rows = states(seed)
     df = spark.createDataFrame(rows, knowledge.STATES)

@@ -105,6 +105,15 @@ def export_lines(nodes: DataFrame, edges: DataFrame, most_entities: int = 20, mo
     return head.unionByName(lines).unionByName(r.select((F.col("k") + 1000).cast("int").alias("line_no"), F.concat_ws(" ", F.lit("-"), "source_id", "relation_type", "target_id").alias("line")))
 
 
+def graph_tables(nodes: DataFrame, edges: DataFrame, now: float | None = None, active_for: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """The graph as two tables, of any size: nodes (id, label, category, first_seen, last_seen), with ``now`` those seen within ``active_for`` seconds of it, and all edges (source, target, type, start_time, end_time)."""
+    kept = nodes if now is None else nodes.where(F.col("last_seen") >= now - active_for)
+    return (
+        kept.select(F.col("entity_id").alias("id"), F.col("concept_label").alias("label"), "category", "first_seen", "last_seen"),
+        edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relation_type").alias("type"), "start_time", "end_time"),
+    )
+
+
 def as_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: arrays of nodes and of edges as JSON. For graphs that fit a row; use the tables otherwise."""
     n = nodes.agg(F.to_json(F.sort_array(F.collect_list(F.struct("entity_id", "category")))).alias("nodes"))

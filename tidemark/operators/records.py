@@ -131,6 +131,16 @@ def run_statistics(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count(F.lit(1)).alias("total_samples"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("total_seconds"), (F.coalesce(F.sum("seconds"), F.lit(0.0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avg_seconds"))
 
 
+def pipeline_statistics(runs: DataFrame, videos: DataFrame) -> DataFrame:
+    """Totals and safe means of a pipeline that perceives a video once (videos: seconds) and answers every sample (runs: seconds)."""
+    total = lambda df: F.coalesce(F.sum("seconds"), F.lit(0.0))
+    a = runs.agg(F.count(F.lit(1)).alias("total_samples"), total(runs).alias("total_inference_time_sec")).first()
+    return videos.agg(
+        F.lit(a["total_samples"]).cast("bigint").alias("total_samples"), total(videos).alias("total_perception_time_sec"), F.lit(a["total_inference_time_sec"]).alias("total_inference_time_sec"),
+        (total(videos) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avg_perception_time_sec"), F.lit(a["total_inference_time_sec"] / max(1, a["total_samples"])).alias("avg_inference_time_sec"),
+    )
+
+
 def upserted(entities: DataFrame, seen: DataFrame) -> DataFrame:
     """Entities (entity_id, concept_label, category, first_seen, last_seen) after a batch of sightings: names stay, times widen. For foreachBatch."""
     return entities.unionByName(seen).groupBy("entity_id").agg(F.min_by("concept_label", "first_seen").alias("concept_label"), F.min_by("category", "first_seen").alias("category"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))

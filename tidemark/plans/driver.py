@@ -587,4 +587,4 @@ def trigger_cooldown(spark, sf_dir):
     return stateful.triggers(c, DAY).select("timeline_id", "t_sec", "seq")
 
 
-from tidemark.plans import more, streams  # noqa: E402, F401  (these register further queries)
+from tidemark.plans import media, more, streams  # noqa: E402, F401  (these register further queries)

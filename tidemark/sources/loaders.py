@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 
 SAMPLE = ("sample_id", "question", "options", "answer", "task", "category", "video_path", "duration", "start_time", "end_time", "subcategory", "game_name", "metadata")
-VIDEO_GLOB = "*.{mp4,avi,mov,mkv,webm}"
+VIDEO_GLOB = "*.{mp4,avi,mov,mkv,webm,MP4,AVI,MOV,MKV,WEBM}"
 RECORD = "map<string,string>"
 # Names of tasks in files, and what they mean.
 TASKS = (
@@ -65,6 +65,29 @@ def physics(spark: SparkSession, path: str) -> DataFrame:
     return samples(records(spark, path), F.lit("physics_understanding"))
 
 
+# Domains of physics and their categories.
+PHYSICS = {
+    "mechanics": ("gravity", "collision", "friction", "inertia", "momentum"), "kinematics": ("velocity", "acceleration", "trajectory", "rotation"),
+    "optics": ("lighting", "shadows", "reflections", "transparency"), "materials": ("deformation", "destruction", "fluids", "particles"),
+}
+
+
+def physics_videos(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, video_path, domain, category) of the videos below a folder a domain, listed without reading them: the category is the domain's first that the file's name contains, else unknown. Where no domain has a video, all videos below the folder, of unknown domain."""
+    listed = videos(spark, path)
+    root = F.regexp_replace(F.lit(path.rstrip("/")), r"^[a-z]+:/*", "/")
+    below = F.expr("substring(p, length(r) + 2)")
+    rows = listed.withColumn("p", F.regexp_replace("path", r"^[a-z]+:/*", "/")).withColumn("r", root).withColumn("video_path", below).withColumn("domain", F.split("video_path", "/")[0])
+    stem = F.lower("video_id")
+    category = F.lit("unknown")
+    for domain, names in PHYSICS.items():
+        for c in reversed(names):
+            category = F.when((F.col("domain") == domain) & stem.contains(c), c).otherwise(category)
+    rows = rows.withColumn("known", F.col("domain").isin(*PHYSICS) & F.col("video_path").contains("/"))
+    some = rows.groupBy().agg(F.coalesce(F.max("known"), F.lit(False)).alias("some")).first()["some"]
+    return rows.where(F.col("known") if some else F.lit(True)).select(F.col("video_id").alias("sample_id"), "video_path", F.when(F.col("known"), F.col("domain")).otherwise("unknown").alias("domain"), F.when(F.col("known"), category).otherwise("unknown").alias("category"))
+
+
 def game_questions(spark: SparkSession, path: str) -> DataFrame:
     """Files a task, by the first task name that the file's name contains."""
     name = F.when(F.lower("file").contains(TASKS[0][0]), TASKS[0][0])
