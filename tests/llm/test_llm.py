@@ -401,30 +401,38 @@ def brute_toxicity(rows, labels):
             seen.add((text[i] or "").lower())
             examples.append((i, y, toxicity.terms_in(text[i])))
     terms = sorted({t for e in examples for t in e[2]})
-    all1 = sum(y for _, y, _ in examples)
     tf = {i: toxicity.terms_in(t) for i, t in rows}
-    weight = []
-    for t in terms:
-        n1, n = sum(y for _, y, e in examples if t in e), sum(1 for _, _, e in examples if t in e)
-        df = sum(t in x for x in tf.values())
-        weight.append(math.log((len(rows) + 1) / (df + 1)) * (toxicity.FLOOR + toxicity.evidence_of(n1, n, all1, len(examples))))
+    idf = [math.log((len(rows) + 1) / (sum(t in x for x in tf.values()) + 1)) for t in terms]
 
-    def vector(own):
-        v = np.array([(1 + math.log(own[t])) * w if t in own else 0.0 for t, w in zip(terms, weight)])
-        return v / (np.linalg.norm(v) or 1)
+    def learnt(some):
+        """The vote that these examples give a text."""
+        all1 = sum(y for _, y, _ in some)
+        weight = []
+        for t, i in zip(terms, idf):
+            n1, n = sum(y for _, y, e in some if t in e), sum(1 for _, _, e in some if t in e)
+            weight.append(i * (toxicity.FLOOR + (toxicity.evidence_of(n1, n, all1, len(some)) if n1 else 0.0)))
 
-    own = np.array([vector(e[2]) for e in examples])
-    prior = (all1 + 0.5) / (len(examples) + 1)
+        def vector(own):
+            v = np.array([(1 + math.log(own[t])) * w if t in own else 0.0 for t, w in zip(terms, weight)])
+            return v / (np.linalg.norm(v) or 1)
 
-    def vote(v, without):
-        near = sorted((-round(float(own[k] @ v), 12), e[0], e[1]) for k, e in enumerate(examples) if e[0] != without and e[2])
-        near = [x for x in near if x[0] < 0][:15]
-        weights = [-s / (1.05 + s) for s, _, _ in near]
-        return round((sum(w * y for w, (_, _, y) in zip(weights, near)) + prior) / (sum(weights) + 1), 3)
+        own = [(vector(e[2]), e) for e in some if e[2]]
+        prior = (all1 + 0.5) / (len(some) + 1)
 
-    full = [k for k, e in enumerate(examples) if e[2]]
-    steps = toxicity.isotonic(np.array([vote(own[k], examples[k][0]) for k in full]), np.array([float(examples[k][1]) for k in full]))
-    return {i: float(np.interp(vote(vector(tf[i]), None), *steps)) for i, _ in rows}
+        def vote(found):
+            v = vector(found)
+            near = [x for x in sorted((-round(float(o @ v), 12), e[0], e[1]) for o, e in own) if x[0] < 0][:15]
+            weights = [-s / (1.05 + s) for s, _, _ in near]
+            return round((sum(w * y for w, (_, _, y) in zip(weights, near)) + prior) / (sum(weights) + 1), 3)
+
+        return vote
+
+    raw = []
+    for f in range(toxicity.FOLDS):
+        vote = learnt([e for k, e in enumerate(examples) if k % toxicity.FOLDS != f])
+        raw += [(vote(e[2]), float(e[1])) for k, e in enumerate(examples) if k % toxicity.FOLDS == f]
+    steps, vote = toxicity.isotonic(*map(np.array, zip(*raw))), learnt(examples)
+    return {i: float(np.interp(vote(tf[i]), *steps)) for i, _ in rows}
 
 
 def test_toxicity_equals_brute_force(spark):
@@ -456,6 +464,20 @@ def test_toxicity_holds_out(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(frame(spark, rows[:5]), labels.where("false")).first().score == 0.5
 
 
+def test_toxicity_of_one_label(spark):
+    """Nothing can be told from examples of one label, or from none."""
+    rows = [(k, prose(20, 4000 + k)) for k in range(40)] + [(90, None), (91, "")]
+    for y in (0, 1):
+        labels = spark.createDataFrame([(k, y) for k in range(40)], "doc_id long, toxic int")
+        assert {(r.score, r.predicted) for r in toxicity.toxicity(frame(spark, rows), labels).collect()} == {(0.5, 0)}
+
+
+def test_toxicity_keeps_columns_of_any_name(spark):
+    rows = frame(spark, [(k, prose(9, k)) for k in range(12)]).withColumn("__id", F.lit("x")).withColumn("__text", F.lit("y"))
+    got = toxicity.toxicity(rows, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), keep=("__id", "__text", "score")).collect()
+    assert {(r["__id"], r["__text"], r["score_in"]) for r in got} == {("x", "y", 0.5)} and len(got) == 12
+
+
 def test_pii(spark, empty):
     import re
 
@@ -543,3 +565,14 @@ def test_pipeline(spark, tmp_path):
     item = sets_of([(0, " ".join(ROWS[12][1].split()[10:70]))])[0]
     sets = sets_of([(i, text[i]) for i in kept])
     assert got == {i for i in kept if len(sets[i] & item) < 0.8 * len(item)}
+
+
+def test_pipeline_drops_toxic_documents(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rows = [(k, prose(60, 7000 + k) + (" vilewordish vileword" if k % 5 == 0 else "")) for k in range(600)] + [(5000, None), (5001, "")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "nothing that any document has in it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, 0, int(k % 5 == 0)) for k in range(600)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    # Of the two documents without a text one stays.
+    assert {r.doc_id for r in c.run(spark, str(tmp_path)).collect()} == {k for k in range(600) if k % 5} | {5001}

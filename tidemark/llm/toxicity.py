@@ -2,12 +2,13 @@
 
 The examples are a bounded sample of the labelled documents. Their terms are words and the first letters of longer words, so that inflected forms meet, and all of them count; document frequencies are taken over the whole corpus. A term weighs the more, the more its likelihood ratio by label exceeds what chance gives, but never nothing. What no example has can match nothing and is left out of a text's vector.
 
-The examples' unit vectors form an inverted index in blocks. A query adds up the postings of its rarer terms; for its common ones the index has the greatest weight in each block, and only examples that with these bounds could still be among the nearest are scored in full, which leaves the result exact. Votes of the k nearest are weighted by distance and calibrated by isotonic regression over the examples, each left out of its own vote.
+The examples' unit vectors form an inverted index in blocks. A query adds up the postings of its rarer terms; for its common ones the index has the greatest weight in each block, and only examples that with these bounds could still be among the nearest are scored in full, which leaves the result exact. Votes of the k nearest are weighted by distance and calibrated by isotonic regression over the examples, each voted on by others that it has taught nothing.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from itertools import chain
 
@@ -21,9 +22,9 @@ from .common import id_crc, once, slices
 #: Labelled documents that are learnt from, at most: those of least hash.
 MAX_EXAMPLES = 2048
 #: A term's weight is its idf times FLOOR and x / (x + HALF), x being its likelihood ratio over CHANCE, the 0.1 % point of chi-square.
-FLOOR, CHANCE, HALF = 0.01, 10.83, 30.0
+FLOOR, CHANCE, HALF = 0.1, 10.83, 30.0
 PREFIX = 5
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, FOLDS = 15, 64, 4
 CUT = 0.7
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00ab\u00bb\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, evidence_ids array<bigint>, evidence_terms array<string>"
@@ -142,25 +143,50 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
             _, top, s, n = pools.pop()
             pools[-1][1:] = [top, pools[-1][2] + s, pools[-1][3] + n]
-    # A pool's own weight draws it to the mean by its size; the running maximum keeps the map from falling where a small pool stands above a large one.
-    level = np.maximum.accumulate([(p[2] + 0.5 * y.mean()) / (p[3] + 0.5) for p in pools])
+    # A small pool is drawn to one half; the running maximum keeps the map from falling where a small pool stands above a large one.
+    level = np.maximum.accumulate([(p[2] + 0.25) / (p[3] + 0.5) for p in pools])
     return np.array([v for p in pools for v in p[:2]]), np.array([v for v in level for _ in range(2)])
 
 
 class Model:
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, evidence: np.ndarray, examples: list[tuple[int, int, dict[str, int]]]):
-        self.vocabulary, self.evidence = vocabulary, evidence
-        self.weight = idf * (FLOOR + evidence)
-        self.prior = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1)
+    """Terms, their weights, the examples' index, and the map from votes to scores; without examples of both labels every score is 0.5.
+
+    The map is fitted on votes that know nothing of the example's own label: each of ``FOLDS`` parts of the examples is voted on by the others, with the evidence that the others give.
+    """
+
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[str, int]]]):
+        self.vocabulary, self.places = vocabulary, Places(vocabulary)
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
-        self.places = Places(vocabulary)
-        full = [e for e in examples if e[2]]
-        vectors = [self.vector(np.array([self.places.place[t] for t in e[2]]), np.array(list(e[2].values()))) for e in full]
-        self.index = Index([e[0] for e in full], [e[1] for e in full], vectors, len(vocabulary))
-        if full:
-            of = {int(d): k for k, d in enumerate(self.index.ids)}
-            raw = np.array([round(self.vote(self.index.nearest(*v, NEIGHBOURS, of[e[0]])), 3) for e, v in zip(full, vectors)])
-            self.steps = isotonic(raw, np.array([float(e[1]) for e in full]))
+        terms = [(np.array([self.places.place[t] for t in e[2]], np.int64), np.array(list(e[2].values()))) for e in examples]
+        labels = np.array([e[1] == 1 for e in examples], bool)
+        self.both = bool(labels.any() and not labels.all())
+        if self.both:
+            fold = np.arange(len(examples)) % FOLDS  # examples are in order of id, and that order is no label's
+            raw, seen = np.zeros(len(examples)), np.zeros(len(examples), bool)
+            for f in range(FOLDS):
+                others = np.flatnonzero(fold != f)
+                if not (labels[others].any() and not labels[others].all()):
+                    continue
+                self._learn(idf, [examples[k] for k in others], [terms[k] for k in others])
+                for k in np.flatnonzero(fold == f):
+                    raw[k], seen[k] = round(self.vote(self.index.nearest(*self.vector(*terms[k]), NEIGHBOURS)), 3), True
+            if seen.any():
+                self.steps = isotonic(raw[seen], labels[seen].astype(float))
+        self._learn(idf, examples, terms)
+
+    def _learn(self, idf: np.ndarray, examples: list, terms: list) -> None:
+        """Evidence, weights and index of some of the examples."""
+        all1 = sum(e[1] == 1 for e in examples)
+        at = np.concatenate([t for t, _ in terms]) if terms else np.empty(0, np.int64)
+        toxic = np.concatenate([t for (t, _), e in zip(terms, examples) if e[1] == 1]) if all1 else np.empty(0, np.int64)
+        n, n1 = np.bincount(at, minlength=len(idf)), np.bincount(toxic, minlength=len(idf))
+        self.evidence = np.zeros(len(idf))
+        for t in np.flatnonzero(n1):
+            self.evidence[t] = evidence_of(int(n1[t]), int(n[t]), all1, len(examples))
+        self.weight = idf * (FLOOR + self.evidence)
+        self.prior = (all1 + 0.5) / (len(examples) + 1)
+        full = [k for k, (t, _) in enumerate(terms) if len(t)]
+        self.index = Index([examples[k][0] for k in full], [int(examples[k][1] == 1) for k in full], [self.vector(*terms[k]) for k in full], len(idf))
 
     def state(self) -> tuple[dict, dict]:
         """Plain values, to be sent to workers that can't import this module."""
@@ -184,6 +210,8 @@ class Model:
         return (sum(w * self.index.labels[at] for w, (_, at) in zip(weights, near)) + self.prior) / (sum(weights) + 1)
 
     def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
+        if not self.both:
+            return 0.5, [], []
         at, w = self.vector(*self.places.counts(text))
         near = self.index.nearest(at, w, NEIGHBOURS)
         s = self.vote(near)
@@ -245,7 +273,7 @@ def evidence_of(n1: int, n: int, all1: int, rows: int) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
-    """Learns from ``labels`` (doc_id, toxic) whose id's crc32 mod 3 is not 1; ids or labels that are null are left out, the least label of a repeated id counts, and of examples with equal texts the one of least id. Without examples every score is 0.5.
+    """Learns from ``labels`` (doc_id, toxic) whose id's crc32 mod 3 is not 1; ids or labels that are null are left out, the least label of a repeated id counts, and of examples with equal texts the one of least id. Without examples of both labels every score is 0.5.
 
     What reaches the driver are the terms of at most ``max_examples`` texts and one count for each of them.
     """
@@ -256,16 +284,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     named = src.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64(F.lower("text")).alias("key")).agg(F.min(F.struct("doc_id", "toxic", "text")).alias("e")).select("e.*")
     examples = [(r["doc_id"], r["toxic"], dict(zip(r["t"], r["n"]))) for r in named.select("doc_id", "toxic", "text").mapInArrow(_example_terms, "doc_id bigint, toxic int, t array<string>, n array<int>").toLocalIterator()]
     examples.sort(key=lambda e: e[0])
-    seen = Counter(t for e in examples for t in e[2])
-    toxic = Counter(t for e in examples if e[1] == 1 for t in e[2])
-    vocabulary = sorted(seen)
-    all1 = sum(y == 1 for _, y, _ in examples)
-    evidence = np.array([evidence_of(toxic[t], seen[t], all1, len(examples)) if toxic[t] else 0.0 for t in vocabulary])
+    vocabulary = sorted({t for e in examples for t in e[2]})
     found = src.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(vocabulary) + 1, np.int64)  # that of all documents comes last
     counts[found.column("t").to_numpy()] = found.column("n").to_numpy()
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1))
-    return Model(vocabulary, idf, evidence, examples)
+    return Model(vocabulary, idf, examples)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), **limits) -> DataFrame:
@@ -277,7 +301,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), **l
     own = {x.split()[0] for x in SCHEMA.split(", ")}
     more = [F.col(c).alias(f"{c}_in" if c in own else c) for c in keep if c != "doc_id"]
     doc_id = F.col("doc_id").cast("bigint")
-    src = docs.select(doc_id.alias("__id"), (id_crc(doc_id) % 3 == 1).alias("__held"), F.col("text").cast("string").alias("__text"), *more)
+    first = [f"{x}_{uuid.uuid4().hex}" for x in ("id", "held", "text")]
+    src = docs.select(doc_id.alias(first[0]), (id_crc(doc_id) % 3 == 1).alias(first[1]), F.col("text").cast("string").alias(first[2]), *more)
     return src.mapInArrow(_scores(state), ", ".join([SCHEMA, *(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[3:])]))
 
 
