@@ -6,8 +6,8 @@ import struct
 import numpy as np
 import pytest
 
-from tidemark.operators import pooling
-from tidemark.sources import audio, registry
+from tidemark.operators import pooling, records
+from tidemark.sources import audio, frames, registry, results
 
 
 def weights_of(d, heads, places=True, seed=1):
@@ -116,3 +116,58 @@ def test_registry(spark):
         assert registry.read(spark, "mine", "x", n=3).count() == 3
     finally:
         del registry.READERS["mine"]
+
+
+def plain_frames(planes, w, h, across, down):
+    """RGB of a frame, a pixel at a time."""
+    y, u, v = planes
+    out = bytearray()
+    for r in range(h):
+        for c in range(w):
+            a = 298 * (y[r][c] - 16) + 128
+            p, q = (u[r // down][c // across] - 128, v[r // down][c // across] - 128) if u else (0, 0)
+            out += bytes(min(255, max(0, x >> 8)) for x in (a + 409 * q, a - 100 * p - 208 * q, a + 516 * p))
+    return bytes(out)
+
+
+@pytest.mark.parametrize(("colour", "across", "down"), [("420jpeg", 2, 2), ("422", 2, 1), ("444", 1, 1), ("mono", 0, 0)])
+@pytest.mark.parametrize("split", [37, 1 << 20])
+def test_frames(spark, tmp_path, colour, across, down, split):
+    rng = np.random.default_rng(5)
+    w, h, n = 7, 5, 23
+    small = (-(-h // down), -(-w // across)) if down else (0, 0)
+    raw, want = [], []
+    for _ in range(n):
+        y, u, v = (rng.integers(0, 256, s).tolist() for s in ((h, w), small, small))
+        raw.append(bytes(x for p in (y, u, v) for row in p for x in row))
+        want.append(plain_frames((y, u if down else None, v), w, h, across, down))
+    (tmp_path / "a.y4m").write_bytes(frames.file(raw, w, h, "30:1", colour) + b"FRAME\ncut short")
+    (tmp_path / "none.Y4M").write_bytes(frames.file([], w, h))
+    (tmp_path / "other.bin").write_bytes(b"no video")
+    got = registry.read(spark, "y4m", str(tmp_path), fps=7, split=split).collect()
+    assert sorted((r.frame_idx, r.t_sec, r.width, r.height, bytes(r.pixels)) for r in got) == [(k, k / 30, w, h, want[k]) for k in range(0, n, 4)]
+    # More frames than the video has: all of them.
+    assert registry.read(spark, "y4m", str(tmp_path), fps=100, split=split).count() == n
+
+
+@pytest.mark.parametrize("body", [b"", b"YUV4MPEG2 W0 H2 F1:1\n", b"YUV4MPEG2 W2 H2\n", b"YUV4MPEG2 W2 H2 F1:1 C420p10\n", b"YUV4MPEG2 W1 H1 F1:1 Cmono\nFRAME I\nx"])
+def test_frames_of_no_video(spark, tmp_path, body):
+    (tmp_path / "a.y4m").write_bytes(body)
+    with pytest.raises(Exception, match="YUV4MPEG2|size or rate|unknown format|head of its own"):
+        registry.read(spark, "y4m", str(tmp_path), pixels="grey").collect()
+
+
+def test_loaded_samples(spark, tmp_path):
+    whole = '{"sample_id": "s", "benchmark": "b", "task_type": "t", "model_config": "m", "correct": true, "predicted": "p", "ground_truth": "g"'
+    (tmp_path / "a.json").write_text(whole + "}\n" + whole + ', "num_frames": 7, "question": "q", "other": [1]}\n')
+    got = sorted((r.num_frames, r.question, r.total_time, r.correct) for r in results.load_samples(spark, str(tmp_path / "a.json")).collect())
+    assert got == [(0, "", 0.0, True), (7, "q", 0.0, True)]
+    (tmp_path / "b.json").write_text(whole.replace('"benchmark": "b", ', "") + "}\n")
+    with pytest.raises(Exception, match="no benchmark"):
+        results.load_samples(spark, str(tmp_path / "b.json")).collect()
+
+
+def test_shortened(spark):
+    rows = spark.createDataFrame([("a", k, f"l{k}") for k in range(9)] + [(None, 1, "x"), (None, 2, None)], "key string, k int, line string")
+    got = {r.key: r.text for r in records.shortened(rows, "key", "k", "line", 3).collect()}
+    assert got == {"a": "l0\nl1\nl2\n... and 6 more", None: "x"}

@@ -135,10 +135,15 @@ def ocr_category(text: Column) -> Column:
 
 def audio_types(text: Column) -> Column:
     """array of (type, confidence): each type with a keyword at 0.8, else ambient at 0.5 unless it says silence."""
-    low = F.lower(text)
-    found = F.array_compact(F.array(*[F.when(any_of(low, w), F.struct(F.lit(k).alias("type"), F.lit(0.8).alias("confidence"))) for k, w in AUDIO_KEYWORDS.items()]))
-    none = F.when(low.contains("silence"), F.slice(found, 1, 0)).otherwise(F.array(F.struct(F.lit("ambient").alias("type"), F.lit(0.5).alias("confidence"))))
-    return F.when(F.size(found) > 0, found).otherwise(none)
+
+
+    def types(low: Column) -> Column:
+        found = F.array_compact(F.array(*[F.when(any_of(low, w), F.struct(F.lit(k).alias("type"), F.lit(0.8).alias("confidence"))) for k, w in AUDIO_KEYWORDS.items()]))
+        none = F.when(low.contains("silence"), F.array().cast("array<struct<type:string,confidence:double>>")).otherwise(F.array(F.struct(F.lit("ambient").alias("type"), F.lit(0.5).alias("confidence"))))
+        return F.when(F.size(found) > 0, found).otherwise(none)
+
+    # The text is lower-cased once, not once a keyword.
+    return F.transform(F.array(F.lower(text)), types)[0]
 
 
 def game_of(text: Column) -> Column:

@@ -121,9 +121,12 @@ def knowledge_lines(tracks: DataFrame) -> DataFrame:
 
 
 def shortened(rows: DataFrame, key: str, order: str, line: str, most: int = 50) -> DataFrame:
-    """(key, text): the first lines of each key, and how many more there are."""
-    lines = F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line])
-    return rows.groupBy(key).agg(lines.alias("l")).select(key, F.array_join(F.concat(F.slice("l", 1, most), F.when(F.size("l") > most, F.array(F.concat(F.lit("... and "), (F.size("l") - most).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))), "\n").alias("text"))
+    """(key, text): the first lines of each key, and how many more there are. Rows are ranked and counted before any are gathered, so that a group holds ``most`` lines whatever the key has."""
+    k = F.row_number().over(W.partitionBy(key).orderBy(order, line))
+    first = rows.withColumn("__k", k).where(F.col("__k") <= most).groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_list(F.struct("__k", line))).alias("__l"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).join(first, F.col(key).eqNullSafe(F.col("__key")))
+    more = F.when(F.col("__n") > most, F.array(F.concat(F.lit("... and "), (F.col("__n") - most).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return counts.select(key, F.array_join(F.concat(F.transform("__l", lambda x: x[line]), more), "\n").alias("text"))
 
 
 def run_statistics(runs: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import corpus, graph, pooling, records
-from tidemark.plans.driver import DAY, EDGES, ORACLES, TLS, edges, kb_entities, query, table, timeline
-from tidemark.sources import audio, feature_cache, loaders, registry
+from tidemark.plans.driver import DAY, EDGES, METRICS, ORACLES, TLS, edges, kb_entities, metrics, query, table, timeline
+from tidemark.sources import audio, feature_cache, frames, loaders, registry, results
 from tidemark.storage import new_path
 
 
@@ -178,3 +178,47 @@ def attention_tokens(spark, sf_dir):
     square = flat.select("m", F.explode(F.array(*[F.lit(n) for n in pooling.MATRICES])).alias("name")).select("m", "name", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("row"))
     weights = square.select("name", "row", turned(F.col("row"), 2.0).alias("values")).unionByName(flat.select(F.explode(F.array(*[F.lit(n) for n in pooling.ROWS])).alias("name"), F.lit(0).alias("row"), F.col("m").alias("values")))
     return pooling.attention_pooled(e, weights).select("key", "n", F.transform("pooled", lambda v: F.round(v, 6)).alias("pooled"))
+
+
+@query("""with b as (select conv_id, hex(encode(text)) as h from conversations where turn = 0), f as (select conv_id, h, unnest(range(0, length(h) // 128, 6)) as k from b)
+select conv_id, k as frame_idx, k / 25.0::double as t_sec, 8::int as width, substr(h, 1 + 128 * k, 128) as pixels from f""")
+def video_frames(spark, sf_dir):
+    """Each conversation's first turn as a grey video of its bytes, 8 by 8 at 25 frames a second, sampled at four: every sixth frame."""
+    folder = new_path(spark, "films")
+    body = F.udf(lambda b: frames.file([bytes(b[k : k + 64]) for k in range(0, len(b) - 63, 64)], 8, 8), "binary", useArrow=False)
+    turns = table(spark, sf_dir, "conversations").where("turn = 0")
+    files(turns.select(F.concat(F.lit("c"), "conv_id", F.lit(".y4m")).alias("name"), body(F.col("text").cast("binary")).alias("body")), folder)
+    found = registry.read(spark, "y4m", folder, fps=4, pixels="grey", split=512)
+    return found.select(F.regexp_extract("path", r"c(\d+)\.y4m$", 1).cast("bigint").alias("conv_id"), "frame_idx", "t_sec", "width", F.hex("pixels").alias("pixels"))
+
+
+@query(ORACLES["metrics_by_config"])
+def saved_aggregates(spark, sf_dir):
+    path = new_path(spark, "evaluation")
+    results.save_results(metrics(spark, sf_dir), path)
+    return feature_cache.read_output(spark, path, "aggregates")
+
+
+@query(f"""with {METRICS}, t as (select model_config, benchmark, count(*) as n, avg(correct::int) as accuracy, avg(total_tokens) as tokens, avg(total_time) as seconds, max(peak_vram_gb) as vram from mt group by 1, 2)
+select model_config, benchmark, model_config || ' | ' || benchmark || ' | ' || n || ' | ' || printf('%.1f', round(accuracy, 6) * 100) || '% | ' || printf('%.1f', vram) as line from t""")
+def evaluation_summary(spark, sf_dir):
+    """The saved summary, but for its means of tokens and seconds, sums of which hang on their order."""
+    path = new_path(spark, "evaluation")
+    results.save_results(metrics(spark, sf_dir), path)
+    parts = F.split("line", r" \| ")
+    return feature_cache.read_output(spark, path, "summary").select("model_config", "benchmark", F.concat_ws(" | ", *[parts[k] for k in (0, 1, 2, 3, 6)]).alias("line"))
+
+
+@query("""select o_orderkey::varchar as sample_id, 'b' || o_custkey as benchmark, o_orderkey % 3 = 0 as correct, o_orderstatus as predicted, case when o_orderkey % 2 = 0 then o_orderkey % 256 else 0 end::int as num_frames,
+case when o_orderkey % 2 = 0 then o_orderkey / 4 else 0 end::double as total_time, '' as question, 0.0::double as confidence from orders""")
+def loaded_samples(spark, sf_dir):
+    """Every order as a saved sample, each second without the optional fields."""
+    k = F.col("o_orderkey")
+    some = lambda v: F.when(k % 2 == 0, v)
+    rows = table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("sample_id"), F.concat(F.lit("b"), "o_custkey").alias("benchmark"), F.col("o_orderpriority").alias("task_type"), F.lit("m").alias("model_config"), (k % 3 == 0).alias("correct"),
+        F.col("o_orderstatus").alias("predicted"), F.lit("yes").alias("ground_truth"), some(k % 256).alias("num_frames"), some(k / 4).alias("total_time"),
+    )
+    path = new_path(spark, "samples")
+    loaders.write_json(rows, path)
+    return results.load_samples(spark, path).select("sample_id", "benchmark", "correct", "predicted", "num_frames", "total_time", "question", "confidence")

@@ -617,10 +617,10 @@ def training_messages(spark, sf_dir):
     return loaders.training_messages(spark, as_list(rows, "messages")).select(F.col("messages")[0]["content"].alias("asked"), F.col("messages")[1]["content"].alias("answered"), F.size("messages").alias("n"))
 
 
-@query("select conv_id, turn, role, text from conversations where conv_id % 5 = 1")
+@query("select conv_id, turn, role, text from conversations")
 def saved_conversations(spark, sf_dir):
     path = new_path(spark, "conversations")
-    loaders.save_conversations(table(spark, sf_dir, "conversations").where("conv_id % 5 = 1"), path)
+    loaders.save_conversations(table(spark, sf_dir, "conversations"), path)
     return loaders.load_conversation(spark, path).select("conv_id", "turn", "role", "text")
 
 

@@ -117,6 +117,17 @@ class Part(InputPartition):
         self.path, self.size, self.low, self.high = path, size, low, high
 
 
+def parts(path: str, glob: str, split: int) -> list[Part]:
+    """Ranges of bytes of the files below a path; only their sizes are read."""
+    from pyarrow import fs
+
+    store, path = filesystem(path)
+    info = store.get_file_info(path)
+    files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
+    files = [f for f in files if f.type == fs.FileType.File and fnmatch(f.base_name.lower(), glob.lower())]
+    return [Part(f.path, f.size, low, min(low + split, f.size)) for f in sorted(files, key=lambda f: f.path) for low in range(0, max(f.size, 1), split)]
+
+
 class WavReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.glob = options["path"], options.get("pathglobfilter", "*.wav")
@@ -125,14 +136,7 @@ class WavReader(DataSourceReader):
             raise ValueError("chunks overlap by less than their length")
 
     def partitions(self) -> list[Part]:
-        """Ranges of bytes of the files below the path; only their sizes are read."""
-        from pyarrow import fs
-
-        store, path = filesystem(self.path)
-        info = store.get_file_info(path)
-        files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
-        files = [f for f in files if f.type == fs.FileType.File and fnmatch(f.base_name.lower(), self.glob.lower())]
-        return [Part(f.path, f.size, low, min(low + self.split, f.size)) for f in sorted(files, key=lambda f: f.path) for low in range(0, max(f.size, 1), self.split)]
+        return parts(self.path, self.glob, self.split)
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem(self.path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources import audio, loaders
+from tidemark.sources import audio, frames, loaders
 
 Reader = Callable[..., DataFrame]
 
@@ -16,9 +16,14 @@ def _wav(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("wav").options(**options).load(path)
 
 
+def _y4m(spark: SparkSession, path: str, **options) -> DataFrame:
+    frames.register(spark)
+    return spark.read.format("y4m").options(**options).load(path)
+
+
 READERS: dict[str, Reader] = {
     "glitches": loaders.glitches, "glitch_images": loaders.glitch_images, "physics": loaders.physics, "game_questions": loaders.game_questions, "long_questions": loaders.long_questions, "long_videos": loaders.long_videos,
-    "plain": loaders.plain_benchmark, "training_pairs": loaders.training_pairs, "training_messages": loaders.training_messages, "videos": loaders.videos, "embeddings": loaders.embeddings, "wav": _wav,
+    "plain": loaders.plain_benchmark, "training_pairs": loaders.training_pairs, "training_messages": loaders.training_messages, "videos": loaders.videos, "embeddings": loaders.embeddings, "wav": _wav, "y4m": _y4m,
 }
 
 
