@@ -338,6 +338,26 @@ def test_lm_scores(docs, empty):
     assert lm_scoring.lm_scores(empty).count() == 0
 
 
+def test_lm_scores_with_a_full_filter(spark):
+    from unittest import mock
+
+    rows = frame(spark, [(k, prose(120, k % 400)) for k in range(1200)])
+    want = {r.doc_id: r.score for r in lm_scoring.lm_scores(rows, max_segments=0).collect()}
+    levels = []
+
+    def capacity(entries, segments=lm_scoring.MAX_SEGMENTS, real=lm_scoring.capacity):
+        levels.append(real(entries, segments))
+        return levels[-1]
+
+    # The filter has room for ever fewer pairs; what it says falsely at its least level is not believed.
+    with mock.patch.object(lm_scoring, "capacity", capacity):
+        for bits in (1 << 18, 1 << 16, 1 << 14):
+            with mock.patch.object(lm_scoring, "SEGMENT_BITS", bits):
+                got = {r.doc_id: r.score for r in lm_scoring.lm_scores(rows, max_segments=1).collect()}
+            assert got == pytest.approx(want, rel=1e-4)
+    assert max(levels) > 2
+
+
 def test_lm_scores_count_every_pair(spark, docs):
     from unittest import mock
 

@@ -251,12 +251,12 @@ def _segments(least: int):
     return run
 
 
-def _below(least: int):
-    """The pairs that the filter has not, in their segments."""
+def _below(level: int):
+    """The pairs below a level, in their segments."""
 
     def run(batches):
         for b in batches:
-            own = [(s, c[keep], n[keep]) for s, c, n in _pairs_in(b) for keep in [level_of(n) < least]]
+            own = [(s, c[keep], n[keep]) for s, c, n in _pairs_in(b) for keep in [level_of(n) < level]]
             yield _part([(s, 0, len(c), packed(c, n)) for s, c, n in own])
 
     return run
@@ -328,8 +328,9 @@ class Model:
         self.table, self.least, self.prior, self.segments = table, least, prior, segments
 
     def found(self, codes: np.ndarray) -> np.ndarray:
-        """Counts of pairs by the filter."""
+        """Counts of pairs by the filter; 0 where the join is to tell them, as it is of what the filter has at a raised least level only: most of those hits are pairs below it, told falsely."""
         level = probed(self.table, codes, self.least)
+        level[level < joined_below(self.least)] = 0
         return value_of(np.arange(int(level.max(initial=0)) + 1))[level]
 
     def frequent(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,6 +351,11 @@ class Model:
 SENT = {2: (np.uint64, np.uint32, np.int64), 3: (np.uint64, np.uint64, np.float64, np.int64), 4: (np.int64, np.bool_, np.int64, np.float64, np.float64, np.float64, np.int64)}
 
 
+def joined_below(least: int) -> int:
+    """Pairs below this level are joined: those that the filter has not, and once it has no room for all that are seen twice, those of its least level too, so that no false hit gives a pair the count of that level."""
+    return least + (least > 2)
+
+
 def _scores(state):
     """What a text's frequent words and their pairs give, and what is still to be looked up, packed by segment."""
 
@@ -437,7 +443,7 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", tex
 
     Texts whose id's crc32 mod 7 is not 2 are learnt from. Words are lower-cased (A-Z) runs without ASCII white space, and every text ends with one more token; a null text is that token alone, and a null id counts as the empty text in ``held_out``. base_score is the sum of log10((c + 1) / (N + V + 1)); score is the model's log10 probability. Repeated rows are scored alike, one row each; with nothing to learn from, every count is 0; an empty table gives no rows.
 
-    Every pair of words counts. Those seen once, and those that a filter of ``max_segments`` has no room for, are joined, at the same levels, so that scores don't hang on the size. Words are told apart by 64 bits where their counts are looked up.
+    Every pair of words counts. Those seen once, and those that a filter of ``max_segments`` has no room for, are joined at the same levels; once the filter is full, so are the pairs of its least level. What a false hit adds is therefore not a count that grows with the input; while every pair that is seen twice has room, about one in 200 of the pairs seen once or never may count as seen twice. Words are told apart by 64 bits where their counts are looked up.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -464,7 +470,7 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", tex
     if END_HASH not in word:
         word, count, after = np.append(word, END_HASH), np.append(count, 0), np.append(after, 0.0)
     state = sc.broadcast((word, count, after, table, least, total, distinct, prior, segments))
-    told = pairs.mapInArrow(_below(least), PART).union(counts.mapInArrow(_rare(halves), PART))
+    told = pairs.mapInArrow(_below(joined_below(least)), PART).union(counts.mapInArrow(_rare(halves), PART))
     found = src.mapInArrow(_scores(state), PART).groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_looked_up(state, total, distinct, prior), RESULT)
     sums = found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").cast("bigint").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
     return sums.select("doc_id", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
