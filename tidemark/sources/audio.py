@@ -20,6 +20,8 @@ RATE, CHUNK, OVERLAP = 16_000, 30.0, 0.5
 SCHEMA = "path string, chunk bigint, start double, end double, rate int, samples array<float>"
 #: Bytes of a file that one task takes; taps on each side of the filter, in samples of the slower rate.
 SPLIT, REACH = 32 << 20, 10
+#: Bytes that opening a file counts as, when small ones are put together.
+OPENING = 256 << 10
 
 
 def filesystem(path: str):
@@ -117,15 +119,31 @@ class Part(InputPartition):
         self.path, self.size, self.low, self.high = path, size, low, high
 
 
-def parts(path: str, glob: str, split: int) -> list[Part]:
-    """Ranges of bytes of the files below a path; only their sizes are read."""
+class Parts(InputPartition):
+    """What one task reads."""
+
+    def __init__(self, pieces: list[Part]):
+        self.pieces = pieces
+
+
+def parts(path: str, glob: str, split: int) -> list[Parts]:
+    """Ranges of at most ``split`` bytes of the files below a path, small ones together in a task; only the files' sizes are read."""
     from pyarrow import fs
 
     store, path = filesystem(path)
     info = store.get_file_info(path)
     files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
     files = [f for f in files if f.type == fs.FileType.File and fnmatch(f.base_name.lower(), glob.lower())]
-    return [Part(f.path, f.size, low, min(low + split, f.size)) for f in sorted(files, key=lambda f: f.path) for low in range(0, max(f.size, 1), split)]
+    tasks, cost = [], SPLIT
+    for f in sorted(files, key=lambda f: f.path):
+        for low in range(0, max(f.size, 1), split):
+            high = min(low + split, f.size)
+            if cost + high - low + OPENING > SPLIT:
+                tasks.append(Parts([]))
+                cost = 0
+            tasks[-1].pieces.append(Part(f.path, f.size, low, high))
+            cost += high - low + OPENING
+    return tasks
 
 
 class WavReader(DataSourceReader):
@@ -135,10 +153,14 @@ class WavReader(DataSourceReader):
         if not 0 <= self.overlap < self.chunk:
             raise ValueError("chunks overlap by less than their length")
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Parts]:
         return parts(self.path, self.glob, self.split)
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
+        for part in partition.pieces:
+            yield from self.chunks(part)
+
+    def chunks(self, part: Part) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem(self.path)
         with store.open_input_file(part.path) as file:
             h = Header(file, part.size, part.path)

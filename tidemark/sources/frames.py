@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from tidemark.sources.audio import Part, filesystem, parts
+from tidemark.sources.audio import Part, Parts, filesystem, parts
 
 SCHEMA = "path string, frame_idx bigint, t_sec double, width int, height int, pixels binary"
 #: The words that begin a file and a frame, and frames a second that are sampled.
 MAGIC, FRAME, FPS = b"YUV4MPEG2", b"FRAME\n", 0.5
 #: Bytes of a file that one task takes; bytes in which a header must end; bytes of pixels in a batch.
-SPLIT, HEADER, BATCH = 128 << 20, 1 << 12, 16 << 20
+SPLIT, HEADER, BATCH = 32 << 20, 1 << 12, 16 << 20
 
 
 class Format:
@@ -72,10 +72,14 @@ class Y4mReader(DataSourceReader):
         if self.fps <= 0 or self.split < 1 or self.pixels not in ("rgb", "grey"):
             raise ValueError("fps and split are greater than 0, pixels are rgb or grey")
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Parts]:
         return parts(self.path, self.glob, self.split)
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
+        for part in partition.pieces:
+            yield from self.sampled(part)
+
+    def sampled(self, part: Part) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem(self.path)
         with store.open_input_file(part.path) as file:
             f = Format(file.read(HEADER).split(b"\n", 1)[0], part.path)
