@@ -70,6 +70,20 @@ def test_training_samples_say_what_is_near(spark):
     assert got["wav2vec2", 1] == ("a b c", "Audio from 1.0s to 9.0s: a b c") and got["wav2vec2", 2][0] == "Audio segment detected"
 
 
+def long_samples(spark):
+    """Samples of clips so long that there can't be a row for each minute, beside short ones."""
+    events = spark.createDataFrame([("v", float(t), k, f"e{k}") for k, t in enumerate((0, 59.5, 60, 3e11, 1e12, 1e12 + 1))] + [("w", 5.0, 6, "far")], "timeline_id string, t_sec double, seq long, description string")
+    images = spark.createDataFrame([("v", 1, 60.0)], "timeline_id string, emb_id long, t_emb double")
+    clips = spark.createDataFrame([("v", 1, 0.0, 1e12), ("v", 2, 59.5, 60.0), ("v", 3, 60.0, 60.0), ("v", 4, 1.0, 1e6), ("v", 5, 9.0, 8.0), ("v", 6, None, 8.0)], "timeline_id string, clip_id long, start double, end double")
+    return corpus.training_samples(images, clips, clips, events, events)
+
+
+def test_training_samples_of_long_clips(spark):
+    got = {(r.modality, r.emb_id): r.context for r in long_samples(spark).collect()}
+    assert got["siglip", 1] == "e1; e2" and [got["videomae", k] for k in range(1, 5)] == ["e0; e1; e2; e3; e4", "e1; e2", "e2", "e1; e2"]
+    assert [got["wav2vec2", k] for k in range(1, 7)] == ["e0 e1 e2 e3 e4", "e1 e2", "e2", "e1 e2", "Audio segment detected", "Audio segment detected"]
+
+
 def test_folders_of_videos(spark, tmp_path):
     for name in ("optics/deep/Reflections_lighting.mp4", "optics/other.MOV", "kinematics/none.txt", "loose.mp4"):
         (tmp_path / "a" / name).parent.mkdir(parents=True, exist_ok=True)

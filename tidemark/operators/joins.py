@@ -86,10 +86,17 @@ def texts_near(embeddings: DataFrame, events: DataFrame, seconds: float = 2.0, m
 
 
 def texts_within(clips: DataFrame, events: DataFrame, separator: str = "; ", most: int | None = 5, fallback: str | None = None, bucket: float = 60.0) -> DataFrame:
-    """(clip_id, joined): texts whose time lies in [start, end] of each clip (timeline_id, clip_id, start, end)."""
-    a = clips.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / bucket).cast("bigint"), F.floor(F.col("end") / bucket).cast("bigint"))))
-    b = events.select("timeline_id", "t_sec", "seq", "description").withColumn("__b", F.floor(F.col("t_sec") / bucket).cast("bigint"))
-    inside = a.join(b, ["timeline_id", "__b"]).where((F.col("t_sec") >= F.col("start")) & (F.col("t_sec") <= F.col("end")))
+    """(clip_id, joined): texts whose time lies in [start, end] of each clip (timeline_id, clip_id, start, end).
+
+    Time is cut into buckets of ``bucket`` seconds times a power of two. A clip goes to the two or three buckets that it touches at the level where one is as long as the clip, an event to its own bucket at each level that clips have; so a long clip has no more rows than a short one.
+    """
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(bucket)) / bucket))).cast("int")
+    a = clips.where("start <= end").withColumn("__l", level)
+    size = bucket * F.pow(F.lit(2.0), F.col("__l"))
+    levels = a.select("__l").distinct()
+    a = a.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / size).cast("bigint"), F.floor(F.col("end") / size).cast("bigint"))))
+    b = events.select("timeline_id", "t_sec", "seq", "description").crossJoin(F.broadcast(levels)).withColumn("__b", F.floor(F.col("t_sec") / size).cast("bigint"))
+    inside = a.join(b, ["timeline_id", "__l", "__b"]).where((F.col("t_sec") >= F.col("start")) & (F.col("t_sec") <= F.col("end")))
     all_ = clips.select("clip_id").join(inside.select("clip_id", "t_sec", "seq", "description"), "clip_id", "left")
     return joined_texts(all_, "clip_id", ["t_sec", "seq"], "description", separator, most, fallback)
 
