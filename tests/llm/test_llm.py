@@ -127,6 +127,18 @@ def test_prefix_bounds_hold():
             assert len(px & py) >= max(shingle_join.least_hits(a, p), shingle_join.least_hits(b, p))
 
 
+def test_shingle_sets_of_the_first_search_are_made_once(docs):
+    prefixes = docs.selectExpr("doc_id", "1L as n_shingles", "cast('x' as binary) as class", "doc_id as short", "1 as least", "array(doc_id) as keys")
+    assert "MapInArrow" not in shingle_join.candidates(prefixes)._jdf.queryExecution().toString()
+
+
+def test_components_joined_by_more_links(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first, more = [(1, 2), (2, 3), (5, 6), (8, 9)], [(3, 6), (9, 20), (30, 31), (31, 32)]
+    got = shingle_join.joined_components(common.components(edges(first)), edges(more)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, common.components(edges(first + more)).collect())) and len(got) == 11
+
+
 def test_one_of_each_keeps_the_smallest(spark, docs):
     comp = brute_components(ROWS)
     assert {r.doc_id for r in shingle_join.one_of_each(docs).collect()} == {i for i, (_, c) in comp.items() if i == c}

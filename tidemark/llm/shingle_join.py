@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_BITS, checkpointed, components, id_filter, id_place, lists, passing, shingle_set, slices, written
+from .common import KEY_BITS, checkpointed, components, forget, id_filter, id_place, lists, passing, shingle_set, slices, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -52,17 +52,12 @@ def short_key(grams: np.ndarray) -> int:
 
 
 def _meta(batches):
-    for b in slices(batches):
-        sets = [shingle_set(t, SHINGLE) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([short_key(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class", "short"])
-
-
-def _first(batches):
-    """Prefixes of all sets, hashes cut short: they only prune."""
+    """Of each text the size and identity of its set, and the set's prefix for the first search, hashes cut short: they only prune. One pass over the texts gives it all, as making the sets is most of the work."""
     for b in slices(batches):
         sets = [shingle_set(t, SHINGLE) for t in b.column(1).to_pylist()]
         own = [(s[: prefix_size(len(s), FIRST)] >> np.uint64(64 - KEY_BITS)) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short_key(s) for s in sets], pa.int64()), pa.array([least_hits(len(s), FIRST) for s in sets], pa.int32()), lists(own, pa.int64())], ["doc_id", "short", "least", "keys"])
+        columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([short_key(s) for s in sets], pa.int64()), pa.array([least_hits(len(s), FIRST) for s in sets], pa.int32()), lists(own, pa.int64())]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_shingles", "class", "short", "least", "keys"])
 
 
 def _second(table, percent: int):
@@ -112,18 +107,28 @@ def must_share(n: Column, other: Column) -> Column:
     return F.ceil((n + other) * PERCENT / (100 + PERCENT))
 
 
-def candidates(src: DataFrame, meta: DataFrame) -> DataFrame:
+def candidates(prefixes: DataFrame) -> DataFrame:
     """(doc_id, short) of the classes of which enough first n-grams recur in other classes."""
-    rows = src.mapInArrow(_first, "doc_id bigint, short bigint, least int, keys array<bigint>")
-    shared = rows.select("short", F.explode("keys").alias("key")).groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("key")
-    hits = rows.select("doc_id", "least", F.explode("keys").alias("key")).join(shared, "key").groupBy("doc_id", "least").agg(F.count(F.lit(1)).alias("hits")).where("hits >= least").select("doc_id").distinct()
-    return meta.where("n_shingles > 0 and doc_id is not null").groupBy("class", "short").agg(F.min("doc_id").alias("doc_id")).join(hits, "doc_id", "left_semi").select("doc_id", "short")
+    full = prefixes.where("n_shingles > 0 and doc_id is not null")
+    shared = full.select("short", F.explode("keys").alias("key")).groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("key")
+    hits = full.select("doc_id", "least", F.explode("keys").alias("key")).join(shared, "key").groupBy("doc_id", "least").agg(F.count(F.lit(1)).alias("hits")).where("hits >= least").select("doc_id").distinct()
+    return full.groupBy("class", "short").agg(F.min("doc_id").alias("doc_id")).join(hits, "doc_id", "left_semi").select("doc_id", "short")
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) once ``links`` (a, b) join some of the components in ``labels``, and nodes that have none yet."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = checkpointed(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")))
+    joined = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).withColumnRenamed("node", "old").withColumnRenamed("component", "new")
+    old = labels.select("node", F.col("component").alias("old")).union(ends.select("a", "of_a")).union(ends.select("b", "of_b")).distinct()
+    return checkpointed(old.join(joined, "old", "left").select("node", F.coalesce("new", "old").alias("component")))
 
 
-def shingle_links(src: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b) between classes that join all linked ones, components (node, component) of the linked classes); a class goes by its smallest id."""
+def shingle_links(src: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``prefixes``, as ``_meta`` gives them, whose folder is removed once read: (links (a, b) between classes that join all linked ones, components (node, component) of the linked classes); a class goes by its smallest id."""
     src = src.where("doc_id is not null")
-    chosen = checkpointed(candidates(src, meta))
+    chosen = checkpointed(candidates(prefixes))
+    forget(prefixes)
     tokens = chosen_sets(src, chosen, SECOND).select("id", "short", "n", "least", F.explode("grams").alias("gram"))
     common = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = tokens.join(common, "gram").groupBy("id", "short", "n", "least").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("r")).where("size(r) >= least")
@@ -149,8 +154,8 @@ def shingle_links(src: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame
     by_place = F.least(F.col("m") - F.col("place"), F.col("m_b") - F.col("place_b"))
     meet = (F.col("id") < F.col("id_b")) & (F.col("label") != F.col("label_b")) & linkable(F.col("n"), F.col("n_b")) & (by_place >= need) & (by_hub >= need)
     rest = open_.join(other, "gram").where(meet).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = checkpointed(links.union(linked(overlaps(rest, sets))))
-    return links, components(links)
+    more = checkpointed(linked(overlaps(rest, sets)))
+    return links.union(more), labels if more.isEmpty() else joined_components(labels, more)
 
 
 def ranked_prefixes(sets: DataFrame) -> DataFrame:
@@ -167,8 +172,9 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents are linked when 100 * shared >= 80 * united over their distinct 5-word shingles (lower-cased A-Z; fewer words are one shingle as a whole). component_id is the smallest id reachable, a document's own included. Texts that are null or without words have an empty set and are linked with nothing; a row with a null id has the component that equal and linked texts give it, or null; repeated rows share one verdict; an empty table gives no rows.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    meta = written(src.mapInArrow(_meta, "doc_id bigint, n_shingles bigint, class binary, short bigint"), "classes")
-    _, labels = shingle_links(src, meta)
+    prefixes = written(src.mapInArrow(_meta, "doc_id bigint, n_shingles bigint, class binary, short bigint, least int, keys array<bigint>"), "prefixes")
+    meta = written(prefixes.select("doc_id", "n_shingles", "class"), "classes")
+    _, labels = shingle_links(src, prefixes)
     full = meta.where("n_shingles > 0")
     classes = full.groupBy("class").agg(F.min("doc_id").alias("id")).join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = classes.select("class", F.xxhash64("class").alias("spread"), F.coalesce("component", "id").alias("component_id"))
