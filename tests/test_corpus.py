@@ -84,6 +84,13 @@ def test_training_samples_of_long_clips(spark):
     assert [got["wav2vec2", k] for k in range(1, 7)] == ["e0 e1 e2 e3 e4", "e1 e2", "e2", "e1 e2", "Audio segment detected", "Audio segment detected"]
 
 
+def test_sampled_strata_of_long_clips(spark):
+    picked = corpus.sampled(long_samples(spark), ["modality"], "emb_id", 2)
+    order = lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k)
+    want = {("siglip", 1), *((m, k) for m in ("videomae", "wav2vec2") for k in sorted(range(1, 7), key=order)[:2])}
+    assert {(m, r.emb_id) for m, rows in corpus.by_modality(picked).items() for r in rows.collect()} == want
+
+
 def test_folders_of_videos(spark, tmp_path):
     for name in ("optics/deep/Reflections_lighting.mp4", "optics/other.MOV", "kinematics/none.txt", "loose.mp4"):
         (tmp_path / "a" / name).parent.mkdir(parents=True, exist_ok=True)
