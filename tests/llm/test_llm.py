@@ -403,6 +403,18 @@ def test_bloom_levels():
     assert lm_scoring.capacity([(1, 10), (2, 10)]) == 1 and lm_scoring.capacity([(1, 10**9), (3, 10)]) == 2
 
 
+def test_toxicity_examples_reach_the_driver_as_places(spark):
+    from unittest import mock
+
+    rows = [(k, prose(40, k)) for k in range(20)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    with mock.patch.object(toxicity, "Model", lambda *args: args):
+        vocabulary, _, examples = toxicity.fit(frame(spark, rows), labels)
+    assert vocabulary == sorted(vocabulary) and examples
+    for doc_id, toxic, at, n in examples:
+        assert isinstance(at, np.ndarray) and toxic == doc_id % 2 and {vocabulary[k]: c for k, c in zip(at, n.tolist())} == toxicity.terms_in(rows[doc_id][1])
+
+
 @pytest.mark.parametrize("n_terms", [12, 40, 3000])
 def test_toxicity_index_is_exact(n_terms):
     r, rng = random.Random(5), np.random.default_rng(5)

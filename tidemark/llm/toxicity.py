@@ -149,15 +149,15 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Terms, their weights, the examples' index, and the map from votes to scores; without examples of both labels every score is 0.5.
+    """Terms, their weights, the index of the examples (id, label, places of terms, how often), and the map from votes to scores; without examples of both labels every score is 0.5.
 
     The map is fitted on votes that know nothing of the example's own label: each of ``FOLDS`` parts of the examples is voted on by the others, with the evidence that the others give.
     """
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[str, int]]]):
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
         self.vocabulary, self.places = vocabulary, Places(vocabulary)
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
-        terms = [(np.array([self.places.place[t] for t in e[2]], np.int64), np.array(list(e[2].values()))) for e in examples]
+        terms = [e[2:] for e in examples]
         labels = np.array([e[1] == 1 for e in examples], bool)
         self.both = bool(labels.any() and not labels.all())
         if self.both:
@@ -186,6 +186,7 @@ class Model:
         self.weight = idf * (FLOOR + self.evidence)
         self.prior = (all1 + 0.5) / (len(examples) + 1)
         full = [k for k, (t, _) in enumerate(terms) if len(t)]
+        self.index = None  # of other examples: two need not be held at once
         self.index = Index([examples[k][0] for k in full], [int(examples[k][1] == 1) for k in full], [self.vector(*terms[k]) for k in full], len(idf))
 
     def state(self) -> tuple[dict, dict]:
@@ -282,9 +283,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(id_crc(F.col("doc_id")) % 3 != 1)
     chosen = chosen.groupBy("doc_id").agg(F.min("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     named = src.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64(F.lower("text")).alias("key")).agg(F.min(F.struct("doc_id", "toxic", "text")).alias("e")).select("e.*")
-    examples = [(r["doc_id"], r["toxic"], dict(zip(r["t"], r["n"]))) for r in named.select("doc_id", "toxic", "text").mapInArrow(_example_terms, "doc_id bigint, toxic int, t array<string>, n array<int>").toLocalIterator()]
+    # A term that many examples have is held once: each example's terms become places as they arrive.
+    place: dict[str, int] = {}
+    examples = []
+    for r in named.select("doc_id", "toxic", "text").mapInArrow(_example_terms, "doc_id bigint, toxic int, t array<string>, n array<int>").toLocalIterator():
+        examples.append((r["doc_id"], r["toxic"], np.array([place.setdefault(t, len(place)) for t in r["t"]], np.int64), np.array(r["n"], np.int64)))
     examples.sort(key=lambda e: e[0])
-    vocabulary = sorted({t for e in examples for t in e[2]})
+    vocabulary = sorted(place)
+    rank = np.empty(len(place), np.int64)
+    rank[np.fromiter((place[t] for t in vocabulary), np.int64, len(place))] = np.arange(len(place))
+    examples = [(doc_id, toxic, rank[at], n) for doc_id, toxic, at, n in examples]
     found = src.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(vocabulary) + 1, np.int64)  # that of all documents comes last
     counts[found.column("t").to_numpy()] = found.column("n").to_numpy()
