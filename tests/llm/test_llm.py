@@ -391,6 +391,20 @@ def test_lm_scores_count_every_pair(spark, docs):
         assert got == pytest.approx(want, rel=1e-3 if few else 1e-9, abs=1e-6)
 
 
+def test_pairs_are_counted_in_bounded_memory():
+    import tracemalloc
+
+    codes = np.random.default_rng(1).integers(0, 1 << 19, 1 << 20).astype(np.uint64)
+    batch = [codes[k : k + 1000] for k in range(0, len(codes), 1000)]
+    want = np.unique(codes, return_counts=True)
+    tracemalloc.start()
+    got = lm_scoring.counted(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(got, want)) and not batch and peak < 3 * codes.nbytes
+    assert [len(x) for x in lm_scoring.counted([codes[:0]])] == [0, 0]
+
+
 def test_bloom_levels():
     codes = np.arange(1, 20_000, dtype=np.int64) * 7919
     counts = (np.arange(len(codes)) % 50) + 2

@@ -21,6 +21,8 @@ from .common import Tokens, id_crc, mixed, once, slices, words, written
 HEAD = 100_000
 #: Training tokens a segment of the data, about; pairs that a worker holds before it sends them.
 SEGMENT_TOKENS, HELD_PAIRS = 1 << 20, 4_000_000
+#: Counted pairs that are packed at once.
+PACKED_PAIRS = 1 << 19
 #: Bytes of text that are worked on at once.
 SLICE = 2 << 20
 #: Frequent words are looked up by so many first bits of their hashes.
@@ -178,6 +180,15 @@ def _part(rows: list[tuple[int, int, int, bytes]]):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["segment", "kind", "size", "data"])
 
 
+def counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of arrays, and how often each is there. The list is emptied and one copy is sorted in place, so that a worker holds the values twice at most."""
+    values = np.concatenate(held)
+    held.clear()
+    values.sort()
+    first = np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values)) if len(values) else np.zeros(1, np.int64)
+    return values[first[:-1]], np.diff(first).astype(np.uint32)
+
+
 def _pair_counts(state):
     """Distinct pairs with their counts, packed by segment."""
 
@@ -186,25 +197,27 @@ def _pair_counts(state):
         held, n = [], 0
 
         def rows():
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            of = cut(data_segment(codes, within(codes & LOW, halves)[1], segments))
-            return _part([(s, 0, len(at), packed(codes[at], counts[at].astype(np.uint32))) for s, at in of])
+            codes, counts = counted(held)
+            for k in range(0, len(codes), PACKED_PAIRS):
+                c, own = codes[k : k + PACKED_PAIRS], counts[k : k + PACKED_PAIRS]
+                of = cut(data_segment(c, within(c & LOW, halves)[1], segments))
+                yield _part([(s, 0, len(at), packed(c[at], own[at])) for s, at in of])
 
         for b in slices(batches, 0, SLICE):
             held.append(tokens_of(b.column(0))[2])
             n += len(held[-1])
             if n > HELD_PAIRS:
-                yield rows()
-                held, n = [], 0
+                yield from rows()
+                n = 0
         if held:
-            yield rows()
+            yield from rows()
 
     return run
 
 
 def _parts(table, kind: int, *kinds) -> list[np.ndarray]:
-    """The arrays of all rows of a kind, put together."""
-    rows = [unpacked(d, n, *kinds) for k, n, d in zip(*(table.column(c).to_pylist() for c in ("kind", "size", "data"))) if k == kind]
+    """The arrays of all rows of a kind, put together. Bytes are read where they lie: only those of the kind are copied."""
+    rows = [unpacked(d.as_buffer(), n, *kinds) for k, n, d in zip(table.column("kind").to_pylist(), table.column("size").to_pylist(), table.column("data")) if k == kind]
     return [np.concatenate(c) for c in zip(*rows)] if rows else [np.empty(0, k) for k in kinds]
 
 
