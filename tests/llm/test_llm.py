@@ -450,6 +450,30 @@ def test_toxicity_index_is_exact(n_terms):
     assert toxicity.Index([], [], [], 5).nearest(np.array([1]), np.array([1.0]), 3) == []
 
 
+def test_toxicity_looks_a_word_up_once_and_scores_wide_terms_together():
+    texts = [None, "", " \n", "same, " * 1000, "\x1cStra\u00dfe \u0130nsult!! *a* ** x\u2028longerword's (longerw", *(prose(60, k) for k in range(300))]
+    vocabulary = sorted({t for x in texts for t in toxicity.terms_in(x)})[::2]
+    places = toxicity.Places(vocabulary)
+    asked = []
+
+    class Asked(dict):
+        def get(self, *args):
+            asked.append(args[0])
+            return super().get(*args)
+
+    places.whole = Asked(places.whole)
+    at, n, starts = places.counts(texts)
+    assert len(asked) <= len({w for x in texts if x for w in x.lower().split()}) + 1
+    for k, x in enumerate(texts):
+        own = slice(starts[k], starts[k + 1])
+        assert {vocabulary[t]: c for t, c in zip(at[own], n[own].tolist())} == {t: c for t, c in toxicity.terms_in(x).items() if t in set(vocabulary)}
+    vectors = [(at[a:b], n[a:b] / np.sqrt(n[a:b] @ n[a:b])) for a, b in zip(starts, starts[1:]) if b > a]
+    index = toxicity.Index(list(range(len(vectors))), [0] * len(vectors), vectors, len(vocabulary))
+    assert 0 < index.common < len(index.dense) and len(index.dense) * index.n <= 2 * len(at) and len(index.at) < len(at)
+    for v, given in zip(vectors, index.given(vectors)):
+        assert np.allclose(index.nearest(*v, 5, given=given), index.nearest(*v, 5))
+
+
 def brute_toxicity(rows, labels):
     """Scores by dense vectors and plain loops; calibration is the operator's own."""
     text = dict(rows)

@@ -2,7 +2,7 @@
 
 The examples are a bounded sample of the labelled documents. Their terms are words and the first letters of longer words, so that inflected forms meet, and all of them count; document frequencies are taken over the whole corpus. A term weighs the more, the more its likelihood ratio by label exceeds what chance gives, but never nothing. What no example has can match nothing and is left out of a text's vector.
 
-The examples' unit vectors form an inverted index in blocks. A query adds up the postings of its rarer terms; for its common ones the index has the greatest weight in each block, and only examples that with these bounds could still be among the nearest are scored in full, which leaves the result exact. Votes of the k nearest are weighted by distance and calibrated by isotonic regression over the examples, each voted on by others that it has taught nothing.
+The examples' unit vectors form an inverted index in blocks. A query adds up the postings of its rarer terms, and those of the wide ones, which many examples have, for many queries at once as a product of matrices; for its common ones the index has the greatest weight in each block, and only examples that with these bounds could still be among the nearest are scored in full, which leaves the result exact. Votes of the k nearest are weighted by distance and calibrated by isotonic regression over the examples, each voted on by others that it has taught nothing.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ MAX_EXAMPLES = 2048
 FLOOR, CHANCE, HALF = 0.1, 10.83, 30.0
 PREFIX = 5
 NEIGHBOURS, BLOCK, FOLDS = 15, 64, 4
+#: Bytes of text whose words are looked up at once.
+SLICE = 1 << 20
+#: Queries whose wide terms are scored in one product.
+AT_ONCE = 64
 CUT = 0.7
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00ab\u00bb\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, evidence_ids array<bigint>, evidence_terms array<string>"
@@ -45,26 +50,31 @@ def terms_in(text: str | None) -> Counter:
     return out
 
 
-class Places(dict):
-    """Places of the known terms of words, remembered by the word as it stands."""
+class Places:
+    """Places of the known terms of texts. Each distinct word of the texts is looked up once."""
 
     def __init__(self, vocabulary: list[str]):
-        self.place = {t: k for k, t in enumerate(vocabulary)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        place = self.place
-        w = word.strip(MARKS)
-        out = (place[w],) if w in place else ()
-        if len(w) > PREFIX and (p := w[:PREFIX] + "*") in place:
-            out += (place[p],)
-        if len(self) < 200_000:  # what came first stays: it holds the frequent words
-            self[word] = out
-        return out
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, how often) of a text's known terms."""
-        own = chain.from_iterable(map(self.__getitem__, text.lower().split())) if text else ()
-        return np.unique(np.fromiter(own, np.int64), return_counts=True)
+        self.n = len(vocabulary)
+        self.whole = {t: k for k, t in enumerate(vocabulary) if t[-1] != "*"}  # a word's own marks are stripped
+        self.prefix = {t[:-1]: k for k, t in enumerate(vocabulary) if t[-1] == "*"}
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, how often) of the texts' known terms, one text behind the other, and where each text's start (and the end)."""
+        words = pc.utf8_split_whitespace(pa.array([t.lower() if t else "" for t in texts], pa.string()))
+        coded = words.values.dictionary_encode()
+        bare = pc.utf8_trim(coded.dictionary, characters=MARKS)
+        heads = pc.if_else(pc.greater(pc.utf8_length(bare), PREFIX), pc.utf8_slice_codeunits(bare, 0, PREFIX), "")
+        code, base = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)) * self.n, np.diff(words.offsets.to_numpy()))
+        found = []
+        for place, distinct in ((self.whole, bare), (self.prefix, heads)):
+            at = np.fromiter(map(place.get, distinct.to_numpy(zero_copy_only=False), repeat(-1)), np.int64, len(distinct))[code]
+            found.append((base + at)[at >= 0])
+        keys = np.concatenate(found)
+        keys.sort()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(keys)))
+        keys = keys[first]
+        return keys % max(1, self.n), n, np.searchsorted(keys, np.arange(len(texts) + 1) * self.n)
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -74,28 +84,29 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Block-max inverted index over unit vectors, as flat arrays: postings by term, vectors by example, block maxima of the terms that more than a block's worth of examples have."""
+    """Block-max inverted index over unit vectors, as flat arrays: postings by term; the weights of wide terms, those that more than a block's worth of examples have, by term and example, the widest terms first and no more cells than twice the postings; block maxima of the common terms, wide ones of more than a quarter of the examples."""
 
     def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         order = sorted(range(len(ids)), key=lambda k: (vectors[k][0][np.argmax(vectors[k][1])], ids[k]))  # like vectors share a block: tighter bounds
         self.ids = np.array([ids[k] for k in order], np.int64)
         self.labels = np.array([labels[k] for k in order], float)
         self.n, self.blocks = len(order), -(-len(order) // BLOCK)
-        self.terms = np.concatenate([vectors[k][0] for k in order]) if order else np.empty(0, np.int64)
-        self.weights = np.concatenate([vectors[k][1] for k in order]) if order else np.empty(0)
-        self.first = np.cumsum([0, *(len(vectors[k][0]) for k in order)])
-        by_term = np.argsort(self.terms, kind="stable")
-        self.at = np.repeat(np.arange(self.n), np.diff(self.first))[by_term]
-        self.w = self.weights[by_term]
-        self.start = np.searchsorted(self.terms[by_term], np.arange(n_terms + 1))
-        common = np.flatnonzero(np.diff(self.start) > max(BLOCK, self.n // 4))
+        terms = np.concatenate([vectors[k][0] for k in order]) if order else np.empty(0, np.int64)
+        weights = np.concatenate([vectors[k][1] for k in order]) if order else np.empty(0)
+        at = np.repeat(np.arange(self.n), [len(vectors[k][0]) for k in order])
+        size = np.bincount(terms, minlength=n_terms)
+        wide = np.argsort(-size, kind="stable")[: min(int((size > BLOCK).sum()), 2 * len(terms) // max(1, self.n))]
         self.row = np.full(n_terms, -1)
-        self.row[common] = np.arange(len(common))
-        self.query = np.zeros(n_terms)
-        self.most = np.zeros((len(common), self.blocks))
-        for k, t in enumerate(common):
-            lo, hi = self.start[t], self.start[t + 1]
-            np.maximum.at(self.most[k], self.at[lo:hi] // BLOCK, self.w[lo:hi])
+        self.row[wide] = np.arange(len(wide))
+        self.dense = np.zeros((len(wide), self.blocks * BLOCK))
+        own = self.row[terms]
+        self.dense[own[own >= 0], at[own >= 0]] = weights[own >= 0]
+        self.common = int((size[wide] > self.n // 4).sum())
+        self.most = self.dense[: self.common].reshape(self.common, self.blocks, BLOCK).max(2, initial=0)
+        by_term = np.flatnonzero(own < 0)
+        by_term = by_term[np.argsort(terms[by_term], kind="stable")]
+        self.at, self.w = at[by_term], weights[by_term]
+        self.start = np.searchsorted(terms[by_term], np.arange(n_terms + 1))
 
     def scored(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the postings of ``terms`` give every example."""
@@ -103,29 +114,31 @@ class Index:
         at = spans(lo, hi)
         return np.bincount(self.at[at], np.repeat(weights, hi - lo) * self.w[at], self.n)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, place) of the k nearest with a cosine over 0; ties go to the smaller id."""
+    def given(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What wide terms that are not common give every example: one row a query."""
+        asked = np.zeros((len(vectors), len(self.dense) - self.common))
+        for own, (terms, weights) in zip(asked, vectors):
+            row = self.row[terms] - self.common
+            own[row[row >= 0]] = weights[row >= 0]
+        return (asked @ self.dense[self.common :])[:, : self.n]
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, given: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """(cosine, place) of the k nearest with a cosine over 0; ties go to the smaller id. ``given`` is the query's row of what ``given`` tells, where it has been asked."""
         if not self.n or not len(terms):
             return []
-        common = self.row[terms] >= 0
-        scores = self.scored(terms[~common], weights[~common])
+        row = self.row[terms]
+        scores = self.scored(terms[row < 0], weights[row < 0]) + (self.given([(terms, weights)])[0] if given is None else given)
+        common = (row >= 0) & (row < self.common)
+        if without >= 0:
+            scores[without] = 0
         if common.any():
-            bound = weights[common] @ self.most[self.row[terms[common]]]
-            if without >= 0:
-                scores[without] = 0
+            row, weights = row[common], weights[common]
+            bound = weights @ self.most[row]
             low = np.partition(scores, -k)[-k] if self.n > k else 0.0  # of what is known so far, so that the k-th is no less
             open_ = np.flatnonzero(scores + np.repeat(bound, BLOCK)[: self.n] >= low - 1e-9)
-            wide = self.start[terms[common] + 1] - self.start[terms[common]]
-            if (self.first[open_ + 1] - self.first[open_]).sum() < wide.sum():
-                self.query[terms] = weights
-                at = spans(self.first[open_], self.first[open_ + 1])
-                full = np.zeros(self.n)
-                sizes = self.first[open_ + 1] - self.first[open_]
-                full[open_] = np.bincount(np.repeat(np.arange(len(open_)), sizes), self.query[self.terms[at]] * self.weights[at], len(open_))
-                self.query[terms] = 0
-                scores = full
-            else:
-                scores = scores + self.scored(terms[common], weights[common])
+            full = np.zeros(self.n)
+            full[open_] = scores[open_] + weights @ self.dense[row[:, None], open_]
+            scores = full
         if without >= 0:
             scores[without] = 0
         least = np.partition(scores, -k)[-k] if self.n > k else 0.0
@@ -210,15 +223,22 @@ class Model:
         weights = [s / (1.05 - s) for s, _ in near]
         return (sum(w * self.index.labels[at] for w, (_, at) in zip(weights, near)) + self.prior) / (sum(weights) + 1)
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
+        """Score, nearest examples and strongest terms of each text."""
         if not self.both:
-            return 0.5, [], []
-        at, w = self.vector(*self.places.counts(text))
-        near = self.index.nearest(at, w, NEIGHBOURS)
+            return [(0.5, [], [])] * len(texts)
+        at, n, starts = self.places.counts(texts)
+        vectors = [self.vector(at[a:b], n[a:b]) for a, b in zip(starts, starts[1:])]
+        given = chain.from_iterable(self.index.given(vectors[k : k + AT_ONCE]) for k in range(0, len(vectors), AT_ONCE))
+        return [self._score(*v, row) for v, row in zip(vectors, given)]
+
+    def _score(self, at: np.ndarray, w: np.ndarray, given: np.ndarray) -> tuple[float, list[int], list[str]]:
+        near = self.index.nearest(at, w, NEIGHBOURS, given=given)
         s = self.vote(near)
         if self.steps:
             s = float(np.interp(round(s, 3), *self.steps))
-        told = [self.vocabulary[t] for t in at[np.argsort(-w * (self.evidence[at] > 0), kind="stable")[:5]] if self.evidence[t] > 0]
+        told = np.flatnonzero(self.evidence[at])
+        told = [self.vocabulary[t] for t in at[told[np.argsort(-w[told], kind="stable")[:5]]]]
         return min(1.0, max(0.0, s)), [int(self.index.ids[k]) for _, k in near[:3]], told
 
 
@@ -233,11 +253,10 @@ def _frequencies(vocabulary):
 
     def run(batches):
         places = once(vocabulary, Places)
-        df, n = np.zeros(len(places.place), np.int64), 0
-        for b in slices(batches, 0):
-            for t in b.column(0).to_pylist():
-                df[places.counts(t)[0]] += 1
-                n += 1
+        df, n = np.zeros(places.n, np.int64), 0
+        for b in slices(batches, 0, SLICE):
+            df += np.bincount(places.counts(b.column(0).to_pylist())[0], minlength=len(df))
+            n += b.num_rows
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], ["t", "n"])
 
@@ -250,8 +269,8 @@ def _scores(state):
     def run(batches):
         m = once(state, Model.of)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for b in slices(batches, 2):
-            rows = [m.score(t) for t in b.column(2).to_pylist()]
+        for b in slices(batches, 2, SLICE):
+            rows = m.scores(b.column(2).to_pylist())
             own = [pa.array([s for s, _, _ in rows], pa.float64()), pa.array([int(s >= CUT) for s, _, _ in rows], pa.int32()), pa.array([e for _, e, _ in rows], pa.list_(pa.int64())), pa.array([w for _, _, w in rows], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own, *b.columns[3:]], [*names, *b.schema.names[3:]])
 
