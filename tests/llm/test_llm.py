@@ -405,6 +405,37 @@ def test_pairs_are_counted_in_bounded_memory():
     assert [len(x) for x in lm_scoring.counted([codes[:0]])] == [0, 0]
 
 
+def test_texts_asked_in_pieces_and_heads_held_are_bounded():
+    from unittest import mock
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))
+    counts = rng.integers(1, 9, len(codes))
+    parts = [lm_scoring._part([(0, 0, len(c), lm_scoring.packed(c, n)) for c, n in zip(np.array_split(codes, 20), np.array_split(counts, 20))])]
+    want = Counter()
+    for c, v in zip((codes >> np.uint64(32)).tolist(), lm_scoring.value_of(lm_scoring.level_of(counts)).tolist()):
+        want[c] += v
+    with mock.patch.object(lm_scoring, "HELD_HEADS", 50):
+        got, out = Counter(), list(lm_scoring._context_totals(parts))
+        for b in out:
+            assert b.num_rows <= 80
+            for head, after in zip(*(c.to_pylist() for c in b.columns)):
+                got[head] += after
+    assert len(out) > 1 and got == pytest.approx(want)
+
+    # Texts of one batch give the same whether they are asked at once or in pieces.
+    hashes = lm_scoring.hashes_of(pa.array([b"a", b"b", b"c"]))
+    m = lm_scoring.Model(np.append(hashes, lm_scoring.END_HASH), np.array([9, 5, 2, 4]), np.zeros(4), np.zeros((0, 8), np.uint8), 2, 20, 4, 200.0, 5)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3, 4]), pa.array([b"a b rare a", None, b"", b"C a a b"], pa.binary())], ["id", "text"])
+    whole = lm_scoring._asked(m, batch, np.arange(4))
+    pieces = [lm_scoring._asked(m, batch.slice(k, 1), np.arange(k, k + 1)) for k in range(4)]
+    for kind in lm_scoring.SENT:
+        for a, b in zip(whole[kind], zip(*(p[kind] for p in pieces))):
+            assert a.tolist() == np.concatenate(b).tolist()
+
+
 def test_bloom_levels():
     codes = np.arange(1, 20_000, dtype=np.int64) * 7919
     counts = (np.arange(len(codes)) % 50) + 2

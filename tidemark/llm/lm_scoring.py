@@ -19,12 +19,12 @@ from .common import Tokens, id_crc, mixed, once, slices, words, written
 
 #: Words whose counts are sent to workers, by falling count.
 HEAD = 100_000
-#: Training tokens a segment of the data, about; pairs that a worker holds before it sends them.
-SEGMENT_TOKENS, HELD_PAIRS = 1 << 20, 4_000_000
+#: Training tokens a segment of the data, about; pairs, and heads of pairs, that a worker holds before it sends them.
+SEGMENT_TOKENS, HELD_PAIRS, HELD_HEADS = 1 << 20, 4_000_000, 1_000_000
 #: Counted pairs that are packed at once.
 PACKED_PAIRS = 1 << 19
-#: Bytes of text that are worked on at once.
-SLICE = 2 << 20
+#: Bytes of text that are worked on at once, and in pieces where a word takes many arrays.
+SLICE, PIECE = 2 << 20, 1 << 19
 #: Frequent words are looked up by so many first bits of their hashes.
 BUCKET_BITS = 18
 #: The filter: bits an entry, bits a segment, segments at most in a broadcast (64 MB); probes an entry; base of the levels; least count of a pair.
@@ -286,9 +286,13 @@ def _context_totals(batches):
 
     for b in batches:
         for _, codes, counts in _pairs_in(b):
-            held.append((codes >> np.uint64(32), value_of(level_of(counts))))
-            n += len(codes)
-            if n > HELD_PAIRS:
+            if not len(codes):
+                continue
+            heads = codes >> np.uint64(32)  # a row's codes are sorted, so each head's are neighbours
+            first = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
+            held.append((heads[first], np.add.reduceat(value_of(level_of(counts)), first)))
+            n += len(first)
+            if n > HELD_HEADS:
                 yield rows()
                 held, n = [], 0
     if held:
@@ -369,6 +373,25 @@ def joined_below(least: int) -> int:
     return least + (least > 2)
 
 
+def _asked(m: Model, batch, own: np.ndarray) -> dict[int, list[np.ndarray]]:
+    """What is sent of a batch of texts (id, text) with the numbers ``own``: by kind the segment of each element and its columns."""
+    h, starts, codes = tokens_of(batch.column(1))
+    sizes = np.diff(np.append(starts, len(h)))
+    at, frequent = m.frequent(h)
+    pair = m.found(codes)
+    base = np.where(frequent, m.log[at], 0.0)
+    gain = np.where(frequent, np.log10(1 + pair / (m.prior * 10.0**base)) + m.before[at], 0.0)
+    known = (frequent & (m.counts[at] > 0)).astype(float)
+    base_sum, gain_sum, known_sum = (np.add.reduceat(x, starts) for x in (base, gain, known))
+    of, segment = np.repeat(own, sizes), data_segment(codes, frequent, m.segments)
+    out = {}
+    for kind, pick, columns in ((2, frequent & (pair == 0), (codes, at.astype(np.uint32), of)), (3, ~frequent, (codes, h, pair, of))):
+        out[kind] = [c[pick] for c in (segment, *columns)]
+    ids = batch.column(0)
+    out[4] = [(own % m.segments).astype(np.int32), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), sizes, known_sum, base_sum, gain_sum, own]
+    return out
+
+
 def _scores(state):
     """What a text's frequent words and their pairs give, and what is still to be looked up, packed by segment."""
 
@@ -378,26 +401,17 @@ def _scores(state):
         m = once(state, lambda v: Model(*v))
         uid = TaskContext.get().partitionId() << 36
         for b in slices(batches, 1, SLICE):
-            h, starts, codes = tokens_of(b.column(1))
-            sizes = np.diff(np.append(starts, len(h)))
-            own = uid + np.arange(len(starts))
-            uid += len(starts)
-            at, frequent = m.frequent(h)
-            pair = m.found(codes)
-            base = np.where(frequent, m.log[at], 0.0)
-            gain = np.where(frequent, np.log10(1 + pair / (m.prior * 10.0**base)) + m.before[at], 0.0)
-            known = (frequent & (m.counts[at] > 0)).astype(float)
-            base_sum, gain_sum, known_sum = (np.add.reduceat(x, starts) for x in (base, gain, known))
-            of, segment = np.repeat(own, sizes), data_segment(codes, frequent, m.segments)
+            held: dict[int, list] = {kind: [] for kind in SENT}
+            for piece in slices([b], 1, PIECE):
+                for kind, columns in _asked(m, piece, uid + np.arange(piece.num_rows)).items():
+                    held[kind].append(columns)
+                uid += piece.num_rows
             rows = []
-            for kind, pick, columns in ((2, frequent & (pair == 0), (codes, at.astype(np.uint32), of)), (3, ~frequent, (codes, h, pair, of))):
-                pick = np.flatnonzero(pick)
-                order, segments, edges = sorted_by(segment[pick])
-                columns = [c[pick[order]] for c in columns]
+            for kind in SENT:
+                segment, *columns = (np.concatenate(c) for c in zip(*held.pop(kind)))
+                order, segments, edges = sorted_by(segment)
+                columns = [c[order] for c in columns]
                 rows += [(s, kind, e - a, packed(*(c[a:e] for c in columns))) for s, a, e in zip(segments, edges, edges[1:])]
-            ids = b.column(0)
-            docs = (ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), sizes, known_sum, base_sum, gain_sum, own)
-            rows += [(s, 4, len(k), packed(*(c[k] for c in docs))) for s, k in cut((own % m.segments).astype(np.int32))]
             yield _part(rows)
 
     return run
@@ -406,7 +420,7 @@ def _scores(state):
 RESULT = "uid bigint, doc_id bigint, tokens bigint, known double, base double, gain double"
 
 
-def _looked_up(state, total: int, distinct: int, prior: float):
+def _looked_up(logs, total: int, distinct: int, prior: float):
     """A segment's words and pairs meet their counts; one row a text of the segment, with what they add to it."""
 
     def run(key, asked, told):
@@ -422,7 +436,7 @@ def _looked_up(state, total: int, distinct: int, prior: float):
             return np.where(hit, found[at], 0) if len(table) else np.zeros(len(values))
 
         code2, place2, uid2 = _parts(asked, 2, *SENT[2])
-        base2 = once(state, lambda v: Model(*v)).log[place2]
+        base2 = logs.value[place2]
         gain2 = np.log10(1 + of(code2, codes, worth) / (prior * 10.0**base2))
         code3, word3, pair3, uid3 = _parts(asked, 3, *SENT[3])
         c = of(word3, word, count)
@@ -482,9 +496,11 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", tex
     word = word.view(np.uint64)
     if END_HASH not in word:
         word, count, after = np.append(word, END_HASH), np.append(count, 0), np.append(after, 0.0)
-    state = sc.broadcast((word, count, after, table, least, total, distinct, prior, segments))
+    state = (word, count, after, table, least, total, distinct, prior, segments)
+    logs = sc.broadcast(Model(*state).log)  # all that the second step needs: its workers don't hold the filter
+    state = sc.broadcast(state)
     told = pairs.mapInArrow(_below(joined_below(least)), PART).union(counts.mapInArrow(_rare(halves), PART))
-    found = src.mapInArrow(_scores(state), PART).groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_looked_up(state, total, distinct, prior), RESULT)
+    found = src.mapInArrow(_scores(state), PART).groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_looked_up(logs, total, distinct, prior), RESULT)
     sums = found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").cast("bigint").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
     return sums.select("doc_id", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
 
