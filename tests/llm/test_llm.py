@@ -660,6 +660,30 @@ def test_components_and_filter(spark):
     assert all(hit(places[k]) for k in range(0, 3000, 3)) and sum(int(hit(p)) for p in places.values()) < 1010
 
 
+def test_small_rounds_leave_little_behind(spark):
+    sc, held = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(90, 70)], "a long, b long")
+    manager = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for k in range(manager.getAllFiles().size()) if (f := manager.getAllFiles().apply(k).getName()).startswith("shuffle_")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = common.components(edges)
+        assert got.rdd.getNumPartitions() == 1 and common.components(edges, task_edges=4).rdd.getNumPartitions() == 16
+        assert {r.component for r in got.where("node <= 30").collect()} == {0} and got.where("node >= 70 and component = 70").count() == 2
+        before = shuffled()
+        common.checkpointed(edges.groupBy("a").count())
+        common.written(edges.groupBy("b").count(), "counts")
+        assert not [f for f in shuffled() - before if f.endswith(".data")]
+        sc.setJobGroup("id_filter", "")
+        common.id_filter(spark.range(100).withColumnRenamed("id", "doc_id"))
+        assert len(sc.statusTracker().getJobIdsForGroup("id_filter")) < 10
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as c
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -36,16 +37,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """What is run within has its shuffle files removed as it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage through a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with freed_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan made here, so that it is under the setting
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: computed once, and no lost executor recomputes it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -206,18 +221,25 @@ def slices(batches, column: int = 1, most: int = 4 << 20):
             at = end
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that a task of a round takes.
+TASK_EDGES = 1 << 16
+
+
+def components(edges: DataFrame, rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b): the smallest node that it reaches.
 
-    Labels take the least of the neighbours' and then their label's label, until none changes. Each round pre-aggregates before it shuffles.
+    Labels take the least of the neighbours' and then their label's label, until none changes. Each round pre-aggregates before it shuffles, and has as many tasks as its edges ask for: a task of few edges still leaves its files and log behind in every stage of every round.
     """
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a is not null and b is not null and a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    tasks = min(partitions(both.sparkSession), 1 + both.count() // task_edges)
+    both = both.coalesce(tasks)
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).coalesce(tasks))
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        least = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+        met = both.join(labels.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component").coalesce(tasks)
+        near = met.groupBy("node").agg(F.min("component").alias("near"))
+        least = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new")).coalesce(tasks)
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("far"))
-        after = checkpointed(least.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("component")))
+        after = checkpointed(least.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("component")).coalesce(tasks))
         labels = after.select("node", "component")
         if after.where("old <> component").isEmpty():
             return labels
@@ -242,7 +264,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
     places = ids.select(id_place(F.col("doc_id")).alias("place")).distinct().select(F.floor(F.col("place") / FILTER_ROW).alias("row"), "place")
     table = np.zeros((FILTER_BITS // FILTER_ROW, FILTER_ROW // 8), np.uint8)
-    for r in places.groupBy("row").applyInArrow(row, "row bigint, bits binary").toLocalIterator():
+    for r in places.groupBy("row").applyInArrow(row, "row bigint, bits binary").collect():  # 4 MB in one job, not a job a partition
         table[r["row"]] = np.frombuffer(r["bits"], np.uint8)
     return table.ravel()
 

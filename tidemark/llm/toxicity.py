@@ -22,6 +22,8 @@ from .common import id_crc, once, slices
 
 #: Labelled documents that are learnt from, at most: those of least hash.
 MAX_EXAMPLES = 2048
+#: Parts at most in which the examples' terms are fetched, a job each.
+FETCHES = 16
 #: A term's weight is its idf times FLOOR and x / (x + HALF), x being its likelihood ratio over CHANCE, the 0.1 % point of chi-square.
 FLOOR, CHANCE, HALF = 0.1, 10.83, 30.0
 PREFIX = 5
@@ -305,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     # A term that many examples have is held once: each example's terms become places as they arrive.
     place: dict[str, int] = {}
     examples = []
-    for r in named.select("doc_id", "toxic", "text").mapInArrow(_example_terms, "doc_id bigint, toxic int, t array<string>, n array<int>").toLocalIterator():
+    for r in named.select("doc_id", "toxic", "text").coalesce(FETCHES).mapInArrow(_example_terms, "doc_id bigint, toxic int, t array<string>, n array<int>").toLocalIterator():
         examples.append((r["doc_id"], r["toxic"], np.array([place.setdefault(t, len(place)) for t in r["t"]], np.int64), np.array(r["n"], np.int64)))
     examples.sort(key=lambda e: e[0])
     vocabulary = sorted(place)
