@@ -660,6 +660,16 @@ def test_components_and_filter(spark):
     assert all(hit(places[k]) for k in range(0, 3000, 3)) and sum(int(hit(p)) for p in places.values()) < 1010
 
 
+def test_lm_scores_go_to_workers_in_small_batches(docs, spark):
+    from unittest import mock
+
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before = spark.conf.get(key)
+    with mock.patch.object(lm_scoring, "written", lambda df, name: seen.update({name: spark.conf.get(key)}) or common.written(df, name)):
+        assert lm_scoring.lm_scores(docs).count() == len(ROWS)
+    assert set(seen) >= {"pairs", "scores"} and set(seen.values()) == {str(4 << 20)} and spark.conf.get(key) == before
+
+
 def test_small_rounds_leave_little_behind(spark):
     sc, held = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(90, 70)], "a long, b long")

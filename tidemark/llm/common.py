@@ -37,29 +37,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Shuffle files of what is run go as it ends, not when the driver happens to collect its garbage.
+FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Groups and texts go to Python workers in batches of so many bytes; else a whole group lies outside the JVM's heap at once, and twice while its buffer grows.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 @contextlib.contextmanager
-def freed_shuffles(spark: SparkSession):
-    """What is run within has its shuffle files removed as it ends, not when the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def under(spark: SparkSession, settings: dict[str, str]):
+    """The settings hold for what is planned and run within."""
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage through a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    with freed_shuffles(df.sparkSession):
+    with under(df.sparkSession, FREED):
         return df.select("*").checkpoint()  # a plan made here, so that it is under the setting
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: computed once, and no lost executor recomputes it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with freed_shuffles(df.sparkSession):
+    with under(df.sparkSession, FREED):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, id_crc, mixed, once, slices, words, written
+from .common import SMALL_BATCHES, Tokens, id_crc, mixed, once, slices, under, words, written
 
 #: Words whose counts are sent to workers, by falling count.
 HEAD = 100_000
@@ -472,6 +472,11 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", tex
 
     Every pair of words counts. Those seen once, and those that a filter of ``max_segments`` has no room for, are joined at the same levels; once the filter is full, so are the pairs of its least level. What a false hit adds is therefore not a count that grows with the input; while every pair that is seen twice has room, about one in 200 of the pairs seen once or never may count as seen twice. Words are told apart by 64 bits where their counts are looked up.
     """
+    with under(docs.sparkSession, SMALL_BATCHES):
+        return _lm_scores(docs, prior, id_col, text_col, max_segments)
+
+
+def _lm_scores(docs: DataFrame, prior: float, id_col: str, text_col: str, max_segments: int) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -501,7 +506,7 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, id_col: str = "doc_id", tex
     state = sc.broadcast(state)
     told = pairs.mapInArrow(_below(joined_below(least)), PART).union(counts.mapInArrow(_rare(halves), PART))
     found = src.mapInArrow(_scores(state), PART).groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_looked_up(logs, total, distinct, prior), RESULT)
-    sums = found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").cast("bigint").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
+    sums = written(found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").cast("bigint").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain")), "scores")
     return sums.select("doc_id", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
 
 
