@@ -660,6 +660,25 @@ def test_components_and_filter(spark):
     assert all(hit(places[k]) for k in range(0, 3000, 3)) and sum(int(hit(p)) for p in places.values()) < 1010
 
 
+def test_lm_look_up_gives_no_row_a_text_and_segment(spark):
+    from unittest import mock
+
+    rows, seen = [(k, " ".join(f"w{k}x{j}" for j in range(60))) for k in range(200)], {}
+
+    def counted(df, name):
+        if name == "scores":
+            node = df._jdf.queryExecution().analyzed().toString()
+            seen[name] = node.count("FlatMapCoGroupsInArrow") == 1 and "FlatMapGroupsInArrow" in node
+        return common.written(df, name)
+
+    with mock.patch.object(lm_scoring, "written", counted), mock.patch.object(lm_scoring, "SEGMENT_TOKENS", 500):
+        many = {r.doc_id: r for r in lm_scoring.lm_scores(frame(spark, rows)).collect()}
+    one = {r.doc_id: r for r in lm_scoring.lm_scores(frame(spark, rows)).collect()}
+    assert seen == {"scores": True} and len(many) == len(one) == 200
+    for k, r in one.items():
+        assert many[k][:5] == r[:5] and math.isclose(many[k].base_score, r.base_score, rel_tol=1e-9) and math.isclose(many[k].score, r.score, rel_tol=1e-9)
+
+
 def test_lm_scores_go_to_workers_in_small_batches(docs, spark):
     from unittest import mock
 

@@ -417,11 +417,13 @@ def _scores(state):
     return run
 
 
-RESULT = "uid bigint, doc_id bigint, tokens bigint, known double, base double, gain double"
+#: What a text's bucket gets: sums that a segment adds to it (known, base, gain), and the text itself (id, whether it has one, tokens); each with the text's number.
+ADDED = {5: (np.int64, np.uint32, np.float64, np.float64), 6: (np.int64, np.int64, np.bool_, np.int64)}
+RESULT = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, gain double"
 
 
-def _looked_up(logs, total: int, distinct: int, prior: float):
-    """A segment's words and pairs meet their counts; one row a text of the segment, with what they add to it."""
+def _looked_up(logs, total: int, distinct: int, prior: float, buckets: int):
+    """A segment's words and pairs meet their counts; what they add to the texts, packed by the texts' buckets: a text meets most segments, so that a row each would outgrow the input."""
 
     def run(key, asked, told):
         codes, counts = _parts(told, 0, np.uint64, np.int64)
@@ -447,14 +449,24 @@ def _looked_up(logs, total: int, distinct: int, prior: float):
         uid, at = np.unique(np.concatenate([uid2, uid3, uid4]), return_inverse=True)
         none = np.zeros(len(uid2))
         known, base, gain = (np.bincount(at, np.concatenate(x), len(uid)) for x in ((none, c > 0, known4), (none, base3, base4), (gain2, gain3, gain4)))
-        place = np.searchsorted(uid, uid4)
-        doc, has, tokens = np.zeros(len(uid), np.int64), np.zeros(len(uid), bool), np.zeros(len(uid), np.int64)
-        doc[place], has[place], tokens[place] = ids, valid, sizes
-        return pa.table([pa.array(uid), pa.array(doc, mask=~has), pa.array(tokens), pa.array(known), pa.array(base), pa.array(gain)], names=[x.split()[0] for x in RESULT.split(", ")])
+        rows = []
+        for kind, columns in ((5, (uid, known.astype(np.uint32), base, gain)), (6, (uid4, ids, valid, sizes))):
+            rows += [(bucket, kind, len(of), packed(*(x[of] for x in columns))) for bucket, of in cut((mixed(columns[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32))]
+        return pa.Table.from_batches([_part(rows)])
 
     return run
 
 
+def _totals(key, rows):
+    """The texts of a bucket, one row each."""
+    uid, ids, valid, sizes = _parts(rows, 6, *ADDED[6])
+    order = np.argsort(uid)
+    of, *added = _parts(rows, 5, *ADDED[5])
+    at = np.searchsorted(uid[order], of)
+    known, base, gain = (np.bincount(at, x, len(uid)) for x in added)
+    return pa.table([pa.array(ids[order], mask=~valid[order]), pa.array(sizes[order]), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain)], names=[x.split()[0] for x in RESULT.split(", ")])
+
+
 def capacity(entries: list[tuple[int, int]], segments: int = MAX_SEGMENTS) -> int:
     """The least level whose pairs, with those above, a broadcast filter of so many segments has room for, from (level, pairs)."""
     left, room = 0, segments * SEGMENT_BITS // ENTRY_BITS
@@ -505,8 +517,8 @@ def _lm_scores(docs: DataFrame, prior: float, id_col: str, text_col: str, max_se
     logs = sc.broadcast(Model(*state).log)  # all that the second step needs: its workers don't hold the filter
     state = sc.broadcast(state)
     told = pairs.mapInArrow(_below(joined_below(least)), PART).union(counts.mapInArrow(_rare(halves), PART))
-    found = src.mapInArrow(_scores(state), PART).groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_looked_up(logs, total, distinct, prior), RESULT)
-    sums = written(found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").cast("bigint").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain")), "scores")
+    found = src.mapInArrow(_scores(state), PART).groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_looked_up(logs, total, distinct, prior, segments), PART)
+    sums = written(found.groupBy("segment").applyInArrow(_totals, RESULT), "scores")
     return sums.select("doc_id", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
 
 
