@@ -689,6 +689,52 @@ def test_lm_scores_go_to_workers_in_small_batches(docs, spark):
     assert set(seen) >= {"pairs", "scores"} and set(seen.values()) == {str(4 << 20)} and spark.conf.get(key) == before
 
 
+def test_lm_workers_give_back_bounded_rows_and_batches():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    codes = np.unique(rng.integers(0, 1 << 63, 400_000, dtype=np.uint64))
+    counts = rng.integers(1, 9, len(codes))
+
+    def held(batches, *kinds):
+        batches = list(batches)
+        sizes = [[len(d) for d in b.column("data").to_pylist()] for b in batches]
+        assert max(map(max, sizes)) <= 1 << 18 and max(map(sum, sizes)) <= 2 << 20 and len(batches) > 1
+        return lm_scoring._parts(pa.Table.from_batches(batches), int(batches[0].column("kind")[0].as_py()), *kinds)
+
+    one = lambda kind, *columns: pa.Table.from_batches([lm_scoring._part([(0, kind, len(columns[0]), lm_scoring.packed(*columns))])])
+    key = (pa.scalar(0, pa.int32()),)
+    summed = lm_scoring._summed(key, one(0, codes, counts.astype(np.uint32)))
+    for got in (held(summed.to_batches(), np.uint64, np.int64), held(lm_scoring._below(99)(summed.to_batches()), np.uint64, np.int64), held(lm_scoring._for_filter(1, 1)(one(0, codes, counts).to_batches()), np.uint64, np.int64)):
+        assert (got[0] == codes).all() and (got[1] == counts).all()
+
+    texts = pa.RecordBatch.from_arrays([pa.array([b" ".join(b"%x" % c for c in codes[k : k + 1000].tolist()) for k in range(0, len(codes), 1000)], pa.binary())], ["text"])
+    got = held(lm_scoring._pair_counts(SimpleNamespace(value=(codes[:0], 1)))([texts]), np.uint64, np.uint32)
+    assert got[1].sum() == len(codes) + texts.num_rows and len(np.unique(got[0])) > 0.99 * len(codes)
+
+    # What a segment adds to as many texts goes to one bucket.
+    uid, none = np.arange(100_000), np.zeros(100_000)
+    asked = one(4, uid, none == 0, uid, none, none, none, uid)
+    added = lm_scoring._looked_up(SimpleNamespace(value=none), 1, 1, 200.0, 1)(key, asked, one(0, codes[:9], counts[:9]))
+    assert (held(added.to_batches(), *lm_scoring.ADDED[5])[0] == uid).all()
+    assert (lm_scoring._parts(added, 6, *lm_scoring.ADDED[6])[1] == uid).all()
+
+
+def test_lm_broadcasts_go_when_the_scores_are_written(docs, spark):
+    import os
+    from unittest import mock
+
+    from pyspark import SparkContext
+
+    made, real = [], SparkContext.broadcast
+    with mock.patch.object(SparkContext, "broadcast", lambda sc, value: made.append(real(sc, value)) or made[-1]):
+        got = lm_scoring.lm_scores(docs)
+    assert len(made) == 3 and not any(os.path.exists(b._path) for b in made)
+    assert got.count() == len(ROWS)
+
+
 def test_small_rounds_leave_little_behind(spark):
     sc, held = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(90, 70)], "a long, b long")

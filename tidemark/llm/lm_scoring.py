@@ -21,8 +21,10 @@ from .common import SMALL_BATCHES, Tokens, id_crc, mixed, once, slices, under, w
 HEAD = 100_000
 #: Training tokens a segment of the data, about; pairs, and heads of pairs, that a worker holds before it sends them.
 SEGMENT_TOKENS, HELD_PAIRS, HELD_HEADS = 1 << 20, 4_000_000, 1_000_000
-#: Counted pairs that are packed at once.
+#: Counted pairs that are cut into segments at once.
 PACKED_PAIRS = 1 << 19
+#: Bytes of packed arrays in a row, and of rows in a batch that a worker gives back, about: whole batches lie outside the JVM's heap, and there they add up over tasks; rows over half a megabyte lie apart in the heap and keep it from shrinking.
+ROW_BYTES, BATCH_BYTES = 1 << 17, 1 << 20
 #: Bytes of text that are worked on at once, and in pieces where a word takes many arrays.
 SLICE, PIECE = 2 << 20, 1 << 19
 #: Frequent words are looked up by so many first bits of their hashes.
@@ -180,6 +182,32 @@ def _part(rows: list[tuple[int, int, int, bytes]]):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["segment", "kind", "size", "data"])
 
 
+def _cut_rows(segment: int, kind: int, *columns: np.ndarray):
+    """Arrays of a segment in rows of a bounded size."""
+    step = max(1, ROW_BYTES // sum(c.itemsize for c in columns))
+    for k in range(0, len(columns[0]), step):
+        own = [c[k : k + step] for c in columns]
+        yield segment, kind, len(own[0]), packed(*own)
+
+
+def _batches(rows):
+    """Rows in batches of a bounded size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3])
+        if size >= BATCH_BYTES:
+            yield _part(held)
+            held, size = [], 0
+    if held:
+        yield _part(held)
+
+
+def _table(rows) -> pa.Table:
+    """Rows as a table of bounded batches, which go back to Spark one by one."""
+    return pa.Table.from_batches(_batches(rows), _part([]).schema)
+
+
 def counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of arrays, and how often each is there. The list is emptied and one copy is sorted in place, so that a worker holds the values twice at most."""
     values = np.concatenate(held)
@@ -200,17 +228,17 @@ def _pair_counts(state):
             codes, counts = counted(held)
             for k in range(0, len(codes), PACKED_PAIRS):
                 c, own = codes[k : k + PACKED_PAIRS], counts[k : k + PACKED_PAIRS]
-                of = cut(data_segment(c, within(c & LOW, halves)[1], segments))
-                yield _part([(s, 0, len(at), packed(c[at], own[at])) for s, at in of])
+                for s, at in cut(data_segment(c, within(c & LOW, halves)[1], segments)):
+                    yield from _cut_rows(s, 0, c[at], own[at])
 
         for b in slices(batches, 0, SLICE):
             held.append(tokens_of(b.column(0))[2])
             n += len(held[-1])
             if n > HELD_PAIRS:
-                yield from rows()
+                yield from _batches(rows())
                 n = 0
         if held:
-            yield from rows()
+            yield from _batches(rows())
 
     return run
 
@@ -226,8 +254,7 @@ def _summed(key, rows):
     codes, counts = _parts(rows, 0, np.uint64, np.uint32)
     codes, at = np.unique(codes, return_inverse=True)
     counts = np.bincount(at, counts, len(codes)).astype(np.int64)
-    s = key[0].as_py()
-    return pa.Table.from_batches([_part([(s, 0, len(codes[k : k + 65536]), packed(codes[k : k + 65536], counts[k : k + 65536])) for k in range(0, len(codes), 65536)])])
+    return _table(_cut_rows(key[0].as_py(), 0, codes, counts))
 
 
 def _pairs_in(batch):
@@ -251,7 +278,7 @@ def _for_filter(segments: int, least: int):
         for b in batches:
             own = [(c[keep], n[keep]) for _, c, n in _pairs_in(b) for keep in [level_of(n) >= least]]
             codes, counts = (np.concatenate(x) for x in zip(*own)) if own else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield _part([(s, 0, len(at), packed(codes[at], counts[at])) for s, at in cut(segment_of(codes, segments).astype(np.int32))])
+            yield from _batches(row for s, at in cut(segment_of(codes, segments).astype(np.int32)) for row in _cut_rows(s, 0, codes[at], counts[at]))
 
     return run
 
@@ -269,8 +296,7 @@ def _below(level: int):
 
     def run(batches):
         for b in batches:
-            own = [(s, c[keep], n[keep]) for s, c, n in _pairs_in(b) for keep in [level_of(n) < level]]
-            yield _part([(s, 0, len(c), packed(c, n)) for s, c, n in own])
+            yield from _batches(row for s, c, n in _pairs_in(b) for keep in [level_of(n) < level] for row in _cut_rows(s, 0, c[keep], n[keep]))
 
     return run
 
@@ -327,7 +353,7 @@ def _rare(halves):
             keep = ~within(half, halves.value[0])[1]
             word, count, after, half = word[keep], count[keep], after[keep], half[keep]
             of = cut(data_segment(half, np.zeros(len(half), bool), halves.value[1]))
-            yield _part([(s, 1, len(at), packed(word[at], count[at], after[at])) for s, at in of])
+            yield from _batches(row for s, at in of for row in _cut_rows(s, 1, word[at], count[at], after[at]))
 
     return run
 
@@ -406,13 +432,11 @@ def _scores(state):
                 for kind, columns in _asked(m, piece, uid + np.arange(piece.num_rows)).items():
                     held[kind].append(columns)
                 uid += piece.num_rows
-            rows = []
             for kind in SENT:
                 segment, *columns = (np.concatenate(c) for c in zip(*held.pop(kind)))
                 order, segments, edges = sorted_by(segment)
                 columns = [c[order] for c in columns]
-                rows += [(s, kind, e - a, packed(*(c[a:e] for c in columns))) for s, a, e in zip(segments, edges, edges[1:])]
-            yield _part(rows)
+                yield from _batches(row for s, a, e in zip(segments, edges, edges[1:]) for row in _cut_rows(s, kind, *(c[a:e] for c in columns)))
 
     return run
 
@@ -449,10 +473,13 @@ def _looked_up(logs, total: int, distinct: int, prior: float, buckets: int):
         uid, at = np.unique(np.concatenate([uid2, uid3, uid4]), return_inverse=True)
         none = np.zeros(len(uid2))
         known, base, gain = (np.bincount(at, np.concatenate(x), len(uid)) for x in ((none, c > 0, known4), (none, base3, base4), (gain2, gain3, gain4)))
-        rows = []
-        for kind, columns in ((5, (uid, known.astype(np.uint32), base, gain)), (6, (uid4, ids, valid, sizes))):
-            rows += [(bucket, kind, len(of), packed(*(x[of] for x in columns))) for bucket, of in cut((mixed(columns[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32))]
-        return pa.Table.from_batches([_part(rows)])
+
+        def rows():
+            for kind, columns in ((5, (uid, known.astype(np.uint32), base, gain)), (6, (uid4, ids, valid, sizes))):
+                for bucket, of in cut((mixed(columns[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)):
+                    yield from _cut_rows(bucket, kind, *(x[of] for x in columns))
+
+        return _table(rows())
 
     return run
 
@@ -519,6 +546,8 @@ def _lm_scores(docs: DataFrame, prior: float, id_col: str, text_col: str, max_se
     told = pairs.mapInArrow(_below(joined_below(least)), PART).union(counts.mapInArrow(_rare(halves), PART))
     found = src.mapInArrow(_scores(state), PART).groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_looked_up(logs, total, distinct, prior, segments), PART)
     sums = written(found.groupBy("segment").applyInArrow(_totals, RESULT), "scores")
+    for b in (halves, logs, state):  # nothing asks for them any more; else they wait for the driver to collect its garbage
+        b.destroy()
     return sums.select("doc_id", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
 
 
