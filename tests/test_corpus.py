@@ -1,10 +1,12 @@
 """Feature caches, outputs of one run, seeded samples, folders of videos."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import corpus, graph, records
 from tidemark.sources import feature_cache, loaders
 
@@ -84,6 +86,28 @@ def test_training_samples_of_long_clips(spark):
     assert [got["wav2vec2", k] for k in range(1, 7)] == ["e0 e1 e2 e3 e4", "e1 e2", "e2", "e1 e2", "Audio segment detected", "Audio segment detected"]
 
 
+def test_training_samples_round_times_as_printf_does(spark):
+    times = (148979.65, 878622.25, 914297.75, 2031978.05)
+    none = spark.createDataFrame([], "timeline_id string, t_sec double, seq long, description string")
+    images = spark.createDataFrame([*(("v", k, t) for k, t in enumerate(times)), ("v", 9, None)], "timeline_id string, emb_id long, t_emb double")
+    clips = spark.createDataFrame([*(("v", k, t, t + 86400) for k, t in enumerate(times)), ("v", 9, None, None)], "timeline_id string, clip_id long, start double, end double")
+    got = {(r.modality, r.emb_id): r.target for r in corpus.training_samples(images, clips, clips, none, none).collect()}
+    want = {}
+    for k, t in enumerate(times):
+        want["siglip", k] = f"At timestamp {t:.1f}s, the visual analysis shows: Visual content detected"
+        want["videomae", k] = f"From {t:.1f}s to {t + 86400:.1f}s, the temporal analysis shows: Temporal video segment"
+        want["wav2vec2", k] = f"Audio from {t:.1f}s to {t + 86400:.1f}s: Audio segment detected"
+    assert got == want | {(m, 9): None for m in corpus.MODALITIES}
+
+
+def test_tenths_of_exact_values(spark):
+    drawn = random.Random(7)
+    xs = [0.0, -0.0, -0.04, 0.05, 0.15, 0.25, 0.35, 0.45, 0.95, 9.95, 9.96, -0.25, -12345.65, 0.04999999999999999, 5e-324, 1e14 + 0.25, 2.0**51 + 0.5, 2.0**52 + 1, 1e17, 2.0**62]
+    xs += [round(drawn.uniform(-3e6, 3e6), 2) for _ in range(2000)] + [drawn.randrange(10**8) / 20 for _ in range(2000)] + [drawn.random() * 10.0 ** drawn.randrange(-6, 16) for _ in range(1000)]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate([*xs, None])], "k int, x double").select("k", T.tenths(F.col("x")).alias("text")).collect()
+    assert {r.k: r.text for r in got} == dict(enumerate([*(f"{x:.1f}" for x in xs), None]))
+
+
 def test_sampled_strata_of_long_clips(spark):
     picked = corpus.sampled(long_samples(spark), ["modality"], "emb_id", 2)
     order = lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k)

@@ -74,6 +74,21 @@ def mmss(seconds: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(s / 60), F.pmod(s, F.lit(60)))
 
 
+def tenths(x: Column) -> Column:
+    """A double with one decimal, rounded from its exact value, ties to even, as C, Python and SQL's printf do. (``format_string`` rounds the shortest decimal that stands for the double, half up: 0.15 is 0.2 there and 0.1 here.) From 2^63 on, and for what is no number, it is ``format_string``'s text."""
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole
+    # Ten times the part is near + rest exactly; where near lies halfway between two tenths, the rest decides.
+    near = 8 * part + 2 * part
+    rest = 2 * part - (near - 8 * part)
+    half = near - F.floor(near) == 0.5
+    digit = F.when(half & (rest > 0), F.ceil(near)).when(half & (rest < 0), F.floor(near)).otherwise(F.rint(near).cast("bigint"))
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    text = F.concat(sign, (whole + F.floor(digit / 10)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+    return F.when(x.isNotNull(), F.when(size < 2.0**63, text).otherwise(F.format_string("%.1f", x)))
+
+
 def time_token(seconds: Column) -> Column:
     return F.concat(F.lit("<ts="), mmss(seconds), F.lit(">"))
 

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import joins
 
 # Modalities, what is said where nothing is near, and the templates of targets.
 MODALITIES = ("siglip", "videomae", "wav2vec2")
 NOTHING = ("Visual content detected", "Temporal video segment", "Audio segment detected")
-TARGETS = ("At timestamp %.1fs, the visual analysis shows: %s", "From %.1fs to %.1fs, the temporal analysis shows: %s", "Audio from %.1fs to %.1fs: %s")
+TARGETS = ("At timestamp %ss, the visual analysis shows: %s", "From %ss to %ss, the temporal analysis shows: %s", "Audio from %ss to %ss: %s")
 
 
 def training_samples(images: DataFrame, clips: DataFrame, sounds: DataFrame, events: DataFrame, transcripts: DataFrame, near: float = 2.0) -> DataFrame:
     """(video, modality, emb_id, t_sec, context, target).
 
-    ``images`` (timeline_id, emb_id, t_emb) take the first three events within ``near`` seconds; ``clips`` and ``sounds`` (timeline_id, clip_id, start, end) the first five events, and all transcripts, in their range, both ends included. Events and transcripts are (timeline_id, t_sec, seq, description), in order of time; empty ones say nothing.
+    ``images`` (timeline_id, emb_id, t_emb) take the first three events within ``near`` seconds; ``clips`` and ``sounds`` (timeline_id, clip_id, start, end) the first five events, and all transcripts, in their range, both ends included. Events and transcripts are (timeline_id, t_sec, seq, description), in order of time; empty ones say nothing. Without a time there is no target.
     """
     said = lambda df: df.where(F.length("description") > 0)
     seen, heard = said(events), said(transcripts)
@@ -27,7 +28,8 @@ def training_samples(images: DataFrame, clips: DataFrame, sounds: DataFrame, eve
     out = None
     for modality, template, rows in zip(MODALITIES, TARGETS, (a, b, c)):
         times = ["start"] if modality == "siglip" else ["start", "end"]
-        own = rows.select(F.col("timeline_id").alias("video"), F.lit(modality).alias("modality"), "emb_id", F.col("start").alias("t_sec"), F.col("joined").alias("context"), F.format_string(template, *times, "joined").alias("target"))
+        target = F.when(F.col("start").isNotNull() & F.col("end").isNotNull(), F.format_string(template, *[T.tenths(F.col(t)) for t in times], "joined"))
+        own = rows.select(F.col("timeline_id").alias("video"), F.lit(modality).alias("modality"), "emb_id", F.col("start").alias("t_sec"), F.col("joined").alias("context"), target.alias("target"))
         out = own if out is None else out.unionByName(own)
     return out
 
